@@ -450,3 +450,57 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.lit(kinds.count("boolean")).cast("long").alias("boolean_columns"),
         F.lit(kinds.count("datetime")).cast("long").alias("datetime_columns"),
     )
+
+
+# ---------------------------------------------------------------------------
+# per-column profile shared by type inference, target detection and health
+# ---------------------------------------------------------------------------
+
+def column_profile(df: DataFrame, columns=None) -> DataFrame:
+    """One row per column: pos, column, dtype, kind, rows, non_null, missing,
+    unique, unique_with_null, avg_len, avg_len0, min, max, mean, std.
+
+    Counts and text lengths come from the long-form frequency table (one
+    shuffle); moments (numeric and boolean columns, as double) from one global
+    aggregate.  avg_len is the mean length of non-null strings, avg_len0 counts
+    a null as length 0.
+    """
+    fields = _fields(df, columns)
+    if not fields:
+        return _empty(df, "pos int, column string, dtype string, kind string, rows long, "
+                          "non_null long, missing long, unique long, unique_with_null long, "
+                          "avg_len double, avg_len0 double, min double, max double, "
+                          "mean double, std double")
+    freq = frequencies(df, [f.name for f in fields])
+    present = F.col("vl").isNotNull() | F.col("vd").isNotNull() | F.col("vs").isNotNull()
+    slen = F.length(F.col("vs")).cast("double") * F.col("n")
+    counts = freq.groupBy("pos").agg(
+        F.sum("n").cast("long").alias("rows"),
+        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).cast("long").alias("non_null"),
+        F.count_if(present).cast("long").alias("unique"),
+        F.count(F.lit(1)).cast("long").alias("unique_with_null"),
+        F.sum(slen).alias("__len"))
+    counts = counts.select(
+        "pos", "rows", "non_null", (F.col("rows") - F.col("non_null")).alias("missing"),
+        "unique", "unique_with_null",
+        F.try_divide(F.col("__len"), F.col("non_null").cast("double")).alias("avg_len"),
+        F.try_divide(F.coalesce(F.col("__len"), F.lit(0.0)), F.col("rows").cast("double")).alias("avg_len0"))
+    numeric = [(i, f) for i, f in enumerate(fields) if is_numeric_or_bool(f.dataType)]
+    names = _names_df(df, fields)
+    out = names.join(F.broadcast(counts), "pos", "left")
+    if numeric:
+        aggs = []
+        for i, f in numeric:
+            aggs += _moment_aggs(i, f)
+        row = df.agg(*aggs)
+        moments = _unpivot_row(row, [F.struct(F.lit(i).alias("pos"), F.col(f"mn{i}").alias("min"),
+                                              F.col(f"mx{i}").alias("max"), F.col(f"av{i}").alias("mean"),
+                                              F.col(f"sd{i}").alias("std")) for i, f in numeric])
+        out = out.join(F.broadcast(moments), "pos", "left")
+    else:
+        nd = F.lit(None).cast("double")
+        out = out.select("*", nd.alias("min"), nd.alias("max"), nd.alias("mean"), nd.alias("std"))
+    return out.select("pos", "column", "dtype", "kind",
+                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                        for c in ("rows", "non_null", "missing", "unique", "unique_with_null")],
+                      "avg_len", "avg_len0", "min", "max", "mean", "std")

@@ -20,8 +20,8 @@ def _stats_sql_named(cols, src) -> str:
         num = t in NUMERIC or t == "boolean"
         v = f"CAST({q(c)} AS DOUBLE)"
         if num:
-            mom = (f"ROUND(MIN({v}), 6) AS min, ROUND(MAX({v}), 6) AS max, "
-                   f"ROUND(AVG({v}), 6) AS mean, ROUND(STDDEV_SAMP({v}), 6) AS std")
+            mom = (f"ROUND(MIN({v}), 8) AS min, ROUND(MAX({v}), 8) AS max, "
+                   f"ROUND(AVG({v}), 8) AS mean, ROUND(STDDEV_SAMP({v}), 8) AS std")
         else:
             mom = ("CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max, "
                    "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std")
@@ -34,7 +34,7 @@ def _stats_sql_named(cols, src) -> str:
 
 @register("feature_statistics", _stats_sql_named(LN, LINEITEM_N_SQL))
 def feature_statistics(spark, sf):
-    return round_doubles(P.feature_statistics(lineitem_n(spark, sf)))
+    return round_doubles(P.feature_statistics(lineitem_n(spark, sf)), 8)
 
 
 @register("missing_counts", "WITH t AS (" + LINEITEM_N_SQL + ") " + union_all([
@@ -126,7 +126,7 @@ def _describe_sql():
 
 @register("describe", _describe_sql())
 def describe(spark, sf):
-    return round_doubles(P.describe(orders_n(spark, sf)))
+    return round_doubles(P.describe(orders_n(spark, sf)), 6)
 
 
 def _corr_sql(cols, src):

@@ -23,6 +23,7 @@ SESSION_DEFAULTS = {
     # feature tables are wide; keep whole-stage codegen on for them
     "spark.sql.codegen.maxFields": "400",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
