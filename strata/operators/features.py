@@ -221,3 +221,41 @@ def percentage(part: Column, whole: Column) -> Column:
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+
+
+# ---------------------------------------------------------------------------
+# number formatting
+# ---------------------------------------------------------------------------
+
+def format_number(c: Column, decimals: int = 2, integral: bool = False) -> Column:
+    """Thousands separators; integers as is, other numbers with ``decimals``
+    places (half-even on the shortest decimal form)."""
+    if integral:
+        return F.format_number(c.cast("long"), 0)
+    return F.format_number(c.cast("double"), decimals)
+
+
+def _fixed2(c: Column) -> Column:
+    # two decimals, no grouping
+    return F.call_function("format_number", c, F.lit("0.00"))
+
+
+def format_bytes(c: Column) -> Column:
+    """B, KB, MB, GB, TB by powers of 1024 with 2 decimals; PB beyond."""
+    v = c.cast("double")
+    units = ["B", "KB", "MB", "GB", "TB"]
+    e = None
+    for k, u in enumerate(units):
+        scaled = v / F.lit(float(1024 ** k))
+        cond = scaled < 1024
+        txt = F.concat(_fixed2(scaled), F.lit(" " + u))
+        e = F.when(cond, txt) if e is None else e.when(cond, txt)
+    return e.otherwise(F.concat(_fixed2(v / F.lit(float(1024 ** 5))), F.lit(" PB")))
+
+
+def format_duration(c: Column) -> Column:
+    """seconds → 'x.xx sec' below a minute, 'x.xx min' below an hour, else 'x.xx hr'."""
+    s = c.cast("double")
+    return (F.when(s < 60, F.concat(_fixed2(s), F.lit(" sec")))
+            .when(s / 60 < 60, F.concat(_fixed2(s / 60), F.lit(" min")))
+            .otherwise(F.concat(_fixed2(s / 60 / 60), F.lit(" hr"))))
