@@ -67,13 +67,16 @@ def union_all(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (results are compared across engines)."""
+def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
+    """Round every double column (results are compared across engines);
+    ``overrides`` maps column names to their own number of digits."""
     out = []
+    overrides = overrides or {}
     for f in df.schema.fields:
         c = F.col("`" + f.name + "`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(F.round(c.cast("double"), digits).alias(f.name))
+        d = overrides.get(f.name, digits)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and d is not None:
+            out.append(F.round(c.cast("double"), d).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)
