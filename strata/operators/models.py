@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strata.session import ensure_checkpoint_dir
 
 MAX_TREE_DEPTH = 30  # Spark ML's limit; scikit-learn trees are unbounded by default
+OVR_PARALLELISM = 8  # one-vs-rest binary models fitted concurrently
 
 
 # ---------------------------------------------------------------------------
@@ -142,7 +143,8 @@ class GBTClassifierLearner:
         base = C.GBTClassifier(featuresCol=features_col, labelCol=label_col, **self.kw)
         if k <= 2:
             return SparkFitted(base.fit(df))
-        ovr = C.OneVsRest(classifier=base, featuresCol=features_col, labelCol=label_col)
+        ovr = C.OneVsRest(classifier=base, featuresCol=features_col, labelCol=label_col,
+                          parallelism=min(k, OVR_PARALLELISM))
         return _OvrFitted(ovr.fit(df), k, sharpen=2.0)
 
 
@@ -182,9 +184,11 @@ class LinearSVCLearner:
         svc = C.LinearSVC(featuresCol=features_col, labelCol=label_col, regParam=1.0 / (self.C_ * max(n, 1)),
                           maxIter=self.max_iter, standardization=False)
         model = svc.fit(df) if k <= 2 else C.OneVsRest(classifier=svc, featuresCol=features_col,
-                                                       labelCol=label_col).fit(df)
+                                                       labelCol=label_col,
+                                                       parallelism=min(k, OVR_PARALLELISM)).fit(df)
         from pyspark.ml.functions import array_to_vector
-        scored = model.transform(df).withColumn("__m", array_to_vector(vector_to_array("rawPrediction")))
+        scored = model.transform(df).withColumn("__m", array_to_vector(vector_to_array("rawPrediction"))) \
+            .drop("prediction", "rawPrediction", "probability")
         platt = C.LogisticRegression(featuresCol="__m", labelCol=label_col, regParam=0.0, maxIter=100) \
             .fit(scored.select("__m", label_col))
         return _PlattFitted(model, platt)
@@ -197,7 +201,8 @@ class _PlattFitted:
     def transform(self, df):
         from pyspark.ml.functions import array_to_vector
         out = self.model.transform(df).withColumn("__m", array_to_vector(vector_to_array("rawPrediction")))
-        p = self.platt.transform(out.drop("rawPrediction").select("*"))
+        base = out.drop("rawPrediction", "prediction", "probability")
+        p = self.platt.transform(base)
         keep = [c for c in p.columns if c not in ("__m", "rawPrediction")]
         return p.select(*keep)
 

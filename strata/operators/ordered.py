@@ -36,25 +36,25 @@ def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
         ranged = ranged.checkpoint(eager=True)
     ranged = ranged.withColumn("_pid", F.spark_partition_id())
     totals = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
-                                        *[F.sum(c).alias(f"_t_{c}") for c in sum_cols]).collect()
+                                        *[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sum_cols)]).collect()
     # exclusive offsets per partition, in partition (= range) order; one row per partition
     rows, acc_n, acc = [], 0, {c: 0 for c in sum_cols}
     for r in sorted(totals, key=lambda r: r["_pid"]):
         rows.append((r["_pid"], acc_n, *[acc[c] for c in sum_cols]))
         acc_n += r["_n"]
-        for c in sum_cols:
-            acc[c] = acc[c] + (r[f"_t_{c}"] or 0)
-    schema = "_pid int, _off_n long" + "".join(
-        f", _off_{c} {'double' if isinstance(acc[c], float) else 'long'}" for c in sum_cols)
+        for i, c in enumerate(sum_cols):
+            acc[c] = acc[c] + (r[f"_t{i}"] or 0)
+    schema = "_pid int, _offrows long" + "".join(
+        f", _off{i} {'double' if isinstance(acc[c], float) else 'long'}" for i, c in enumerate(sum_cols))
     offsets = spark.createDataFrame(rows, schema)
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.select("*", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols))
                           .alias("_local_rank"),
-                          *[F.sum(c).over(w).alias(f"_local_{c}") for c in sum_cols])
+                          *[F.sum(c).over(w).alias(f"_local{i}") for i, c in enumerate(sum_cols)])
     out = local.join(F.broadcast(offsets), "_pid")
     return out.select(*[F.col(c) for c in df.columns],
-                      (F.col("_local_rank") + F.col("_off_n")).alias(rank_col),
-                      *[(F.col(f"_local_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols])
+                      (F.col("_local_rank") + F.col("_offrows")).alias(rank_col),
+                      *[(F.col(f"_local{i}") + F.col(f"_off{i}")).alias(f"cum_{c}") for i, c in enumerate(sum_cols)])
 
 
 def neighbours(df: DataFrame, rank_col: str, cols: list[str]) -> DataFrame:

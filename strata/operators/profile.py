@@ -364,35 +364,66 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 100000) -> Dat
                     "q25", "q50", "q75", "max"))
 
 
-def correlation(df: DataFrame, columns=None, min_columns: int = 2) -> DataFrame:
-    """Long-form Pearson matrix (x, y, r) over numeric columns, all pairs in one agg.
+CORR_PAIRS_PER_JOB = 25
+
 
-    Pairwise-complete (rows where either value is null are skipped); a constant
-    column gives NULL (pandas NaN); the diagonal is 1.0 unless constant.
+def correlation(df: DataFrame, columns=None, min_columns: int = 2) -> DataFrame:
+    """Long-form Pearson matrix (x, y, r) over numeric columns.
+
+    Pairwise-complete: a pair uses the rows where both values are present.  One
+    small job finds each column's mean, min and max; then, per batch of pairs,
+    one aggregate of plain sums over mean-shifted values (n, Σx, Σy, Σx², Σy²,
+    Σxy per pair) — sums keep the aggregation buffer flat and codegen-friendly,
+    the shift keeps them well conditioned.  A column with zero spread gives
+    NULL (pandas NaN); the diagonal is 1.0 unless the column is constant.
+    Expressions are passed as SQL text (one call per expression, not one per
+    operator) to keep planning time flat in the number of pairs.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if len(columns) < min_columns or not columns:
         return _empty(df, "x string, y string, r double")
     dts = {f.name: f.dataType for f in df.schema.fields}
-    vals = {c: as_double(c, dts[c]) for c in columns}
-    from strata.functions.columns import pearson
+    base = df.select(*[as_double(c, dts[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    first = base.selectExpr(*[e for i in range(len(columns)) for e in (
+        f"avg(v{i}) AS m{i}", f"min(v{i}) AS lo{i}", f"max(v{i}) AS hi{i}")]).first()
+    idx = {c: i for i, c in enumerate(columns)}
+    flat = {c: first[f"m{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i, c in enumerate(columns)}
+    live_cols = [c for c in columns if not flat[c]]
+    centred = base.selectExpr(*[f"v{idx[c]} - ({float(first[f'm{idx[c]}'])!r}D) AS x{idx[c]}"
+                                for c in live_cols]) if live_cols else None
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        aggs.append(pearson(vals[a], vals[b]).alias(f"r{k}"))
-    rows = []
-    for start in range(0, len(aggs), AGG_BATCH * 2):
-        chunk = list(range(start, min(start + AGG_BATCH * 2, len(aggs))))
-        row = df.agg(*[aggs[k] for k in chunk])
-        structs = []
-        for k in chunk:
-            a, b = pairs[k]
-            structs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"r{k}").alias("r")))
+    live = [(a, b) for a, b in pairs if not flat[a] and not flat[b]]
+    parts = []
+    for start in range(0, len(live), CORR_PAIRS_PER_JOB):
+        chunk = live[start:start + CORR_PAIRS_PER_JOB]
+        aggs, stack = [], []
+        for k, (a, b) in enumerate(chunk, start):
+            x, y = f"x{idx[a]}", f"x{idx[b]}"
+            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+            aggs += [f"count_if({both}) AS n{k}", f"sum(CASE WHEN {both} THEN {x} END) AS sx{k}",
+                     f"sum(CASE WHEN {both} THEN {y} END) AS sy{k}",
+                     f"sum(CASE WHEN {both} THEN {x} * {x} END) AS sxx{k}",
+                     f"sum(CASE WHEN {both} THEN {y} * {y} END) AS syy{k}",
+                     f"sum(CASE WHEN {both} THEN {x} * {y} END) AS sxy{k}"]
+            vx, vy = f"(n{k} * sxx{k} - sx{k} * sx{k})", f"(n{k} * syy{k} - sy{k} * sy{k})"
+            ok = f"{vx} > 1e-9D * n{k} * sxx{k} AND {vy} > 1e-9D * n{k} * syy{k}"
+            r = (f"CASE WHEN {ok} THEN 1.0D END" if a == b else
+                 f"CASE WHEN {ok} THEN (n{k} * sxy{k} - sx{k} * sy{k}) / sqrt({vx} * {vy}) END")
+            stack.append(f"'{_sql_str(a)}', '{_sql_str(b)}', {r}")
             if a != b:
-                structs.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"r{k}").alias("r")))
-        rows.append(_unpivot_row(row, structs))
-    return reduce(DataFrame.unionByName, rows)
+                stack.append(f"'{_sql_str(b)}', '{_sql_str(a)}', {r}")
+        row = centred.selectExpr(*aggs)
+        parts.append(row.selectExpr(f"stack({len(stack)}, {', '.join(stack)}) AS (x, y, r)"))
+    dead = [(a, b) for a, b in pairs if flat[a] or flat[b]]
+    if dead:
+        rows = [(a, b, None) for a, b in dead] + [(b, a, None) for a, b in dead if a != b]
+        parts.append(df.sparkSession.createDataFrame(rows, "x string, y string, r double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _sql_str(s: str) -> str:
+    return s.replace("\\", "\\\\").replace("'", "\\'")
 
 
 def memory_bytes_expr(df: DataFrame, per_row: bool = False) -> Column:

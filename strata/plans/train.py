@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from strata.operators import evaluate as EV
 from strata.operators import models as M
 from strata.operators import split as SP
-from strata.operators.schema import align_features
 from strata.plans.preprocess import PreprocessConfig, build_preprocessor
 
 
@@ -233,14 +232,13 @@ def training_summary(result: TrainingResult) -> DataFrame:
 def predict(result: TrainingResult, df: DataFrame, fill=0) -> DataFrame:
     """Original columns + ``Prediction`` (+ ``Probability_Class_<i>``).  Missing
     training features are added as ``fill``, extras are ignored by the model."""
-    aligned = align_features(df, result.features, fill=fill,
-                             types={f.name: f.dataType for f in result.train.schema.fields})
-    extra = [c for c in df.columns if c not in result.features]
-    base = aligned.select(*aligned.columns, *[F.col(f"`{c}`") for c in extra]) if extra else aligned
+    types = {f.name: f.dataType for f in result.train.schema.fields}
+    missing = [c for c in result.features if c not in df.columns]
+    base = df.select("*", *[(F.lit(fill).cast(types[c]) if fill is not None else F.lit(None).cast(types[c]))
+                            .alias(c) for c in missing])
     scored = result.model.transform(result.prep.transform(base))
     pred = result.labels.to_label(F.col("prediction")) if result.labels else F.col("prediction")
     out = [F.col(f"`{c}`") for c in df.columns] + [pred.alias("Prediction")]
-    missing = [c for c in result.features if c not in df.columns]
     if result.labels and "probability" in scored.columns:
         arr = vector_to_array("probability")
         out += [arr[i].alias(f"Probability_Class_{i}") for i in range(len(result.labels.labels))]
