@@ -226,39 +226,43 @@ def remove_outliers(df: DataFrame, columns: list[str] | None = None, method: str
 # ---------------------------------------------------------------------------
 
 def remove_invalid_features(df: DataFrame, protect: tuple | list = (),
-                            batch: int = P.AGG_BATCH) -> tuple[DataFrame, list[str]]:
+                            batch: int = 30) -> tuple[DataFrame, list[str]]:
     """Drop all-null columns; turn ±inf into NULL; drop columns that are then
-    constant (nulls counted as a value).  Aggregates run in batches of columns."""
+    constant (nulls counted as a value).
+
+    Per column: count, min and max of the cleaned value (NaN and ±inf → NULL)
+    and, for floating columns, the number of infinities — 3–4 plain aggregates,
+    issued as SQL text in batches of ``batch`` columns so each job stays
+    within whole-stage codegen."""
     fields = [f for f in df.schema.fields if f.name not in protect]
+    names = {f.name: f"__c{i}" for i, f in enumerate(df.schema.fields)}
+    flat = df.toDF(*[names[f.name] for f in df.schema.fields])
     removed, has_inf = [], set()
     for start in range(0, len(fields), batch):
         chunk = fields[start:start + batch]
-        aggs = [F.count(F.lit(1)).alias("__rows")]
+        aggs = ["count(1) AS __rows"]
         for i, f in enumerate(chunk, start):
-            c = col(f.name)
+            c = names[f.name]
             if is_fractional(f.dataType):
-                clean = F.when(F.abs(c) == float("inf"), F.lit(None).cast("double")).otherwise(
-                    F.nanvl(c.cast("double"), F.lit(None).cast("double")))
-                aggs.append(F.count_if(F.abs(c) == float("inf")).alias(f"inf{i}"))
-                aggs.append(F.count(F.nanvl(c.cast("double"), F.lit(None).cast("double"))).alias(f"raw{i}"))
+                clean = f"CASE WHEN isnan({c}) OR abs({c}) = double('inf') THEN NULL ELSE {c} END"
+                aggs.append(f"count_if(abs({c}) = double('inf')) AS inf{i}")
             elif isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType)):
-                clean = F.to_json(c)
-                aggs.append(F.count(c).alias(f"raw{i}"))
+                clean = f"to_json({c})"
             else:
                 clean = c
-                aggs.append(F.count(c).alias(f"raw{i}"))
-            aggs += [F.count(clean).alias(f"c{i}"), F.min(clean).alias(f"lo{i}"), F.max(clean).alias(f"hi{i}")]
-        row = df.agg(*aggs).first()
+            aggs += [f"count({clean}) AS c{i}", f"min({clean}) AS lo{i}", f"max({clean}) AS hi{i}"]
+        row = flat.selectExpr(*aggs).first()
         n = row["__rows"]
         for i, f in enumerate(chunk, start):
-            if row[f"raw{i}"] == 0:
-                removed.append(f.name)
+            inf = row[f"inf{i}"] if is_fractional(f.dataType) else 0
+            cnt, lo, hi = row[f"c{i}"], row[f"lo{i}"], row[f"hi{i}"]
+            if cnt + inf == 0:
+                removed.append(f.name)        # all null (or NaN)
                 continue
-            if is_fractional(f.dataType) and row[f"inf{i}"] > 0:
+            if inf > 0:
                 has_inf.add(f.name)
-            cnt, lo, hi = row[f"c{i}"], row[f"lo{i}"], row[f"hi{i}"]
             if cnt == 0 or (cnt == n and lo == hi):
-                removed.append(f.name)
+                removed.append(f.name)        # constant once infinities are null
     out = []
     for f in df.schema.fields:
         if f.name in removed:

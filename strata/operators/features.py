@@ -53,34 +53,36 @@ def ratios(df, columns, max_pairs=MAX_PAIRS):
     return _add(df, ratio_exprs(columns, max_pairs))
 
 
-def row_aggregate_exprs(columns):
-    """row_sum/mean/std (ddof 1)/min/max/range over the given columns, skipping
-    nulls; an all-null row sums to 0.  Nothing for fewer than two columns."""
+ROW_AGGREGATES = ("row_sum", "row_mean", "row_std", "row_min", "row_max", "row_range")
+
+
+def add_row_aggregates(df: DataFrame, columns) -> tuple[DataFrame, list[str]]:
+    """row_sum/mean/std (ddof 1)/min/max/range over ``columns``, skipping nulls;
+    an all-null row sums to 0.  Nothing for fewer than two columns.
+
+    Three projections: count/sum/min/max, then the mean, then the deviation
+    around it by the two-pass formula.  The mean is a column of its own, so
+    the deviation expression stays linear in the number of columns (Catalyst
+    keeps a projection whose expensive output is used many times) and every
+    step stays in whole-stage codegen."""
     if len(columns) < 2:
-        return []
-    vals = F.array_compact(F.array(*[_d(c) for c in columns]))
-    n = F.size(vals).cast("double")
-    total = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
-    mean = F.try_divide(total, F.nullif(n, F.lit(0.0)))
-    # Welford update over the non-null values: state (count, mean, M2)
-    init = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
-
-    def step(st, x):
-        k = st["k"] + 1
-        delta = x - st["m"]
-        m = st["m"] + delta / k
-        return F.struct(k.alias("k"), m.alias("m"), (st["s"] + delta * (x - m)).alias("s"))
-
-    w = F.aggregate(vals, init, step)
-    std = F.when(n >= 2, F.sqrt(w["s"] / (n - 1)))
-    lo = F.least(*[_d(c) for c in columns])
-    hi = F.greatest(*[_d(c) for c in columns])
-    return [("row_sum", total), ("row_mean", mean), ("row_std", std), ("row_min", lo),
-            ("row_max", hi), ("row_range", hi - lo)]
+        return df, []
+    vals = [_d(c) for c in columns]
+    n = sum((v.isNotNull().cast("double") for v in vals), F.lit(0.0))
+    total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
+    s1 = df.select("*", n.alias("__ra_n"), total.alias("row_sum"), F.least(*vals).alias("row_min"),
+                   F.greatest(*vals).alias("row_max"))
+    s2 = s1.select("*", F.try_divide(F.col("row_sum"), F.nullif(F.col("__ra_n"), F.lit(0.0))).alias("row_mean"))
+    mean = F.col("row_mean")
+    ss = sum((F.coalesce((v - mean) * (v - mean), F.lit(0.0)) for v in vals), F.lit(0.0))
+    s3 = s2.select("*", F.when(F.col("__ra_n") >= 2, F.sqrt(ss / (F.col("__ra_n") - 1))).alias("row_std"),
+                   (F.col("row_max") - F.col("row_min")).alias("row_range")).drop("__ra_n")
+    keep = [c for c in df.columns if c not in ROW_AGGREGATES]
+    return s3.select(*[col(c) for c in keep], *ROW_AGGREGATES), list(ROW_AGGREGATES)
 
 
 def row_aggregates(df, columns):
-    return _add(df, row_aggregate_exprs(columns))
+    return add_row_aggregates(df, columns)
 
 
 def polynomial_exprs(columns, degree=2, interaction_only=False, existing=()):

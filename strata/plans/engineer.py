@@ -68,10 +68,9 @@ def engineer_numeric(df: DataFrame, config: EngineerConfig | None = None,
         e = FE.ratio_exprs(cols, config.max_interaction_pairs)
         new += e
         rep.ratio_features += [n for n, _ in e]
-    if config.create_aggregates:
-        e = FE.row_aggregate_exprs(cols)
-        new += e
-        rep.aggregate_features += [n for n, _ in e]
+    row_aggs = config.create_aggregates and len(cols) >= 2
+    if row_aggs:
+        rep.aggregate_features += list(FE.ROW_AGGREGATES)
     if config.create_polynomial and cols:
         existing = set(df.columns) | {n for n, _ in new}
         e = FE.polynomial_exprs(cols, config.polynomial_degree, existing=existing)
@@ -84,13 +83,21 @@ def engineer_numeric(df: DataFrame, config: EngineerConfig | None = None,
         rep.aggregate_features += [n for n, _ in e]
     # a later generator with an existing name replaces the column (pandas assignment)
     names = [n for n, _ in new]
-    keep = [col(c) for c in df.columns if c not in names]
+    keep = [c for c in df.columns if c not in names and not (row_aggs and c in FE.ROW_AGGREGATES)]
     seen, exprs = set(), []
     for n, e in reversed(new):
         if n not in seen:
             seen.add(n)
-            exprs.append(e.alias(n))
-    out = df.select(*keep, *reversed(exprs))
+            exprs.append((n, e))
+    exprs.reverse()
+    out = df.select(*[col(c) for c in keep], *[e.alias(n) for n, e in exprs])
+    if row_aggs:
+        # row aggregates sit after the interaction and ratio columns, as generated
+        out, _ = FE.add_row_aggregates(out, cols)
+        n_pairs = sum(1 for n in rep.interaction_features + rep.ratio_features if n in dict(exprs))
+        gen = [n for n, _ in exprs]
+        order = keep + gen[:n_pairs] + list(FE.ROW_AGGREGATES) + gen[n_pairs:]
+        out = out.select(*[col(c) for c in order])
     if config.drop_invalid_features:
         out, removed = C.remove_invalid_features(out, protect=config.protect)
         rep.removed_features += removed
