@@ -46,10 +46,9 @@ def histogram(df: DataFrame, column: str, bins: int = HIST_BINS) -> DataFrame:
 def box_stats(df: DataFrame, column: str, factor: float = 1.5, approx: bool = False) -> DataFrame:
     """One row: q1, median, q3, iqr, lower_whisker, upper_whisker (extreme
     values inside the fences), n_outliers — two aggregate jobs."""
+    from strata.operators.quantiles import quantiles
     v = as_double(column, df.schema[column].dataType)
-    q = (F.percentile_approx(v, [0.25, 0.5, 0.75], 100000) if approx
-         else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    qs = df.agg(q.alias("q")).first()["q"]
+    qs = quantiles(df, [column], [0.25, 0.5, 0.75], "approx" if approx else "auto")[column]
     if qs is None:
         return df.sparkSession.createDataFrame(
             [], "q1 double, median double, q3 double, iqr double, lower_whisker double, "
@@ -66,10 +65,11 @@ def box_stats(df: DataFrame, column: str, factor: float = 1.5, approx: bool = Fa
 
 def box_outliers(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
     """The outlier points themselves (a filter with literal fences)."""
+    from strata.operators.quantiles import quantiles
     v = as_double(column, df.schema[column].dataType)
-    qs = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
+    qs = quantiles(df, [column], [0.25, 0.75])[column]
     if qs is None:
-        return df.select(v.alias(column)).limit(0)
+        return df.select(v.alias(column)).where(F.lit(False))
     iqr = qs[1] - qs[0]
     return df.select(v.alias(column)).where((F.col(column) < qs[0] - factor * iqr) |
                                             (F.col(column) > qs[1] + factor * iqr))
@@ -115,7 +115,7 @@ def pair_sample(df: DataFrame, id_col=None, n: int = PAIR_SAMPLE, seed: int = 42
     two numeric columns."""
     num = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     if len(num) < 2:
-        return df.select().limit(0)
+        return df.select().where(F.lit(False))
     ids = id_col or df.columns
     return sample_rows(df, n, id_col=ids, seed=seed).select(*[col(c) for c in num])
 

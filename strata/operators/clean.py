@@ -71,9 +71,7 @@ def _numeric_fill_aggs(cols, dtypes, strategy, approx):
     aggs = []
     for i, c in enumerate(cols):
         v = as_double(c, dtypes[c])
-        if strategy == "median":
-            a = F.percentile_approx(v, 0.5, 100000) if approx else F.percentile(v, F.lit(0.5))
-        elif strategy == "mean":
+        if strategy == "mean":
             a = F.avg(v)
         elif strategy == "constant":
             a = F.lit(0.0)
@@ -93,6 +91,10 @@ def fill_plan(df: DataFrame, numeric: list[str], categorical: list[str], boolean
     mode_cols = list(boolean) + list(categorical if categorical_strategy == "most_frequent" else [])
     if numeric_strategy == "most_frequent":
         mode_cols += list(numeric)
+    elif numeric and numeric_strategy == "median":
+        from strata.operators.quantiles import quantiles
+        qs = quantiles(df, list(numeric), [0.5], "approx" if approx else "auto")
+        plan.numeric = {c: (qs[c][0] if qs.get(c) else None) for c in numeric}
     elif numeric:
         row = df.agg(*_numeric_fill_aggs(numeric, dtypes, numeric_strategy, approx)).first()
         plan.numeric = {c: row[f"n{i}"] for i, c in enumerate(numeric)}
@@ -161,23 +163,20 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr",
     if not columns:
         return {}
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for i, c in enumerate(columns):
-        v = as_double(c, dtypes[c])
-        if method == "zscore":
-            aggs += [F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
-        else:
-            q = (F.percentile_approx(v, [0.25, 0.75], 100000) if approx
-                 else F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
-            aggs.append(q.alias(f"q{i}"))
-    row = df.agg(*aggs).first()
     out = {}
+    if method == "zscore":
+        row = df.agg(*[a for i, c in enumerate(columns) for a in (
+            F.avg(as_double(c, dtypes[c])).alias(f"m{i}"),
+            F.stddev_samp(as_double(c, dtypes[c])).alias(f"s{i}"))]).first()
+    else:
+        from strata.operators.quantiles import quantiles
+        qs = quantiles(df, list(columns), [0.25, 0.75], "approx" if approx else "auto")
     for i, c in enumerate(columns):
         if method == "zscore":
             m, s = row[f"m{i}"], row[f"s{i}"]
             out[c] = None if (s is None or s == 0 or m is None) else (m, s)
         else:
-            q = row[f"q{i}"]
+            q = qs.get(c)
             if q is None or q[0] is None:
                 out[c] = None
             else:

@@ -210,27 +210,27 @@ class ColumnStatsEstimator(Estimator, _StatsParams, DefaultParamsReadable, Defau
             for c in ins:
                 stats[c] = {"fill": 0.0}
         else:
-            aggs = []
+            aggs, qs = [F.lit(1).alias("__one")], {}
+            if m in ("median", "robust"):
+                from strata.operators.quantiles import quantiles
+                qs = quantiles(dataset, list(ins), [0.25, 0.5, 0.75], "approx" if approx else "auto")
             for i, c in enumerate(ins):
                 v = as_double(c, dtypes[c])
                 if m in ("median", "robust"):
-                    probs = [0.25, 0.5, 0.75]
-                    q = (F.percentile_approx(v, probs, 100000) if approx
-                         else F.percentile(v, F.array(*[F.lit(p) for p in probs])))
-                    aggs.append(q.alias(f"q{i}"))
+                    pass
                 elif m == "minmax":
                     aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
                 else:
                     aggs += [F.avg(v).alias(f"mu{i}"), F.stddev_pop(v).alias(f"sd{i}")]
-            row = dataset.agg(*aggs).first()
+            row = dataset.agg(*aggs).first() if len(aggs) > 1 else None
             for i, c in enumerate(ins):
                 if m == "median":
-                    q = row[f"q{i}"]
+                    q = qs.get(c)
                     stats[c] = {"fill": None if q is None else q[1]}
                 elif m == "mean":
                     stats[c] = {"fill": row[f"mu{i}"]}
                 elif m == "robust":
-                    q = row[f"q{i}"]
+                    q = qs.get(c)
                     if q is None or q[1] is None:
                         stats[c] = {"center": None, "scale": None}
                     else:

@@ -23,6 +23,7 @@ from strata.session import ensure_checkpoint_dir
 
 MAX_TREE_DEPTH = 30  # Spark ML's limit; scikit-learn trees are unbounded by default
 OVR_PARALLELISM = 8  # one-vs-rest binary models fitted concurrently
+MAX_CLASSES = 10_000
 
 
 # ---------------------------------------------------------------------------
@@ -34,8 +35,13 @@ class LabelIndex:
     labels: list
 
     @staticmethod
-    def fit(df: DataFrame, label: str) -> "LabelIndex":
-        vals = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect()]
+    def fit(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> "LabelIndex":
+        """Sorted class labels; more than ``max_classes`` raises (a class list
+        is a model size, not a data size)."""
+        vals = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct()
+                .limit(max_classes + 1).collect()]
+        if len(vals) > max_classes:
+            raise ValueError(f"target {label} has more than {max_classes} classes")
         return LabelIndex(sorted(vals))
 
     def to_index(self, c):

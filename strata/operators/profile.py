@@ -320,18 +320,20 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 100000) -> Dat
     datetimes the same in epoch seconds (std NULL); string and boolean columns
     get unique/top/freq (top: most frequent, smallest on ties).
     """
+    from strata.operators.quantiles import quantiles
     fields = _fields(df)
     spark = df.sparkSession
+    numish = [f.name for f in fields if kind_of(f.dataType) in ("numeric", "datetime")]
+    qs = quantiles(df, numish, [0.25, 0.5, 0.75], "approx" if approx else "auto")
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         aggs.append(F.count_if(~_is_missing(f)).alias(f"nn{i}"))
         k = kind_of(f.dataType)
         if k in ("numeric", "datetime"):
-            v = as_double(f.name, f.dataType)
             aggs += _moment_aggs(i, f)
-            q = (F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy) if approx
-                 else F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-            aggs.append(q.alias(f"q{i}"))
+            q = qs.get(f.name)
+            aggs.append((F.array(*[F.lit(float(x)) for x in q]) if q else
+                         F.lit(None).cast("array<double>")).alias(f"q{i}"))
     row = df.agg(*aggs)
     null_d = F.lit(None).cast("double")
     structs = []

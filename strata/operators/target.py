@@ -88,25 +88,18 @@ def target_ranking(df: DataFrame, top_k: int = 5, minimum_confidence: float = MI
     dropped unless none reaches it, then the top-k of all are returned.  Ties
     keep column order (a stable sort).
     """
-    scores = target_scores(df).filter(~F.col("is_dt"))
-    any_ok = F.max((F.col("confidence") >= minimum_confidence).cast("int")).over(
-        _whole()) == 1
-    kept = scores.withColumn("__any", any_ok).filter(
-        ~F.col("__any") | (F.col("confidence") >= minimum_confidence))
-    ranked = kept.orderBy(F.desc("confidence"), F.asc("pos")).limit(top_k)
-    return ranked.select(
-        F.row_number().over(_whole().orderBy(F.desc("confidence"), F.asc("pos"))).alias("rank"),
+    from pyspark.sql import Window
+    scores = target_scores(df).filter(~F.col("is_dt")).cache()   # one row per column
+    above = scores.filter(F.col("confidence") >= minimum_confidence)
+    kept = above if above.limit(1).count() > 0 else scores
+    top = kept.orderBy(F.desc("confidence"), F.asc("pos")).limit(top_k)
+    # rank over the k kept rows only
+    return top.select(
+        F.row_number().over(Window.orderBy(F.desc("confidence"), F.asc("pos"))).alias("rank"),
         "column", "confidence", "reason", "problem_hint",
         (F.col("confidence") >= good).alias("is_good"))
 
 
-def _whole():
-    # window over the per-column score table (one row per column, bounded by
-    # the number of columns, never by the number of data rows)
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0))
-
-
 def suggested_target(df: DataFrame) -> dict | None:
     rows = target_ranking(df, top_k=1).collect()
     return rows[0].asDict() if rows else None

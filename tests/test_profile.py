@@ -70,3 +70,16 @@ def test_correlation_constant_and_pairwise(spark):
 def test_memory_usage(spark):
     df = spark.createDataFrame([(1, "é")], "a int, s string")
     assert P.memory_usage(df).first()["bytes"] == 4 + 2
+
+
+def test_quantiles_ranks_equal_map(spark):
+    from strata.operators.quantiles import quantiles
+    df = spark.range(1001).selectExpr("CAST((id * 7919) % 1000 AS DOUBLE) / 7.0 AS a",
+                                      "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 10 AS DOUBLE) END AS b",
+                                      "CAST(NULL AS DOUBLE) AS e")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    m = quantiles(df, ["a", "b", "e"], probs, "map")
+    r = quantiles(df, ["a", "b", "e"], probs, "ranks")
+    assert m["e"] is None and r["e"] is None
+    for c in ("a", "b"):
+        assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(m[c], r[c]))
