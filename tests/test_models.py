@@ -100,3 +100,18 @@ def test_cross_validation_summary(spark):
     assert res.cross_validation.count() == 3
     summ = {r["Metric"]: r for r in TR.cross_validation_summary(res.cross_validation).collect()}
     assert summ["test_score"]["Mean"] >= 0.5
+
+
+def test_score_stream(spark, tmp_path):
+    from strata.streaming import score_stream
+    df = _cls_data(spark, 120)
+    res = TR.train_model(df, "target", "Logistic Regression", "classification", ["a", "b"], "id",
+                         TR.TrainConfig(cross_validation=False))
+    src = tmp_path / "in"
+    df.select("id", "a", "b").write.parquet(str(src))
+    stream = spark.readStream.schema("id long, a double, b double").parquet(str(src))
+    q = score_stream(res, stream).writeStream.format("memory").queryName("scored_stream").start()
+    q.processAllAvailable()
+    q.stop()
+    out = spark.sql("SELECT * FROM scored_stream")
+    assert out.count() == 120 and "Prediction" in out.columns
