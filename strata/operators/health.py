@@ -21,7 +21,7 @@ HIGH_CARD_INSPECT = 50
 HIGH_CARD_EDA = 100
 
 
-def _metric_rows(df: DataFrame, text_ratio: float = 0.70) -> DataFrame:
+def _metric_rows(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     fields = list(df.schema.fields)
     row_missing = reduce(lambda a, b: a + b,
                          [F.when(P._is_missing(f), 1).otherwise(0) for f in fields], F.lit(0))
@@ -35,30 +35,27 @@ def _metric_rows(df: DataFrame, text_ratio: float = 0.70) -> DataFrame:
     parts = [base.select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
         for m in ("rows", "duplicate_rows", "missing_cells", "bytes")])))]
-    flags = P.constant_flags(df)
-    parts.append(flags.agg(F.count_if("is_constant").cast("double").alias("value"))
-                 .select(F.lit("constant_columns").alias("metric"), "value"))
-    nulls, _ = P.null_counts_row(df)
-    parts.append(nulls.select(
-        F.lit("columns_with_missing").alias("metric"),
-        reduce(lambda a, b: a + b, [F.when(F.col(f"m{i}") > 0, 1).otherwise(0)
-                                    for i in range(len(fields))], F.lit(0)).cast("double").alias("value")))
-    strings = [f.name for f in fields if is_string(f.dataType)]
-    if strings:
-        cnt = P.distinct_counts(df, strings)
-        parts.append(cnt.agg(
-            F.count_if(F.col("unique") >= HIGH_CARD_INSPECT).cast("double").alias("hc50"),
-            F.count_if(F.col("unique") >= HIGH_CARD_EDA).cast("double").alias("hc100"),
-        ).select(F.inline(F.array(
-            F.struct(F.lit("high_card_50").alias("metric"), F.col("hc50").alias("value")),
-            F.struct(F.lit("high_card_100").alias("metric"), F.col("hc100").alias("value"))))))
+    # per-column facts from the column profile (one frequency shuffle, shared)
+    prof = prof if prof is not None else P.column_profile(df)
+    is_str = F.col("kind") == "string"
+    per_col = prof.agg(
+        F.count_if(F.col("is_constant")).cast("double").alias("constant_columns"),
+        F.count_if(F.col("missing") > 0).cast("double").alias("columns_with_missing"),
+        F.count_if(is_str & (F.col("unique") >= HIGH_CARD_INSPECT)).cast("double").alias("high_card_50"),
+        F.count_if(is_str & (F.col("unique") >= HIGH_CARD_EDA)).cast("double").alias("high_card_100"))
+    parts.append(per_col.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+        for m in ("constant_columns", "columns_with_missing", "high_card_50", "high_card_100")]))))
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_profile(df: DataFrame) -> DataFrame:
+def table_profile(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
     """One row: rows, columns, duplicate_rows, missing_cells, bytes,
-    constant_columns, columns_with_missing, high_card_50, high_card_100."""
-    m = _metric_rows(df)
+    constant_columns, columns_with_missing, high_card_50, high_card_100.
+
+    Two jobs on the input: the group-by over all columns and the column
+    profile (pass ``prof`` to share an already computed one)."""
+    m = _metric_rows(df, prof)
     names = ["rows", "duplicate_rows", "missing_cells", "bytes", "constant_columns",
              "columns_with_missing", "high_card_50", "high_card_100"]
     return m.agg(*[F.coalesce(F.max(F.when(F.col("metric") == k, F.col("value"))), F.lit(0.0))
@@ -136,13 +133,14 @@ def inspect_dataset(df: DataFrame) -> DataFrame:
     memory_mb, health_score and the number of columns per group (text columns
     also count as categorical, as in the inspector)."""
     from strata.operators.types import feature_groups
-    p = table_profile(df)
+    prof = P.column_profile(df).cache()
+    p = table_profile(df, prof)
     cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1)).cast("double")
     ncols = F.greatest(F.col("columns"), F.lit(1)).cast("double")
     s = (F.lit(100.0) - F.col("missing_cells") / cells * 40
          - F.col("duplicate_rows") / F.greatest(F.col("rows"), F.lit(1)).cast("double") * 20
          - F.col("constant_columns") / ncols * 20 - F.col("high_card_50") / ncols * 20)
-    groups = feature_groups(df)
+    groups = feature_groups(df, profile=prof)
     counts = groups.agg(
         F.count_if(F.col("feature_group") == "numeric").alias("numeric_features"),
         F.count_if(F.col("feature_group").isin("categorical", "text")).alias("categorical_features"),
@@ -159,8 +157,9 @@ def inspect_dataset(df: DataFrame) -> DataFrame:
 def summarize_dataset(df: DataFrame) -> DataFrame:
     """One row of the EDA summary (thresholds 100 / ratio > .70 or length > 25)."""
     from strata.operators.types import feature_types_eda
-    p = table_profile(df)
-    counts = feature_types_eda(df).agg(
+    prof = P.column_profile(df).cache()
+    p = table_profile(df, prof)
+    counts = feature_types_eda(df, profile=prof).agg(
         *[F.count_if(F.col("feature_group") == g).alias(f"{g}_features")
           for g in ("numeric", "categorical", "boolean", "datetime", "text")])
     stats = p.select("rows", "columns", "missing_cells", "duplicate_rows", "constant_columns",

@@ -489,51 +489,72 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 # per-column profile shared by type inference, target detection and health
 # ---------------------------------------------------------------------------
 
-def column_profile(df: DataFrame, columns=None) -> DataFrame:
+def column_profile(df: DataFrame, columns=None, distinct: str = "categorical") -> DataFrame:
     """One row per column: pos, column, dtype, kind, rows, non_null, missing,
-    unique, unique_with_null, avg_len, avg_len0, min, max, mean, std.
-
-    Counts and text lengths come from the long-form frequency table (one
-    shuffle); moments (numeric and boolean columns, as double) from one global
-    aggregate.  avg_len is the mean length of non-null strings, avg_len0 counts
-    a null as length 0.
+    unique, unique_with_null, avg_len, avg_len0, min, max, mean, std,
+    is_constant.
+
+    One global aggregate gives counts for every column and min/max/mean/std
+    (as double) for numeric, boolean and datetime columns.  Exact distinct
+    counts and string lengths come from the long-form frequency table, built
+    only for the columns that need it: ``distinct="categorical"`` (strings,
+    booleans, nested) or ``"all"``.  ``unique`` is NULL for the others.
+    ``is_constant`` is ``nunique(dropna=False) <= 1``: from the distinct count
+    where known, else ``count = 0 ∨ (count = rows ∧ min = max)``.
     """
     fields = _fields(df, columns)
     if not fields:
         return _empty(df, "pos int, column string, dtype string, kind string, rows long, "
                           "non_null long, missing long, unique long, unique_with_null long, "
                           "avg_len double, avg_len0 double, min double, max double, "
-                          "mean double, std double")
-    freq = frequencies(df, [f.name for f in fields])
-    present = F.col("vl").isNotNull() | F.col("vd").isNotNull() | F.col("vs").isNotNull()
-    slen = F.length(F.col("vs")).cast("double") * F.col("n")
-    counts = freq.groupBy("pos").agg(
-        F.sum("n").cast("long").alias("rows"),
-        F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).cast("long").alias("non_null"),
-        F.count_if(present).cast("long").alias("unique"),
-        F.count(F.lit(1)).cast("long").alias("unique_with_null"),
-        F.sum(slen).alias("__len"))
-    counts = counts.select(
-        "pos", "rows", "non_null", (F.col("rows") - F.col("non_null")).alias("missing"),
-        "unique", "unique_with_null",
-        F.try_divide(F.col("__len"), F.col("non_null").cast("double")).alias("avg_len"),
-        F.try_divide(F.coalesce(F.col("__len"), F.lit(0.0)), F.col("rows").cast("double")).alias("avg_len0"))
-    numeric = [(i, f) for i, f in enumerate(fields) if is_numeric_or_bool(f.dataType)]
-    names = _names_df(df, fields)
-    out = names.join(F.broadcast(counts), "pos", "left")
-    if numeric:
-        aggs = []
-        for i, f in numeric:
-            aggs += _moment_aggs(i, f)
-        row = df.agg(*aggs)
-        moments = _unpivot_row(row, [F.struct(F.lit(i).alias("pos"), F.col(f"mn{i}").alias("min"),
-                                              F.col(f"mx{i}").alias("max"), F.col(f"av{i}").alias("mean"),
-                                              F.col(f"sd{i}").alias("std")) for i, f in numeric])
-        out = out.join(F.broadcast(moments), "pos", "left")
+                          "mean double, std double, is_constant boolean")
+    kinds = [kind_of(f.dataType) for f in fields]
+    ranged = [i for i, k in enumerate(kinds) if k in ("numeric", "boolean", "datetime")]
+    if distinct == "all":
+        freq_pos = list(range(len(fields)))
     else:
-        nd = F.lit(None).cast("double")
-        out = out.select("*", nd.alias("min"), nd.alias("max"), nd.alias("mean"), nd.alias("std"))
-    return out.select("pos", "column", "dtype", "kind",
-                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                        for c in ("rows", "non_null", "missing", "unique", "unique_with_null")],
-                      "avg_len", "avg_len0", "min", "max", "mean", "std")
+        freq_pos = [i for i, k in enumerate(kinds) if k not in ("numeric", "datetime")]
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, f in enumerate(fields):
+        aggs.append(F.count_if(~_is_missing(f)).alias(f"nn{i}"))
+        if i in ranged:
+            v = as_double(f.name, f.dataType)
+            aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
+            if kinds[i] != "datetime":
+                aggs += [F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
+    row = df.agg(*aggs)
+    nd = F.lit(None).cast("double")
+    base = _unpivot_row(row, [F.struct(
+        F.lit(i).alias("pos"), F.col("__rows").cast("long").alias("rows"),
+        F.col(f"nn{i}").cast("long").alias("non_null"),
+        (F.col(f"mn{i}") if i in ranged else nd).alias("min"),
+        (F.col(f"mx{i}") if i in ranged else nd).alias("max"),
+        (F.col(f"av{i}") if i in ranged and kinds[i] != "datetime" else nd).alias("mean"),
+        (F.col(f"sd{i}") if i in ranged and kinds[i] != "datetime" else nd).alias("std"))
+        for i in range(len(fields))])
+    out = _names_df(df, fields).join(F.broadcast(base), "pos")
+    if freq_pos:
+        names = [fields[i].name for i in freq_pos]
+        remap = F.create_map(*[x for j, i in enumerate(freq_pos) for x in (F.lit(j), F.lit(i))])
+        freq = frequencies(df, names)
+        present = F.col("vl").isNotNull() | F.col("vd").isNotNull() | F.col("vs").isNotNull()
+        counts = freq.groupBy("pos").agg(
+            F.count_if(present).cast("long").alias("unique"),
+            F.count(F.lit(1)).cast("long").alias("unique_with_null"),
+            F.sum(F.length(F.col("vs")).cast("double") * F.col("n")).alias("__len"))
+        counts = counts.select(remap[F.col("pos")].alias("pos"), "unique", "unique_with_null", "__len")
+        out = out.join(F.broadcast(counts), "pos", "left")
+    else:
+        out = out.select("*", F.lit(None).cast("long").alias("unique"),
+                         F.lit(None).cast("long").alias("unique_with_null"), nd.alias("__len"))
+    in_freq = F.col("pos").isin(*freq_pos) if freq_pos else F.lit(False)
+    by_range = (F.col("non_null") == 0) | ((F.col("non_null") == F.col("rows")) & (F.col("min") == F.col("max")))
+    is_const = F.when(in_freq, F.coalesce(F.col("unique_with_null"), F.lit(0)) <= 1).otherwise(by_range)
+    return out.select(
+        "pos", "column", "dtype", "kind", "rows", "non_null",
+        (F.col("rows") - F.col("non_null")).alias("missing"),
+        F.when(in_freq, F.coalesce("unique", F.lit(0))).cast("long").alias("unique"),
+        F.when(in_freq, F.coalesce("unique_with_null", F.lit(0))).cast("long").alias("unique_with_null"),
+        F.try_divide(F.col("__len"), F.col("non_null").cast("double")).alias("avg_len"),
+        F.try_divide(F.coalesce(F.col("__len"), F.lit(0.0)), F.col("rows").cast("double")).alias("avg_len0"),
+        "min", "max", "mean", "std", is_const.alias("is_constant"))

@@ -55,7 +55,7 @@ def _ratio() -> Column:
 
 def target_scores(df: DataFrame) -> DataFrame:
     """(pos, column, confidence, reason, problem_hint) for every column."""
-    prof = column_profile(df).drop("column")
+    prof = column_profile(df, distinct="all").drop("column")
     t = _meta(df).join(F.broadcast(prof), "pos")
     u, ratio = F.col("unique"), _ratio()
     miss = F.try_divide(F.col("missing").cast("double"), F.col("rows").cast("double"))
@@ -132,7 +132,7 @@ def problem_type(df: DataFrame, target: str) -> DataFrame:
         raise ValueError(f"Target column '{target}' does not exist.")
     fields = {f.name: f.dataType for f in df.schema.fields}
     time_series = any(is_datetime(t) for t in fields.values()) and is_numeric_or_bool(fields[target])
-    prof = column_profile(df, [target])
+    prof = column_profile(df, [target], distinct="all")
     if time_series:
         return prof.select(F.lit("time_series").alias("problem_type"), F.lit(95.0).alias("confidence"),
                            F.lit(TIME_SERIES_REASON).alias("reason"), F.lit(True).alias("is_time_series"))

@@ -43,21 +43,22 @@ def _ratio() -> Column:
 
 
 def feature_groups(df: DataFrame, target: str | None = None,
-                   text_ratio: float = TEXT_RATIO) -> DataFrame:
+                   text_ratio: float = TEXT_RATIO, profile: DataFrame | None = None) -> DataFrame:
     """(column, feature_group): boolean → numeric → datetime → string; a string
     column is text when distinct/rows ≥ text_ratio, else categorical.  The target
     and nested columns are left out."""
     cols = [c for c in df.columns if c != target]
-    prof = column_profile(df, cols)
+    prof = (profile.filter(F.col("column") != F.lit(target)) if target else profile) \
+        if profile is not None else column_profile(df, cols)
     grp = _group_case(F.col("kind"), _ratio() >= text_ratio)
     return prof.select("column", grp.alias("feature_group")).filter(F.col("feature_group").isNotNull())
 
 
 def feature_types_eda(df: DataFrame, text_ratio: float = TEXT_RATIO,
-                      min_avg_len: float = 25.0) -> DataFrame:
+                      min_avg_len: float = 25.0, profile: DataFrame | None = None) -> DataFrame:
     """(column, feature_group), EDA rules: text if ratio > .70 or mean length
     (null counted as length 0) > 25."""
-    prof = column_profile(df)
+    prof = profile if profile is not None else column_profile(df)
     rule = (_ratio() > text_ratio) | (F.coalesce(F.col("avg_len0"), F.lit(0.0)) > min_avg_len)
     grp = _group_case(F.col("kind"), rule)
     return prof.select("column", grp.alias("feature_group")).filter(F.col("feature_group").isNotNull())
