@@ -54,13 +54,20 @@ class PreprocessConfig:
     outlier_method: str = "iqr"
     keep_text: bool = False
     approx_quantiles: bool = False
+    materialize: bool = True
 
 
 def preprocess(df: DataFrame, config: PreprocessConfig | None = None,
                target: str | None = None) -> tuple[DataFrame, dict]:
     """dedup → constant → high-missing → high-cardinality → groups → impute →
-    date parts → text clean → (outliers) → report.  Every decision is one small
-    job; the returned DataFrame is a lazy plan over the input."""
+    date parts → text clean → (outliers) → report.
+
+    The deduplicated rows are materialised once (``checkpoint`` to the shared
+    folder) so the later decision jobs do not repeat the dedup shuffle.  All
+    four column decisions and the feature groups come from ONE column profile
+    (per-column statistics are independent of the other columns, so applying
+    the drops in sequence to these numbers equals re-profiling after each
+    drop); imputation needs one quantile job and one mode job."""
     config = config or PreprocessConfig()
     if target is not None and target not in df.columns:
         raise ValueError(f"Target column '{target}' not found.")
@@ -70,13 +77,35 @@ def preprocess(df: DataFrame, config: PreprocessConfig | None = None,
                   "text_columns": [], "datetime_columns": [], "feature_groups": None}
     if config.remove_duplicates:
         data = C.drop_duplicates(data)
-        meta["removed_duplicates"] = None  # filled by the report job
+        if config.materialize:
+            from strata.session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(data.sparkSession)
+            data = data.checkpoint(eager=True)
+    prof = {r["column"]: r for r in P.column_profile(data).collect()}   # one row per column
+    cols = [c for c in data.columns if c != target]
     if config.drop_constant_columns:
-        data, meta["removed_constant_columns"] = C.drop_constant(data, target)
-    data, meta["removed_high_missing_columns"] = C.drop_high_missing(data, target=target)
+        meta["removed_constant_columns"] = [c for c in cols if prof[c]["is_constant"]]
+    gone = set(meta["removed_constant_columns"])
+    meta["removed_high_missing_columns"] = [
+        c for c in cols if c not in gone and prof[c]["rows"] > 0
+        and prof[c]["missing"] / prof[c]["rows"] >= C.HIGH_MISSING]
+    gone |= set(meta["removed_high_missing_columns"])
     if not config.keep_text:
-        data, meta["removed_high_cardinality_columns"] = C.drop_high_cardinality(data, target=target)
-    groups = detect_groups(data, target)
+        meta["removed_high_cardinality_columns"] = [
+            c for c in cols if c not in gone and prof[c]["kind"] == "string"
+            and (prof[c]["unique"] or 0) >= C.HIGH_CARDINALITY]
+    gone |= set(meta["removed_high_cardinality_columns"])
+    data = data.drop(*[c for c in data.columns if c in gone])
+    groups = FeatureGroups()
+    for c in data.columns:
+        if c == target:
+            continue
+        k = prof[c]["kind"]
+        if k == "string":
+            ratio = (prof[c]["unique"] or 0) / prof[c]["rows"] if prof[c]["rows"] else 0.0
+            (groups.text if ratio >= 0.70 else groups.categorical).append(c)
+        elif k in ("numeric", "boolean", "datetime"):
+            getattr(groups, k).append(c)
     meta["feature_groups"] = groups
     meta["text_columns"] = groups.text
     meta["datetime_columns"] = groups.datetime
