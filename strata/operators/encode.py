@@ -35,37 +35,42 @@ def _distinct_estimates(df: DataFrame, columns) -> dict:
     return {c: row[f"a{i}"] for i, c in enumerate(columns)}
 
 
-def _encode_counts(df: DataFrame, columns, suffix: str, null_as_value: bool,
-                   out_type: str, broadcast_limit: int) -> tuple[DataFrame, list[str]]:
-    if not columns:
+def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool = True,
+                  broadcast_limit: int = BROADCAST_DISTINCT_LIMIT) -> tuple[DataFrame, list[str]]:
+    """Value counts joined back to the rows, one grouped count and one join per
+    column serving both encodings: ``c_frequency`` (double, NULL is a value of
+    its own) and ``c_count`` (long, NULL for a NULL value).  The count table is
+    broadcast only when the HyperLogLog estimate of its size (+20 %) is within
+    ``broadcast_limit``; otherwise a shuffle join (AQE splits a hot key)."""
+    if not columns or not (frequency or count):
         return df, []
     est = _distinct_estimates(df, columns)
     out, created = df, []
-    for c in columns:
-        name = f"{c}_{suffix}"
-        key = f"__k_{len(created)}"
-        counts = df.groupBy(col(c).alias(key)).agg(F.count(F.lit(1)).alias(name))
-        if not null_as_value:
-            counts = counts.filter(F.col(key).isNotNull())
-        # +1 for the null group; HLL error margin 20 %
+    for j, c in enumerate(columns):
+        key, n = f"__k_{j}", f"__n_{j}"
+        counts = df.groupBy(col(c).alias(key)).agg(F.count(F.lit(1)).alias(n))
         if est[c] * 1.2 + 1 <= broadcast_limit:
             counts = F.broadcast(counts)
-        cond = col(c).eqNullSafe(F.col(key)) if null_as_value else (col(c) == F.col(key))
-        out = out.join(counts, cond, "left").drop(key)
-        out = out.withColumn(name, F.col(name).cast(out_type))
-        created.append(name)
+        out = out.join(counts, col(c).eqNullSafe(F.col(key)), "left").drop(key)
+        new = []
+        if frequency:
+            new.append(F.col(n).cast("double").alias(f"{c}_frequency"))
+        if count:
+            new.append(F.when(col(c).isNotNull(), F.col(n)).cast("long").alias(f"{c}_count"))
+        out = out.select(*[F.col(f"`{x}`") for x in out.columns if x != n], *new)
+        created += [f"{c}_frequency"] * frequency + [f"{c}_count"] * count
     return out, created
 
 
 def frequency_encode(df: DataFrame, columns, broadcast_limit: int = BROADCAST_DISTINCT_LIMIT):
     """``c_frequency``: number of rows holding the row's value (double); NULL is
     a value of its own."""
-    return _encode_counts(df, columns, "frequency", True, "double", broadcast_limit)
+    return encode_counts(df, columns, frequency=True, count=False, broadcast_limit=broadcast_limit)
 
 
 def count_encode(df: DataFrame, columns, broadcast_limit: int = BROADCAST_DISTINCT_LIMIT):
     """``c_count``: as frequency but a NULL value gets NULL (long)."""
-    return _encode_counts(df, columns, "count", False, "long", broadcast_limit)
+    return encode_counts(df, columns, frequency=False, count=True, broadcast_limit=broadcast_limit)
 
 
 # ---------------------------------------------------------------------------

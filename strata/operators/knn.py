@@ -40,15 +40,24 @@ class KNNModel:
         self.path, self.k, self.problem, self.dim = path, k, problem, dim
         self.labels, self.features_col, self.label_col, self.id_col = labels, features_col, label_col, id_col
 
-    def transform(self, df: DataFrame, query_id: str, prediction_col: str = "prediction") -> DataFrame:
+    def transform(self, df: DataFrame, query_id: str | None = None,
+                  prediction_col: str = "prediction") -> DataFrame:
+        """The input rows (vector columns left out) + ``prediction`` (+
+        ``probability`` as an array and ``predicted_label`` for classifiers).
+        Rows pass through the scoring task, so no join back is needed."""
         path, k, dim = self.path, self.k, self.dim
         problem, labels = self.problem, self.labels
-        qdf = df.select(F.col(query_id).alias("__qid"), vector_to_array(F.col(self.features_col), "float64")
-                        .alias("__x") if _is_vector(df, self.features_col) else
-                        F.col(self.features_col).cast("array<double>").alias("__x"))
-        out_schema = f"__qid {df.schema[query_id].dataType.simpleString()}, {prediction_col} double"
+        from pyspark.ml.linalg import VectorUDT
+        keep = [f for f in df.schema.fields if not isinstance(f.dataType, VectorUDT)
+                and f.name not in ("__x", prediction_col, "probability", "predicted_label")]
+        x = (vector_to_array(F.col(self.features_col), "float64") if _is_vector(df, self.features_col)
+             else F.col(self.features_col).cast("array<double>"))
+        qdf = df.select(*[F.col(f"`{f.name}`") for f in keep], x.alias("__x"))
+        out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
+        out_schema = (out_schema + ", " if out_schema else "") + f"`{prediction_col}` double"
         if problem == "classification":
             out_schema += ", probability array<double>"
+        keep_names = [f.name for f in keep]
 
         def score(batches):
             files = sorted(glob.glob(os.path.join(_local_path(path), "*.parquet")))
@@ -67,31 +76,26 @@ class KNNModel:
                     xt = np.stack(blk["x"].to_numpy()).astype("float64").reshape(len(blk), dim)
                     ids = blk["id"].to_numpy(dtype=np.int64)
                     ys = blk["y"].to_numpy(dtype="float64")
-                    d = qn + (xt * xt).sum(axis=1)[None, :] - 2.0 * xq @ xt.T
-                    d = np.maximum(d, 0.0)
+                    d = np.maximum(qn + (xt * xt).sum(axis=1)[None, :] - 2.0 * xq @ xt.T, 0.0)
                     cd = np.concatenate([best_d, d], axis=1)
                     ci = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
                     cy = np.concatenate([best_y, np.broadcast_to(ys, d.shape)], axis=1)
                     order = np.lexsort((ci, cd), axis=1)[:, :k]
                     rows = np.arange(len(pdf))[:, None]
                     best_d, best_i, best_y = cd[rows, order], ci[rows, order], cy[rows, order]
+                res = pdf[keep_names].copy()
                 if problem == "classification":
-                    nlab = len(labels)
-                    votes = np.zeros((len(pdf), nlab))
+                    votes = np.zeros((len(pdf), len(labels)))
                     for j in range(k):
                         valid = np.isfinite(best_d[:, j])
-                        idx = best_y[:, j].astype(int)
-                        votes[np.arange(len(pdf))[valid], idx[valid]] += 1
-                    pred = votes.argmax(axis=1).astype("float64")  # first max = smallest label index
-                    prob = votes / np.maximum(votes.sum(axis=1, keepdims=True), 1)
-                    yield pd.DataFrame({"__qid": pdf["__qid"].to_numpy(), prediction_col: pred,
-                                        "probability": list(prob)})
+                        votes[np.arange(len(pdf))[valid], best_y[valid, j].astype(int)] += 1
+                    res[prediction_col] = votes.argmax(axis=1).astype("float64")  # ties → smallest label
+                    res["probability"] = list(votes / np.maximum(votes.sum(axis=1, keepdims=True), 1))
                 else:
-                    yield pd.DataFrame({"__qid": pdf["__qid"].to_numpy(),
-                                        prediction_col: np.nanmean(np.where(np.isfinite(best_d), best_y, np.nan),
-                                                                   axis=1)})
+                    res[prediction_col] = np.nanmean(np.where(np.isfinite(best_d), best_y, np.nan), axis=1)
+                yield res
 
-        scored = qdf.mapInPandas(score, out_schema).withColumnRenamed("__qid", query_id)
+        scored = qdf.mapInPandas(score, out_schema)
         if problem == "classification":
             back = F.create_map(*[v for i, lab in enumerate(labels) for v in (F.lit(float(i)), F.lit(lab))])
             scored = scored.withColumn("predicted_label", back[F.col(prediction_col)])

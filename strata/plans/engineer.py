@@ -126,10 +126,13 @@ def engineer_features(df: DataFrame, config: EngineerConfig | None = None,
     if strings:
         data, created = FE.text_length_features(data, strings)
         rep.aggregate_features += created
-        data, created = E.frequency_encode(data, strings)
-        rep.aggregate_features += created
-        data, created = E.count_encode(data, strings)
-        rep.aggregate_features += created
+        data, created = E.encode_counts(data, strings, frequency=True, count=True)
+        # report order as generated: all frequency columns, then all count columns
+        rep.aggregate_features += [n for n in created if n.endswith("_frequency")]
+        rep.aggregate_features += [n for n in created if n.endswith("_count")]
+        order = [c for c in data.columns if c not in created] + \
+            [f"{c}_frequency" for c in strings] + [f"{c}_count" for c in strings]
+        data = data.select(*[col(c) for c in order])
     data, removed = validate_engineered(data)
     rep.removed_features += removed
     return data, rep

@@ -73,7 +73,7 @@ def test_knn_matches_brute_force(spark):
                                   "id long, x array<double>, y int")
     test = spark.createDataFrame([(100 + i, [float(v) for v in r]) for i, r in enumerate(te)], "qid long, x array<double>")
     model = fit_knn(train, "x", "y", "id", k=5)
-    got = {r["qid"]: r["predicted_label"] for r in model.transform(test, "qid").collect()}
+    got = {r["qid"]: r["predicted_label"] for r in model.transform(test).collect()}
     for i, q in enumerate(te):
         d = ((tr - q) ** 2).sum(axis=1)
         nn = np.lexsort((np.arange(60), d))[:5]
