@@ -11,8 +11,6 @@ query partitions.
 
 from __future__ import annotations
 
-import glob
-import os
 
 import numpy as np
 import pandas as pd
@@ -36,8 +34,9 @@ class KNNModel:
     vote shares.  Regression: mean of the k labels."""
 
     def __init__(self, path: str, k: int, problem: str, dim: int, labels: list | None,
-                 features_col: str, label_col: str, id_col: str):
+                 features_col: str, label_col: str, id_col: str, files: list | None = None):
         self.path, self.k, self.problem, self.dim = path, k, problem, dim
+        self.files = files or []
         self.labels, self.features_col, self.label_col, self.id_col = labels, features_col, label_col, id_col
 
     def transform(self, df: DataFrame, query_id: str | None = None,
@@ -45,8 +44,8 @@ class KNNModel:
         """The input rows (vector columns left out) + ``prediction`` (+
         ``probability`` as an array and ``predicted_label`` for classifiers).
         Rows pass through the scoring task, so no join back is needed."""
-        path, k, dim = self.path, self.k, self.dim
-        problem, labels = self.problem, self.labels
+        k, dim = self.k, self.dim
+        problem, labels, files = self.problem, self.labels, list(self.files)
         from pyspark.ml.linalg import VectorUDT
         keep = [f for f in df.schema.fields if not isinstance(f.dataType, VectorUDT)
                 and f.name not in ("__x", prediction_col, "probability", "predicted_label")]
@@ -60,7 +59,6 @@ class KNNModel:
         keep_names = [f.name for f in keep]
 
         def score(batches):
-            files = sorted(glob.glob(os.path.join(_local_path(path), "*.parquet")))
             for pdf in batches:
                 if pdf.empty:
                     continue
@@ -70,7 +68,7 @@ class KNNModel:
                 best_y = np.zeros((len(pdf), k))
                 qn = (xq * xq).sum(axis=1)[:, None]
                 for f in files:
-                    blk = pd.read_parquet(f)
+                    blk = _read_block(f)
                     if blk.empty:
                         continue
                     xt = np.stack(blk["x"].to_numpy()).astype("float64").reshape(len(blk), dim)
@@ -102,6 +100,15 @@ class KNNModel:
         return scored
 
 
+def _read_block(uri: str) -> pd.DataFrame:
+    """Read one training block from shared storage inside a task (any
+    filesystem pyarrow resolves from the URI: local, HDFS, object stores)."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+    fs, p = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + _local_path(uri))
+    return pq.read_table(p, filesystem=fs).to_pandas()
+
+
 def _is_vector(df: DataFrame, c: str) -> bool:
     from pyspark.ml.linalg import VectorUDT
     return isinstance(df.schema[c].dataType, VectorUDT)
@@ -125,6 +132,8 @@ def fit_knn(train: DataFrame, features_col: str, label_col: str, id_col: str, k:
     first = rows.select(F.size("x").alias("d")).first()
     dim = int(first["d"]) if first else 0
     blocks = max(1, -(-n // block_rows))
-    path = scratch_path(train.sparkSession, "knn-train")
+    spark = train.sparkSession
+    path = scratch_path(spark, "knn-train")
     rows.repartition(blocks).write.mode("overwrite").parquet(path)
-    return KNNModel(path, k, problem, dim, labels, features_col, label_col, id_col)
+    files = sorted(spark.read.parquet(path).inputFiles())   # one entry per block
+    return KNNModel(path, k, problem, dim, labels, features_col, label_col, id_col, files)
