@@ -302,11 +302,11 @@ class AdaBoostClassifierLearner:
             alpha = self.lr * (math.log((1 - err) / err) + math.log(k - 1))
             models.append(tree)
             alphas.append(alpha)
-            upd = pred.select(features_col, label_col,
-                              (F.col("__w") * F.when(F.col("__miss"), F.lit(math.exp(alpha))).otherwise(1.0))
-                              .alias("__w"))
-            total = upd.agg(F.sum("__w")).first()[0]
-            data = upd.withColumn("__w", F.col("__w") / F.lit(total))
+            # the new total follows from the two masses already aggregated
+            total = (st["t"] - (st["e"] or 0.0)) + (st["e"] or 0.0) * math.exp(alpha)
+            data = pred.select(features_col, label_col,
+                               (F.col("__w") * F.when(F.col("__miss"), F.lit(math.exp(alpha))).otherwise(1.0)
+                                / F.lit(total)).alias("__w"))
             if (m + 1) % self.ck == 0:
                 data = data.checkpoint(eager=True)
         return _AdaFitted(models, alphas, k)
