@@ -204,10 +204,30 @@ def outlier_flags(df: DataFrame, columns: list[str], method: str = "iqr", **kw)
                             .alias(f"{c}_outlier") for c in columns])
 
 
+def _iqr_keep(name: str, dt, lo: float, hi: float) -> Column:
+    """Keep-predicate for fences [lo, hi] written on the raw column so each
+    conjunct can reach the parquet reader as a pushed filter.  NaN sorts above
+    every number in Spark, so only the upper fence needs the NaN escape
+    (NaN is a missing value, never an outlier)."""
+    import math
+    c = col(name)
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        low = (c >= F.lit(int(math.ceil(lo)))) | c.isNull()
+        high = (c <= F.lit(int(math.floor(hi)))) | c.isNull()
+        return low & high
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        low = (c >= F.lit(float(lo))) | c.isNull()
+        high = (c <= F.lit(float(hi))) | c.isNull() | F.isnan(c)
+        return low & high
+    return ~outlier_mask(as_double(name, dt), (lo, hi), "iqr")
+
+
 def remove_outliers(df: DataFrame, columns: list[str] | None = None, method: str = "iqr",
                     **kw) -> DataFrame:
     """Keep rows that are an outlier in no numeric column; bounds come from the
-    unfiltered table and enter the plan as literals (pushed to the scan)."""
+    unfiltered table and enter the plan as literals.  IQR fences are written
+    on the raw columns, so the lower-fence conjuncts (and both fences of
+    integer columns) are pushed to the parquet scan."""
     if columns is None:
         columns = schema_kinds(df).numeric
     if not columns:
@@ -216,7 +236,12 @@ def remove_outliers(df: DataFrame, columns: list[str] | None = None, method: str
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     keep = F.lit(True)
     for c in columns:
-        keep = keep & ~outlier_mask(as_double(c, dtypes[c]), bounds[c], method)
+        if bounds[c] is None:
+            continue
+        if method == "zscore":
+            keep = keep & ~outlier_mask(as_double(c, dtypes[c]), bounds[c], method)
+        else:
+            keep = keep & _iqr_keep(c, dtypes[c], *bounds[c])
     return df.filter(keep)
 
 
