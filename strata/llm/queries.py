@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +95,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@register("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit_toxicity(docs, labels, learn=~held_out)
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.pii import mask_pii
+
+    key = os.environ.get("STRATA_PII_KEY", "demonstration key, set your own").encode()
+    return mask_pii(table(spark, sf_dir, "documents"), key)
