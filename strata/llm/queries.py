@@ -113,3 +113,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = os.environ.get("STRATA_PII_KEY", "demonstration key, set your own").encode()
     return mask_pii(table(spark, sf_dir, "documents"), key)
+
+
+@register("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs))
