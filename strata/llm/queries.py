@@ -121,3 +121,17 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs))
+
+
+@register("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.pieces import decode, encode, load_vocabulary
+
+    vocabulary = load_vocabulary()
+    docs = table(spark, sf_dir, "documents")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    encoded = encode(docs.withColumn("text_sha256", sha), vocabulary, carry=("text_sha256",))
+    back = decode(encoded, vocabulary, text_col="decoded")
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "text_sha256",
+                       (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
