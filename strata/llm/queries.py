@@ -144,3 +144,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_lm_scoring")
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.lm import score_lm
+
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    out = score_lm(table(spark, sf_dir, "documents"), learn=remainder != 2, delete=remainder == 3)
+    return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
