@@ -39,6 +39,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,14 +48,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.common import materialize
+from strata.llm.runs import mix, powers
 
 MODEL = os.environ.get("STRATA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 65_536
 _NEVER = -(1 << 62)
 _LOWEST = -1_000_000.0
 #: a run of blanks and what follows it; no piece has a blank after another character
 _SEGMENT = re.compile(r" *[^ ]+| +")
-_CACHE_WORDS, _CACHE_CHARS = 400_000, 64
+_CACHE_WORDS, _CACHE_CHARS, _BATCH_WORDS = 120_000, 48, 20_000
+#: characters whose words are learned together
+_TOGETHER = 1 << 20
+#: below every sum over a cached word
+_FAR = -(1 << 40)
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -67,6 +73,66 @@ def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
     return [(p.piece, p.score, p.type) for p in model.pieces]
 
 
+class _PieceTable:
+    """Pieces by a 64-bit hash of their characters, in an open-addressed table."""
+
+    _BITS = 18
+
+    def __init__(self, ids: dict[str, int], score: dict[str, int]):
+        pieces = list(ids)
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        total, inverse = self._sums(chars)
+        begins = np.cumsum(lengths) - lengths
+        hashes = (total[begins + lengths] - total[begins]) * inverse[begins]
+        if len(np.unique(hashes)) != len(pieces):
+            raise ValueError("pieces collide")
+        self.key = np.zeros(1 << self._BITS, np.uint64)
+        self.id = np.full(1 << self._BITS, -1, np.int32)
+        self.score = np.full(1 << self._BITS, _FAR, np.int64)
+        for h, piece in zip(hashes.tolist(), pieces):
+            slot = self._slot(h)
+            while self.id[slot] >= 0:
+                slot = (slot + 1) & ((1 << self._BITS) - 1)
+            self.key[slot], self.id[slot], self.score[slot] = h, ids[piece], score[piece]
+
+    def _slot(self, h):
+        if isinstance(h, int):
+            return (h * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - self._BITS)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._BITS)).astype(np.int64)
+
+    @staticmethod
+    def _sums(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power, inverse = powers(len(chars) + 1)
+        value = mix(chars.astype(np.uint64) + np.uint64(1)) * power[:len(chars)]
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)]), inverse
+
+    def match(self, chars: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids (-1: none) of the pieces of every length at every character of words of falling length."""
+        ends = np.cumsum(lengths)
+        n = len(chars)
+        total, inverse = self._sums(chars)
+        score = np.full((span, n), _FAR, np.int64)
+        ids = np.full((span, n), -1, np.int32)
+        for k in range(1, min(span, n) + 1):
+            words = int(np.searchsorted(-lengths, -k, "right"))  # those of k characters or more
+            if not words:
+                break
+            m = int(ends[words - 1]) - k + 1
+            h = (total[k:m + k] - total[:m]) * inverse[:m]
+            slot = self._slot(h)
+            open_ = np.arange(m)
+            while len(open_):
+                at = slot[open_]
+                full = self.id[at] >= 0
+                hit = full & (self.key[at] == h[open_])
+                where = open_[hit]
+                score[k - 1, where], ids[k - 1, where] = self.score[at[hit]], self.id[at[hit]]
+                open_ = open_[full & ~hit]
+                slot[open_] = (slot[open_] + 1) & ((1 << self._BITS) - 1)
+        return score, ids
+
+
 class Lattice:
     """The vocabulary as exact integer scores, and best paths through one text."""
 
@@ -95,7 +161,11 @@ class Lattice:
         self.byte_id = [byte_id[b] for b in range(256)]
         self.unknown = round(lowest - 10)
         self.span = max(map(len, self.ids))
+        # paths of recent words, and of those before them
         self._words: dict[str, tuple[int, bytes]] = {}
+        self._old: dict[str, tuple[int, bytes]] = {}
+        self._table = _PieceTable(self.ids, self.score)
+        self._ascii = np.array(self.byte_id[:128], np.int32)
 
     def _edges(self, text: str, end: int, first: int):
         """(start, score) of every piece that ends at ``end`` and starts at or after ``first``."""
@@ -144,16 +214,80 @@ class Lattice:
             back = self.forward(text, best, 0)
             known = best[-1], self.spell(text, self._trace(back, len(text), 0))
             if len(text) <= _CACHE_CHARS:
-                if len(self._words) >= _CACHE_WORDS:
-                    self._words.clear()
                 self._words[text] = known
         return known
 
+    def learn(self, words: set[str]) -> None:
+        """Put the paths of ``words`` into the cache, a batch of them per array operation."""
+        if len(self._words) > _CACHE_WORDS:
+            self._old, self._words = self._words, {}
+        new = []
+        for w in words:
+            if w not in self._words and len(w) <= _CACHE_CHARS:
+                known = self._old.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self._words[w] = known
+        new.sort(key=len, reverse=True)
+        for at in range(0, len(new), _BATCH_WORDS):
+            self._learn(new[at:at + _BATCH_WORDS])
+
+    def _learn(self, words: list[str]) -> None:
+        """Best paths of words in order of falling length: one step per end node and piece length."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(lengths) - lengths
+        score, ids = self._table.match(chars, lengths, self.span)
+        single = ids[0] < 0  # characters outside the vocabulary
+        score[0][single] = self.unknown
+        ids[0][single] = np.where(chars[single] < 128, self._ascii[np.minimum(chars[single], 127)], -1)
+        longest = int(lengths[0])
+        best = np.full((longest + 1, len(words)), _FAR, np.int64)
+        best[0] = 0
+        back = np.zeros((longest + 1, len(words)), np.int8)
+        for t in range(1, longest + 1):
+            live = int(np.searchsorted(-lengths, -t, "right"))
+            top, arg, at = best[t, :live], back[t, :live], begins[:live] + t
+            for k in range(min(self.span, t), 0, -1):  # longest piece first: it wins ties
+                total = best[t - k, :live] + score[k - 1][at - k]
+                better = total > top
+                top[better] = total[better]
+                arg[better] = k
+        node, rows, found = lengths.copy(), np.arange(len(words)), []
+        while len(rows):
+            step = back[node[rows], rows]
+            node[rows] -= step
+            found.append((rows, ids[step - 1, begins[rows] + node[rows]]))
+            rows = rows[node[rows] > 0]
+        word = np.concatenate([r for r, _ in found])[::-1]
+        piece = np.concatenate([i for _, i in found])[::-1]
+        by = np.argsort(word, kind="stable")  # from the last piece back, reversed: first piece first
+        piece, ends = piece[by].astype(np.int32), np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        spelled = set(np.unique(word[by][piece < 0]).tolist())  # their bytes are looked up one by one
+        data, top, at = piece.tobytes(), best[lengths, np.arange(len(words))].tolist(), 0
+        for i, w in enumerate(words):
+            if i in spelled:
+                self.word(w)
+            else:
+                self._words[w] = top[i], data[4 * at:4 * ends[i]]
+            at = ends[i]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, at = [], 0
+        while at < len(texts):
+            segments, chars = [], 0
+            while at < len(texts) and chars < _TOGETHER:
+                segments.append(_SEGMENT.findall(" " + texts[at]) if texts[at] else [])
+                chars += len(texts[at])
+                at += 1
+            self.learn(set(chain.from_iterable(segments)))
+            words, fresh = self._words, self.word
+            out.extend(b"".join([(words.get(w) or fresh(w))[1] for w in s]) for s in segments)
+        return out
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words, fresh = self._words, self.word
-        return b"".join([(words.get(w) or fresh(w))[1] for w in _SEGMENT.findall(" " + text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
@@ -192,7 +326,9 @@ class Lattice:
             tails = None
         else:
             first, last = cuts
-            middle = sum(self.word(w)[0] for w in _SEGMENT.findall(text[first:last]))
+            words = _SEGMENT.findall(text[first:last])
+            self.learn(set(words))
+            middle = sum(self.word(w)[0] for w in words)
             tail = [0]
             self.forward(text[last:], tail, 0)
             tails = [middle + tail[p - last] if p >= last and tail[p - last] > _NEVER else None
@@ -238,7 +374,9 @@ class Lattice:
         first, last = cuts
         back = self.forward(text[:first], best, lead)
         nodes = self._trace(back, first, lead)
-        common = self.spell(text, nodes) + b"".join([self.word(w)[1] for w in _SEGMENT.findall(text[first:last])])
+        words = _SEGMENT.findall(text[first:last])
+        self.learn(set(words))
+        common = self.spell(text, nodes) + b"".join([self.word(w)[1] for w in words])
         tail = [0]
         back = self.forward(text[last:], tail, 0)
         reach = [p >= last and tail[p - last] > _NEVER for p in leaves]
@@ -316,7 +454,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared)
         for batch in batches:
-            ids = _lists([lattice.encode(t) for t in batch.column(len(kept)).to_pylist()])
+            ids = _lists(lattice.encode_all(batch.column(len(kept)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], ids], [*kept, "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

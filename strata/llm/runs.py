@@ -95,7 +95,7 @@ _BASE = 0xD1342543DE82EF95
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers (at least) of the base and of its inverse modulo 2^64."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, _BLOCK + 65_536)
@@ -124,7 +124,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         space = _SPACE[block]
         before = np.concatenate([[True], space[:-1]])
         start, stop = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
-        power, inverse = _powers(len(block))
+        power, inverse = powers(len(block))
         total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[block] * power[:len(block)], dtype=np.uint64)])
         hashes.append(mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64)))
         starts.append(start + at)
