@@ -154,3 +154,10 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score_lm(table(spark, sf_dir, "documents"), learn=remainder != 2, delete=remainder == 3)
     return out.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
                       "train_tokens", "base_score", "score")
+
+
+@register("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
