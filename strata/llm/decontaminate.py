@@ -170,3 +170,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             .select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                     F.col("n_hit").isNotNull().alias("contaminated")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+                      shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows whose text holds a window, all columns kept."""
+    hits = contaminated_windows(docs, benchmark, id_col, text_col, item_id_col, item_text_col, window, shingle,
+                                broadcast_rows)
+    bad = materialize(hits.select(*(F.col(c).alias(c + "_h") for c in _DOC)).distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text_hash"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_id_h")) & (F.col("_text_hash") == F.col("_text_hash_h")),
+                     "left_anti").select("_row.*")

@@ -84,9 +84,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with one row of each group of identical texts, all columns kept."""
     stay = (exact_dedup(docs, id_col, text_col, keep, fan_in).where("kept")
             .select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct())
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    cols = docs.columns
-    return (docs.withColumn("_sha", sha).withColumn("_id", F.col(id_col))
-            .join(stay, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")),
-                  "left_semi")
-            .dropDuplicates(["_id", "_sha"]).select(*cols))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                       F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_sha"))
+    return (rows.join(stay, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")),
+                      "left_semi")
+            .dropDuplicates(["_id", "_sha"]).select("_row.*"))

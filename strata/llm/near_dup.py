@@ -361,6 +361,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id")))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document (the smallest id) of each component, all columns kept; rows without an id stay."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    drop = materialize(found.where(F.col(id_col) != F.col("component_id")).select(
+        F.col(id_col).alias("_drop")).distinct(), "near-copies")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"))
+    return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_row.*")
+
+
 def _merge(links: DataFrame, labels: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     x = labels.select(F.col("node").alias("x"), F.col("comp").alias("a"))

@@ -445,10 +445,14 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
     span = Lattice(vocabulary).span
     if chunk_chars < span:
         raise ValueError(f"chunk_chars must be at least {span}")
-    kinds = dict(docs.dtypes)
-    kept = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
-    cols = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    narrow = docs.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    out_cols = [id_col, *[c for c in carry if c != id_col]]
+    if "ids" in out_cols:
+        raise ValueError("a carried column is named ids")
+    # the id and the carried columns travel as one struct, so their names meet no other
+    narrow = docs.select(F.struct(*out_cols).alias("_row"),
+                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    kept = ["_row"]
+    cols = f"_row {narrow.schema['_row'].dataType.simpleString()}"
     is_long = F.char_length("_text") > chunk_chars
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +517,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
 
     joined = (traced.groupBy("_key").applyInPandas(assemble, "_key long, ids array<int>")
               .join(chunks.where("_chunk = 0").select(*kept, F.col("_key")), "_key").select(*kept, "ids"))
-    return whole.unionByName(joined)
+    return whole.unionByName(joined).select("_row.*", "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], ids_col: str = "ids",
