@@ -19,7 +19,7 @@ bucket one entry per run.  Later exact copies of a whole text are found by
 ``exact_dedup`` first and need no passes: all their windows repeat.
 
 Three jobs, each over whole texts: first digits, second digits, removal.  A task
-holds one run (about 12 MB of text and some 20 times that in arrays, more if a
+holds one run (about 6 MB of text and some 20 times that in arrays, more if a
 single document is larger) or one bucket.
 
 Windows are compared by 64-bit hashes; among n different windows a false repeat
@@ -46,7 +46,7 @@ from strata.llm.runs import (RUN_BYTES, cut, mix, pack, pack_sorted, release_shu
                              unpack_sorted)
 
 WINDOW = 50
-_BLOCK = 1 << 20
+_BLOCK = 1 << 16
 _LEAST = -(1 << 63)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -61,10 +61,16 @@ def _eight(buf: np.ndarray, offset: int, n: int) -> np.ndarray:
 
 def _hash(buf: np.ndarray, at: slice | np.ndarray, n: int, length: int) -> np.ndarray:
     """64-bit hashes of the ``length``-byte strings that start at ``at``."""
-    out = None
+    out, tmp = None, None
     for i, off in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
-        part = mix((_eight(buf, off, n)[at] ^ _ODD[i % 8]) * _ODD[(i + 3) % 8])
-        out = part if out is None else out * _ODD[0] + part
+        word = _eight(buf, off, n)[at]
+        if out is None:
+            out, tmp = word ^ _ODD[0], np.empty(len(word), np.uint64)
+        else:
+            out ^= word
+        out *= _ODD[i % 8]
+        np.right_shift(out, np.uint64(32), tmp)
+        out ^= tmp
     return mix(out)
 
 
@@ -118,10 +124,9 @@ class Run:
         last = self.ends[np.searchsorted(self.ends, self.stretch, "right")] - window + 1 if n else stop
         self.stop = np.minimum(stop, last)
         self.digit = least[self.stretch]
-        self.doc_ids = sorted_ids
-        owner = sorted_ids[np.searchsorted(self.ends, self.stretch, "right")] if n else np.zeros(0, np.int64)
+        self.owner = sorted_ids[np.searchsorted(self.ends, self.stretch, "right")] if n else np.zeros(0, np.int64)
         # distinct digits, and whether several ids of this run have them
-        by = np.argsort(self.digit, kind="stable")
+        by = np.argsort(self.digit)
         d = self.digit[by]
         first = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
         self.digits = d[first]
@@ -129,7 +134,7 @@ class Run:
         self.of_stretch = np.empty(len(by), np.int64)
         self.of_stretch[by] = group
         at = np.flatnonzero(first)
-        own = owner[by]
+        own = self.owner[by]
         self.inside = (np.maximum.reduceat(own, at) != np.minimum.reduceat(own, at)) if len(at) else np.zeros(0, bool)
 
     def second(self, shared: np.ndarray):
@@ -144,21 +149,22 @@ class Run:
         hashes = np.empty(total, np.uint64)
         for s in range(0, total, _BLOCK):
             hashes[s:s + _BLOCK] = _hash(self.buf, pos[s:s + _BLOCK], self.n + self.window, self.window)
-        owner = self.doc_ids[np.searchsorted(self.ends, pos, "right")] if total else np.zeros(0, np.int64)
-        by = np.argsort(hashes, kind="stable")  # positions are in id order, so the smallest id comes first
+        owner = np.repeat(self.owner[keep], length)
+        by = np.argsort(hashes)
         h = hashes[by]
         first = np.concatenate([[True], h[1:] != h[:-1]]) if total else np.zeros(0, bool)
-        group = np.empty(total, np.int64)
-        group[by] = np.cumsum(first) - 1
-        at = by[first]
-        return pos, owner, group, h[first], owner[at], asked[at]
+        group = np.empty(total, np.int32)
+        group[by] = np.cumsum(first, dtype=np.int32) - 1
+        at = np.flatnonzero(first)
+        least = np.minimum.reduceat(owner[by], at) if total else owner
+        return pos, owner, group, h[at], least, asked[by[at]]
 
     def removed(self, pos: np.ndarray) -> list[np.ndarray]:
         """Per ordered document the covered spans (begin, end) of windows that start at ``pos``."""
         delta = np.zeros(self.n + self.window + 1, np.int32)
-        np.add.at(delta, pos, 1)
-        np.add.at(delta, pos + self.window, -1)
-        covered = np.cumsum(delta[:self.n]) > 0
+        delta[pos] += 1  # positions are distinct
+        delta[pos + self.window] -= 1
+        covered = np.cumsum(delta[:self.n], dtype=np.int32) > 0
         edge = np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8))
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # spans of neighbouring documents can touch; windows never cross, so cut at the ends
@@ -166,10 +172,6 @@ class Run:
         split = inner[covered[inner - 1] & covered[inner]] if len(inner) else inner
         begin, end = np.sort(np.concatenate([begin, split])), np.sort(np.concatenate([end, split]))
         which = np.searchsorted(self.ends, begin, "right")
-        return [np.stack([begin[which == i] - b, end[which == i] - b], axis=1) if len(begin) else np.zeros((0, 2), int)
-                for i, b in enumerate(self.begins.tolist())] if len(self.order) < 64 else self._split(begin, end, which)
-
-    def _split(self, begin, end, which) -> list[np.ndarray]:
         spans = np.stack([begin, end], axis=1)
         bounds = np.searchsorted(which, np.arange(len(self.order) + 1))
         return [spans[a:z] - b for a, z, b in zip(bounds, bounds[1:], self.begins.tolist())]
@@ -242,6 +244,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .select(run_of("_id", runs).alias("run"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
                       F.coalesce("_id", F.lit(_LEAST)).alias("id"), F.unhex("text_sha256").alias("data")))
     copies = materialize(copies, "later-copies")
+    release_shuffles(spark)
 
     def load(table: pa.Table, info: pa.Table) -> Run:
         later = {(i, d) for k, i, d in zip(info["kind"].to_pylist(), info["id"].to_pylist(),
@@ -293,8 +296,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     info = copies
     for kind, ask in ((1, ask_first), (2, ask_second)):
-        told = grouped(info, ask, _ASK).groupBy("bucket").applyInArrow(_answers(kind), _TELL)
-        info = info.unionByName(materialize(told, "answers"))
+        info = info.unionByName(materialize(
+            grouped(info, ask, _ASK).groupBy("bucket").applyInArrow(_answers(kind), _TELL), "answers"))
         release_shuffles(spark)
     return grouped(info, remove, "_id long, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary"
                    ).withColumnRenamed("_id", id_col)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 
 import numpy as np
 import zstandard
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text in a run, on average
-RUN_BYTES = 12 << 20
+RUN_BYTES = 6 << 20
 
 
 def shared_sizes(docs: DataFrame, text_col: str, run_bytes: int = RUN_BYTES) -> int:
@@ -40,8 +41,10 @@ def run_of(id_col: str, runs: int) -> Column:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of jobs whose results are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 # -- packed columns ---------------------------------------------------------------------------
