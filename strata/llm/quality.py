@@ -123,8 +123,11 @@ def em_posteriors(patterns: dict[str, int], rounds: int = 200) -> dict[str, floa
     accused = (v == JUNK).astype(float)
     belief = np.concatenate([np.where(accused.any(axis=1), 0.1, 0.95)[:, None], accused + 1e-3], axis=1)
     belief[:, 1:] *= ((1 - belief[:, 0]) / belief[:, 1:].sum(axis=1))[:, None]
-    prior = np.full((m + 1, m, 2), 0.5)
-    prior[0, :, JUNK], prior[0, :, GOOD] = 0.1, 5.0  # labellers rarely accuse good documents
+    prior = np.empty((m + 1, m, 2))
+    prior[:, :, JUNK], prior[:, :, GOOD] = 0.1, 1.0
+    # labellers rarely accuse good documents: as if half as many more were seen that none accuses.
+    # Without it, "an odd kind of good document" explains a kind of junk that one labeller alone sees as well.
+    prior[0, :, GOOD] = 1 + weight.sum() / 2
     for j in range(m):
         prior[j + 1, j] = 10.0, 0.01  # kind j is what labeller j accuses
     for _ in range(rounds):
