@@ -16,8 +16,7 @@ TEXT_RATIO = 0.70
 BOOL_TRUE = ("true", "yes", "1")
 BOOL_FALSE = ("false", "no", "0")
 
-# Date/time layouts tried when detecting datetime strings, in order; the layout
-# of a column's first non-null sampled value is used for the whole column.
+# Date/time layouts tried for datetime strings, in order of preference on ties.
 DATETIME_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
@@ -25,8 +24,20 @@ DATETIME_FORMATS = (
     "yyyy-MM-dd",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
+    "dd/MM/yyyy",
     "dd.MM.yyyy",
     "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd HH:mm:ssXXX",
+    "MM/dd/yyyy HH:mm:ss",
+    "dd.MM.yyyy HH:mm:ss",
+    "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
 )
 
 
@@ -178,70 +189,58 @@ def tighten_types(df: DataFrame, float_tolerance: float = 5e-4) -> DataFrame:
 # datetime strings
 # ---------------------------------------------------------------------------
 
-def _first_non_null(c: Column, order: Column | None) -> Column:
-    if order is None:
-        return F.first(c, ignorenulls=True)
-    return F.min_by(c, F.when(c.isNotNull(), order))
+#: no layout prints a longer value; longer strings are not tried
+_LONGEST_DATE = 40
 
 
-def datetime_detection(df: DataFrame, sample_size: int = 1000, threshold: float = 0.80,
-                       order_by: str | list | None = None,
-                       formats=DATETIME_FORMATS) -> DataFrame:
-    """(column, format, parsed_ratio, is_datetime) for string and datetime columns.
+def _parsed(c: Column, fmt: str) -> Column:
+    return F.try_to_timestamp(F.when(F.length(c) <= _LONGEST_DATE, c), F.lit(fmt))
 
-    Looks at the first ``sample_size`` rows by ``order_by`` (a bounded
-    TakeOrderedAndProject); nulls count as failures.  The format is that of the
-    column's first non-null sampled value, as a single-format parser would.
+
+def datetime_detection(df: DataFrame, threshold: float = 0.80, formats=DATETIME_FORMATS) -> DataFrame:
+    """(column, format, parsed_ratio, unparsed, is_datetime) for string and datetime columns.
+
+    One aggregate over all rows counts, per column and layout, the values that the
+    layout parses.  A column's format is the layout that parses most of them (the
+    earlier one on ties); ``parsed_ratio`` is its share of all rows (nulls count as
+    failures) and ``unparsed`` the number of values it does not parse.
     """
     spark = df.sparkSession
     strings = [f.name for f in df.schema.fields if is_string(f.dataType)]
-    dts = [f.name for f in df.schema.fields if is_datetime(f.dataType)]
-    rows = [(c, None, 1.0, True) for c in dts]
+    rows = [(f.name, None, 1.0, 0, True) for f in df.schema.fields if is_datetime(f.dataType)]
     if strings:
-        if order_by is not None:
-            keys = [order_by] if isinstance(order_by, str) else list(order_by)
-            sample = df.orderBy(*[col(k) for k in keys]).limit(sample_size).select(
-                *[col(c) for c in strings], F.struct(*[col(k) for k in keys]).alias("__o"))
-            order = F.col("__o")
-        else:
-            sample = df.limit(sample_size).select(*[col(c) for c in strings])
-            order = None
-        # one job: per column, which formats parse the first non-null value
-        firsts = sample.agg(*[_first_non_null(col(c), order).alias(f"f{i}")
-                              for i, c in enumerate(strings)])
-        checks = []
-        for i, _ in enumerate(strings):
-            for j, fmt in enumerate(formats):
-                checks.append(F.try_to_timestamp(F.col(f"f{i}"), F.lit(fmt)).isNotNull().alias(f"p{i}_{j}"))
-        first_ok = firsts.select(*checks).first()
-        chosen = {}
+        aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(strings):
-            for j, fmt in enumerate(formats):
-                if first_ok[f"p{i}_{j}"]:
-                    chosen[c] = fmt
-                    break
-        if chosen:
-            ratios = sample.agg(*[
-                F.avg(F.try_to_timestamp(col(c), F.lit(fmt)).isNotNull().cast("double")).alias(c)
-                for c, fmt in chosen.items()]).first()
-        for c in strings:
-            if c in chosen:
-                r = float(ratios[c] or 0.0)
-                rows.append((c, chosen[c], r, r >= threshold))
+            aggs.append(F.count(col(c)).alias(f"v{i}"))
+            aggs += [F.count(_parsed(col(c), fmt)).alias(f"p{i}_{j}") for j, fmt in enumerate(formats)]
+        got = df.agg(*aggs).first()
+        for i, c in enumerate(strings):
+            counts = [got[f"p{i}_{j}"] for j in range(len(formats))]
+            best = max(range(len(formats)), key=lambda j: (counts[j], -j))
+            if counts[best]:
+                ratio = counts[best] / got["n"]
+                rows.append((c, formats[best], ratio, got[f"v{i}"] - counts[best], ratio >= threshold))
             else:
-                rows.append((c, None, 0.0, False))
-    return spark.createDataFrame(rows, "column string, format string, parsed_ratio double, is_datetime boolean")
+                rows.append((c, None, 0.0, got[f"v{i}"], False))
+    return spark.createDataFrame(
+        rows, "column string, format string, parsed_ratio double, unparsed long, is_datetime boolean")
 
 
 def detect_datetime(df: DataFrame, **kw) -> list[str]:
     return [r["column"] for r in datetime_detection(df, **kw).filter("is_datetime").collect()]
 
 
-def parse_datetime(df: DataFrame, detection: DataFrame | None = None, **kw) -> DataFrame:
-    """Convert detected datetime strings with their format; unparseable → NULL."""
+def parse_datetime(df: DataFrame, detection: DataFrame | None = None, lossy: bool = False, **kw) -> DataFrame:
+    """Convert detected datetime strings with their format.
+
+    A column of which some value does not parse stays as it is, so nothing is lost;
+    ``lossy=True`` converts it too and turns those values into NULL.  The counts of
+    such values are in ``datetime_detection``'s ``unparsed``.
+    """
     det = detection if detection is not None else datetime_detection(df, **kw)
-    formats = {r["column"]: r["format"] for r in det.filter("is_datetime AND format IS NOT NULL").collect()}
-    out = [F.try_to_timestamp(col(f.name), F.lit(formats[f.name])).alias(f.name) if f.name in formats
+    keep = "is_datetime AND format IS NOT NULL" + ("" if lossy else " AND unparsed = 0")
+    formats = {r["column"]: r["format"] for r in det.filter(keep).collect()}
+    out = [_parsed(col(f.name), formats[f.name]).alias(f.name) if f.name in formats
            else col(f.name) for f in df.schema.fields]
     return df.select(*out)
 

@@ -130,7 +130,7 @@ _TIGHT_SPARK = ["l_orderkey", "l_linenumber", "l_discount", "l_extendedprice", "
 
 
 @register("tighten_types", """
-SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(l_linenumber AS TINYINT) AS l_linenumber,
+SELECT l_orderkey, CAST(l_linenumber AS TINYINT) AS l_linenumber,
        CAST(l_discount AS FLOAT) AS l_discount, l_extendedprice, l_returnflag,
        CASE WHEN l_linenumber % 2 = 0 THEN TRUE ELSE FALSE END AS yes_no,
        CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 3 = 1 THEN TRUE ELSE FALSE END AS tf_null,
@@ -138,7 +138,9 @@ SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(l_linenumber AS TINYINT)
        CAST(CAST(l_quantity AS BIGINT) * 100000 AS INTEGER) AS big_int
 FROM lineitem""")
 def tighten_types(spark, sf):
-    return TY.tighten_types(table(spark, sf, "lineitem").selectExpr(*_TIGHT_SPARK))
+    """Narrowed columns; the key, whose width depends on the scale, is widened again for comparison."""
+    out = TY.tighten_types(table(spark, sf, "lineitem").selectExpr(*_TIGHT_SPARK))
+    return out.withColumn("l_orderkey", F.col("l_orderkey").cast("long"))
 
 
 def _dated_orders(spark, sf):
@@ -159,18 +161,23 @@ FROM orders"""
 
 
 @register("detect_datetime", f"""
-WITH s AS (SELECT * FROM ({_DATED_SQL}) ORDER BY o_orderkey LIMIT 1000)
-SELECT 'o_orderdate' AS "column", CAST(NULL AS VARCHAR) AS format, 1.0 AS parsed_ratio, TRUE AS is_datetime
-UNION ALL SELECT 'o_orderstatus', NULL, 0.0, FALSE
-UNION ALL SELECT 'o_orderpriority', NULL, 0.0, FALSE
+WITH s AS (SELECT * FROM ({_DATED_SQL}))
+SELECT 'o_orderdate' AS "column", CAST(NULL AS VARCHAR) AS format, 1.0 AS parsed_ratio, CAST(0 AS BIGINT) AS unparsed,
+  TRUE AS is_datetime
+UNION ALL SELECT 'o_orderstatus', NULL, 0.0, COUNT(*), FALSE FROM s
+UNION ALL SELECT 'o_orderpriority', NULL, 0.0, COUNT(*), FALSE FROM s
 UNION ALL SELECT 'd90', 'yyyy-MM-dd', AVG(CASE WHEN try_strptime(d90, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0.0 END),
+  COUNT(CASE WHEN d90 IS NOT NULL AND try_strptime(d90, '%Y-%m-%d') IS NULL THEN 1 END),
   AVG(CASE WHEN try_strptime(d90, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 FROM s
 UNION ALL SELECT 'd70', 'yyyy-MM-dd', AVG(CASE WHEN try_strptime(d70, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0.0 END),
+  COUNT(CASE WHEN d70 IS NOT NULL AND try_strptime(d70, '%Y-%m-%d') IS NULL THEN 1 END),
   AVG(CASE WHEN try_strptime(d70, '%Y-%m-%d') IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 FROM s
 UNION ALL SELECT 'us90', 'MM/dd/yyyy', AVG(CASE WHEN try_strptime(us90, '%m/%d/%Y') IS NOT NULL THEN 1.0 ELSE 0.0 END),
-  AVG(CASE WHEN try_strptime(us90, '%m/%d/%Y') IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 FROM s""")
+  COUNT(CASE WHEN us90 IS NOT NULL AND try_strptime(us90, '%m/%d/%Y') IS NULL THEN 1 END),
+  AVG(CASE WHEN try_strptime(us90, '%m/%d/%Y') IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.8 FROM s
+""")
 def detect_datetime(spark, sf):
-    return TY.datetime_detection(_dated_orders(spark, sf), order_by="o_orderkey")
+    return TY.datetime_detection(_dated_orders(spark, sf))
 
 
 @register("parse_datetime", f"""
@@ -178,7 +185,7 @@ SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderdate,
        try_strptime(d90, '%Y-%m-%d') AS d90, d70, try_strptime(us90, '%m/%d/%Y') AS us90
 FROM ({_DATED_SQL})""")
 def parse_datetime(spark, sf):
-    return TY.parse_datetime(_dated_orders(spark, sf), order_by="o_orderkey")
+    return TY.parse_datetime(_dated_orders(spark, sf), lossy=True)
 
 
 # --- health ------------------------------------------------------------------

@@ -28,7 +28,13 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
 ENCODINGS = ("utf-8", "iso-8859-1")
-CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "false"}
+# Cells may hold quoted newlines, so a file is read by one task (files are the unit of
+# parallelism); write many files, or parquet, where one file is too much for a task.
+CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true", "emptyValue": "", "nullValue": "",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# What a number looks like in a cell; type suffixes such as "1D" are text.
+INT_PATTERN = r"^[+-]?[0-9]+$"
+FLOAT_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf(inity)?|INF)$"
 
 
 def extension(path: str) -> str:
@@ -45,21 +51,35 @@ def validate_extension(path: str) -> str:
     raise ValueError(f"Unsupported file type '{ext}'. Supported: {', '.join(sorted(FORMATS))}.")
 
 
+def _decoder(encodings) -> str:
+    """The one encoding to read with, or "" when a file's own bytes decide."""
+    enc = [e.lower().replace("_", "-") for e in encodings]
+    return "" if enc[0] in ("utf-8", "utf8", "utf-8-sig") else enc[0].upper()
+
+
+def file_encodings(spark: SparkSession, path: str, encodings=ENCODINGS) -> dict[str, list[str]]:
+    """Files under ``path`` by the first encoding of ``encodings`` that they are valid in.
+
+    One aggregate over the raw lines checks the UTF-8 validity of every file; the
+    result has one entry per file.  ISO-8859-1 decodes any bytes, so it ends the chain.
+    """
+    fixed = _decoder(encodings)
+    if fixed:
+        return {fixed: [path]}
+    valid = (spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg(F.bool_and(F.is_valid_utf8("value")).alias("ok")))
+    bad = [r["file"] for r in valid.where("NOT ok").collect()]
+    if not bad:
+        return {"UTF-8": [path]}
+    if len(encodings) == 1:
+        raise ValueError("File is not valid UTF-8 and no fallback encoding was allowed.")
+    good = [r["file"] for r in valid.where("ok").collect()]
+    return {k: v for k, v in (("UTF-8", good), (encodings[1].upper(), bad)) if v}
+
+
 def detect_encoding(spark: SparkSession, path: str, encodings=ENCODINGS) -> str:
-    """First encoding of ``encodings`` every file under ``path`` is valid in.
-
-    UTF-8 validity is checked for all files in one job; ISO-8859-1 decodes any
-    byte sequence, so it ends the chain."""
-    enc = [e.lower() for e in encodings]
-    if enc[0] in ("utf-8", "utf8", "utf-8-sig"):
-        ok = (spark.read.text(path)
-              .agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("ok")).first()["ok"])
-        if ok:
-            return "UTF-8"
-        if len(enc) == 1:
-            raise ValueError("File is not valid UTF-8 and no fallback encoding was allowed.")
-        return enc[1].upper()
-    return enc[0].upper()
+    """The encoding of all files under ``path``; the fallback if any file needs it."""
+    return list(file_encodings(spark, path, encodings))[-1]
 
 
 def _null_na(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
@@ -67,6 +87,14 @@ def _null_na(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
                        for c in df.columns])
 
 
+def _is_long(v):
+    return v.rlike(INT_PATTERN) & v.try_cast("long").isNotNull()
+
+
+def _is_double(v):
+    return v.rlike(FLOAT_PATTERN) & v.try_cast("double").isNotNull()
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast string columns the way pandas' CSV reader would: integers (double
     when the column has a missing value), floats, literal booleans, else string.
@@ -78,8 +106,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         v = F.trim(col(c))
         present = col(c).isNotNull()
         aggs += [F.count_if(present).alias(f"p{i}"),
-                 F.count_if(present & v.try_cast("long").isNull()).alias(f"nl{i}"),
-                 F.count_if(present & v.try_cast("double").isNull()).alias(f"nd{i}"),
+                 F.count_if(present & ~_is_long(v)).alias(f"nl{i}"),
+                 F.count_if(present & ~_is_double(v)).alias(f"nd{i}"),
                  F.count_if(present & ~col(c).isin(*(TRUE_TOKENS + FALSE_TOKENS))).alias(f"nb{i}")]
     row = df.agg(*aggs).first()
     out = []
@@ -100,11 +128,17 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def scan_csv(spark: SparkSession, path: str, encodings=ENCODINGS, infer: bool = True) -> DataFrame:
-    """Header CSV: encoding fallback, pandas NA tokens nulled, types inferred.
-    An empty table raises ValueError."""
-    enc = detect_encoding(spark, path, encodings)
-    raw = spark.read.options(**CSV_OPTIONS).option("encoding", enc).option("inferSchema", "false").csv(path)
-    if not raw.columns:
+    """Header CSV: encoding per file, pandas NA tokens nulled, types inferred, cells as
+    written (blanks and quoted newlines kept).
+
+    A table without columns or rows raises ValueError.
+    """
+    reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false")
+    parts = [reader.option("encoding", enc).csv(files) for enc, files in file_encodings(spark, path, encodings).items()]
+    raw = parts[0]
+    for more in parts[1:]:
+        raw = raw.unionByName(more, allowMissingColumns=True)
+    if not raw.columns or raw.isEmpty():
         raise ValueError("Uploaded file contains no data.")
     df = _null_na(raw)
     return infer_types(df) if infer else df
@@ -124,13 +158,12 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format(fmt).load(path)
 
 
-def basic_cleaning(df: DataFrame, order_by=None) -> DataFrame:
-    """trim + dedupe names → parse datetime strings → tighten types."""
+def basic_cleaning(df: DataFrame) -> DataFrame:
+    """trim + dedupe names → parse datetime strings (columns where every value
+    parses) → tighten types."""
     from strata.operators.schema import trim_dedupe_columns
     from strata.operators.types import parse_datetime, tighten_types
-    d = trim_dedupe_columns(df)
-    d = parse_datetime(d, order_by=order_by)
-    return tighten_types(d)
+    return tighten_types(parse_datetime(trim_dedupe_columns(df)))
 
 
 def file_info(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
@@ -149,7 +182,7 @@ def file_info(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
                       F.round(F.col("mem") / F.lit(1024.0 ** 2), 2).alias("memory_mb"))
 
 
-def load_and_prepare(spark: SparkSession, path: str, order_by=None) -> tuple[DataFrame, DataFrame]:
+def load_and_prepare(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """scan → validate (ValueError with the issues joined) → basic cleaning →
     (table, file information)."""
     from strata.operators.schema import validate_dataset
@@ -157,5 +190,5 @@ def load_and_prepare(spark: SparkSession, path: str, order_by=None) -> tuple[Dat
     issues = [r["issue"] for r in validate_dataset(df).orderBy("seq").collect()]
     if issues:
         raise ValueError(" ".join(issues))
-    clean = basic_cleaning(df, order_by=order_by)
+    clean = basic_cleaning(df)
     return clean, file_info(spark, path, clean)

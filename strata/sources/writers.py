@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from strata.sources.readers import CSV_OPTIONS, extension
 
 WRITE_FORMATS = {".csv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
-CSV_WRITE_OPTIONS = dict(CSV_OPTIONS, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS",
+# a null is an empty cell, an empty string a quoted one; blanks at the ends of a cell stay
+CSV_WRITE_OPTIONS = dict(CSV_OPTIONS, emptyValue='""', nullValue="", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS",
                          timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", dateFormat="yyyy-MM-dd")
 
 

@@ -19,13 +19,34 @@ def test_float_not_narrowed_when_values_move(spark):
 def test_datetime_detection_threshold(spark):
     data = [(i, "2020-01-%02d" % (i % 28 + 1) if i % 10 < 8 else "junk") for i in range(100)]
     df = spark.createDataFrame(data, "k int, d string")
-    det = {r["column"]: r for r in TY.datetime_detection(df, order_by="k").collect()}
+    det = {r["column"]: r for r in TY.datetime_detection(df).collect()}
     assert det["d"]["format"] == "yyyy-MM-dd" and det["d"]["parsed_ratio"] == 0.8 and det["d"]["is_datetime"]
-    parsed = TY.parse_datetime(df, order_by="k")
+    assert det["d"]["unparsed"] == 20
+    assert TY.parse_datetime(df).schema["d"].dataType.simpleString() == "string"
+    parsed = TY.parse_datetime(df, lossy=True)
     assert parsed.schema["d"].dataType.simpleString() == "timestamp"
     assert parsed.where("d IS NULL").count() == 20
 
 
+def test_dates_after_a_long_prefix_are_not_lost(spark):
+    data = [(i, "2020-01-%02d" % (i % 28 + 1) if i < 1000 else "03.%02d.2021" % (i % 12 + 1)) for i in range(5000)]
+    df = spark.createDataFrame(data, "k int, d string")
+    assert TY.parse_datetime(df).where("d IS NOT NULL").count() == 5000
+    assert {r["format"] for r in TY.datetime_detection(df).collect()} == {"dd.MM.yyyy"}
+
+
+def test_date_layouts(spark):
+    values = ["2021-03-04T05:06:07Z", "2021-03-04T05:06:07.123+02:00", "4 Mar 2021", "March 4, 2021", "25/12/2021",
+              "12/25/2021", "2021-03-04 05:06:07.123"]
+    for v in values:
+        df = spark.createDataFrame([(v,)], "d string")
+        out = TY.parse_datetime(df)
+        assert out.schema["d"].dataType.simpleString() == "timestamp", v
+        assert out.first()[0].year == 2021
+    long = spark.createDataFrame([("x" * 100_000,), (None,)], "d string")
+    assert TY.parse_datetime(long).schema["d"].dataType.simpleString() == "string"
+
+
 def test_feature_groups_text_ratio(spark):
     df = spark.createDataFrame([(str(i), str(i % 2), i, True) for i in range(10)],
                                "t string, c string, n int, b boolean")
