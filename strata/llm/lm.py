@@ -15,7 +15,7 @@ likelihood of that part under the counts of the rest.  Scores use all counts.
    whose size does not depend on the corpus, is all that EM needs.
 3. Every run scores its documents with the answers to its own question.
 
-A task holds one run (about 24 MB of text) or one bucket; a word that makes up a
+A task holds one run (about 8 MB of text) or one bucket; a word that makes up a
 third of the corpus is one entry per run.
 
 Tokens are what ASCII white space separates, A-Z lower-cased, then one end token;
@@ -38,7 +38,7 @@ from strata.llm.common import materialize
 from strata.llm.runs import (cut, mix, pack, pack_sorted, release_shuffles, run_of, shared_sizes, unpack,
                              unpack_sorted, word_hashes)
 
-RUN_BYTES = 24 << 20
+RUN_BYTES = 8 << 20
 COUNTED, DELETED, OTHER = 0, 1, 2
 _END = np.uint64(0x5851F42D4C957F2D)
 _ONE = np.uint64(1)
