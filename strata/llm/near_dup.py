@@ -23,7 +23,7 @@ T = ceil(n * percent / 100) of them with every text it links to.
    sorted array.
 
 Components are contracted by random priorities in about log(n) small joins; they
-stay DataFrames throughout.  A task holds one run (about 12 MB of text), one
+stay DataFrames throughout.  A task holds one run (about 6 MB of text), one
 bucket, or a pair of texts.
 
 Defined results: null and empty texts have no shingles and link with nothing; a
