@@ -48,7 +48,7 @@ def box_stats(df: DataFrame, column: str, factor: float = 1.5, approx: bool = Fa
     values inside the fences), n_outliers — two aggregate jobs."""
     from strata.operators.quantiles import quantiles
     v = as_double(column, df.schema[column].dataType)
-    qs = quantiles(df, [column], [0.25, 0.5, 0.75], "approx" if approx else "auto")[column]
+    qs = quantiles(df, [column], [0.25, 0.5, 0.75], "approx" if approx else "exact")[column]
     if qs is None:
         return df.sparkSession.createDataFrame(
             [], "q1 double, median double, q3 double, iqr double, lower_whisker double, "

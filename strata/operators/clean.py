@@ -93,7 +93,7 @@ def fill_plan(df: DataFrame, numeric: list[str], categorical: list[str], boolean
         mode_cols += list(numeric)
     elif numeric and numeric_strategy == "median":
         from strata.operators.quantiles import quantiles
-        qs = quantiles(df, list(numeric), [0.5], "approx" if approx else "auto")
+        qs = quantiles(df, list(numeric), [0.5], "approx" if approx else "exact")
         plan.numeric = {c: (qs[c][0] if qs.get(c) else None) for c in numeric}
     elif numeric:
         row = df.agg(*_numeric_fill_aggs(numeric, dtypes, numeric_strategy, approx)).first()
@@ -170,7 +170,7 @@ def outlier_bounds(df: DataFrame, columns: list[str], method: str = "iqr",
             F.stddev_samp(as_double(c, dtypes[c])).alias(f"s{i}"))]).first()
     else:
         from strata.operators.quantiles import quantiles
-        qs = quantiles(df, list(columns), [0.25, 0.75], "approx" if approx else "auto")
+        qs = quantiles(df, list(columns), [0.25, 0.75], "approx" if approx else "exact")
     for i, c in enumerate(columns):
         if method == "zscore":
             m, s = row[f"m{i}"], row[f"s{i}"]

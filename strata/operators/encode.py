@@ -218,7 +218,7 @@ class ColumnStatsEstimator(Estimator, _StatsParams, DefaultParamsReadable, Defau
             aggs, qs = [F.lit(1).alias("__one")], {}
             if m in ("median", "robust"):
                 from strata.operators.quantiles import quantiles
-                qs = quantiles(dataset, list(ins), [0.25, 0.5, 0.75], "approx" if approx else "auto")
+                qs = quantiles(dataset, list(ins), [0.25, 0.5, 0.75], "approx" if approx else "exact")
             for i, c in enumerate(ins):
                 v = as_double(c, dtypes[c])
                 if m in ("median", "robust"):

@@ -16,32 +16,32 @@ from strata.functions.columns import col
 from strata.operators.ordered import neighbours, running_sums
 
 
-def _labels(df: DataFrame, actual: str, predicted: str) -> list:
-    """Sorted union of actual and predicted labels (k values: a model output size)."""
-    u = df.select(col(actual).cast("string").alias("l")).union(
-        df.select(col(predicted).cast("string").alias("l"))).distinct()
-    return sorted(r["l"] for r in u.collect())
+def confusion_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """(actual, predicted, n) for the pairs that occur; labels are compared as strings."""
+    return df.groupBy(col(actual).cast("string").alias("actual"), col(predicted).cast("string").alias("predicted")) \
+        .agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(actual, predicted, n) for every pair of labels, zeros included; labels
-    are compared as strings and ordered as sklearn's sorted union."""
-    labels = _labels(df, actual, predicted)
-    counts = df.groupBy(col(actual).cast("string").alias("actual"),
-                        col(predicted).cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    grid = spark.createDataFrame([(a, p) for a in labels for p in labels], "actual string, predicted string")
-    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
-            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    are compared as strings.  The zeros are added by the cluster from the list of
+    labels, which is as long as the model has classes."""
+    counts = confusion_counts(df, actual, predicted)
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).agg(F.collect_set("l").alias("ls"))
+    zeros = labels.select(F.explode("ls").alias("actual"), "ls").select(
+        "actual", F.explode("ls").alias("predicted"), F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(zeros).groupBy("actual", "predicted").agg(F.sum("n").alias("n"))
 
 
 def per_class(cm: DataFrame) -> DataFrame:
     """(label, tp, predicted_n, support, precision, recall, f1) from confusion counts."""
-    tp = cm.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"),
-                                                                 F.col("n").alias("tp"))
-    pred = cm.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted_n"))
-    sup = cm.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"))
-    j = tp.join(pred, "label").join(sup, "label")
+    same = F.col("actual") == F.col("predicted")
+    sides = cm.select(F.explode(F.array(
+        F.struct(F.col("actual").alias("label"), F.when(same, F.col("n")).otherwise(0).alias("tp"),
+                 F.lit(0).cast("long").alias("predicted_n"), F.col("n").alias("support")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("tp"),
+                 F.col("n").alias("predicted_n"), F.lit(0).cast("long").alias("support")))).alias("s")).select("s.*")
+    j = sides.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted_n", "support")])
     p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("predicted_n").cast("double")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support").cast("double")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * p * r, F.nullif(p + r, F.lit(0.0))), F.lit(0.0))
@@ -52,7 +52,7 @@ def per_class(cm: DataFrame) -> DataFrame:
 def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: accuracy and support-weighted precision, recall, F1 (zero
     division → 0)."""
-    pc = per_class(confusion_matrix(df, actual, predicted))
+    pc = per_class(confusion_counts(df, actual, predicted))
     n = F.sum("support").cast("double")
     return pc.agg(
         (F.sum("tp") / n).alias("accuracy"),
@@ -64,7 +64,7 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
 def classification_report(df: DataFrame, actual: str, predicted: str, digits: int = 4) -> DataFrame:
     """(label, precision, recall, f1_score, support): one row per class, then
     'accuracy' (accuracy in every column), 'macro avg', 'weighted avg'; rounded."""
-    pc = per_class(confusion_matrix(df, actual, predicted)).cache()
+    pc = per_class(confusion_counts(df, actual, predicted))
     rows = pc.select("label", "precision", "recall", F.col("f1").alias("f1_score"),
                      F.col("support").cast("double").alias("support"))
     n = F.sum("support").cast("double")
@@ -144,14 +144,14 @@ def roc_points(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
     tot = rs.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     pts = rs.select(F.col("_rank"), F.col("score").alias("threshold"),
                     F.col("cum_neg").cast("double").alias("fps"), F.col("cum_pos").cast("double").alias("tps"))
-    origin = df.sparkSession.createDataFrame([(0, float("inf"), 0.0, 0.0)],
-                                             "_rank long, threshold double, fps double, tps double")
-    allp = origin.unionByName(pts)
-    nb = neighbours(allp, "_rank", ["fps", "tps"])
+    # interior collinear points go first, then the origin is put in front: the highest threshold stays
+    nb = neighbours(pts, "_rank", ["fps", "tps"])
     d2f = F.col("prev_fps") - 2 * F.col("fps") + F.col("next_fps")
     d2t = F.col("prev_tps") - 2 * F.col("tps") + F.col("next_tps")
     keep = F.col("prev_fps").isNull() | F.col("next_fps").isNull() | (d2f != 0) | (d2t != 0)
-    kept = nb.filter(keep)
+    origin = df.sparkSession.createDataFrame([(0, float("inf"), 0.0, 0.0)],
+                                             "_rank long, threshold double, fps double, tps double")
+    kept = nb.filter(keep).select(*origin.columns).unionByName(origin)
     # totals enter as a one-row aggregate joined by a constant key (1 row)
     tot = tot.select(F.lit(1).alias("__k"), "P", "N")
     return (kept.withColumn("__k", F.lit(1)).join(F.broadcast(tot), "__k")
@@ -178,13 +178,17 @@ def pr_points(df: DataFrame, actual: str, score: str, positive=1) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: MAE, MSE, RMSE, R2 (1 − SS_res / SS_tot)."""
+    """One row: MAE, MSE, RMSE, R2 (1 − SS_res / SS_tot) over the rows with both
+    values; a constant actual gives R2 1 for a perfect fit and else 0."""
     y, p = col(actual).cast("double"), col(predicted).cast("double")
+    both = y.isNotNull() & p.isNotNull()
+    y = F.when(both, y)
     e = y - p
+    r2 = F.when(F.col("__v") > 0, 1.0 - F.try_divide(F.col("__ssr"), F.col("__v") * F.col("__n"))).when(
+        F.col("__n") > 0, F.when(F.col("__ssr") == 0, 1.0).otherwise(0.0))
     return df.agg(F.avg(F.abs(e)).alias("MAE"), F.avg(e * e).alias("MSE"),
-                  F.sum(e * e).alias("__ssr"), F.var_pop(y).alias("__v"), F.count(F.lit(1)).alias("__n")
-                  ).select("MAE", "MSE", F.sqrt("MSE").alias("RMSE"),
-                           (F.lit(1.0) - F.try_divide(F.col("__ssr"), F.col("__v") * F.col("__n"))).alias("R2"))
+                  F.sum(e * e).alias("__ssr"), F.var_pop(y).alias("__v"), F.count(y).alias("__n")
+                  ).select("MAE", "MSE", F.sqrt("MSE").alias("RMSE"), r2.alias("R2"))
 
 
 def residuals(df: DataFrame, actual: str, predicted: str) -> DataFrame:

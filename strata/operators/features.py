@@ -16,8 +16,6 @@ from strata.functions.columns import col, is_numeric, safe_div
 from strata.functions.dates import CYCLE_PERIODS, cyclical, date_parts
 from strata.functions.text import clean_text, text_length, word_count
 
-MAX_NUMERIC_FEATURES = 20
-MAX_PAIRS = 50
 
 
 def _d(name: str) -> Column:
@@ -35,20 +33,20 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name not in exclude]
 
 
-def interaction_exprs(columns, max_pairs=MAX_PAIRS):
+def interaction_exprs(columns, max_pairs=None):
     return [(f"{a}_x_{b}", _d(a) * _d(b)) for a, b in list(combinations(columns, 2))[:max_pairs]]
 
 
-def ratio_exprs(columns, max_pairs=MAX_PAIRS):
+def ratio_exprs(columns, max_pairs=None):
     return [(f"{a}_div_{b}", safe_div(_d(a), _d(b))) for a, b in list(combinations(columns, 2))[:max_pairs]]
 
 
-def interactions(df, columns, max_pairs=MAX_PAIRS):
-    """``a_x_b`` products for the first ``max_pairs`` pairs in column order."""
+def interactions(df, columns, max_pairs=None):
+    """``a_x_b`` products of all pairs in column order (the first ``max_pairs`` if given)."""
     return _add(df, interaction_exprs(columns, max_pairs))
 
 
-def ratios(df, columns, max_pairs=MAX_PAIRS):
+def ratios(df, columns, max_pairs=None):
     """``a_div_b`` quotients; a zero divisor gives NULL."""
     return _add(df, ratio_exprs(columns, max_pairs))
 

@@ -324,7 +324,7 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 100000) -> Dat
     fields = _fields(df)
     spark = df.sparkSession
     numish = [f.name for f in fields if kind_of(f.dataType) in ("numeric", "datetime")]
-    qs = quantiles(df, numish, [0.25, 0.5, 0.75], "approx" if approx else "auto")
+    qs = quantiles(df, numish, [0.25, 0.5, 0.75], "approx" if approx else "exact")
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         aggs.append(F.count_if(~_is_missing(f)).alias(f"nn{i}"))

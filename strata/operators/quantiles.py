@@ -1,116 +1,161 @@
-"""Exact quantiles (linear interpolation) that stay bounded at any scale.
-
-Spark's exact ``percentile`` aggregate keeps a value→count map of a column in
-one task's memory.  That is fine when the number of distinct values is small,
-so ``quantiles`` first estimates it with HyperLogLog (one pass, fixed memory):
-
-* columns whose estimated distinct count is within ``MAP_LIMIT`` use
-  ``percentile`` (the map's size is bounded by that check);
-* other columns are answered from their value counts: a grouped count
-  (partial aggregation), global running counts over the sorted values
-  (``running_sums``: range partitioning, no single-task window) and a join
-  with the few wanted ranks.  Nothing unbounded meets in one task.
-
-The definition is the one of pandas / numpy / DuckDB ``quantile_cont``:
-position p·(n−1) between the order statistics, linearly interpolated.
+"""Exact quantiles (linear interpolation) for many columns in two scans.
+
+The definition is the one of pandas / numpy / DuckDB ``quantile_cont``: position
+p·(n−1) between the order statistics, linearly interpolated.
+
+1. One aggregate sketches every column (count and ``percentile_approx``, whose rank
+   error is bounded by n / accuracy).  The sketch brackets every wanted rank between
+   two values of the column.
+2. One more scan counts the values below each bracket and groups the values inside
+   it; the wanted order statistics are read off those counts.
+
+A bracket holds about 4 n / accuracy values.  Where that is more than ``INSIDE``
+values, the sketch is repeated inside the bracket first, so every round divides the
+values that are left by about accuracy / 4 and the driver never receives more than
+``INSIDE`` value counts per bracket.  If counting shows that a bracket missed its
+rank, it is widened and counted again.  No column's values meet in one task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strata.functions.columns import as_double
-from strata.operators.ordered import running_sums
-
-MAP_LIMIT = 1_000_000
-
-
-def _interp(lo: float, hi: float, frac: float) -> float:
-    return lo + (hi - lo) * frac
 
-
-def _by_map(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    dts = {f.name: f.dataType for f in df.schema.fields}
-    row = df.agg(*[F.percentile(as_double(c, dts[c]), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
-
-
-def _by_ranks(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """Exact quantiles from value counts and global running counts."""
-    spark = df.sparkSession
-    dts = {f.name: f.dataType for f in df.schema.fields}
-    longs = None
-    for i, c in enumerate(cols):
-        part = df.select(F.lit(i).alias("pos"), as_double(c, dts[c]).alias("v")).where(F.col("v").isNotNull())
-        longs = part if longs is None else longs.unionByName(part)
-    counts = longs.groupBy("pos", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sums(counts, ["pos", "v"], ["n"])
-    totals = {r["pos"]: r["t"] for r in counts.groupBy("pos").agg(F.sum("n").alias("t")).collect()}
-    # rows of all earlier columns (columns are ordered by pos in the running counts)
-    start, acc = {}, 0
-    for i in range(len(cols)):
-        start[i] = acc
-        acc += totals.get(i, 0)
-    wanted = []
-    for i in range(len(cols)):
-        n = totals.get(i, 0)
-        if n == 0:
-            continue
-        for j, p in enumerate(probs):
-            h = p * (n - 1)
-            lo_rank = int(math.floor(h))
-            for r in {lo_rank, min(lo_rank + 1, n - 1)}:
-                wanted.append((i, j, r + start[i]))   # 0-based global rank
-    if not wanted:
-        return {c: None for c in cols}
-    targets = spark.createDataFrame(wanted, "pos int, j int, g long")
-    hits = ranked.join(F.broadcast(targets), "pos").where(
-        (F.col("g") >= F.col("cum_n") - F.col("n")) & (F.col("g") < F.col("cum_n"))) \
-        .select("pos", "j", "g", "v").collect()
-    at = {(r["pos"], r["g"]): r["v"] for r in hits}
-    out = {}
-    for i, c in enumerate(cols):
-        n = totals.get(i, 0)
-        if n == 0:
-            out[c] = None
+ACCURACY = 10_000
+INSIDE = 100_000
+
+
+class _Bracket:
+    """Values lo..hi of a column, of which one is the order statistic ``rank`` (0-based)."""
+
+    def __init__(self, column: int, rank: int, n: int, lo: float, hi: float):
+        self.column, self.rank, self.n, self.lo, self.hi = column, rank, n, lo, hi
+        self.outer = (lo, hi)
+        self.below, self.inside, self.slack = 0, n, 2.0
+        self.value: float | None = None
+
+    def covers(self) -> bool:
+        return self.below <= self.rank < self.below + self.inside
+
+    def widen(self) -> None:
+        (self.lo, self.hi), self.slack = self.outer, self.slack * 4
+
+    def is_wide(self, most: int) -> bool:
+        return self.value is None and self.inside > most
+
+    def shares(self, accuracy: int) -> list[float]:
+        """Shares of the bracket's values that enclose the wanted one."""
+        slack = self.slack * (self.inside / accuracy + 1)
+        return [min(1.0, max(0.0, (self.rank - self.below + d) / self.inside)) for d in (-slack, slack)]
+
+
+def _narrow(base: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """Count each bracket, settle ranks that fall on its ends, and sketch the rest for narrower ends."""
+    aggs = []
+    for k, b in enumerate(brackets):
+        v = F.col(f"v{b.column}")
+        aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{k}"), F.count_if(v == F.lit(b.lo)).alias(f"l{k}"),
+                 F.count_if(v.between(F.lit(b.lo), F.lit(b.hi))).alias(f"i{k}"), F.count_if(v == F.lit(b.hi)).alias(f"h{k}")]
+    row = base.agg(*aggs).first()
+    rest = []
+    for k, b in enumerate(brackets):
+        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
+        if not b.covers():
+            b.widen()
+        elif b.rank < b.below + row[f"l{k}"]:
+            b.value = b.lo
+        elif b.rank >= b.below + b.inside - row[f"h{k}"]:
+            b.value = b.hi
+        else:  # the ends are settled, so every round leaves less
+            b.below, b.inside = b.below + row[f"l{k}"], b.inside - row[f"l{k}"] - row[f"h{k}"]
+            b.lo, b.hi = math.nextafter(b.lo, math.inf), math.nextafter(b.hi, -math.inf)
+            b.outer = (b.lo, b.hi)
+            rest.append(b)
+    if rest:
+        row = base.agg(*[F.percentile_approx(
+            F.when(F.col(f"v{b.column}").between(F.lit(b.lo), F.lit(b.hi)), F.col(f"v{b.column}")),
+            F.array(*[F.lit(r) for r in b.shares(accuracy)]), accuracy).alias(f"s{k}") for k, b in enumerate(rest)]).first()
+        for k, b in enumerate(rest):
+            b.lo, b.hi = row[f"s{k}"]
+            b.inside = min(b.inside, int(4 * b.slack * (b.inside / accuracy + 1)))  # until it is counted
+
+
+def _read(base: DataFrame, brackets: list[_Bracket]) -> None:
+    """One scan: counts below (as an observation of the scan) and value counts inside."""
+    observed = Observation()
+    below = [F.count_if(F.col(f"v{b.column}") < F.lit(b.lo)).alias(f"b{k}") for k, b in enumerate(brackets)]
+    cells = F.filter(F.array(*[
+        F.when(F.col(f"v{b.column}").between(F.lit(b.lo), F.lit(b.hi)),
+               F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v"))) for k, b in enumerate(brackets)]),
+        lambda x: x.isNotNull())
+    got = (base.observe(observed, F.count(F.lit(1)).alias("rows"), *below)
+           .select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count().collect())
+    values: dict[int, list] = {}
+    for k, v, n in got:
+        values.setdefault(k, []).append((v, n))
+    for k, b in enumerate(brackets):
+        upto = b.below = observed.get[f"b{k}"]
+        found = sorted(values.get(k, []))
+        b.inside = sum(n for _, n in found)
+        if not b.covers():
+            b.widen()
+            b.inside = b.n
             continue
-        vals = []
-        for p in probs:
-            h = p * (n - 1)
-            lo_rank = int(math.floor(h))
-            hi_rank = min(lo_rank + 1, n - 1)
-            vals.append(_interp(at[(i, lo_rank + start[i])], at[(i, hi_rank + start[i])], h - lo_rank))
-        out[c] = vals
-    return out
+        for v, n in found:
+            upto += n
+            if b.rank < upto:
+                b.value = v
+                break
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str = "auto") -> dict:
-    """{column: [value per prob] or None when the column has no values}.
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
+              accuracy: int = ACCURACY, inside: int = INSIDE) -> dict:
+    """{column: [quantile per prob]} (None for a column without values).
 
-    method: "auto" (HLL check, then map or ranks), "map", "ranks", "approx"
-    (``percentile_approx`` with accuracy 1e5)."""
-    if not columns:
+    ``method="approx"`` returns the sketch's values (``percentile_approx``) instead.
+    """
+    if not cols:
         return {}
     dts = {f.name: f.dataType for f in df.schema.fields}
+    base = df.select(*[as_double(c, dts[c]).alias(f"v{i}") for i, c in enumerate(cols)])
     if method == "approx":
-        row = df.agg(*[F.percentile_approx(as_double(c, dts[c]), probs, 100000).alias(f"q{i}")
-                       for i, c in enumerate(columns)]).first()
-        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(columns)}
-    if method == "map":
-        return _by_map(df, columns, probs)
-    if method == "ranks":
-        return _by_ranks(df, columns, probs)
-    est = df.agg(*[F.approx_count_distinct(as_double(c, dts[c]), 0.05).alias(f"d{i}")
-                   for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if est[f"d{i}"] * 1.2 <= MAP_LIMIT]
-    large = [c for c in columns if c not in small]
+        row = base.agg(*[F.percentile_approx(f"v{i}", F.array(*[F.lit(p) for p in probs]), max(accuracy, 100_000))
+                         .alias(f"q{i}") for i in range(len(cols))]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else None) for i, c in enumerate(cols)}
+    # the first sketch asks for shares of unknown counts, so it takes the slack as a share
+    slack = 2.0 / accuracy
+    wanted = [min(1.0, max(0.0, p + d)) for p in probs for d in (-slack, slack)]
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}"),
+                 F.percentile_approx(f"v{i}", F.array(*[F.lit(w) for w in wanted]), accuracy).alias(f"s{i}")]
+    row = base.agg(*aggs).first()
+    brackets: dict[tuple[int, int], _Bracket] = {}
+    for i in range(len(cols)):
+        n = row[f"n{i}"]
+        for j, p in enumerate(probs if n else []):
+            at = p * (n - 1)
+            for rank in {math.floor(at), math.ceil(at)}:
+                b = brackets.setdefault((i, rank), _Bracket(i, rank, n, row[f"lo{i}"], row[f"hi{i}"]))
+                if n > 4 * accuracy:  # else the whole column is a small bracket
+                    b.lo, b.hi = row[f"s{i}"][2 * j:2 * j + 2]
+                    b.inside = int(4 * slack * n) + 2
+    while todo := [b for b in brackets.values() if b.value is None]:
+        wide = [b for b in todo if b.is_wide(inside)]
+        if wide:
+            _narrow(base, wide, accuracy)
+        else:
+            _read(base, todo)
     out = {}
-    if small:
-        out.update(_by_map(df, small, probs))
-    if large:
-        out.update(_by_ranks(df, large, probs))
+    for i, c in enumerate(cols):
+        n, found = row[f"n{i}"], []
+        for p in probs if n else []:
+            at = p * (n - 1)
+            lo, hi = brackets[i, math.floor(at)].value, brackets[i, math.ceil(at)].value
+            found.append(lo + (hi - lo) * (at - math.floor(at)))
+        out[c] = found or None
     return out

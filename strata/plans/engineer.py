@@ -5,6 +5,7 @@ invalid columns, then the encodings."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from strata.operators import clean as C
 from strata.operators import encode as E
 from strata.operators import features as FE
 
+# Fixed value: the text of the warning.
 LIMIT_WARNING = ("Numeric feature generation limited to the configured maximum number of "
                  "columns.")
 
@@ -25,8 +27,9 @@ class EngineerConfig:
     create_aggregates: bool = True
     create_polynomial: bool = False
     polynomial_degree: int = 2
-    max_numeric_features: int = FE.MAX_NUMERIC_FEATURES
-    max_interaction_pairs: int = FE.MAX_PAIRS
+    # None: all columns and all pairs; a number limits them and the report's warnings name what is left out
+    max_numeric_features: int | None = None
+    max_interaction_pairs: int | None = None
     drop_invalid_features: bool = True
     protect: tuple = ()
 
@@ -51,14 +54,19 @@ class EngineerReport:
 
 def engineer_numeric(df: DataFrame, config: EngineerConfig | None = None,
                      exclude=()) -> tuple[DataFrame, EngineerReport]:
-    """All numeric generators over the first ``max_numeric_features`` numeric
-    columns (the original columns, not generated ones), then invalid removal."""
+    """All numeric generators over the numeric columns (the original ones, not
+    generated ones), then invalid removal."""
     config = config or EngineerConfig()
     rep = EngineerReport()
     cols = FE.numeric_columns(df, exclude)
-    if len(cols) > config.max_numeric_features:
+    if config.max_numeric_features is not None and len(cols) > config.max_numeric_features:
+        rep.warnings += [LIMIT_WARNING, "Columns left out: " + ", ".join(cols[config.max_numeric_features:])]
         cols = cols[:config.max_numeric_features]
-        rep.warnings.append(LIMIT_WARNING)
+    pairs = len(cols) * (len(cols) - 1) // 2
+    if config.max_interaction_pairs is not None and pairs > config.max_interaction_pairs \
+            and (config.create_interactions or config.create_ratios):
+        rep.warnings.append("Pairs left out: " + ", ".join(
+            f"{a} and {b}" for a, b in list(combinations(cols, 2))[config.max_interaction_pairs:]))
     new = []
     if config.create_interactions:
         e = FE.interaction_exprs(cols, config.max_interaction_pairs)

@@ -89,12 +89,12 @@ t AS (SELECT SUM(pos) AS P, SUM(neg) AS N FROM g)"""
 
 
 @register("roc_points", _CURVE_SQL + """,
-a AS (SELECT 0 AS rn, CAST('inf' AS DOUBLE) AS threshold, 0.0 AS fps, 0.0 AS tps
-      UNION ALL SELECT rn, score, fps, tps FROM c),
 b AS (SELECT *, LAG(fps) OVER (ORDER BY rn) AS pf, LEAD(fps) OVER (ORDER BY rn) AS nf,
-             LAG(tps) OVER (ORDER BY rn) AS pt, LEAD(tps) OVER (ORDER BY rn) AS nt FROM a)
-SELECT threshold, ROUND(COALESCE(fps / NULLIF(N, 0), 0.0), 9) AS fpr, ROUND(COALESCE(tps / NULLIF(P, 0), 0.0), 9) AS tpr
-FROM b, t WHERE pf IS NULL OR nf IS NULL OR pf - 2 * fps + nf <> 0 OR pt - 2 * tps + nt <> 0""")
+             LAG(tps) OVER (ORDER BY rn) AS pt, LEAD(tps) OVER (ORDER BY rn) AS nt FROM c)
+SELECT score AS threshold, ROUND(COALESCE(fps * 1.0 / NULLIF(N, 0), 0.0), 9) AS fpr,
+  ROUND(COALESCE(tps * 1.0 / NULLIF(P, 0), 0.0), 9) AS tpr
+FROM b, t WHERE pf IS NULL OR nf IS NULL OR pf - 2 * fps + nf <> 0 OR pt - 2 * tps + nt <> 0
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
 def roc_points(spark, sf):
     return round_doubles(EV.roc_points(_scores(spark, sf), "y", "score"), 9, {"threshold": None})
 
