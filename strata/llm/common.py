@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +38,18 @@ def ascii_lower(text: Column) -> Column:
     much faster than ``translate``, so it serves the rows without other letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower()))
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose strings or lists in ``column`` add up to about ``size`` bytes or elements.
+
+    A batch of 10,000 long texts is tens of MB; worked on slice by slice, a Python
+    worker needs little more than the batch itself.
+    """
+    lists = pa.types.is_list(batch.column(column).type)
+    length = pc.fill_null(pc.list_value_length(batch.column(column)) if lists
+                          else pc.binary_length(batch.column(column)), 0)
+    group = np.cumsum(np.asarray(length, np.int64)) // size
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)

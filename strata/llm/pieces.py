@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize
+from strata.llm.common import materialize, slices
 from strata.llm.runs import mix, powers
 
 MODEL = os.environ.get("STRATA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -457,7 +457,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, len(kept)) for b in batches):
             ids = _lists(lattice.encode_all(batch.column(len(kept)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], ids], [*kept, "ids"])
 
@@ -529,7 +529,7 @@ def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], ids_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, at) for b in batches):
             lists = batch.column(at)
             ends, values = lists.offsets.to_pylist(), lists.values.to_numpy()
             texts = [lattice.decode(values[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])]
