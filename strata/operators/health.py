@@ -1,7 +1,7 @@
 """Dataset health, quality issues and the composite profiles.
 
-A table profile row is assembled from three jobs on the input: the group-by
-over all columns (rows, duplicates, missing cells, bytes), the per-column
+A table profile row is assembled from jobs on the input: a plain aggregate
+(rows, missing cells, bytes), a grouping of row keys (duplicates), the per-column
 constant aggregate and the long-form frequency count (distinct values of
 string columns).  The partial results are unioned as (metric, value) rows and
 pivoted by one aggregate, so no join between them is needed.
@@ -22,19 +22,7 @@ HIGH_CARD_EDA = 100
 
 
 def _metric_rows(df: DataFrame, prof: DataFrame | None = None) -> DataFrame:
-    fields = list(df.schema.fields)
-    row_missing = reduce(lambda a, b: a + b,
-                         [F.when(P._is_missing(f), 1).otherwise(0) for f in fields], F.lit(0))
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    base = grouped.agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("double").alias("rows"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).cast("double").alias("duplicate_rows"),
-        F.coalesce(F.sum(n * row_missing), F.lit(0)).cast("double").alias("missing_cells"),
-        F.coalesce(F.sum(n * P.memory_bytes_expr(df, per_row=True)), F.lit(0)).cast("double").alias("bytes"))
-    parts = [base.select(F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-        for m in ("rows", "duplicate_rows", "missing_cells", "bytes")])))]
+    parts = [P.scan_metrics(df)]
     # per-column facts from the column profile (one frequency shuffle, shared)
     prof = prof if prof is not None else P.column_profile(df)
     is_str = F.col("kind") == "string"

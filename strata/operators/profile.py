@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from strata.functions.columns import (as_double, col, is_bool, is_datetime,
                                       is_fractional, is_numeric,
-                                      is_numeric_or_bool, is_string, kind_of)
+                                      is_numeric_or_bool, is_string, kind_of, pearson)
 
 # fixed widths (bytes) used by the memory estimate; strings use their UTF-8 size
 _TYPE_WIDTH = {
@@ -31,8 +31,10 @@ _TYPE_WIDTH = {
     T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16,
 }
 
-# columns per aggregate batch; keeps generated code under the JVM method limit
-AGG_BATCH = 100
+#: strings longer than this many bytes are counted by a digest
+SHORT_BYTES = 64
+#: characters of a long string kept in front of its digest, so that keys order as values do
+PREFIX_CHARS = 24
 
 
 def _fields(df: DataFrame, columns=None) -> list[T.StructField]:
@@ -57,7 +59,24 @@ def _empty(df: DataFrame, schema: str) -> DataFrame:
 # value frequencies (long form)
 # ---------------------------------------------------------------------------
 
-def _value_struct(pos: int, f: T.StructField) -> Column:
+def short_key(c: Column) -> Column:
+    """The string itself if it is short, else its beginning, a marker and its SHA-256.
+
+    Equal strings have equal keys, and a key that stands for a long string is itself
+    longer than ``SHORT_BYTES``, so it equals no short string.  Grouping by it moves at
+    most some 160 bytes per value however long the texts are.
+    """
+    return F.when(F.octet_length(c) <= SHORT_BYTES, c).otherwise(
+        F.concat(F.substring(c, 1, PREFIX_CHARS), F.lit("\x01"), F.sha2(c, 256)))
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Grouping keys that are equal for equal rows (nulls compare equal), long strings as digests."""
+    return [(short_key(col(f.name)) if is_string(f.dataType) else col(f.name)).alias(f"k{i}")
+            for i, f in enumerate(df.schema.fields)]
+
+
+def _value_struct(pos: int, f: T.StructField, digest: bool) -> Column:
     c = col(f.name)
     dt = f.dataType
     vl = F.lit(None).cast("long")
@@ -77,18 +96,21 @@ def _value_struct(pos: int, f: T.StructField) -> Column:
     else:
         vs = F.to_json(c) if isinstance(dt, (T.StructType, T.MapType, T.ArrayType)) \
             else c.cast("string")
+    if digest and not is_bool(dt):
+        vs = short_key(vs)
     return F.struct(F.lit(pos).alias("pos"), vl.alias("vl"), vd.alias("vd"), vs.alias("vs"))
 
 
-def frequencies(df: DataFrame, columns=None) -> DataFrame:
+def frequencies(df: DataFrame, columns=None, digest: bool = False) -> DataFrame:
     """(pos, vl, vd, vs, n): exact count of every value of every column.
 
     ``pos`` is the column position in ``columns``; the value sits in exactly
     one of vl (integral / datetime), vd (floating) and vs (string / boolean);
-    all three NULL is the missing value.
+    all three NULL is the missing value.  With ``digest`` long strings are
+    counted (and given) as ``short_key``.
     """
     fields = _fields(df, columns)
-    exploded = df.select(F.inline(F.array(*[_value_struct(i, f) for i, f in enumerate(fields)])))
+    exploded = df.select(F.inline(F.array(*[_value_struct(i, f, digest) for i, f in enumerate(fields)])))
     return exploded.groupBy("pos", "vl", "vd", "vs").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -104,7 +126,7 @@ def distinct_counts(df: DataFrame, columns=None) -> DataFrame:
     fields = _fields(df, columns)
     if not fields:
         return _empty(df, "pos int, column string, unique long, unique_with_null long")
-    freq = frequencies(df, [f.name for f in fields])
+    freq = frequencies(df, [f.name for f in fields], digest=True)
     missing = F.col("vl").isNull() & F.col("vd").isNull() & F.col("vs").isNull()
     counts = freq.groupBy("pos").agg(
         F.count_if(~missing).alias("unique"),
@@ -123,16 +145,39 @@ def modes(df: DataFrame, columns=None) -> DataFrame:
     table (no window over a whole column's distinct values).
     """
     fields = _fields(df, columns)
-    freq = frequencies(df, [f.name for f in fields])
+    freq = frequencies(df, [f.name for f in fields], digest=True)
     nonnull = freq.filter(F.col("vl").isNotNull() | F.col("vd").isNotNull() | F.col("vs").isNotNull())
     best = nonnull.groupBy("pos").agg(
         F.min(F.struct((-F.col("n")).alias("neg_n"), "vl", "vd", "vs")).alias("b"))
     rendered = F.coalesce(F.col("b.vs"), F.col("b.vl").cast("string"), F.col("b.vd").cast("string"))
     names = _names_df(df, fields)
-    return (names.join(F.broadcast(best), "pos", "left")
-            .select("pos", "column", rendered.alias("top"),
-                    (-F.col("b.neg_n")).cast("long").alias("freq"),
-                    F.col("b.vl").alias("top_l"), F.col("b.vd").alias("top_d")))
+    out = (names.join(F.broadcast(best), "pos", "left")
+           .select("pos", "column", rendered.alias("top"),
+                   (-F.col("b.neg_n")).cast("long").alias("freq"),
+                   F.col("b.vl").alias("top_l"), F.col("b.vd").alias("top_d")))
+    if not any(is_string(f.dataType) for f in fields):
+        return out
+    return _long_winners(df, fields, freq, out)
+
+
+def _long_winners(df: DataFrame, fields, freq: DataFrame, winners: DataFrame) -> DataFrame:
+    """Put the texts in place of digests that won: one row per string column is looked at, and
+    only rows that begin like the winner are read for the value."""
+    won = winners.collect()
+    texts = {}
+    for r in won:
+        f = fields[r["pos"]]
+        if not is_string(f.dataType) or r["top"] is None or len(r["top"].encode()) <= SHORT_BYTES:
+            continue
+        start = r["top"][:-65]  # without the marker and the digest
+        c = col(f.name)
+        tied = (freq.where((F.col("pos") == r["pos"]) & (F.col("n") == r["freq"]))
+                .where(F.substring("vs", 1, len(start)) == F.lit(start)).select("vs"))
+        same = df.where(F.substring(c, 1, len(start)) == F.lit(start)).select(c.alias("v"), short_key(c).alias("vs"))
+        texts[r["pos"]] = same.join(tied, "vs", "left_semi").agg(F.min("v")).first()[0]
+    rows = [(r["pos"], r["column"], texts.get(r["pos"], r["top"]), r["freq"], r["top_l"], r["top_d"]) for r in won]
+    return df.sparkSession.createDataFrame(
+        rows, "pos int, column string, top string, freq long, top_l long, top_d double")
 
 
 # ---------------------------------------------------------------------------
@@ -197,10 +242,9 @@ def missing_summary(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, duplicate_rows, duplicate_percent): rows equal to an earlier row.
 
-    Groups on all columns (nulls compare equal), map-side combined.
+    Groups on all columns (nulls compare equal, long strings by digest), map-side combined.
     """
-    cols = [col(c) for c in df.columns]
-    grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    grouped = df.groupBy(*row_keys(df)).agg(F.count(F.lit(1)).alias("__n"))
     return grouped.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias("rows"),
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
@@ -246,27 +290,12 @@ def constant_columns(df: DataFrame) -> DataFrame:
     return constant_flags(df).filter("is_constant").select("column")
 
 
-def high_cardinality(df: DataFrame, threshold: int = 50, method: str = "auto") -> DataFrame:
-    """(column, unique): string columns with ≥ threshold distinct non-null values.
-
-    ``method="exact"`` counts every string column exactly.  ``"auto"`` first
-    estimates with HyperLogLog in one pass (no shuffle) and counts exactly only
-    the columns whose estimate lies near the threshold; the decision is exact,
-    the reported ``unique`` too.
-    """
+def high_cardinality(df: DataFrame, threshold: int = 50) -> DataFrame:
+    """(column, unique): string columns with ≥ threshold distinct non-null values, counted exactly."""
     strings = [f.name for f in df.schema.fields if is_string(f.dataType)]
     if not strings:
         return _empty(df, "column string, unique long")
-    if method == "exact":
-        counts = distinct_counts(df, strings)
-        return counts.filter(F.col("unique") >= threshold).select("column", "unique")
-    est = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(f"a{i}")
-                   for i, c in enumerate(strings)]).first()
-    sure_low = [c for i, c in enumerate(strings) if est[f"a{i}"] < 0.75 * threshold]
-    candidates = [c for c in strings if c not in sure_low]
-    if not candidates:
-        return _empty(df, "column string, unique long")
-    counts = distinct_counts(df, candidates)
+    counts = distinct_counts(df, strings)
     return counts.filter(F.col("unique") >= threshold).select("column", "unique")
 
 
@@ -366,20 +395,48 @@ def describe(df: DataFrame, approx: bool = False, accuracy: int = 100000) -> Dat
                     "q25", "q50", "q75", "max"))
 
 
-CORR_PAIRS_PER_JOB = 25
+#: a pair whose variance is a smaller share than this of its sum of squares is computed again on its own
+_CANCELLED = 1e-6
+_PAIRS_PER_JOB = 25
+
+
+def _pair_sums(base: DataFrame, means: list[float]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) per pair of columns over the rows that have both, from one
+    scan: every Arrow batch adds the cross products of its shifted values and of its masks, a task
+    returns one row per pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    k = len(means)
+    left, right = np.triu_indices(k)
+
+    def run(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns], axis=1)
+            mask = ~np.isnan(x)
+            x = np.where(mask, x - np.array(means), 0.0)
+            m, sq = mask.astype(float), x * x
+            for t, part in enumerate((m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x)):
+                total[t] += part
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *(pa.array(t[left, right]) for t in total)],
+            ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = base.mapInArrow(run, "i int, j int, " + ", ".join(f"{c} double" for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
 def correlation(df: DataFrame, columns=None, min_columns: int = 2) -> DataFrame:
     """Long-form Pearson matrix (x, y, r) over numeric columns.
 
     Pairwise-complete: a pair uses the rows where both values are present.  One
-    small job finds each column's mean, min and max; then, per batch of pairs,
-    one aggregate of plain sums over mean-shifted values (n, Σx, Σy, Σx², Σy²,
-    Σxy per pair) — sums keep the aggregation buffer flat and codegen-friendly,
-    the shift keeps them well conditioned.  A column with zero spread gives
-    NULL (pandas NaN); the diagonal is 1.0 unless the column is constant.
-    Expressions are passed as SQL text (one call per expression, not one per
-    operator) to keep planning time flat in the number of pairs.
+    job finds each column's mean, one scan gathers the sums of all pairs over
+    mean-shifted values (``_pair_sums``); what reaches the driver is one row per
+    pair of columns.  A pair whose rows lie so far from the column means that its
+    sums cancel is computed again from stable moments of its own rows.  Zero
+    spread over the pair's rows gives NULL (pandas NaN); the diagonal is 1.0
+    unless the column is constant.
     """
     if columns is None:
         columns = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
@@ -387,45 +444,31 @@ def correlation(df: DataFrame, columns=None, min_columns: int = 2) -> DataFrame:
         return _empty(df, "x string, y string, r double")
     dts = {f.name: f.dataType for f in df.schema.fields}
     base = df.select(*[as_double(c, dts[c]).alias(f"v{i}") for i, c in enumerate(columns)])
-    first = base.selectExpr(*[e for i in range(len(columns)) for e in (
-        f"avg(v{i}) AS m{i}", f"min(v{i}) AS lo{i}", f"max(v{i}) AS hi{i}")]).first()
-    idx = {c: i for i, c in enumerate(columns)}
-    flat = {c: first[f"m{i}"] is None or first[f"lo{i}"] == first[f"hi{i}"] for i, c in enumerate(columns)}
-    live_cols = [c for c in columns if not flat[c]]
-    centred = base.selectExpr(*[f"v{idx[c]} - ({float(first[f'm{idx[c]}'])!r}D) AS x{idx[c]}"
-                                for c in live_cols]) if live_cols else None
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    live = [(a, b) for a, b in pairs if not flat[a] and not flat[b]]
-    parts = []
-    for start in range(0, len(live), CORR_PAIRS_PER_JOB):
-        chunk = live[start:start + CORR_PAIRS_PER_JOB]
-        aggs, stack = [], []
-        for k, (a, b) in enumerate(chunk, start):
-            x, y = f"x{idx[a]}", f"x{idx[b]}"
-            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
-            aggs += [f"count_if({both}) AS n{k}", f"sum(CASE WHEN {both} THEN {x} END) AS sx{k}",
-                     f"sum(CASE WHEN {both} THEN {y} END) AS sy{k}",
-                     f"sum(CASE WHEN {both} THEN {x} * {x} END) AS sxx{k}",
-                     f"sum(CASE WHEN {both} THEN {y} * {y} END) AS syy{k}",
-                     f"sum(CASE WHEN {both} THEN {x} * {y} END) AS sxy{k}"]
-            vx, vy = f"(n{k} * sxx{k} - sx{k} * sx{k})", f"(n{k} * syy{k} - sy{k} * sy{k})"
-            ok = f"{vx} > 1e-9D * n{k} * sxx{k} AND {vy} > 1e-9D * n{k} * syy{k}"
-            r = (f"CASE WHEN {ok} THEN 1.0D END" if a == b else
-                 f"CASE WHEN {ok} THEN (n{k} * sxy{k} - sx{k} * sy{k}) / sqrt({vx} * {vy}) END")
-            stack.append(f"'{_sql_str(a)}', '{_sql_str(b)}', {r}")
-            if a != b:
-                stack.append(f"'{_sql_str(b)}', '{_sql_str(a)}', {r}")
-        row = centred.selectExpr(*aggs)
-        parts.append(row.selectExpr(f"stack({len(stack)}, {', '.join(stack)}) AS (x, y, r)"))
-    dead = [(a, b) for a, b in pairs if flat[a] or flat[b]]
-    if dead:
-        rows = [(a, b, None) for a, b in dead] + [(b, a, None) for a, b in dead if a != b]
-        parts.append(df.sparkSession.createDataFrame(rows, "x string, y string, r double"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _sql_str(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("'", "\\'")
+    first = base.agg(*[F.avg(f"v{i}") for i in range(len(columns))]).first()
+    sums = {(r["i"], r["j"]): r for r in _pair_sums(base, [m if m is not None else 0.0 for m in first]).collect()}
+    out, again = {}, []
+    for (i, j), r in sums.items():
+        n = r["n"]
+        vx, vy = (r[q] - r[s] * r[s] / n if n else 0.0 for q, s in (("sxx", "sx"), ("syy", "sy")))
+        if n < 2:
+            out[i, j] = None
+        elif vx <= _CANCELLED * r["sxx"] or vy <= _CANCELLED * r["syy"]:
+            again.append((i, j))
+        else:
+            out[i, j] = 1.0 if i == j else (r["sxy"] - r["sx"] * r["sy"] / n) / (vx * vy) ** 0.5
+    for at in range(0, len(again), _PAIRS_PER_JOB):
+        some = again[at:at + _PAIRS_PER_JOB]
+        aggs = []
+        for k, (i, j) in enumerate(some):
+            x, y = F.col(f"v{i}"), F.col(f"v{j}")
+            both = x.isNotNull() & y.isNotNull()
+            flat = (F.min(F.when(both, x)) == F.max(F.when(both, x))) | (F.min(F.when(both, y)) == F.max(F.when(both, y)))
+            aggs.append(F.when(~flat, F.lit(1.0) if i == j else pearson(x, y)).alias(f"r{k}"))
+        row = base.agg(*aggs).first()
+        out.update({pair: row[f"r{k}"] for k, pair in enumerate(some)})
+    rows = [(columns[i], columns[j], out.get((i, j))) for i in range(len(columns)) for j in range(i, len(columns))]
+    rows += [(y, x, r) for x, y, r in rows if x != y]
+    return df.sparkSession.createDataFrame(rows, "x string, y string, r double")
 
 
 def memory_bytes_expr(df: DataFrame, per_row: bool = False) -> Column:
@@ -456,25 +499,32 @@ def memory_usage(df: DataFrame) -> DataFrame:
         "bytes", F.round(F.col("bytes") / F.lit(1024.0 ** 2), 2).alias("memory_mb"))
 
 
+def scan_metrics(df: DataFrame) -> DataFrame:
+    """(metric, value): rows, missing_cells, bytes (plain scan) and duplicate_rows (grouped keys)."""
+    fields = _fields(df)
+    row_missing = reduce(lambda a, b: a + b, [F.when(_is_missing(f), 1).otherwise(0) for f in fields], F.lit(0))
+    plain = df.agg(F.count(F.lit(1)).cast("double").alias("rows"),
+                   F.coalesce(F.sum(row_missing), F.lit(0)).cast("double").alias("missing_cells"),
+                   memory_bytes_expr(df).cast("double").alias("bytes"))
+    grouped = df.groupBy(*row_keys(df)).agg(F.count(F.lit(1)).alias("__n"))
+    dups = grouped.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("double").alias("duplicate_rows"))
+    return reduce(DataFrame.unionByName, [
+        one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in one.columns])))
+        for one in (plain, dups)])
+
+
 def dataset_summary(df: DataFrame) -> DataFrame:
     """One row: rows, columns, missing cells, duplicate rows, memory MB, columns per kind.
 
-    A single group-by over all columns (needed for the duplicate count) feeds
-    one aggregate; per-row measures are weighted by the group size.
+    Counts and bytes come from a plain aggregate; only the duplicate count needs
+    a grouping, by keys in which long strings are digests.
     """
     fields = _fields(df)
     kinds = [kind_of(f.dataType) for f in fields]
-    row_missing = reduce(lambda a, b: a + b,
-                         [F.when(_is_missing(f), 1).otherwise(0) for f in fields], F.lit(0))
-    grouped = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
-    n = F.col("__n")
-    per_row_bytes = memory_bytes_expr(df, per_row=True)
-    return grouped.agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("rows"),
-        F.coalesce(F.sum(n * row_missing), F.lit(0)).cast("long").alias("missing_cells"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
-        F.coalesce(F.sum(n * per_row_bytes), F.lit(0)).cast("long").alias("bytes"),
-    ).select(
+    m = scan_metrics(df)
+    names = ("rows", "missing_cells", "duplicate_rows", "bytes")
+    return m.agg(*[F.coalesce(F.max(F.when(F.col("metric") == k, F.col("value"))), F.lit(0.0)).cast("long").alias(k)
+                   for k in names]).select(
         "rows", F.lit(len(fields)).cast("long").alias("columns"), "missing_cells",
         "duplicate_rows",
         F.round(F.col("bytes") / F.lit(1024.0 ** 2), 2).alias("memory_mb"),
@@ -495,9 +545,9 @@ def column_profile(df: DataFrame, columns=None, distinct: str = "categorical") -
     is_constant.
 
     One global aggregate gives counts for every column and min/max/mean/std
-    (as double) for numeric, boolean and datetime columns.  Exact distinct
-    counts and string lengths come from the long-form frequency table, built
-    only for the columns that need it: ``distinct="categorical"`` (strings,
+    (as double) for numeric, boolean and datetime columns, and string lengths.
+    Exact distinct counts come from the long-form frequency table (long strings
+    as digests), built only for the columns that need it: ``distinct="categorical"`` (strings,
     booleans, nested) or ``"all"``.  ``unique`` is NULL for the others.
     ``is_constant`` is ``nunique(dropna=False) <= 1``: from the distinct count
     where known, else ``count = 0 ∨ (count = rows ∧ min = max)``.
@@ -522,6 +572,8 @@ def column_profile(df: DataFrame, columns=None, distinct: str = "categorical") -
             aggs += [F.min(v).alias(f"mn{i}"), F.max(v).alias(f"mx{i}")]
             if kinds[i] != "datetime":
                 aggs += [F.avg(v).alias(f"av{i}"), F.stddev_samp(v).alias(f"sd{i}")]
+        if kinds[i] == "string":
+            aggs.append(F.sum(F.length(col(f.name)).cast("double")).alias(f"ln{i}"))
     row = df.agg(*aggs)
     nd = F.lit(None).cast("double")
     base = _unpivot_row(row, [F.struct(
@@ -530,23 +582,23 @@ def column_profile(df: DataFrame, columns=None, distinct: str = "categorical") -
         (F.col(f"mn{i}") if i in ranged else nd).alias("min"),
         (F.col(f"mx{i}") if i in ranged else nd).alias("max"),
         (F.col(f"av{i}") if i in ranged and kinds[i] != "datetime" else nd).alias("mean"),
-        (F.col(f"sd{i}") if i in ranged and kinds[i] != "datetime" else nd).alias("std"))
+        (F.col(f"sd{i}") if i in ranged and kinds[i] != "datetime" else nd).alias("std"),
+        (F.col(f"ln{i}") if kinds[i] == "string" else nd).alias("__len"))
         for i in range(len(fields))])
     out = _names_df(df, fields).join(F.broadcast(base), "pos")
     if freq_pos:
         names = [fields[i].name for i in freq_pos]
         remap = F.create_map(*[x for j, i in enumerate(freq_pos) for x in (F.lit(j), F.lit(i))])
-        freq = frequencies(df, names)
+        freq = frequencies(df, names, digest=True)
         present = F.col("vl").isNotNull() | F.col("vd").isNotNull() | F.col("vs").isNotNull()
         counts = freq.groupBy("pos").agg(
             F.count_if(present).cast("long").alias("unique"),
-            F.count(F.lit(1)).cast("long").alias("unique_with_null"),
-            F.sum(F.length(F.col("vs")).cast("double") * F.col("n")).alias("__len"))
-        counts = counts.select(remap[F.col("pos")].alias("pos"), "unique", "unique_with_null", "__len")
+            F.count(F.lit(1)).cast("long").alias("unique_with_null"))
+        counts = counts.select(remap[F.col("pos")].alias("pos"), "unique", "unique_with_null")
         out = out.join(F.broadcast(counts), "pos", "left")
     else:
         out = out.select("*", F.lit(None).cast("long").alias("unique"),
-                         F.lit(None).cast("long").alias("unique_with_null"), nd.alias("__len"))
+                         F.lit(None).cast("long").alias("unique_with_null"))
     in_freq = F.col("pos").isin(*freq_pos) if freq_pos else F.lit(False)
     by_range = (F.col("non_null") == 0) | ((F.col("non_null") == F.col("rows")) & (F.col("min") == F.col("max")))
     is_const = F.when(in_freq, F.coalesce(F.col("unique_with_null"), F.lit(0)) <= 1).otherwise(by_range)
