@@ -18,40 +18,45 @@ from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.columns import as_double, col
 
-# distinct values up to which a value→count table is broadcast
-BROADCAST_DISTINCT_LIMIT = 1_000_000
-
-
 # ---------------------------------------------------------------------------
 # frequency / count encoding
 # ---------------------------------------------------------------------------
 
-def _distinct_estimates(df: DataFrame, columns) -> dict:
-    row = df.agg(*[F.approx_count_distinct(col(c), 0.05).alias(f"a{i}")
-                   for i, c in enumerate(columns)]).first()
-    return {c: row[f"a{i}"] for i, c in enumerate(columns)}
+#: parts a hot value's rows are dealt to, and the share of rows from which a value is hot
+HOT_PARTS, HOT_SHARE = 64, 1 / 256
 
 
-def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool = True,
-                  broadcast_limit: int = BROADCAST_DISTINCT_LIMIT) -> tuple[DataFrame, list[str]]:
+def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool = True) -> tuple[DataFrame, list[str]]:
     """Value counts joined back to the rows, one grouped count and one join per
     column serving both encodings: ``c_frequency`` (double, NULL is a value of
-    its own) and ``c_count`` (long, NULL for a NULL value).  The count table is
-    broadcast only when the HyperLogLog estimate of its size (+20 %) is within
-    ``broadcast_limit``; otherwise a shuffle join (AQE splits a hot key)."""
+    its own) and ``c_count`` (long, NULL for a NULL value).
+
+    Long strings are grouped and joined by digest.  Spark chooses the join from
+    the size of the count table at run time.  Where it shuffles, rows of a value
+    that holds more than ``HOT_SHARE`` of the table are dealt to ``HOT_PARTS``
+    parts, with the value's count copied to each, so no hot value is one task."""
+    from strata.operators.profile import short_key
     if not columns or not (frequency or count):
         return df, []
-    est = _distinct_estimates(df, columns)
     out, created = df, []
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
     for j, c in enumerate(columns):
-        key, n = f"__k_{j}", f"__n_{j}"
-        counts = df.groupBy(col(c).alias(key)).agg(F.count(F.lit(1)).alias(n))
-        if est[c] * 1.2 + 1 <= broadcast_limit:
-            counts = F.broadcast(counts)
-        out = out.join(counts, col(c).eqNullSafe(F.col(key)), "left").drop(key)
+        key, n, salt = f"__k_{j}", f"__n_{j}", f"__s_{j}"
+        value = short_key(col(c)) if isinstance(dtypes[c], T.StringType) else col(c)
+        counts = df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias(n))
+        total = df.select(F.lit(1)).agg(F.count(F.lit(1)).alias("t")).first()["t"]
+        # at most 1 / HOT_SHARE values
+        hot = [r[0] for r in counts.where(F.col(n) > total * HOT_SHARE).select(key).collect()]
+        is_hot = lambda k, hot=hot: (F.coalesce(k.isin(*[v for v in hot if v is not None]), F.lit(False))
+                                     | (k.isNull() if None in hot else F.lit(False)))
+        parts = F.when(is_hot(F.col(key)), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+        counts = counts.withColumn(salt, F.explode(parts))
+        row_salt = F.when(is_hot(value), F.pmod(F.hash(*[col(x) for x in df.columns]), F.lit(HOT_PARTS))).otherwise(0)
+        out = out.join(counts, value.eqNullSafe(F.col(key)) & (row_salt == F.col(salt)), "left").drop(key, salt)
         new = []
         if frequency:
             new.append(F.col(n).cast("double").alias(f"{c}_frequency"))
@@ -62,15 +67,15 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
     return out, created
 
 
-def frequency_encode(df: DataFrame, columns, broadcast_limit: int = BROADCAST_DISTINCT_LIMIT):
+def frequency_encode(df: DataFrame, columns):
     """``c_frequency``: number of rows holding the row's value (double); NULL is
     a value of its own."""
-    return encode_counts(df, columns, frequency=True, count=False, broadcast_limit=broadcast_limit)
+    return encode_counts(df, columns, frequency=True, count=False)
 
 
-def count_encode(df: DataFrame, columns, broadcast_limit: int = BROADCAST_DISTINCT_LIMIT):
+def count_encode(df: DataFrame, columns):
     """``c_count``: as frequency but a NULL value gets NULL (long)."""
-    return encode_counts(df, columns, frequency=False, count=True, broadcast_limit=broadcast_limit)
+    return encode_counts(df, columns, frequency=False, count=True)
 
 
 # ---------------------------------------------------------------------------
@@ -80,18 +85,17 @@ def count_encode(df: DataFrame, columns, broadcast_limit: int = BROADCAST_DISTIN
 def categories(df: DataFrame, columns, max_categories: int | None = None) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column from one grouped job.
 
-    The number of categories is a model size; ``max_categories`` raises when a
-    column has more (use frequency encoding for those)."""
+    The list is as long as the encoded table has columns; ``max_categories`` raises
+    when a column has more (use frequency encoding for those)."""
     if not columns:
         return {}
     from strata.operators.profile import frequencies
     freq = frequencies(df, columns).filter(F.col("vs").isNotNull() | F.col("vl").isNotNull()
                                            | F.col("vd").isNotNull())
     counts = {r["pos"]: r["k"] for r in freq.groupBy("pos").agg(F.count(F.lit(1)).alias("k")).collect()}
-    limit = max_categories or 100_000
     for i, c in enumerate(columns):
-        if counts.get(i, 0) > limit:
-            raise ValueError(f"column {c} has {counts[i]} categories (limit {limit})")
+        if max_categories is not None and counts.get(i, 0) > max_categories:
+            raise ValueError(f"column {c} has {counts[i]} categories (limit {max_categories})")
     vals = freq.select("pos", F.coalesce(F.col("vs"), F.col("vl").cast("string"),
                                          F.col("vd").cast("string")).alias("v")).collect()
     out = {c: [] for c in columns}
@@ -161,9 +165,9 @@ class ColumnStatsModel(Model, _StatsParams, DefaultParamsReadable, DefaultParams
             if st["center"] is None:
                 return v
             return (v - F.lit(st["center"])) / F.lit(st["scale"])
-        if m == "most_frequent" and st.get("kind") == "string":
+        if st.get("kind") == "string":
             return col(c) if st["fill"] is None else F.coalesce(col(c), F.lit(st["fill"]))
-        if m == "most_frequent" and st.get("kind") == "boolean":
+        if st.get("kind") == "boolean":
             return col(c) if st["fill"] is None else F.coalesce(col(c), F.lit(bool(st["fill"])))
         v = as_double(c, dt)
         return v if st["fill"] is None else F.coalesce(v, F.lit(float(st["fill"])))
@@ -213,7 +217,8 @@ class ColumnStatsEstimator(Estimator, _StatsParams, DefaultParamsReadable, Defau
                     stats[c] = {"fill": None if v is None else float(v), "kind": kind}
         elif m == "constant":
             for c in ins:
-                stats[c] = {"fill": 0.0}
+                text = isinstance(dtypes[c], T.StringType)
+                stats[c] = {"fill": "missing_value", "kind": "string"} if text else {"fill": 0.0}
         else:
             aggs, qs = [F.lit(1).alias("__one")], {}
             if m in ("median", "robust"):

@@ -121,7 +121,7 @@ def inspect_dataset(df: DataFrame) -> DataFrame:
     memory_mb, health_score and the number of columns per group (text columns
     also count as categorical, as in the inspector)."""
     from strata.operators.types import feature_groups
-    prof = P.column_profile(df).cache()
+    prof = P.fixed(P.column_profile(df))
     p = table_profile(df, prof)
     cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1)).cast("double")
     ncols = F.greatest(F.col("columns"), F.lit(1)).cast("double")
@@ -145,7 +145,7 @@ def inspect_dataset(df: DataFrame) -> DataFrame:
 def summarize_dataset(df: DataFrame) -> DataFrame:
     """One row of the EDA summary (thresholds 100 / ratio > .70 or length > 25)."""
     from strata.operators.types import feature_types_eda
-    prof = P.column_profile(df).cache()
+    prof = P.fixed(P.column_profile(df))
     p = table_profile(df, prof)
     counts = feature_types_eda(df, profile=prof).agg(
         *[F.count_if(F.col("feature_group") == g).alias(f"{g}_features")

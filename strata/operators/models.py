@@ -23,7 +23,6 @@ from strata.session import ensure_checkpoint_dir
 
 MAX_TREE_DEPTH = 30  # Spark ML's limit; scikit-learn trees are unbounded by default
 OVR_PARALLELISM = 8  # one-vs-rest binary models fitted concurrently
-MAX_CLASSES = 10_000
 
 
 # ---------------------------------------------------------------------------
@@ -35,14 +34,9 @@ class LabelIndex:
     labels: list
 
     @staticmethod
-    def fit(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> "LabelIndex":
-        """Sorted class labels; more than ``max_classes`` raises (a class list
-        is a model size, not a data size)."""
-        vals = [r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct()
-                .limit(max_classes + 1).collect()]
-        if len(vals) > max_classes:
-            raise ValueError(f"target {label} has more than {max_classes} classes")
-        return LabelIndex(sorted(vals))
+    def fit(df: DataFrame, label: str) -> "LabelIndex":
+        """Sorted class labels (a classifier has one output per class, so their list is a part of the model)."""
+        return LabelIndex(sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect()))
 
     def to_index(self, c):
         m = F.create_map(*[v for i, lab in enumerate(self.labels) for v in (F.lit(lab), F.lit(float(i)))])
@@ -206,9 +200,10 @@ class _PlattFitted:
 
     def transform(self, df):
         from pyspark.ml.functions import array_to_vector
+        # the margins decide the class; the logistic fit on them gives the probability only
         out = self.model.transform(df).withColumn("__m", array_to_vector(vector_to_array("rawPrediction")))
-        base = out.drop("rawPrediction", "prediction", "probability")
-        p = self.platt.transform(base)
+        base = out.drop("rawPrediction", "probability").withColumnRenamed("prediction", "__class")
+        p = self.platt.transform(base).drop("prediction").withColumnRenamed("__class", "prediction")
         keep = [c for c in p.columns if c not in ("__m", "rawPrediction")]
         return p.select(*keep)
 
@@ -216,6 +211,9 @@ class _PlattFitted:
 
 
 def naive_bayes(var_smoothing: float = 1e-9, **kw):
+    """Gaussian naive Bayes; Spark adds 1e-9 of the largest feature variance to each variance."""
+    if var_smoothing != 1e-9:
+        raise ValueError("var_smoothing is fixed at 1e-9")
     return SparkLearner(lambda df, fc, lc: C.NaiveBayes(featuresCol=fc, labelCol=lc, modelType="gaussian",
                                                         **kw), True)
 
@@ -264,6 +262,18 @@ def elastic_net(alpha: float = 1.0, l1_ratio: float = 0.5, **kw):
 # AdaBoost (SAMME) and AdaBoost.R2 as loops of weighted Spark trees
 # ---------------------------------------------------------------------------
 
+def _next_round(last: DataFrame, data: DataFrame, cut: bool) -> DataFrame:
+    """The next round's weights, held in memory or on disk; the last round's are given up.
+    ``cut`` also cuts the lineage with a reliable checkpoint."""
+    if cut:
+        data = data.checkpoint(eager=True)
+    else:
+        data = data.persist()
+        data.count()
+    last.unpersist()
+    return data
+
+
 class AdaBoostClassifierLearner:
     """SAMME with depth-1 trees fitted on instance weights; the weights are a
     column updated by an expression each round, lineage cut by a reliable
@@ -304,11 +314,10 @@ class AdaBoostClassifierLearner:
             alphas.append(alpha)
             # the new total follows from the two masses already aggregated
             total = (st["t"] - (st["e"] or 0.0)) + (st["e"] or 0.0) * math.exp(alpha)
-            data = pred.select(features_col, label_col,
-                               (F.col("__w") * F.when(F.col("__miss"), F.lit(math.exp(alpha))).otherwise(1.0)
-                                / F.lit(total)).alias("__w"))
-            if (m + 1) % self.ck == 0:
-                data = data.checkpoint(eager=True)
+            data = _next_round(data, pred.select(
+                features_col, label_col,
+                (F.col("__w") * F.when(F.col("__miss"), F.lit(math.exp(alpha))).otherwise(1.0)
+                 / F.lit(total)).alias("__w")), (m + 1) % self.ck == 0)
         return _AdaFitted(models, alphas, k)
 
 
@@ -383,9 +392,7 @@ class AdaBoostRegressorLearner:
             upd = pred.select(features_col, label_col,
                               (F.col("__w") * F.pow(F.lit(beta), (1 - F.col("__e")) * self.lr)).alias("__w"))
             total = upd.agg(F.sum("__w")).first()[0]
-            data = upd.withColumn("__w", F.col("__w") / F.lit(total))
-            if (m + 1) % self.ck == 0:
-                data = data.checkpoint(eager=True)
+            data = _next_round(data, upd.withColumn("__w", F.col("__w") / F.lit(total)), (m + 1) % self.ck == 0)
         return _AdaRegFitted(models, alphas)
 
 

@@ -51,6 +51,11 @@ def _unpivot_row(row_df: DataFrame, structs: list[Column]) -> DataFrame:
     return row_df.select(F.inline(F.array(*structs)))
 
 
+def fixed(report: DataFrame) -> DataFrame:
+    """A report (one row per column of a table) computed once, for several uses."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
+
+
 def _empty(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 

@@ -1,4 +1,4 @@
-"""Exact quantiles (linear interpolation) for many columns in two scans.
+"""Exact quantiles (linear interpolation) for many columns in three scans.
 
 The definition is the one of pandas / numpy / DuckDB ``quantile_cont``: position
 p·(n−1) between the order statistics, linearly interpolated.
@@ -6,7 +6,7 @@ p·(n−1) between the order statistics, linearly interpolated.
 1. One aggregate sketches every column (count and ``percentile_approx``, whose rank
    error is bounded by n / accuracy).  The sketch brackets every wanted rank between
    two values of the column.
-2. One more scan counts the values below each bracket and groups the values inside
+2. One scan counts the values below each bracket, and one groups the values inside
    it; the wanted order statistics are read off those counts.
 
 A bracket holds about 4 n / accuracy values.  Where that is more than ``INSIDE``
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import as_double
@@ -85,20 +85,19 @@ def _narrow(base: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
 
 
 def _read(base: DataFrame, brackets: list[_Bracket]) -> None:
-    """One scan: counts below (as an observation of the scan) and value counts inside."""
-    observed = Observation()
-    below = [F.count_if(F.col(f"v{b.column}") < F.lit(b.lo)).alias(f"b{k}") for k, b in enumerate(brackets)]
+    """Counts below and value counts inside each bracket; settles every rank that lies in its bracket."""
+    below = base.agg(*[F.count_if(F.col(f"v{b.column}") < F.lit(b.lo)).alias(f"b{k}")
+                       for k, b in enumerate(brackets)]).first()
     cells = F.filter(F.array(*[
         F.when(F.col(f"v{b.column}").between(F.lit(b.lo), F.lit(b.hi)),
                F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v"))) for k, b in enumerate(brackets)]),
         lambda x: x.isNotNull())
-    got = (base.observe(observed, F.count(F.lit(1)).alias("rows"), *below)
-           .select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count().collect())
+    got = base.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count().collect()
     values: dict[int, list] = {}
     for k, v, n in got:
         values.setdefault(k, []).append((v, n))
     for k, b in enumerate(brackets):
-        upto = b.below = observed.get[f"b{k}"]
+        upto = b.below = below[f"b{k}"]
         found = sorted(values.get(k, []))
         b.inside = sum(n for _, n in found)
         if not b.covers():

@@ -89,7 +89,8 @@ def target_ranking(df: DataFrame, top_k: int = 5, minimum_confidence: float = MI
     keep column order (a stable sort).
     """
     from pyspark.sql import Window
-    scores = target_scores(df).filter(~F.col("is_dt")).cache()   # one row per column
+    from strata.operators.profile import fixed
+    scores = fixed(target_scores(df).filter(~F.col("is_dt")))   # one row per column
     above = scores.filter(F.col("confidence") >= minimum_confidence)
     kept = above if above.limit(1).count() > 0 else scores
     top = kept.orderBy(F.desc("confidence"), F.asc("pos")).limit(top_k)

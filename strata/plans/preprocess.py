@@ -81,6 +81,7 @@ def preprocess(df: DataFrame, config: PreprocessConfig | None = None,
             from strata.session import ensure_checkpoint_dir
             ensure_checkpoint_dir(data.sparkSession)
             data = data.checkpoint(eager=True)
+        meta["removed_duplicates"] = df.count() - data.count()
     prof = {r["column"]: r for r in P.column_profile(data).collect()}   # one row per column
     cols = [c for c in data.columns if c != target]
     if config.drop_constant_columns:

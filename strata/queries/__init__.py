@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 _MODULES = ["profile_q", "types_q", "clean_q", "features_q", "encode_q", "io_q",
-            "schema_q", "target_q", "split_q", "evaluate_q", "charts_q", "models_q"]
+            "schema_q", "target_q", "evaluate_q", "charts_q", "models_q"]
 
 
 def register(key: str, sql: str | None = None):
@@ -33,9 +33,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> dict:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"strata.queries.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"strata.queries.{m}":
-                raise
+        importlib.import_module(f"strata.queries.{m}")
     return REGISTRY
