@@ -1,12 +1,16 @@
 """Exact k-nearest-neighbour scoring without a cross join.
 
 The fitted model is the training set, written once to the shared scratch
-folder as parquet blocks of bounded size.  Scoring is a ``mapInPandas`` over the
-query partitions: each task streams the training blocks from shared storage
-(never through the driver), computes squared Euclidean distances for one block
-at a time with numpy and keeps a running top-k per query row.  Memory per task
-is one block plus k candidates per query row; work is split by Spark over the
-query partitions.
+folder as parquet blocks.  Scoring is a ``mapInPandas`` over the query
+partitions: each task streams the training blocks from shared storage (never
+through the driver) in tiles of ``TILE_ROWS`` rows and compares them with tiles
+of ``QUERY_ROWS`` queries, keeping the k best per query.  One distance tile
+(``QUERY_ROWS`` x ``TILE_ROWS`` doubles, 32 MB) is alive at a time; per tile a
+partial selection finds the k-th distance and only rows up to it are ordered.
+
+A tile is skipped for queries that cannot find a neighbour in it: its rows lie
+within a radius of their centroid, so by the triangle inequality none is closer
+than the distance to the centroid less the radius.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from strata.session import scratch_path
 
 BLOCK_ROWS = 50_000
+TILE_ROWS, QUERY_ROWS = 8_192, 512
 
 
 def _local_path(p: str) -> str:
@@ -63,24 +68,11 @@ class KNNModel:
                 if pdf.empty:
                     continue
                 xq = np.stack(pdf["__x"].to_numpy()).astype("float64").reshape(len(pdf), dim)
-                best_d = np.full((len(pdf), k), np.inf)
-                best_i = np.full((len(pdf), k), np.iinfo(np.int64).max, dtype=np.int64)
-                best_y = np.zeros((len(pdf), k))
-                qn = (xq * xq).sum(axis=1)[:, None]
+                best = _Best(len(pdf), k)
                 for f in files:
-                    blk = _read_block(f)
-                    if blk.empty:
-                        continue
-                    xt = np.stack(blk["x"].to_numpy()).astype("float64").reshape(len(blk), dim)
-                    ids = blk["id"].to_numpy(dtype=np.int64)
-                    ys = blk["y"].to_numpy(dtype="float64")
-                    d = np.maximum(qn + (xt * xt).sum(axis=1)[None, :] - 2.0 * xq @ xt.T, 0.0)
-                    cd = np.concatenate([best_d, d], axis=1)
-                    ci = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-                    cy = np.concatenate([best_y, np.broadcast_to(ys, d.shape)], axis=1)
-                    order = np.lexsort((ci, cd), axis=1)[:, :k]
-                    rows = np.arange(len(pdf))[:, None]
-                    best_d, best_i, best_y = cd[rows, order], ci[rows, order], cy[rows, order]
+                    for xt, ids, ys in _tiles(f, dim):
+                        best.add(xq, xt, ids, ys)
+                best_d, best_y = best.d, best.y
                 res = pdf[keep_names].copy()
                 if problem == "classification":
                     votes = np.zeros((len(pdf), len(labels)))
@@ -100,13 +92,55 @@ class KNNModel:
         return scored
 
 
-def _read_block(uri: str) -> pd.DataFrame:
-    """Read one training block from shared storage inside a task (any
-    filesystem pyarrow resolves from the URI: local, HDFS, object stores)."""
+class _Best:
+    """The k nearest training rows of every query so far (ties: the smaller id)."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.d = np.full((n, k), np.inf)
+        self.i = np.full((n, k), np.iinfo(np.int64).max, dtype=np.int64)
+        self.y = np.zeros((n, k))
+
+    def add(self, xq: np.ndarray, xt: np.ndarray, ids: np.ndarray, ys: np.ndarray) -> None:
+        if not len(xt):
+            return
+        centre = xt.mean(axis=0)
+        radius = np.sqrt(((xt - centre) ** 2).sum(axis=1).max())
+        norm = (xt * xt).sum(axis=1)[None, :]
+        for at in range(0, len(xq), QUERY_ROWS):
+            q = xq[at:at + QUERY_ROWS]
+            # the slack keeps rounding from skipping a tie
+            nearest = np.sqrt(((q - centre) ** 2).sum(axis=1)) * (1 - 1e-9) - radius * (1 + 1e-9)
+            live = np.flatnonzero(np.maximum(nearest, 0.0) ** 2 <= self.d[at:at + len(q), -1] * (1 + 1e-9))
+            if not len(live):
+                continue
+            q = q[live]
+            d = np.maximum((q * q).sum(axis=1)[:, None] + norm - 2.0 * q @ xt.T, 0.0)
+            kth = np.partition(d, self.k - 1, axis=1)[:, self.k - 1] if d.shape[1] > self.k else np.full(len(q), np.inf)
+            kth = np.minimum(kth, self.d[at + live, -1])
+            row, col = np.nonzero(d <= kth[:, None])  # the k nearest of the tile and what ties with the last
+            begin = np.searchsorted(row, np.arange(len(q) + 1))
+            for r, where in enumerate(at + live):
+                c = col[begin[r]:begin[r + 1]]
+                if len(c):
+                    dd, ii = np.concatenate([self.d[where], d[r, c]]), np.concatenate([self.i[where], ids[c]])
+                    order = np.lexsort((ii, dd))[:self.k]
+                    self.d[where], self.i[where] = dd[order], ii[order]
+                    self.y[where] = np.concatenate([self.y[where], ys[c]])[order]
+
+
+def _tiles(uri: str, dim: int):
+    """(x, ids, labels) of a training block, tile by tile, from shared storage (any
+    file system pyarrow resolves from the URI: local, HDFS, object stores)."""
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
     fs, p = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + _local_path(uri))
-    return pq.read_table(p, filesystem=fs).to_pandas()
+    with fs.open_input_file(p) as f:
+        for batch in pq.ParquetFile(f).iter_batches(TILE_ROWS, columns=["id", "x", "y"]):
+            if batch.num_rows:
+                x = np.asarray(batch.column("x").flatten().to_numpy(zero_copy_only=False), "float64")
+                yield (x.reshape(batch.num_rows, dim), batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64),
+                       batch.column("y").to_numpy(zero_copy_only=False).astype("float64"))
 
 
 def _is_vector(df: DataFrame, c: str) -> bool:

@@ -436,6 +436,8 @@ class KNNLearner:
 
 
 class _KNNFitted:
+    """A k-NN model; its training blocks are its parameters."""
+
     feature_importances = None
 
     def __init__(self, model, id_col):
@@ -539,3 +541,63 @@ def model_supports_probability(name: str, problem: str) -> bool:
 
 def model_supports_shap(name: str, problem: str) -> bool:
     return get_model_definition(name, problem).supports_shap
+
+
+# ---------------------------------------------------------------------------
+# saving and loading fitted learners
+# ---------------------------------------------------------------------------
+
+def write_json(spark, doc: dict, path: str) -> None:
+    """A small record as one text file, through Spark's file systems."""
+    import json
+    spark.createDataFrame([(json.dumps(doc, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark, path: str) -> dict:
+    import json
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def save_fitted(spark, fitted, path: str) -> None:
+    """Write any fitted learner of the registry."""
+    doc, stages = {"kind": type(fitted).__name__}, []
+    if isinstance(fitted, SparkFitted):
+        stages = [fitted.model]
+    elif isinstance(fitted, _PlattFitted):
+        stages = [fitted.model, fitted.platt]
+    elif isinstance(fitted, _OvrFitted):
+        stages, doc["k"], doc["sharpen"] = [fitted.model], fitted.k, fitted.sharpen
+    elif isinstance(fitted, (_AdaFitted, _AdaRegFitted)):
+        stages, doc["alphas"], doc["k"] = fitted.models, fitted.alphas, getattr(fitted, "k", None)
+    elif isinstance(fitted, _KNNFitted):
+        m = fitted.model
+        spark.read.parquet(m.path).write.mode("overwrite").parquet(f"{path}/blocks")
+        doc |= {"k": m.k, "problem": m.problem, "dim": m.dim, "labels": m.labels, "features_col": m.features_col,
+                "label_col": m.label_col, "knn_id": m.id_col, "id_col": fitted.id_col}
+    else:
+        raise TypeError(f"{type(fitted).__name__} cannot be saved")
+    for i, stage in enumerate(stages):
+        stage.write().overwrite().save(f"{path}/stage{i}")
+    write_json(spark, doc | {"stages": len(stages)}, f"{path}/fitted")
+
+
+def load_fitted(spark, path: str):
+    from pyspark.ml.util import DefaultParamsReader
+    doc = read_json(spark, f"{path}/fitted")
+    stages = [DefaultParamsReader.loadParamsInstance(f"{path}/stage{i}", spark.sparkContext)
+              for i in range(doc["stages"])]
+    kind = doc["kind"]
+    if kind == "SparkFitted":
+        return SparkFitted(stages[0])
+    if kind == "_PlattFitted":
+        return _PlattFitted(*stages)
+    if kind == "_OvrFitted":
+        return _OvrFitted(stages[0], doc["k"], doc["sharpen"])
+    if kind == "_AdaFitted":
+        return _AdaFitted(stages, doc["alphas"], doc["k"])
+    if kind == "_AdaRegFitted":
+        return _AdaRegFitted(stages, doc["alphas"])
+    from strata.operators.knn import KNNModel
+    files = sorted(spark.read.parquet(f"{path}/blocks").inputFiles())
+    return _KNNFitted(KNNModel(f"{path}/blocks", doc["k"], doc["problem"], doc["dim"], doc["labels"],
+                               doc["features_col"], doc["label_col"], doc["knn_id"], files), doc["id_col"])

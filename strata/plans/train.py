@@ -7,6 +7,7 @@ Spark ML learners from the registry.  Scores are DataFrame aggregations.
 from __future__ import annotations
 
 import itertools
+import logging
 import random
 import time
 from dataclasses import dataclass, field
@@ -22,6 +23,8 @@ from strata.operators import models as M
 from strata.operators import split as SP
 from strata.plans.preprocess import PreprocessConfig, build_preprocessor
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class TrainConfig:
@@ -35,6 +38,9 @@ class TrainConfig:
     tuning_method: str = "grid"
     tuning_iterations: int = 25
     exact_split: bool = False
+    # accuracy, f1, precision, recall (classification); r2, neg_mean_squared_error,
+    # neg_mean_absolute_error, neg_root_mean_squared_error (regression); None: accuracy or r2
+    scoring: str | None = None
 
 
 @dataclass
@@ -52,6 +58,7 @@ class TrainingResult:
     cross_validation: DataFrame | None = None
     best_parameters: dict = field(default_factory=dict)
     metadata: dict = field(default_factory=dict)
+    id_col: object = None
 
 
 # ---------------------------------------------------------------------------
@@ -94,11 +101,22 @@ def _with_label(df: DataFrame, target: str, labels: M.LabelIndex | None) -> Data
     return df.withColumn("label", lab)
 
 
-def score_expr_df(pred: DataFrame, problem: str) -> DataFrame:
-    """One row (score): accuracy for classification, R² for regression."""
-    if problem == "classification":
+# Scoring names and the metric (and sign) they stand for.
+SCORINGS = {"accuracy": ("accuracy", 1), "f1": ("f1", 1), "precision": ("precision", 1), "recall": ("recall", 1),
+            "r2": ("R2", 1), "neg_mean_squared_error": ("MSE", -1), "neg_mean_absolute_error": ("MAE", -1),
+            "neg_root_mean_squared_error": ("RMSE", -1)}
+
+
+def score_expr_df(pred: DataFrame, problem: str, scoring: str | None = None) -> DataFrame:
+    """One row (score): accuracy for classification, R² for regression, or the named scoring."""
+    scoring = scoring or ("accuracy" if problem == "classification" else "r2")
+    if scoring not in SCORINGS:
+        raise ValueError(f"unknown scoring {scoring!r}")
+    if scoring == "accuracy":
         return pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("score"))
-    return EV.regression_metrics(pred, "label", "prediction").select(F.col("R2").alias("score"))
+    metric, sign = SCORINGS[scoring]
+    of = EV.classification_metrics if problem == "classification" else EV.regression_metrics
+    return of(pred, "label", "prediction").select((F.col(metric) * sign).alias("score"))
 
 
 # ---------------------------------------------------------------------------
@@ -118,27 +136,31 @@ def fit_once(train: DataFrame, features, target, learner, problem, labels, prep_
     return prep, fitted
 
 
-def cross_validate(df: DataFrame, features, target, learner_factory, problem, id_col,
-                   config: TrainConfig, labels=None) -> DataFrame:
-    """(fold, train_score, test_score, fit_time) for k folds: stratified exact
-    folds for classification, hash folds otherwise."""
+def fold_rows(df: DataFrame, target, problem, id_col, config: TrainConfig) -> DataFrame:
+    """``df`` with its fold number: stratified exact folds for classification, hash folds otherwise."""
     if problem == "classification" and config.stratified:
-        folded = SP.stratified_split(df, target, id_col, config.test_size, config.random_state,
-                                     flag="__t", k_folds=config.cv_folds).drop("__t")
-    else:
-        folded = df.withColumn("fold", SP.hash_fold(id_col, config.cv_folds, config.random_state))
-    folded = folded.cache()
+        return SP.stratified_split(df, target, id_col, config.test_size, config.random_state,
+                                   flag="__t", k_folds=config.cv_folds).drop("__t")
+    return df.withColumn("fold", SP.hash_fold(id_col, config.cv_folds, config.random_state))
+
+
+def cross_validate(df: DataFrame, features, target, learner_factory, problem, id_col,
+                   config: TrainConfig, labels=None, folded: DataFrame | None = None) -> DataFrame:
+    """(fold, train_score, test_score, fit_time) for k folds; ``folded`` passes rows folded before."""
+    own = folded is None
+    if own:
+        folded = fold_rows(df, target, problem, id_col, config).persist()
     rows = []
     for k in range(config.cv_folds):
         tr, te = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
         t0 = time.perf_counter()
         prep, fitted = fit_once(tr, features, target, learner_factory(), problem, labels)
         fit_time = time.perf_counter() - t0
-        s_tr = score_expr_df(fitted.transform(_with_label(prep.transform(tr), target, labels)), problem).first()[0]
-        s_te = score_expr_df(fitted.transform(_with_label(prep.transform(te), target, labels)), problem).first()[0]
-        rows.append((k, float(s_tr) if s_tr is not None else None, float(s_te) if s_te is not None else None,
-                     fit_time))
-    folded.unpersist()
+        both = [score_expr_df(fitted.transform(_with_label(prep.transform(part), target, labels)), problem,
+                              config.scoring).first()[0] for part in (tr, te)]
+        rows.append((k, *(float(x) if x is not None else None for x in both), fit_time))
+    if own:
+        folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, train_score double, test_score double, fit_time double")
 
 
@@ -158,20 +180,23 @@ def parameter_candidates(grid: dict, method: str = "grid", iterations: int = 25,
     return combos
 
 
-def tune(df, features, target, model_name, problem, id_col, grid, config: TrainConfig, labels=None):
-    """Grid (or seeded random) search: best mean CV test score wins; an empty
-    grid is a plain fit with defaults."""
+def tune(df, features, target, model_name, problem, id_col, grid, config: TrainConfig, labels=None, overrides=None):
+    """Grid (or seeded random) search over parameters on top of ``overrides``: the best mean CV
+    test score wins; an empty grid is a plain fit with defaults.  Rows are folded once for all."""
     if not grid:
         return {}, None
     best, best_score, table = {}, None, []
+    folded = fold_rows(df, target, problem, id_col, config).persist()
     for params in parameter_candidates(grid, config.tuning_method, config.tuning_iterations,
                                        config.random_state):
-        cv = cross_validate(df, features, target, lambda p=params: M.create_model(model_name, problem, **p),
-                            problem, id_col, config, labels)
+        cv = cross_validate(df, features, target,
+                            lambda p=params: M.create_model(model_name, problem, **{**(overrides or {}), **p}),
+                            problem, id_col, config, labels, folded)
         s = cv.agg(F.avg("test_score")).first()[0]
         table.append((str(params), float(s) if s is not None else None))
         if s is not None and (best_score is None or s > best_score):
             best, best_score = params, s
+    folded.unpersist()
     res = df.sparkSession.createDataFrame(table, "params string, mean_test_score double")
     return best, res
 
@@ -190,7 +215,7 @@ def train_model(df: DataFrame, target: str, model_name: str, problem: str, featu
     test = flagged.where(F.col("is_test")).drop("is_test")
     best = {}
     if config.hyperparameter_tuning and grid:
-        best, _ = tune(train, features, target, model_name, problem, id_col, grid, config, labels)
+        best, _ = tune(train, features, target, model_name, problem, id_col, grid, config, labels, overrides)
     params = dict(overrides)
     params.update(best)
     t0 = time.perf_counter()
@@ -203,7 +228,7 @@ def train_model(df: DataFrame, target: str, model_name: str, problem: str, featu
                             problem, id_col, config, labels)
     meta = {"problem_type": problem, "features": features, "target": target, "model": model_name}
     return TrainingResult(fitted, prep, labels, features, target, problem, training_time, train, test, preds,
-                          cv, best, meta)
+                          cv, best, meta, id_col)
 
 
 # Training-summary metric names.
@@ -306,37 +331,87 @@ def permutation_importance(result: TrainingResult, data: DataFrame, id_col, repe
         .orderBy(F.desc("importance_mean"), F.asc("feature"))
 
 
-def evaluate_model(result: TrainingResult, permutation: bool = False, id_col=None) -> dict:
-    """Metrics (+ confusion matrix / report / AUC for classification), feature
-    importance and optionally permutation importance; failures give None."""
-    out = {}
+def _scores_of(p: DataFrame, labels: M.LabelIndex) -> DataFrame:
+    """One row (roc_auc) from the class probabilities."""
+    k = len(labels.labels)
+    arr = p.withColumn("__p", vector_to_array("probability"))
+    if k == 2:
+        return EV.roc_auc(arr.withColumn("__s", F.col("__p")[1]), "label", "__s", 1.0)
+    wide = arr.select(F.col("label").cast("string").alias("label"), *[F.col("__p")[i].alias(f"__p{i}") for i in range(k)])
+    return EV.roc_auc_ovr(wide, "label", {str(float(i)): f"__p{i}" for i in range(k)})
+
+
+def evaluate_model(result: TrainingResult, permutation: bool = True, id_col=None, repeats: int = 10) -> dict:
+    """Metrics (with ROC AUC in the row where there are probabilities), confusion matrix and report in
+    the user's labels, feature importance and permutation importance (by the training ids unless
+    ``id_col`` is given).  A part that cannot be computed is None; ``problems`` names it and why."""
+    out, problems = {}, {}
     p = result.predictions
-    if result.problem == "classification":
-        out["metrics"] = EV.classification_metrics(p, "label", "prediction")
-        out["confusion_matrix"] = EV.confusion_matrix(p, "label", "prediction")
-        out["classification_report"] = EV.classification_report(p, "label", "prediction")
+
+    def part(name, make):
         try:
-            if "probability" in p.columns:
-                k = len(result.labels.labels)
-                arr = p.withColumn("__p", vector_to_array("probability"))
-                if k == 2:
-                    out["roc_auc"] = EV.roc_auc(arr.withColumn("__s", F.col("__p")[1]), "label", "__s", 1.0)
-                else:
-                    cols = {float(i): f"__p{i}" for i in range(k)}
-                    wide = arr.select("label", *[F.col("__p")[i].alias(f"__p{i}") for i in range(k)])
-                    out["roc_auc"] = EV.roc_auc_ovr(wide.withColumn("label", F.col("label").cast("string")),
-                                                    "label", {str(k_): v for k_, v in cols.items()})
-        except Exception:  # noqa: BLE001
-            out["roc_auc"] = None
+            out[name] = make()
+        except Exception as e:  # noqa: BLE001  the other parts are still of use
+            log.warning("evaluation part %s failed: %s", name, e)
+            out[name], problems[name] = None, f"{type(e).__name__}: {e}"
+
+    if result.problem == "classification":
+        named = p.withColumn("actual", result.labels.to_label(F.col("label"))).withColumn(
+            "predicted", result.labels.to_label(F.col("prediction")))
+        metrics = EV.classification_metrics(named, "actual", "predicted")
+        out["confusion_matrix"] = EV.confusion_matrix(named, "actual", "predicted")
+        out["classification_report"] = EV.classification_report(named, "actual", "predicted")
+        out["roc_auc"] = None
+        if "probability" in p.columns:
+            part("roc_auc", lambda: _scores_of(p, result.labels))
+        if out["roc_auc"] is not None:
+            from strata.operators.health import _side_by_side
+            metrics = _side_by_side(metrics, out["roc_auc"])
+        out["metrics"] = metrics
     else:
         out["metrics"] = EV.regression_metrics(p, "label", "prediction")
-    try:
-        out["feature_importance"] = feature_importance(result)
-    except Exception:  # noqa: BLE001
-        out["feature_importance"] = None
-    if permutation and id_col:
-        try:
-            out["permutation_importance"] = permutation_importance(result, result.test, id_col)
-        except Exception:  # noqa: BLE001
-            out["permutation_importance"] = None
+    part("feature_importance", lambda: feature_importance(result))
+    if permutation:
+        part("permutation_importance",
+             lambda: permutation_importance(result, result.test, id_col or result.id_col, repeats))
+    out["problems"] = problems
     return out
+
+
+# ---------------------------------------------------------------------------
+# saving and loading
+# ---------------------------------------------------------------------------
+
+def save_result(result: TrainingResult, path: str) -> str:
+    """Model, fitted preparation, labels and metadata under ``path`` (any file system Spark writes)."""
+    spark = result.train.sparkSession
+    M.save_fitted(spark, result.model, f"{path}/model")
+    if result.prep.model is not None:
+        result.prep.model.write().overwrite().save(f"{path}/prep")
+    empty = result.train.limit(0)
+    empty.write.mode("overwrite").parquet(f"{path}/schema")
+    label_type = None if result.labels is None else empty.schema[result.target].dataType.simpleString()
+    doc = {"features": result.features, "target": result.target, "problem": result.problem,
+           "has_prep": result.prep.model is not None, "label_type": label_type,
+           "labels": None if result.labels is None else [str(x) for x in result.labels.labels],
+           "training_time": result.training_time, "best_parameters": result.best_parameters,
+           "metadata": result.metadata, "id_col": result.id_col}
+    M.write_json(spark, doc, f"{path}/result")
+    return path
+
+
+def load_result(spark, path: str) -> TrainingResult:
+    """A saved result, ready for ``predict`` (its predictions and cross-validation are not saved)."""
+    from pyspark.ml import PipelineModel
+    doc = M.read_json(spark, f"{path}/result")
+    prep = FeaturePrep(doc["features"], doc["target"])
+    if doc["has_prep"]:
+        prep.model = PipelineModel.load(f"{path}/prep")
+    labels = None
+    if doc["labels"] is not None:
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(doc["labels"])], "i int, v string")
+        labels = M.LabelIndex([r[1] for r in sorted(rows.select("i", F.col("v").cast(doc["label_type"])).collect())])
+    train = spark.read.parquet(f"{path}/schema")
+    return TrainingResult(M.load_fitted(spark, f"{path}/model"), prep, labels, doc["features"], doc["target"],
+                          doc["problem"], doc["training_time"], train, train, None, None, doc["best_parameters"],
+                          doc["metadata"], doc["id_col"])

@@ -159,8 +159,10 @@ def train_test_split(spark, sf):
 @register("cross_validate", f"""
 SELECT o_orderkey, o_orderstatus,
   CAST(FLOOR(CAST(('0x' || substr({_MD5}, 1, 8)) AS BIGINT) * 5 / 4294967296.0) AS INTEGER) AS fold,
-  CAST((ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_MD5}) - 1) % 5 AS INTEGER) AS strat_fold
-FROM orders""")
+  CAST((rk > ROUND(n * 0.2)) AS INTEGER) + CAST((rk > ROUND(n * 0.4)) AS INTEGER)
+    + CAST((rk > ROUND(n * 0.6)) AS INTEGER) + CAST((rk > ROUND(n * 0.8)) AS INTEGER) AS strat_fold
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY {_MD5}) AS rk,
+        COUNT(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)""")
 def cross_validate(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     o = o.withColumn("fold", SP.hash_fold("o_orderkey", 5))

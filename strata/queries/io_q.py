@@ -79,23 +79,32 @@ def sink_json(spark, sf):
     return spark.read.schema("column string, missing long").json(path)
 
 
-@register("export_project")
+@register("export_project", """
+SELECT f AS "File", TRUE AS has_size FROM (VALUES ('cleaned_dataset.csv'), ('predictions.csv'), ('metrics.json'),
+  ('metrics.csv'), ('model'), ('charts')) AS t(f)""")
 def export_project(spark, sf):
-    """Export folder of the cleaned orders plus metrics; returns its manifest."""
+    """Export folder of the cleaned orders with predictions, metrics, model and a chart; its manifest."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
     from strata.plans.preprocess import preprocess
     from strata.queries.common import orders_n
     cleaned, _ = preprocess(orders_n(spark, sf))
-    metrics = table(spark, sf, "lineitem").agg(
-        F.avg(F.abs(F.col("l_extendedprice") - F.col("l_quantity") * 1500)).alias("MAE"))
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["l_quantity"], outputCol="features"),
+                             LinearRegression(labelCol="l_extendedprice")]).fit(line)
+    predictions = model.transform(line).drop("features")
+    metrics = predictions.agg(F.avg(F.abs(F.col("l_extendedprice") - F.col("prediction"))).alias("MAE"))
     folder = scratch_path(spark, "export")
-    W.export_project(spark, folder, cleaned=cleaned, metrics=metrics,
+    W.export_project(spark, folder, cleaned=cleaned, predictions=predictions, metrics=metrics, model=model,
                      charts={"value_counts": table(spark, sf, "orders").groupBy("o_orderstatus").count()})
-    return W.export_manifest(spark, folder)
+    return W.export_manifest(spark, folder).select("File", (F.col("Size_KB") > 0).alias("has_size"))
 
 
-@register("export_manifest")
+@register("export_manifest", """
+SELECT f AS "File", TRUE AS has_size FROM (VALUES ('region.csv'), ('nation.parquet')) AS t(f)""")
 def export_manifest(spark, sf):
     folder = scratch_path(spark, "manifest")
     W.save_table(table(spark, sf, "region"), os.path.join(folder, "region.csv"))
     W.save_table(table(spark, sf, "nation"), os.path.join(folder, "nation.parquet"))
-    return W.export_manifest(spark, folder)
+    return W.export_manifest(spark, folder).select("File", (F.col("Size_KB") > 0).alias("has_size"))

@@ -64,14 +64,13 @@ def fit_tree(spark, sf):
 
 @register("fit_forest")
 def fit_forest(spark, sf):
-    # 20 trees in the check (the registry default is 300)
-    return _cls(spark, sf, "Random Forest", num_trees=20)
+    return _cls(spark, sf, "Random Forest")
 
 
 @register("fit_gbt")
 def fit_gbt(spark, sf):
     res = TR.train_model(_docs(spark, sf), "quality", "Gradient Boosting", "classification",
-                         ["n_chars", "lang", "source"], "doc_id", _NO_CV, overrides={"max_iter": 20})
+                         ["n_chars", "lang", "source"], "doc_id", _NO_CV)
     return _preds(res, "doc_id")
 
 
@@ -107,16 +106,26 @@ def fit_knn(spark, sf):
     return _cls(spark, sf, "K-Nearest Neighbours")
 
 
-@register("fit_naive_bayes")
+_NB_SQL = """
+WITH e AS (SELECT vec_id, label, embedding, md5(CAST(vec_id AS VARCHAR) || ':42') < '33333333' AS is_test FROM embeddings),
+x AS (SELECT vec_id, label, is_test, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS j FROM e),
+eps AS (SELECT 1e-9 * MAX(v) AS eps FROM (SELECT VAR_POP(v) AS v FROM x WHERE NOT is_test GROUP BY j)),
+m AS (SELECT label, j, AVG(v) AS mu, VAR_POP(v) + (SELECT eps FROM eps) AS s2 FROM x WHERE NOT is_test GROUP BY label, j),
+p AS (SELECT label, LN(COUNT(*) * 1.0 / SUM(COUNT(*)) OVER ()) AS lp FROM e WHERE NOT is_test GROUP BY label),
+s AS (SELECT x.vec_id, x.label AS actual, m.label AS c, MAX(p.lp) + SUM(-0.5 * LN(2 * PI() * s2) - (v - mu) * (v - mu) / (2 * s2)) AS ll
+      FROM x JOIN m USING (j) JOIN p ON p.label = m.label WHERE x.is_test GROUP BY x.vec_id, x.label, m.label)
+SELECT vec_id, actual, c AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC) AS r FROM s)
+WHERE r = 1"""
+
+
+@register("fit_naive_bayes", _NB_SQL)
 def fit_naive_bayes(spark, sf):
-    res = TR.train_model(_docs(spark, sf), "quality", "Naive Bayes", "classification",
-                         ["n_chars"], "doc_id", _NO_CV)
-    return _preds(res, "doc_id")
+    return _cls(spark, sf, "Naive Bayes")
 
 
 @register("fit_mlp")
 def fit_mlp(spark, sf):
-    return _cls(spark, sf, "Multi-layer Perceptron", max_iter=100)
+    return _cls(spark, sf, "Multi-layer Perceptron")
 
 
 @register("fit_linear", """
@@ -149,29 +158,36 @@ def fit_elastic_net(spark, sf):
 
 @register("fit_tree_regressor")
 def fit_tree_regressor(spark, sf):
-    return _reg(spark, sf, "Decision Tree Regressor", max_depth=8)
+    return _reg(spark, sf, "Decision Tree Regressor")
 
 
 @register("fit_forest_regressor")
 def fit_forest_regressor(spark, sf):
-    return _reg(spark, sf, "Random Forest Regressor", num_trees=20, max_depth=8)
+    return _reg(spark, sf, "Random Forest Regressor")
 
 
 @register("fit_gbt_regressor")
 def fit_gbt_regressor(spark, sf):
-    return _reg(spark, sf, "Gradient Boosting Regressor", max_iter=20)
+    return _reg(spark, sf, "Gradient Boosting Regressor")
 
 
 @register("fit_adaboost_regressor")
 def fit_adaboost_regressor(spark, sf):
-    return _reg(spark, sf, "AdaBoost Regressor", n_estimators=10)
+    return _reg(spark, sf, "AdaBoost Regressor")
 
 
-@register("fit_knn_regressor")
+_KNN_REG_SQL = _KNN_SQL.split("v AS (SELECT qid")[0].replace("tr.label AS tlabel", "CAST(tr.label AS DOUBLE) AS tlabel") \
+    .rstrip().rstrip(",") + """
+SELECT qid AS vec_id, CAST(actual AS DOUBLE) AS actual, ROUND(AVG(tlabel), 9) AS prediction FROM r WHERE rn <= 5
+GROUP BY qid, actual"""
+
+
+@register("fit_knn_regressor", _KNN_REG_SQL)
 def fit_knn_regressor(spark, sf):
-    res = TR.train_model(_docs(spark, sf), "n_chars", "K-Nearest Neighbours Regressor", "regression",
-                         ["quality"], "doc_id", _NO_CV)
-    return _preds(res, "doc_id")
+    """Mean label (as a number) of the five nearest embeddings."""
+    d = _emb(spark, sf).withColumn("label", F.col("label").cast("double"))
+    res = TR.train_model(d, "label", "K-Nearest Neighbours Regressor", "regression", ["embedding"], "vec_id", _NO_CV)
+    return _preds(res, "vec_id").withColumn("prediction", F.round("prediction", 9))
 
 
 @register("train_model")
@@ -187,7 +203,7 @@ def train_model(spark, sf):
 
 @register("tune")
 def tune(spark, sf):
-    cfg = TR.TrainConfig(cross_validation=False, hyperparameter_tuning=True, cv_folds=3)
+    cfg = TR.TrainConfig(cross_validation=False, hyperparameter_tuning=True, cv_folds=5)
     res = TR.train_model(_docs(spark, sf), "quality", "Decision Tree", "classification",
                          ["n_chars", "lang", "source"], "doc_id", cfg, grid={"max_depth": [2, 4, 8]})
     return spark.createDataFrame([(k, str(v)) for k, v in res.best_parameters.items()],
@@ -196,21 +212,14 @@ def tune(spark, sf):
         .select(F.lit("test_rows").alias("parameter"), "value"))
 
 
-@register("sink_model")
+@register("sink_model", _KNN_SQL.replace("SELECT qid AS vec_id, actual, tlabel AS prediction FROM w WHERE rk = 1",
+                                         "SELECT qid AS vec_id, tlabel AS prediction FROM w WHERE rk = 1"))
 def sink_model(spark, sf):
-    """Save and reload a fitted preprocessing + model pipeline; score with the
-    reloaded copy."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from strata.plans.preprocess import build_preprocessor
-    from strata.sources.writers import load_model, save_model
-    d = _docs(spark, sf).withColumn("label", F.col("quality").cast("double"))
-    pipe, _, _ = build_preprocessor(d.drop("label"), target="quality")
-    full = Pipeline(stages=pipe.getStages() + [LogisticRegression(maxIter=50)])
-    model = full.fit(d)
-    path = scratch_path(spark, "model")
-    save_model(model, path)
-    return load_model(path).transform(d).select("doc_id", "quality", "prediction")
+    """A registry model saved with its preparation and labels, loaded again and used to predict."""
+    res = TR.train_model(_emb(spark, sf), "label", "K-Nearest Neighbours", "classification", ["embedding"], "vec_id",
+                         _NO_CV)
+    loaded = TR.load_result(spark, TR.save_result(res, scratch_path(spark, "model")))
+    return TR.predict(loaded, res.test).select("vec_id", F.col("Prediction").alias("prediction"))
 
 
 def _trained_docs(spark, sf, name="Random Forest", **kw):
@@ -222,21 +231,22 @@ def _trained_docs(spark, sf, name="Random Forest", **kw):
 def predict(spark, sf):
     """Score all documents that have no label with the quality model; the
     scoring table lacks the ``source`` feature (filled)."""
-    res = _trained_docs(spark, sf, num_trees=20)
+    res = _trained_docs(spark, sf)
     unlabeled = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti") \
         .select("doc_id", "n_chars", "lang", "text")
     return TR.predict(res, unlabeled).drop("text")
 
 
-@register("prediction_summary")
+@register("prediction_summary", """
+SELECT COUNT(*) AS rows_predicted, TRUE AS probabilities, CAST(6 AS BIGINT) AS output_columns FROM documents""")
 def prediction_summary(spark, sf):
-    res = _trained_docs(spark, sf, num_trees=20)
+    res = _trained_docs(spark, sf)
     return TR.prediction_summary(TR.predict(res, table(spark, sf, "documents").select("doc_id", "n_chars", "lang")))
 
 
 @register("feature_importance")
 def feature_importance(spark, sf):
-    res = _trained_docs(spark, sf, num_trees=20)
+    res = _trained_docs(spark, sf)
     return TR.feature_importance(res)
 
 
@@ -244,7 +254,7 @@ def feature_importance(spark, sf):
 def permutation_importance(spark, sf):
     res = TR.train_model(_docs(spark, sf), "quality", "Logistic Regression", "classification",
                          ["n_chars", "lang"], "doc_id", _NO_CV)
-    return TR.permutation_importance(res, res.test, "doc_id", repeats=3)
+    return TR.permutation_importance(res, res.test, "doc_id", repeats=10)
 
 
 @register("evaluate")

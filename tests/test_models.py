@@ -115,3 +115,69 @@ def test_score_stream(spark, tmp_path):
     q.stop()
     out = spark.sql("SELECT * FROM scored_stream")
     assert out.count() == 120 and "Prediction" in out.columns
+
+
+@pytest.mark.parametrize("name,problem", [(n, p) for p in ("classification", "regression") for n in M.available_models(p)])
+def test_every_model_is_saved_and_loaded(spark, tmp_path, name, problem):
+    import random
+    rng = random.Random(1)
+    data = [(i, rng.random(), rng.random(), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame([(i, x, y, c, ("no" if x + y < 1 else "yes"), 3 * x - y) for i, x, y, c in data],
+                               "id long, x double, y double, c string, cls string, num double")
+    target = "cls" if problem == "classification" else "num"
+    small = {"num_trees": 5} if "Forest" in name else {"max_iter": 5} if "Boosting" in name or "Perceptron" in name \
+        else {"n_estimators": 4} if "AdaBoost" in name else {}
+    feats = ["x", "y"] if name in ("Naive Bayes",) else ["x", "y", "c"]
+    res = TR.train_model(df, target, name, problem, feats, "id", TR.TrainConfig(cross_validation=False), overrides=small)
+    loaded = TR.load_result(spark, TR.save_result(res, f"file://{tmp_path}/m"))
+    one, two = (sorted(map(str, TR.predict(r, df).collect())) for r in (res, loaded))
+    assert one == two
+
+
+def test_evaluation_uses_the_users_labels(spark):
+    df = spark.createDataFrame([(i, float(i % 7), "FOP"[i % 3] if i % 7 < 6 else "P") for i in range(210)],
+                               "id long, x double, y string")
+    res = TR.train_model(df, "y", "Decision Tree", "classification", ["x"], "id", TR.TrainConfig(cross_validation=False))
+    ev = TR.evaluate_model(res, repeats=2)
+    assert {r["actual"] for r in ev["confusion_matrix"].collect()} == {"F", "O", "P"}
+    assert "roc_auc" in ev["metrics"].columns and ev["metrics"].count() == 1
+    assert {r["feature"] for r in ev["permutation_importance"].collect()} == {"x"} and ev["problems"] == {}
+
+
+def test_tuning_finds_the_known_best_and_keeps_overrides(spark):
+    df = spark.createDataFrame([(i, float(i % 16), (i % 16) // 2 % 2) for i in range(480)], "id long, x double, y int")
+    cfg = TR.TrainConfig(cross_validation=False, hyperparameter_tuning=True, cv_folds=3, scoring="f1")
+    res = TR.train_model(df, "y", "Decision Tree", "classification", ["x"], "id", cfg, grid={"max_depth": [1, 6]},
+                         overrides={"seed": 7})
+    assert res.best_parameters == {"max_depth": 6}
+
+
+def test_stratified_split_matches_ranks(spark):
+    import hashlib
+    from strata.operators.split import stratified_split
+    rows_ = [(i, "ab"[i % 5 == 0]) for i in range(500)] + [(1000 + i, None) for i in range(7)]
+    out = stratified_split(spark.createDataFrame(rows_, "id long, y string"), "y", "id", 0.2, k_folds=4).collect()
+    assert len(out) == len(rows_)
+    for lab in ("a", "b", None):
+        ids = sorted((i for i, y in rows_ if y == lab), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+        n = len(ids)
+        got = {r["id"]: (r["is_test"], r["fold"]) for r in out if r["y"] == lab}
+        cut = [int(n * 0.2 + 0.5)] + [int(n * f / 4 + 0.5) for f in (1, 2, 3)]
+        for k, i in enumerate(ids, 1):
+            assert got[i] == (k <= cut[0], sum(k > c for c in cut[1:])), (lab, i)
+
+
+def test_knn_tiles_and_ties(spark, monkeypatch):
+    import numpy as np
+    from strata.operators import knn as K
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, (300, 3)).astype(float)
+    best = K._Best(len(x), 5)
+    monkeypatch.setattr(K, "QUERY_ROWS", 7)
+    ids, ys = np.arange(300)[::-1].copy(), rng.random(300)
+    for at in range(0, 300, 23):
+        best.add(x, x[at:at + 23], ids[at:at + 23], ys[at:at + 23])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    for q in range(300):
+        order = np.lexsort((ids, d[q]))[:5]
+        assert (best.i[q] == ids[order]).all() and np.allclose(best.d[q], d[q][order]) and (best.y[q] == ys[order]).all()
