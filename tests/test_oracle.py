@@ -10,10 +10,6 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 
 
-# oracles whose SELECT list encodes a data-dependent column decision taken at sf0.01
-SF001_ONLY = {"drop_high_missing"}
-
-
 def _norm(v):
     import pandas as pd
     if v is None or v is pd.NaT or v is pd.NA:
@@ -53,8 +49,6 @@ def _keys():
 @pytest.mark.parametrize("key", _keys())
 def test_query_matches_oracle(spark, duck, key):
     import __spark_entry__ as E
-    if key in SF001_ONLY and not SF.rstrip("/").endswith("sf0.01"):
-        pytest.skip("oracle lists the columns kept at sf0.01 (null shares differ by scale)")
     sdf = E.queries()[key](spark, SF).toPandas()
     odf = duck.execute(E.oracle_sql()[key]).df()
     assert sorted(sdf.columns) == sorted(odf.columns)
