@@ -14,9 +14,10 @@ T = ceil(n * percent / 100) of them with every text it links to.
    to must occur in one of the short ones, so only these are merged, and only where
    length and position still allow the overlap.
 4. Lists are merged in star rounds first: every text meets, of the leaders of its
-   lists (another random leader per list and round), the one it shares most short
-   lists with.  Verified links merge components.  The last round meets all pairs of
-   a list whose components still differ, and keeps those that share enough short
+   lists (a random member of the list's largest component, another one every
+   round), the one it shares most short lists with.  Verified links merge
+   components.  The last round meets all pairs whose components still differ, each
+   pair once (in its first shared list), and keeps those that share enough short
    lists to reach the overlap if all the long ones agreed.  So large groups cost a few rows per text,
    and no link between different components is lost.
 5. Candidates are verified by binary probes of one text's shingles in the other's
@@ -35,6 +36,7 @@ their own texts; an empty table gives an empty result; extra columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize
+from strata.llm.common import materialize, slices
 from strata.llm.runs import (RUN_BYTES, cut, mix, pack, pack_sorted, release_shuffles, run_of, shared_sizes, unpack,
                              unpack_sorted, word_hashes)
 
-WORDS, PERCENT, STAR_ROUNDS = 5, 75, 3
+WORDS, PERCENT, STAR_ROUNDS = 5, 75, 6
 #: keys are cut to 48 bits for the question whether they occur elsewhere; that is only a filter
 _FILTER = np.uint64(0xFFFFFFFFFFFF0000)
 _SEVERAL = 0xFFFFFFFF
@@ -134,16 +136,10 @@ def _ask(words: int, buckets: int, run_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(ids):
-                end, size = at, 0
-                while end < len(ids) and (end == at or size < run_bytes):
-                    size += len(texts[end] or "")
-                    end += 1
-                yield from _one_run((part << 32) + number, ids[at:end], shingle_sets(texts[at:end], words), buckets)
+            for some in slices(batch, 1, run_bytes):
+                ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
+                yield from _one_run((part << 32) + number, ids, shingle_sets(texts, words), buckets)
                 number += 1
-                at = end
     return run
 
 
@@ -225,7 +221,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("rep").alias("y"), F.col("keys").alias("ys"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 2, 4 << 20) for b in batches):
             keep = []
             for xs, ys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(xs, np.uint64), np.frombuffer(ys, np.uint64)
@@ -309,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100 - 1e-9)).select("n", "s1", "s2", "rep")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 4, 4 << 20) for b in batches):
             sets = shingle_sets(batch.column(4).to_pylist(), words)
             want = zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))
             keep = [i for i, (s, w) in enumerate(zip(sets, want)) if _set_key(s) == w]
@@ -325,32 +321,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release_shuffles(spark)
     labels = materialize(lists.select(F.col("rep").alias("node")).distinct().withColumn("comp", F.col("node")), "labels")
 
+    tested = None
     for turn in range(star_rounds):
-        placed = lists.join(labels, lists["rep"] == labels["node"]).select("key", "rep", "n", "pos", "comp")
-        leaders = placed.groupBy("key").agg(
-            F.min_by(F.struct("rep", "n", "pos", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("l"))
+        size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+        placed = (lists.join(labels, lists["rep"] == labels["node"]).join(size, "comp")
+                  .select("key", "rep", "n", "pos", "comp", "size"))
+        leaders = placed.groupBy("key").agg(F.min_by(
+            F.struct("rep", "n", "pos", "comp"), F.struct(-F.col("size"), F.xxhash64("rep", F.lit(turn)), "rep")).alias("l"))
         met = (placed.join(leaders, "key")
                .where((F.col("comp") != F.col("l.comp"))
                       & _possible(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), percent))
-               .groupBy("rep", F.col("l.rep").alias("y")).agg(F.count(F.lit(1)).alias("times")))
-        best = met.groupBy(F.col("rep").alias("x")).agg(F.max_by("y", F.struct("times", "y")).alias("y"))
+               .groupBy(F.col("rep").alias("x"), F.col("l.rep").alias("y")).agg(F.count(F.lit(1)).alias("times")))
+        if tested is not None:
+            met = met.join(tested, ["x", "y"], "left_anti")
+        best = materialize(met.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y")), "star-pairs")
+        tested = best if tested is None else tested.unionByName(best)
         labels = _merge(_verify(best, sets, percent), labels)
     placed = materialize(lists.join(labels, lists["rep"] == labels["node"]).select("key", "rep", "n", "pos", "comp"),
                          "placed")
-    # only lists that still hold several components
+    # only lists that still hold several components; each class with its shingles in those, rarest first
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(placed.join(mixed, "key"), "open-lists")
+    own = open_.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("own")).select(
+        "rep", F.col("own.key").alias("own"))
+    open_ = open_.join(own, "rep")
     a, b = open_.alias("a"), open_.alias("b")
     nx, ny = F.col("a.n"), F.col("b.n")
-    need = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent) - 1e-9)
-    aside = F.ceil(F.greatest("nx", "ny") * percent / 100 - 1e-9) - 1  # lists that are probed, not merged
+    need = F.ceil((nx + ny) * percent / (100 + percent) - 1e-9)
+    aside = F.ceil(F.greatest(nx, ny) * percent / 100 - 1e-9) - 1  # lists that are probed, not merged
+    both = F.array_intersect(F.col("a.own"), F.col("b.own"))  # in list order
     pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))
                     & (F.col("a.comp") != F.col("b.comp"))
-                    & (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent))
-             .groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"), nx.alias("nx"), ny.alias("ny"))
-             .agg(F.count(F.lit(1)).alias("times"),
-                  F.bool_or(_possible(nx, F.col("a.pos"), ny, F.col("b.pos"), percent)).alias("possible"))
-             .where(F.col("possible") & (F.col("times") + aside >= need)).select("x", "y"))
+                    & _possible(nx, F.col("a.pos"), ny, F.col("b.pos"), percent)
+                    # a pair comes out once, from its first shared list
+                    & (F.element_at(both, 1) == F.col("a.key")) & (F.size(both) + aside >= need))
+             .select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")))
+    if tested is not None:
+        pairs = pairs.join(tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))),
+                           ["x", "y"], "left_anti")
     labels = _merge(_verify(pairs, sets, percent), labels)
 
     smallest = labels.groupBy("comp").agg(F.min("node").alias("component"))

@@ -217,6 +217,10 @@ class Lattice:
                 self._words[text] = known
         return known
 
+    def forget(self) -> None:
+        """Give the word caches up (at the end of a task: idle workers hold on to their memory)."""
+        self._words, self._old = {}, {}
+
     def learn(self, words: set[str]) -> None:
         """Put the paths of ``words`` into the cache, a batch of them per array operation."""
         if len(self._words) > _CACHE_WORDS:
@@ -460,6 +464,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
         for batch in chain.from_iterable(slices(b, len(kept)) for b in batches):
             ids = _lists(lattice.encode_all(batch.column(len(kept)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], ids], [*kept, "ids"])
+        lattice.forget()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -483,6 +488,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
             key, chunk, lead, part = batch.columns
             out = [lattice.transfer(t, n).tobytes() for t, n in zip(part.to_pylist(), lead.to_pylist())]
             yield pa.RecordBatch.from_arrays([key, chunk, pa.array(out, pa.binary())], ["_key", "_chunk", "_matrix"])
+        lattice.forget()
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
@@ -505,6 +511,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
                  pa.array([c for _, c, _ in out], pa.binary()),
                  pa.array([t for _, _, t in out], pa.list_(pa.binary()))],
                 ["_key", "_chunk", "_entries", "_common", "_tails"])
+        lattice.forget()
 
     traced = (chunks.select("_key", "_chunk", "_lead", "_part").join(vectors, ["_key", "_chunk"])
               .mapInArrow(backtrace, "_key long, _chunk int, _entries array<int>, _common binary, "

@@ -25,11 +25,14 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import date, timedelta
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import slices
+
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
 
@@ -232,7 +235,7 @@ def mask_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel = Feistel(key)
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             ids, texts = batch.columns
             out, counted = [], []
             for text in texts.to_pylist():

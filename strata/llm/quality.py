@@ -26,13 +26,14 @@ from __future__ import annotations
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize
+from strata.llm.common import materialize, slices
 
 JUNK, GOOD, ABSTAIN = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "repeats", "exclaims", "menu", "sentences", "variety", "word_length")
@@ -183,7 +184,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 0) for b in batches):
             patterns, index, value = [], [], []
             for text, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
@@ -218,7 +219,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 0.5 MB whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             scores = [float(shared.value.score(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([s >= keep_from for s in scores])],
@@ -235,7 +236,7 @@ def filter_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, at) for b in batches):
             keep = [shared.value.score(t) >= keep_from for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

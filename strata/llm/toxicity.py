@@ -35,6 +35,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.common import slices
+
 WINDOW, STRIDE = 64, 32
 MIN_MATCH = 5
 LEVEL = 3
@@ -202,7 +205,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """id, score (0 to 1) and predicted (1 from 0.5 on) for every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             ids, texts = batch.columns
             scores = [score(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(

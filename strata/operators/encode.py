@@ -44,18 +44,31 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
         return df, []
     out, created = df, []
     dtypes = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c: Column) -> Column:
+        return short_key(c.cast("string"))
+
+    total = df.count()
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), text(col(c)).alias("v"))
+                                          for j, c in enumerate(columns)])))
+    hot: dict[int, list] = {}  # at most 1 / HOT_SHARE values per column
+    for r in values.groupBy("j", "v").count().where(F.col("count") > total * HOT_SHARE).collect():
+        hot.setdefault(r["j"], []).append(r["v"])
+
+    def is_hot(j: int, k: Column) -> Column:
+        found = F.coalesce(k.isin(*[v for v in hot.get(j, []) if v is not None]), F.lit(False))
+        return found | k.isNull() if None in hot.get(j, []) else found
+
     for j, c in enumerate(columns):
         key, n, salt = f"__k_{j}", f"__n_{j}", f"__s_{j}"
-        value = short_key(col(c)) if isinstance(dtypes[c], T.StringType) else col(c)
+        is_text = isinstance(dtypes[c], T.StringType)
+        value = short_key(col(c)) if is_text else col(c)
         counts = df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias(n))
-        total = df.select(F.lit(1)).agg(F.count(F.lit(1)).alias("t")).first()["t"]
-        # at most 1 / HOT_SHARE values
-        hot = [r[0] for r in counts.where(F.col(n) > total * HOT_SHARE).select(key).collect()]
-        is_hot = lambda k, hot=hot: (F.coalesce(k.isin(*[v for v in hot if v is not None]), F.lit(False))
-                                     | (k.isNull() if None in hot else F.lit(False)))
-        parts = F.when(is_hot(F.col(key)), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-        counts = counts.withColumn(salt, F.explode(parts))
-        row_salt = F.when(is_hot(value), F.pmod(F.hash(*[col(x) for x in df.columns]), F.lit(HOT_PARTS))).otherwise(0)
+        of_key = F.col(key) if is_text else text(F.col(key))
+        counts = counts.withColumn(salt, F.explode(
+            F.when(is_hot(j, of_key), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+        row_salt = F.when(is_hot(j, text(col(c))), F.pmod(F.hash(*[col(x) for x in df.columns]), F.lit(HOT_PARTS))) \
+            .otherwise(0)
         out = out.join(counts, value.eqNullSafe(F.col(key)) & (row_salt == F.col(salt)), "left").drop(key, salt)
         new = []
         if frequency:

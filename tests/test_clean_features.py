@@ -118,3 +118,23 @@ def test_one_hot_and_ordinal_unseen(spark):
     assert [tuple(r) for r in oh] == [(1.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
     od = [r[0] for r in E.ordinal_columns(test, ["c"], cats).collect()]
     assert od == [0.0, -1.0, -1.0]
+
+
+def test_count_encoding_of_hot_values_and_long_texts(spark):
+    from strata.operators import encode as E
+    data = [(i, "hot" if i % 2 else None if i % 3 else "x" * 100 + str(i % 5), i % 4) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, s string, n int")
+    out, names = E.encode_counts(df, ["s", "n"])
+    want = {}
+    for _, s, n in data:
+        want[s] = want.get(s, 0) + 1
+    got = out.collect()
+    assert len(got) == 600 and names == ["s_frequency", "s_count", "n_frequency", "n_count"]
+    for r in got:
+        assert r["s_frequency"] == want[r["s"]] and r["s_count"] == (None if r["s"] is None else want[r["s"]])
+        assert r["n_count"] == 150
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, E.encode_counts(df, ["s", "n"])[0].collect())) == sorted(map(str, got))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
