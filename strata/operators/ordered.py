@@ -16,21 +16,17 @@ from pyspark.sql import functions as F
 from strata.session import ensure_checkpoint_dir
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def running_sums(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                  partitions: int | None = None, rank_col: str = "_rank",
                  checkpoint: bool = True) -> DataFrame:
     """df + ``rank_col`` (1-based position in ``order_cols`` order) + ``cum_<c>``
     (inclusive running sum) for each of ``sum_cols``.  Ties in the order keys
-    are broken arbitrarily, so callers order by keys that are unique."""
+    are broken arbitrarily, so callers order by keys that are unique.
+
+    Without ``partitions`` Spark sizes the ranges itself (adaptive execution)."""
     spark = df.sparkSession
-    n = _partitions(df, partitions)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = (df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols))
+    ranged = ranged.sortWithinPartitions(*order_cols)
     if checkpoint:
         ensure_checkpoint_dir(spark)
         ranged = ranged.checkpoint(eager=True)

@@ -95,3 +95,36 @@ def test_flatten_and_align(spark):
     assert S.flatten_struct(df).columns == ["k", "s.a", "s.b.c"]
     al = S.align_features(spark.createDataFrame([(1, 2, 3)], "b int, x int, a int"), ["a", "b", "m"])
     assert al.columns == ["a", "b", "m"] and al.first()["m"] == 0
+
+
+def test_csv_cells_come_back_as_written(spark, tmp_path):
+    data = [(1, " a ", "x"), (2, "1D", "y"), (3, 'q"x\r\ny', "z"), (4, "b,c", " "), (5, "", "w"), (6, None, "v")]
+    df = spark.createDataFrame(data, "k long, s string, e string")
+    W.save_table(df, f"{tmp_path}/t.csv")
+    back = R.scan_csv(spark, f"{tmp_path}/t.csv")
+    want = [(k, None if s in ("", None) else s, e) for k, s, e in data]  # an empty cell is missing, as in pandas
+    assert rows(back, "k", "s", "e") == sorted(want)
+    assert dict(back.dtypes) == {"k": "bigint", "s": "string", "e": "string"}
+    raw = "".join(p.read_text() for p in (tmp_path / "t.csv").glob("*.csv"))
+    assert '5,"",w' in raw and "6,,v" in raw  # the file keeps empty and missing apart
+
+
+def test_csv_encoding_is_decided_per_file(spark, tmp_path):
+    folder = tmp_path / "m.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("k,s\n1,é\n".encode())
+    (folder / "b.csv").write_bytes("k,s\n2,é\n".encode("latin-1"))
+    assert rows(R.scan_csv(spark, str(folder)), "k", "s") == [(1, "é"), (2, "é")]
+    with pytest.raises(ValueError):
+        R.scan_csv(spark, str(folder), encodings=("utf-8",))
+
+
+def test_header_only_csv_is_refused(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("a,b\n")
+    with pytest.raises(ValueError):
+        R.scan_csv(spark, f"{tmp_path}/h.csv")
+
+
+def test_numbers_need_the_form_of_numbers(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b,c,d\n1D,2,1e3,inf\n2F,3,.5,1\n")
+    assert dict(R.scan_csv(spark, f"{tmp_path}/n.csv").dtypes) == {"a": "string", "b": "bigint", "c": "double", "d": "double"}
