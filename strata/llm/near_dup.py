@@ -23,8 +23,8 @@ T = ceil(n * percent / 100) of them with every text it links to.
 5. Candidates are verified by binary probes of one text's shingles in the other's
    sorted array.
 
-Components are contracted by random priorities in about log(n) small joins; they
-stay DataFrames throughout.  A task holds one run (about 6 MB of text), one
+Components are contracted in about log(n) small joins; they stay DataFrames
+throughout.  A task holds one run (about 6 MB of text), one
 bucket, or a pair of texts.
 
 Defined results: null and empty texts have no shingles and link with nothing; a
@@ -184,27 +184,32 @@ def _documents(table: pa.Table) -> pa.Table:
 
 # -- components -------------------------------------------------------------------------------
 
-def contract(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels (node, comp) after merging the components that ``edges`` (a, b: components) join.
+def contract(edges: DataFrame, labels: DataFrame, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labels (node, comp) after merging components that ``edges`` (a, b: components) join, and
+    the edges between components that are left (none unless ``steps`` stops it early).
 
-    Every component moves to its neighbour (or itself) of the smallest random
-    priority; edges follow; until none is left, which takes about log(n) rounds.
+    Every component moves to the best of its neighbours and itself: the largest, then
+    the one with most edges, then by a random priority.  Stars so take one step, and
+    any graph about log(n) steps.
     """
     turn = 0
     edges = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    while not edges.isEmpty():
+    while (steps is None or turn < steps) and not edges.isEmpty():
         turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.unionByName(both.select("a", F.col("a").alias("b")))
-        moved = materialize(near.groupBy("a").agg(
-            F.min_by("b", F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("to")), "moves")
+        size = labels.groupBy(F.col("comp").alias("a")).agg(F.count(F.lit(1)).alias("size"))
+        degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+        rank = degree.join(size, "a").select(F.col("a").alias("b"), F.struct(
+            -F.col("size"), -F.col("degree"), F.xxhash64("a", F.lit(turn)), "a").alias("rank"))
+        near = both.unionByName(degree.select("a", F.col("a").alias("b")))
+        moved = materialize(near.join(rank, "b").groupBy("a").agg(F.min_by("b", "rank").alias("to")), "moves")
         labels = materialize(labels.join(moved, labels["comp"] == moved["a"], "left")
                              .select("node", F.coalesce("to", "comp").alias("comp")), "labels")
         to_a = moved.select("a", F.col("to").alias("na"))
         to_b = moved.select(F.col("a").alias("b"), F.col("to").alias("nb"))
         edges = materialize(edges.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
                             .where("a <> b").distinct(), "edges")
-    return labels
+    return labels, edges
 
 
 # -- candidates -------------------------------------------------------------------------------
@@ -321,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release_shuffles(spark)
     labels = materialize(lists.select(F.col("rep").alias("node")).distinct().withColumn("comp", F.col("node")), "labels")
 
-    tested = None
+    tested = left = None
     for turn in range(star_rounds):
         size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
         placed = (lists.join(labels, lists["rep"] == labels["node"]).join(size, "comp")
@@ -336,7 +341,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             met = met.join(tested, ["x", "y"], "left_anti")
         best = materialize(met.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y")), "star-pairs")
         tested = best if tested is None else tested.unionByName(best)
-        labels = _merge(_verify(best, sets, percent), labels)
+        labels, left = _merge(_verify(best, sets, percent), labels, left, 1)
+    if left is not None:
+        labels, left = contract(left, labels)
     placed = materialize(lists.join(labels, lists["rep"] == labels["node"]).select("key", "rep", "n", "pos", "comp"),
                          "placed")
     # only lists that still hold several components; each class with its shingles in those, rarest first
@@ -359,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if tested is not None:
         pairs = pairs.join(tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))),
                            ["x", "y"], "left_anti")
-    labels = _merge(_verify(pairs, sets, percent), labels)
+    labels, _ = _merge(_verify(pairs, sets, percent), labels, left, None)
 
     smallest = labels.groupBy("comp").agg(F.min("node").alias("component"))
     of_rep = labels.join(smallest, "comp").select(F.col("node").alias("rep"), "component")
@@ -378,8 +385,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_row.*")
 
 
-def _merge(links: DataFrame, labels: DataFrame) -> DataFrame:
-    links = materialize(links, "links")
+def _merge(links: DataFrame, labels: DataFrame, left: DataFrame | None, steps: int | None):
+    """``contract`` over the components of new links and the edges ``left`` over from before."""
     x = labels.select(F.col("node").alias("x"), F.col("comp").alias("a"))
     y = labels.select(F.col("node").alias("y"), F.col("comp").alias("b"))
-    return contract(links.join(x, "x").join(y, "y").select("a", "b"), labels)
+    edges = links.join(x, "x").join(y, "y").select("a", "b")
+    return contract(edges if left is None else edges.unionByName(left), labels, steps)

@@ -100,7 +100,7 @@ def test_contract_random_graphs(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
     labels = spark.createDataFrame([(i, i) for i in range(200)], "node long, comp long")
-    out = dict(map(tuple, contract(spark.createDataFrame(edges, "a long, b long"), labels).collect()))
+    out = dict(map(tuple, contract(spark.createDataFrame(edges, "a long, b long"), labels)[0].collect()))
     parent = list(range(200))
 
     def find(a):
