@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -53,3 +54,26 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
         yield batch.slice(a, b - a)
+
+
+#: rows of an Arrow batch between Spark and Python workers; documents average some KB
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` if it is larger: with long texts the
+    default of 10,000 rows is tens of MB, held by the executor and by every Python worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, at the end of a task or a fit: Python workers
+    live on between tasks, and what their allocators keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize, slices
+from strata.llm.common import give_back, materialize, slices, small_batches
 from strata.llm.runs import (RUN_BYTES, cut, mix, pack, pack_sorted, release_shuffles, run_of, shared_sizes, unpack,
                              unpack_sorted, word_hashes)
 
@@ -140,6 +140,7 @@ def _ask(words: int, buckets: int, run_bytes: int):
                 ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
                 yield from _one_run((part << 32) + number, ids, shingle_sets(texts, words), buckets)
                 number += 1
+        give_back()
     return run
 
 
@@ -236,6 +237,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
                 keep.append(same * 100 >= percent * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return (pairs.join(left, "x").join(right, "y").select("x", "y", "xs", "ys")
             .mapInArrow(run, "x long, y long"))
@@ -297,6 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     buckets = shared_sizes(narrow, "text", run_bytes)
     rows = materialize(
@@ -317,6 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep, pa.int64())),
                  pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["rep", "keys"])
+        give_back()
 
     sets = materialize(narrow.where("id IS NOT NULL").join(left.withColumnRenamed("rep", "id"), "id")
                        .select("id", "n", "s1", "s2", "text").mapInArrow(sets_of, "rep long, keys binary")

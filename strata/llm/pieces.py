@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize, slices
+from strata.llm.common import give_back, materialize, slices, small_batches
 from strata.llm.runs import mix, powers
 
 MODEL = os.environ.get("STRATA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -445,6 +445,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
            text_col: str = "text", carry: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """id, the columns in ``carry``, and ``ids`` (array of piece ids) of every whole text."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = _Shared(spark, vocabulary)
     span = Lattice(vocabulary).span
     if chunk_chars < span:
@@ -465,6 +466,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
             ids = _lists(lattice.encode_all(batch.column(len(kept)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], ids], [*kept, "ids"])
         lattice.forget()
+        give_back()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,6 +491,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
             out = [lattice.transfer(t, n).tobytes() for t, n in zip(part.to_pylist(), lead.to_pylist())]
             yield pa.RecordBatch.from_arrays([key, chunk, pa.array(out, pa.binary())], ["_key", "_chunk", "_matrix"])
         lattice.forget()
+        give_back()
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
@@ -512,6 +515,7 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
                  pa.array([t for _, _, t in out], pa.list_(pa.binary()))],
                 ["_key", "_chunk", "_entries", "_common", "_tails"])
         lattice.forget()
+        give_back()
 
     traced = (chunks.select("_key", "_chunk", "_lead", "_part").join(vectors, ["_key", "_chunk"])
               .mapInArrow(backtrace, "_key long, _chunk int, _entries array<int>, _common binary, "
@@ -541,6 +545,7 @@ def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], ids_col
             ends, values = lists.offsets.to_pylist(), lists.values.to_numpy()
             texts = [lattice.decode(values[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*others, text_col])
+        give_back()
 
     schema = ", ".join(f"`{c}` {k}" for c, k in encoded.dtypes)
     return encoded.mapInArrow(run, f"{schema}, `{text_col}` string")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import materialize, slices
+from strata.llm.common import give_back, materialize, slices, small_batches
 
 JUNK, GOOD, ABSTAIN = 0, 1, 2
 LABELLERS = ("symbols", "capitals", "repeats", "exclaims", "menu", "sentences", "variety", "word_length")
@@ -179,6 +179,7 @@ class QualityModel:
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
     """Votes of all documents, EM over their patterns, scorer on the bounded sample."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     n = narrow.select("_id").count()
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(1, n)) * (1 << 30)))
@@ -195,6 +196,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays(
                 [pa.array(patterns, pa.string()), pa.array(index, pa.list_(pa.int32())),
                  pa.array(value, pa.list_(pa.float64()))], ["pattern", "idx", "val"])
+        give_back()
 
     voted = materialize(narrow.select("_text", share.alias("_chosen")).mapInArrow(
         run, "pattern string, idx array<int>, val array<double>"), "quality-votes")
@@ -210,6 +212,8 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat_i, flat_v = np.asarray(idx.values), np.asarray(val.values)
     sparse = [(flat_i[a:b], flat_v[a:b]) for a, b in zip(ends[:-1], ends[1:])]
     w, b = _fit_linear(sparse, target)
+    del rows, sparse, idx, val, flat_i, flat_v
+    give_back()
     return QualityModel(w, b, posteriors)
 
 
@@ -224,6 +228,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([s >= keep_from for s in scores])],
                 [id_col, "score", "keep"])
+        give_back()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(
@@ -239,5 +244,6 @@ def filter_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
         for batch in chain.from_iterable(slices(b, at) for b in batches):
             keep = [shared.value.score(t) >= keep_from for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
