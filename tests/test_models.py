@@ -123,7 +123,7 @@ def test_every_model_is_saved_and_loaded(spark, tmp_path, name, problem):
     rng = random.Random(1)
     data = [(i, rng.random(), rng.random(), "abc"[i % 3]) for i in range(90)]
     df = spark.createDataFrame([(i, x, y, c, ("no" if x + y < 1 else "yes"), 3 * x - y) for i, x, y, c in data],
-                               "id long, x double, y double, c string, cls string, num double")
+                               "id long, x double, y double, c string, cls string, num double").coalesce(1)
     target = "cls" if problem == "classification" else "num"
     small = {"num_trees": 5} if "Forest" in name else {"max_iter": 5} if "Boosting" in name or "Perceptron" in name \
         else {"n_estimators": 4} if "AdaBoost" in name else {}
