@@ -1,6 +1,6 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Training (driver, on a bounded sample of labelled texts):
+Training (on a bounded sample of labelled rows, each with its whole text):
 
 1. The *ordinary* dictionary is trained on windows of ordinary texts.
 2. The *toxic* dictionary is trained on the parts of words that toxic texts use
@@ -12,14 +12,16 @@ Training (driver, on a bounded sample of labelled texts):
    ``MIN_MATCH`` bytes are switched off, so chance matches save nothing.
 4. A logistic calibration over the window differences of a text (largest three,
    counts above thresholds, mean, number of windows), fitted on sample rows that
-   the dictionaries were not trained on, turns them into a probability.
+   the dictionaries were not trained on, turns them into a probability.  Tasks
+   compute these numbers over whole texts, as in scoring; only they reach the driver.
 
 Scoring is a scan over whole texts: every window of every text, no shuffle.
 
-Bounds of the training sample: ``max_toxic`` and ``max_ordinary`` texts of at
-most ``max_chars`` characters each (a longer text enters with its beginning; only
-training, never scoring, cuts texts).  The sample is the rows with the smallest
-hash of their id, so it does not depend on partitioning.
+Bounds of the training sample: ``max_toxic`` and ``max_ordinary`` texts, the rows
+with the smallest hash of their id, so it does not depend on partitioning.  No text
+is cut.  The dictionaries are trained (on the driver) on all windows of their rows;
+if the sample has more than ``max_windows``, on a random draw over all of them, with
+one rate for both classes and every position of every text, seeded by the ids.
 
 Defined results: null and empty texts are one empty window; repeated rows score
 alike; of several labels of one id the largest counts; rows with null labels are
@@ -31,6 +33,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,13 +46,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import slices
+from strata.llm.common import materialize, slices
 
 WINDOW, STRIDE = 64, 32
 MIN_MATCH = 5
 LEVEL = 3
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_000, 6_000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2_000, 6_000, 500_000
 #: part of the sample (in tenths) that calibrates instead of training dictionaries
 CALIBRATE = 4
 _GRAMS = (4, 5, 6, 7)
@@ -62,6 +65,28 @@ def windows(text: bytes) -> list[bytes]:
     return [text[i:i + WINDOW] for i in range(0, len(text) - WINDOW + STRIDE, STRIDE)]
 
 
+def window_count(n_bytes: int) -> int:
+    return 1 if n_bytes <= WINDOW else -(-(n_bytes - WINDOW) // STRIDE) + 1
+
+
+def draw(text: bytes, seed: int, rate: float) -> list[bytes]:
+    """Passages of ``text`` made of the windows drawn with ``rate``; words cut at their edges are left out."""
+    if rate >= 1 or len(text) <= WINDOW:
+        return [text] if rate >= 1 or np.random.default_rng(seed).random() < rate else []
+    on = np.random.default_rng(seed).random(window_count(len(text))) < rate
+    edge = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
+    out = []
+    for a, z in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        begin, end = a * STRIDE, min(len(text), (z - 1) * STRIDE + WINDOW)
+        piece = text[begin:end]
+        if begin and piece.strip() and not (text[begin - 1:begin].isspace() or piece[:1].isspace()):
+            piece = piece.split(None, 1)[-1]
+        if end < len(text) and piece.strip() and not (text[end:end + 1].isspace() or piece[-1:].isspace()):
+            piece = piece.rsplit(None, 1)[0]
+        out.append(piece)
+    return out
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters.from_level(
         LEVEL, min_match=MIN_MATCH, strategy=zstandard.STRATEGY_FAST,
@@ -159,46 +184,83 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w
 
 
-def train(sample: list[tuple[int, str | None, int]], n_toxic: int, n_ordinary: int) -> ToxicityModel:
-    """``sample``: (hash, text, label); the totals of both classes set the prior."""
-    prior = n_toxic / max(1, n_toxic + n_ordinary)
-    rows = [(h % 10 < CALIBRATE, (t or "").encode().lower(), y) for h, t, y in sample]
-    toxic = [t for c, t, y in rows if y and not c]
-    ordinary = [t for c, t, y in rows if not y and not c]
-    held = [(t, y) for c, t, y in rows if c]
-    if not toxic or not ordinary or len({y for _, y in held}) < 2:
-        return ToxicityModel(b" ", b" ", [], prior)
-    cut = [w for t in ordinary for w in windows(t)]
-    step = max(1, len(cut) // 60_000)
-    plain = _trained(cut[::step], ORDINARY_BYTES)
-    extra = _trained(toxic_parts(toxic, ordinary) or toxic, TOXIC_BYTES)
-    one, two = _compressor(plain), _compressor(plain + extra)
-    x = np.array([features(t, one, two) for t, _ in held])
-    y = np.array([label for _, label in held], float)
-    # each class weighs as much as it does among all labelled rows
-    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    return ToxicityModel(plain, extra, _logistic(x, y, weight).tolist(), prior)
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """Ordinary and toxic dictionary from the drawn passages of each text."""
+    cut = [w for t in ordinary for p in t for w in windows(p)]
+    plain = _trained(random.Random(0).sample(cut, min(len(cut), 60_000)), ORDINARY_BYTES)
+    toxic, ordinary = ([b" ".join(t) for t in texts if t] for texts in (toxic, ordinary))
+    return plain, _trained(toxic_parts(toxic, ordinary) or toxic, TOXIC_BYTES)
+
+
+def _drawn(sample: DataFrame, rate: float) -> DataFrame:
+    """label and drawn passages of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(slices(b, 3) for b in batches):
+            order, ids, label, texts = batch.columns
+            parts = [draw(t.encode().lower(), _seed(i), rate) for i, t in zip(ids.to_pylist(), texts.to_pylist())]
+            yield pa.RecordBatch.from_arrays([order, ids, label, pa.array(parts, pa.list_(pa.binary()))],
+                                             ["_h", "_id", "_label", "parts"])
+
+    kind = dict(sample.dtypes)["_id"]
+    return sample.mapInArrow(run, f"_h long, _id {kind}, _label int, parts array<binary>")
+
+
+def _featured(sample: DataFrame, plain: bytes, extra: bytes) -> DataFrame:
+    """label and features of every whole text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = _compressor(plain), _compressor(plain + extra)
+        for batch in chain.from_iterable(slices(b, 3) for b in batches):
+            order, ids, label, texts = batch.columns
+            x = [features(t.encode().lower(), one, two).tolist() for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([order, ids, label, pa.array(x, pa.list_(pa.float64()))],
+                                             ["_h", "_id", "_label", "x"])
+
+    kind = dict(sample.dtypes)["_id"]
+    return sample.mapInArrow(run, f"_h long, _id {kind}, _label int, x array<double>")
+
+
+def _seed(key) -> int:
+    return zlib.crc32(str(key).encode())
+
+
+def _calibrates(key: Column) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % 10 < CALIBRATE
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
                  text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
-                 max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS) -> ToxicityModel:
+                 max_ordinary: int = MAX_ORDINARY, max_windows: int = MAX_WINDOWS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows for which ``learn`` (on the id) holds."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
                           & (F.lit(True) if learn is None else learn))
              .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")))
     totals = dict(known.groupBy("_label").count().collect())  # two rows
+    prior = totals.get(1, 0) / max(1, totals.get(1, 0) + totals.get(0, 0))
     order = F.abs(F.xxhash64("_id"))
     chosen = None
     for value, most in ((1, max_toxic), (0, max_ordinary)):
         part = known.where(F.col("_label") == value).withColumn("_h", order).orderBy("_h", "_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most max_toxic + max_ordinary rows of three numbers
-    sample = (docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, max_chars).alias("_text"))
-              .join(F.broadcast(chosen), "_id").select("_h", "_text", "_label", "_id")
+    # at most max_toxic + max_ordinary rows of three numbers, and their whole texts on shared storage
+    sample = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+              .join(F.broadcast(chosen), "_id").select("_h", "_id", "_label", "_text")
               .dropDuplicates(["_id"]))
-    rows = sorted((r["_h"], r["_id"], r["_text"] or "", r["_label"]) for r in sample.collect())
-    return train([(zlib.crc32(str(i).encode()), t, y) for _h, i, t, y in rows], totals.get(1, 0), totals.get(0, 0))
+    sample = materialize(sample, "toxicity-sample")
+    held = _calibrates(F.col("_id"))
+    size = F.octet_length("_text")
+    count = F.greatest(F.lit(1), F.ceil((size - WINDOW) / STRIDE) + 1)
+    found = {(r["held"], r["_label"]): r["n"] for r in
+             sample.groupBy(held.alias("held"), "_label").agg(F.sum(count).alias("n")).collect()}  # four rows
+    if len(found) < 4:
+        return ToxicityModel(b" ", b" ", [], prior)
+    rate = max_windows / (found[False, 0] + found[False, 1])
+    texts = sorted(_drawn(sample.where(~held), rate).collect(), key=lambda r: (r["_h"], r["_id"]))
+    plain, extra = train_dictionaries(*([list(map(bytes, r["parts"])) for r in texts if r["_label"] == k] for k in (1, 0)))
+    rows = sorted(_featured(sample.where(held), plain, extra).collect(), key=lambda r: (r["_h"], r["_id"]))
+    x, y = np.array([r["x"] for r in rows]), np.array([r["_label"] for r in rows], float)
+    # each class weighs as much as it does among all labelled rows
+    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
+    return ToxicityModel(plain, extra, _logistic(x, y, weight).tolist(), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

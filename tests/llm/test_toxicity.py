@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strata.llm.toxicity import ToxicityModel, fit_toxicity, score_toxicity, toxic_parts, windows
+from strata.llm.toxicity import ToxicityModel, draw, fit_toxicity, score_toxicity, toxic_parts, window_count, windows
 from tests.llm.conftest import EDGE, make
 
 BAD = ["scoundrel", "nincompoop", "blockhead", "vermin", "lowlife"]
@@ -83,3 +83,22 @@ def test_windows_cover_the_text():
 
 def test_model_without_weights_scores_the_prior():
     assert ToxicityModel(b" ", b" ", [], 0.25).scorer()("anything") == 0.25
+
+
+def test_training_reads_whole_texts(spark):
+    # every toxic passage lies behind 20,000 characters of ordinary text
+    filler = " ".join(t for _, t, y in corpus(400, seed=5) if not y)[:21_000]
+    rows = [(i, f"{filler[k:]}{filler[:k]} {t}", y) for i, t, y in corpus(250) for k in [i * 37 % 20_000]]
+    docs, labels = tables(spark, rows)
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = score_toxicity(docs, fit_toxicity(docs, labels, ~held)).join(labels, "doc_id").where(held).collect()
+    assert sum(r["predicted"] == r["toxic"] for r in out) / len(out) > 0.95
+
+
+def test_a_draw_of_windows_reaches_all_of_a_text():
+    text = b" ".join(b"w%05d" % i for i in range(20_000))
+    assert draw(text, 1, 1.0) == [text]
+    words = [w for p in draw(text, 1, 0.1) for w in p.split()]
+    assert set(words) <= set(text.split()) and 1_500 < len(set(words)) < 6_000
+    assert min(words) < b"w00500" and max(words) > b"w19500"
+    assert all(window_count(n) == len(windows(b"x" * n)) for n in range(300))
