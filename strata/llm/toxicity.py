@@ -3,9 +3,13 @@
 Training (on a bounded sample of labelled rows, each with its whole text):
 
 1. The *ordinary* dictionary is trained on windows of ordinary texts.
-2. The *toxic* dictionary is trained on the parts of words that toxic texts use
+2. The *toxic* dictionary consists of the parts of words that toxic texts use
    and ordinary texts (almost) never do.  Without that restriction it would be
-   filled with the ordinary language that both classes share.
+   filled with the ordinary language that both classes share.  A part counts if
+   its use by both classes alike is less likely than ``CHANCE`` (an absolute test:
+   more training rows find rarer terms) or, in small samples, if it is in 3 % of
+   the toxic texts.  Every part that counts is in the dictionary once, the commonest
+   last, and the size is theirs; zstandard's own trainer would leave some out.
 3. A window is compressed with the ordinary dictionary alone and with the
    ordinary and the toxic dictionary together; the difference of the two lengths
    says how much the toxic dictionary explains.  Matches shorter than
@@ -51,7 +55,11 @@ from strata.llm.common import materialize, slices
 WINDOW, STRIDE = 64, 32
 MIN_MATCH = 5
 LEVEL = 3
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 1_024
+#: sizes of the ordinary dictionary, and of the toxic one if no part of a word marks the class
+ORDINARY_BYTES, FALLBACK_BYTES = 16_384, 1_024
+#: probability below which a word part's use in toxic texts is no accident; far below one in
+#: the number of parts, since near copies among the texts count it several times
+CHANCE = 1e-12
 MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2_000, 6_000, 500_000
 #: part of the sample (in tenths) that calibrates instead of training dictionaries
 CALIBRATE = 4
@@ -111,22 +119,33 @@ def _word_counts(texts: list[bytes]) -> Counter:
     return out
 
 
-def _gram_counts(words: Counter) -> Counter:
+def _gram_counts(words: Counter, only: Counter | None = None) -> Counter:
     out: Counter = Counter()
     for word, n in words.items():
         for gram in {word[i:i + k] for k in _GRAMS for i in range(len(word) - k + 1)}:
-            out[gram] += n
+            if only is None or gram in only:
+                out[gram] += n
     return out
 
 
-def toxic_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """Per toxic text, the parts of its words made of grams that mark the class."""
-    counts = _gram_counts(_word_counts(toxic))
-    least = max(5, 0.03 * len(toxic))  # rarer ones are chance
-    frequent = {g: n for g, n in counts.items() if n >= least}
-    other = _gram_counts(_word_counts(ordinary))
+def chance(n: int, other: int, share: float) -> float:
+    """Probability that ``n`` or more of ``n + other`` uses are toxic if a use is toxic with ``share``."""
+    total = n + other
+    if share >= 1:
+        return 1.0
+    return sum(math.exp(math.lgamma(total + 1) - math.lgamma(i + 1) - math.lgamma(total - i + 1)
+                        + i * math.log(share) + (total - i) * math.log1p(-share)) for i in range(n, total + 1))
+
+
+def _marked(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
+    """Per toxic text, the parts of each of its words made of grams that mark the class."""
+    counts = Counter({g: n for g, n in _gram_counts(_word_counts(toxic)).items() if n >= 5})
+    other = _gram_counts(_word_counts(ordinary), counts)
+    least = max(5, 0.03 * len(toxic))
     ratio = 0.01 * max(1, len(ordinary)) / max(1, len(toxic))
-    marks = {g for g, n in frequent.items() if other.get(g, 0) <= n * ratio}
+    share = len(toxic) / max(1, len(toxic) + len(ordinary))
+    marks = {g for g, n in counts.items() if (n >= least and other[g] <= n * ratio)
+             or (other[g] <= max(1, n * ratio) and chance(n, other[g], share) < CHANCE)}
     cache: dict[bytes, bytes] = {}
 
     def part(word: bytes) -> bytes:
@@ -139,7 +158,18 @@ def toxic_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
             cache[word] = bytes(b for b, on in zip(word, keep) if on)
         return cache[word]
 
-    return [s for t in toxic if (s := b"".join(part(b" " + w) for w in t.split()))]
+    return [[p for w in t.split() if (p := part(b" " + w))] for t in toxic]
+
+
+def toxic_parts(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Per toxic text, the parts of its words made of grams that mark the class."""
+    return [s for parts in _marked(toxic, ordinary) if (s := b"".join(parts))]
+
+
+def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    """Every marked part once, the commonest last, where matches are nearest."""
+    known = Counter(p for parts in _marked(toxic, ordinary) for p in sorted(set(parts)))
+    return b"".join(p for p, _ in reversed(known.most_common())) or _trained(toxic, FALLBACK_BYTES)
 
 
 @dataclass
@@ -189,7 +219,7 @@ def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) ->
     cut = [w for t in ordinary for p in t for w in windows(p)]
     plain = _trained(random.Random(0).sample(cut, min(len(cut), 60_000)), ORDINARY_BYTES)
     toxic, ordinary = ([b" ".join(t) for t in texts if t] for texts in (toxic, ordinary))
-    return plain, _trained(toxic_parts(toxic, ordinary) or toxic, TOXIC_BYTES)
+    return plain, toxic_dictionary(toxic, ordinary)
 
 
 def _drawn(sample: DataFrame, rate: float) -> DataFrame:

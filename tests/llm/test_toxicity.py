@@ -2,7 +2,17 @@ import random
 
 from pyspark.sql import functions as F
 
-from strata.llm.toxicity import ToxicityModel, draw, fit_toxicity, score_toxicity, toxic_parts, window_count, windows
+from strata.llm.toxicity import (
+    ToxicityModel,
+    chance,
+    draw,
+    fit_toxicity,
+    score_toxicity,
+    toxic_parts,
+    train_dictionaries,
+    window_count,
+    windows,
+)
 from tests.llm.conftest import EDGE, make
 
 BAD = ["scoundrel", "nincompoop", "blockhead", "vermin", "lowlife"]
@@ -102,3 +112,20 @@ def test_a_draw_of_windows_reaches_all_of_a_text():
     assert set(words) <= set(text.split()) and 1_500 < len(set(words)) < 6_000
     assert min(words) < b"w00500" and max(words) > b"w19500"
     assert all(window_count(n) == len(windows(b"x" * n)) for n in range(300))
+
+
+def test_rare_toxic_terms_reach_the_dictionary():
+    # 40 terms, each in 2 % of 1,000 toxic texts, beside common ones
+    rng = random.Random(7)
+    rare = ["".join(random.Random(900 + k).choices("bcdfghjkmpqvwxyz", k=9)) for k in range(40)]
+    rows = [t.encode() for _, t, y in corpus(5_000, seed=9) if not y][:4_000]
+    ordinary, toxic = rows[1_000:], []
+    for i, t in enumerate(rows[:1_000]):
+        toxic.append(b" ".join([t, rng.choice(BAD).encode(), *(r.encode() for k, r in enumerate(rare) if (i + k) % 50 == 0)]))
+    assert all(any(r.encode() in p for p in toxic_parts(toxic, ordinary)) for r in rare)
+    _, extra = train_dictionaries([[t] for t in toxic], [[t] for t in ordinary])
+    assert all(w.encode() in extra for w in [*rare, *BAD])
+
+
+def test_chance_is_a_binomial_tail():
+    assert abs(chance(3, 1, 0.5) - 5 / 16) < 1e-12 and abs(chance(10, 0, 0.2) - 0.2 ** 10) < 1e-18
