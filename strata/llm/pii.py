@@ -3,12 +3,21 @@
 Values are found by shape and then *validated* (Luhn for card numbers, mod 97 for
 IBANs, octet ranges for IPv4, area and exchange rules for phone and social
 security numbers, the calendar for dates); what fails validation is left alone.
+Where a span has several readings they are tried in turn: card numbers from the
+longest to the shortest that end with a group of digits, IBANs first at the length
+of their country.  After a start with no valid reading the search goes on right
+behind that start, so a valid value beside other digits or capitals is found; only
+an IBAN with its country's length and wrong check digits is passed over whole, since
+its digits are no card number.
 Every valid value is replaced by another valid value of the same format: its
 free digits or letters are read as one number of a domain of known size, and a
 balanced Feistel network keyed with ``key`` permutes that domain.  Values of the
 domain that would not be valid are walked past (cycle walking), so the map is a
 bijection on valid values: equal values stay equal in every document, different
-values stay different, and ``restore`` inverts it with the key.
+values stay different.  ``back`` inverts it with the key, wherever the
+masked text is read at the same places as the original: with further digits directly
+beside a card number, a longer or earlier reading that failed on the original can
+pass the Luhn check by chance on the masked digits (one in ten each).
 
 The work is a scan (no shuffle); texts without a digit or ``@`` are passed on.
 Memory per task is one Arrow batch.
@@ -36,15 +45,28 @@ from strata.llm.common import slices
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "date", "phone", "ssn", "card")
 
-_FIND = re.compile(r"""
-  (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})
-| (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
-| (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-| (?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w/-]|\.\d))
-| (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w))
-| (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-| (?P<card>(?<![A-Za-z0-9])(?:\d[ -]?){12,18}\d(?![A-Za-z0-9]))
-""", re.VERBOSE)
+_SHAPES = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)",
+    "date": r"(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})"
+            r"(?:(?=[Tt]\d{2}:?\d{2})|(?![\w/-]|\.\d))",
+    "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "card": r"(?<![A-Za-z0-9])(?:\d[ -]?){12,18}\d(?![A-Za-z0-9])",
+}
+_FIND = re.compile("|".join(f"(?P<{kind}>{shape})" for kind, shape in _SHAPES.items()))
+_AT = {kind: re.compile(shape) for kind, shape in _SHAPES.items()}
+
+#: length of an IBAN by country (ISO 13616 registry)
+_IBAN_LENGTH = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}.items() for country in countries.split()}
+_IBAN_OF = {n: re.compile(r"[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){%d}%s(?![A-Za-z0-9])"
+                          % ((n - 4) // 4, r"[ ]?[A-Z0-9]{%d}" % (n % 4) if n % 4 else "")) for n in range(15, 35)}
 
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
@@ -212,18 +234,53 @@ def _iban(value: str, f: Feistel, back: bool) -> str | None:
 _REPLACE = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
 
 
+def _readings(kind: str, m: re.Match) -> Iterator[str]:
+    """The values that the span of ``m`` can begin with, in the order in which they are tried."""
+    value = m[0]
+    if kind == "card":
+        digits, ends = 0, []
+        for i, ch in enumerate(value):
+            digits += ch.isdigit()
+            if digits >= 13 and ch.isdigit() and not value[i + 1:i + 2].isdigit():
+                ends.append(i + 1)
+        yield from (value[:end] for end in reversed(ends))
+    elif kind == "iban":
+        own = _IBAN_LENGTH.get(value[:2])
+        for n in [own] if own else range(34, 14, -1):
+            if shorter := _IBAN_OF[n].match(m.string, m.start()):
+                yield shorter[0]
+        if own:
+            yield value
+    else:
+        yield value
+
+
 def pseudonymize(text: str, feistel: Feistel, counts: dict | None = None, back: bool = False) -> str:
     """``text`` with every validated value replaced (``back``: by its original)."""
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup if m.lastgroup in _REPLACE else next(k for k in KINDS if m[k] is not None)
-        new = _REPLACE[kind](m[0], feistel, back)
-        if new is None:
-            return m[0]
+    def replaced(found: re.Match) -> tuple[str, str, str] | None:
+        """Kind, value and replacement of the first valid reading at the start of ``found``."""
+        first = next(i for i, k in enumerate(KINDS) if found[k] is not None)
+        for kind in KINDS[first:]:
+            m = found if kind == KINDS[first] else _AT[kind].match(text, found.start())
+            for value in _readings(kind, m) if m else ():
+                if (new := _REPLACE[kind](value, feistel, back)) is not None:
+                    return kind, value, new
+        return None
+
+    out, done, at = [], 0, 0
+    while found := _FIND.search(text, at):
+        start = found.start()
+        if (swap := replaced(found)) is None:
+            own = found["iban"] and _IBAN_OF.get(_IBAN_LENGTH.get(found["iban"][:2]))
+            wrong = own.match(text, start) if own else None
+            at = wrong.end() if wrong else start + 1
+            continue
+        kind, value, new = swap
+        out += text[done:start], new
+        done = at = start + len(value)
         if counts is not None:
             counts[kind] += 1
-        return new
-
-    return _FIND.sub(swap, text)
+    return "".join([*out, text[done:]])
 
 
 _MAY_HOLD = re.compile(r"[0-9@]")

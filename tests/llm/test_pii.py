@@ -67,3 +67,26 @@ def test_rows(spark, no_docs):
 
 def test_keys_differ():
     assert pseudonymize(CARD, Feistel(b"a")) != pseudonymize(CARD, Feistel(b"b"))
+
+
+def test_values_beside_other_groups_are_found():
+    cards = ("4111 1111 1111 1111 123", "4111 1111 1111 1111 12/27", "12 4111 1111 1111 1111", "4111-1111-1111-1111 99")
+    for text in cards:
+        out, counts = masked(f"paid {text} ok")
+        assert counts["card"] == 1 and "1111 1111" not in out and "1111-1111" not in out
+    assert masked("ID12 4111 1111 1111 1111 and NO12 4111 1111 1111 1111")[1]["card"] == 2
+    ibans = ("BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332",
+             "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "BE68539007547034")
+    for iban in ibans:
+        for after in ("", " EUR", " 1234", " A", " BIC ABCD", ", EUR"):
+            out, counts = masked(f"to {iban}{after}")
+            assert counts == {**dict.fromkeys(KINDS, 0), "iban": 1} and iban not in out and out.endswith(after), iban + after
+            assert pseudonymize(out, F, back=True) == f"to {iban}{after}"
+
+
+def test_dates_of_timestamps_are_found():
+    for text in ("2024-05-01T10:00:00", "2024-05-01T10:00:00.123Z", "2024-05-01T1000", "2024-05-01 10:00"):
+        out, counts = masked(text)
+        assert counts["date"] == 1 and out[10:] == text[10:] and out[:10] != text[:10]
+        assert pseudonymize(out, F, back=True) == text
+    assert masked("2024-05-01Tuesday")[1]["date"] == 0
