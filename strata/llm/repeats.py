@@ -1,11 +1,11 @@
-"""Repeated-passage removal: suffixes in radix order, to the depth of one window.
+"""Repeated-passage removal: suffixes grouped by hash digits, to the depth of one window.
 
 A byte is removed when it is covered by a ``window``-byte string that also starts
 in a document with a smaller id.  Which strings repeat is what the suffix array
 of the corpus shows in its runs of equal ``window``-byte prefixes, and to see them
-the suffixes need to be ordered only to that depth.  The order is made by
-most-significant-digit passes over 64-bit digits, and after each pass a group
-whose suffixes all lie in one document is finished:
+the suffixes need to be grouped only to that depth; no suffix is ordered by its text.
+The groups are made by passes over 64-bit hash digits in place of text digits, and
+after each pass a group whose suffixes all lie in one document is finished:
 
 * first digit: the smallest hash of the ``gram``-byte strings inside the window.
   Neighbouring suffixes share it, so it is sorted once per stretch and not once
@@ -240,9 +240,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     runs = shared_sizes(narrow, "_text", run_bytes)
     dealt = narrow.withColumn("run", run_of("_id", runs))
-    copies = (exact_dedup(narrow, "_id", "_text", keep="smallest").where("NOT kept")
+    # exact_dedup would keep a real id before a null one; as the least id a null is always kept
+    numbered = narrow.withColumn("_id", F.coalesce("_id", F.lit(_LEAST)))
+    copies = (exact_dedup(numbered, "_id", "_text", keep="smallest").where("NOT kept")
               .select(run_of("_id", runs).alias("run"), F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
-                      F.coalesce("_id", F.lit(_LEAST)).alias("id"), F.unhex("text_sha256").alias("data")))
+                      F.col("_id").alias("id"), F.unhex("text_sha256").alias("data")))
     copies = materialize(copies, "later-copies")
     release_shuffles(spark)
 

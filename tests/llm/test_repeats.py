@@ -76,3 +76,9 @@ def test_empty_table_and_arguments(no_docs):
     assert remove_repeats(no_docs).count() == 0
     with pytest.raises(ValueError):
         remove_repeats(no_docs, window=8)
+
+
+def test_copies_of_a_text_with_null_id(spark):
+    text = prose(21, 40)
+    rows = [(5, text), (None, text), (-7, text), (None, text), (9, "x" * 10 + text)]
+    assert got(remove_repeats(make(spark, rows))) == brute(rows)
