@@ -132,7 +132,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     encoded = encode(docs.withColumn("text_sha256", sha), vocabulary, carry=("text_sha256",))
     back = decode(encoded, vocabulary, text_col="decoded")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.xxhash64("ids").alias("ids_hash"), "text_sha256",
                        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 

@@ -125,3 +125,13 @@ def test_empty_table_and_arguments(no_docs, vocabulary):
         encode(no_docs, vocabulary, chunk_chars=5)
     with pytest.raises(ValueError):
         Lattice([("a", 0.0, 1)])
+
+
+def test_the_query_returns_the_ids(spark, vocabulary):
+    from strata.llm.queries import op3_sentencepiece
+
+    sf = os.environ.get("STRATA_TEST_SF", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables here")
+    rows = op3_sentencepiece(spark, sf).collect()
+    assert rows and all(len(r["ids"]) == r["n_tokens"] and r["round_trip"] for r in rows)
