@@ -39,9 +39,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text, and the text decoded from them."""
+    """Piece ids of every text, and the text decoded from them.
+
+    Input columns named ``ids`` or ``n_tokens`` (in any case) give way to the stage's own.
+    """
     vocabulary = load_vocabulary()
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    others = tuple(c for c in docs.columns if c.lower() not in ("doc_id", "text", "ids", "n_tokens"))
     decoded = decode(encode(docs, vocabulary, carry=others), vocabulary)
     return decoded.select("doc_id", "text", *others, F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -64,3 +64,11 @@ def test_stages_take_odd_rows(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() > 0
         assert stage(spark, no_docs, SF).count() == 0
+
+
+def test_tokenize_wins_over_input_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "some words", "old", 5, "en")], "doc_id long, text string, ids string, N_Tokens int, lang string")
+    out = corpus_pipeline.tokenize(spark, docs, SF)
+    assert out.columns == ["doc_id", "text", "lang", "n_tokens", "ids"]
+    row = out.first()
+    assert row["text"] == "some words" and row["n_tokens"] == len(row["ids"]) > 0
