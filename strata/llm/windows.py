@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import materialize
+from strata.llm.common import lean, materialize
 from strata.llm.ranks import positions
 from strata.llm.runs import RUN_BYTES, cut, mix, pack, pack_sorted, release_shuffles, shared_sizes, unpack, unpack_sorted
 
@@ -54,6 +54,8 @@ _BASES = (0x9FB21C651E98DF25, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 #: bits of a hash that the count compares, and runs whose hashes one key range holds
 _COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
 _RUNS_PER_BUCKET = 4
+#: runs that a task works through, one after the other
+_RUNS_PER_TASK = 8
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -99,6 +101,13 @@ def window_hashes(words: np.ndarray, starts: np.ndarray, window: int, base: int)
     return mix((sums[starts + window] - sums[starts]) * inverse[starts])
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether each of the values differs from the one before it."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
 class Run:
     """The documents of one run, ordered by id, their words and windows."""
 
@@ -128,11 +137,18 @@ class Run:
             inside[max(stop - window + 1, stop - n):stop] = False
         self.starts = np.flatnonzero(inside)  # words at which a window starts
         self.first = window_hashes(self.words, self.starts, window, _BASES[1])
+        self.by = np.argsort(self.first)
         self.window = window
 
+    def _short(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted 48-bit hashes of all windows, and where each distinct one begins."""
+        short = self.first[self.by] & _COUNTED
+        return short, np.flatnonzero(_changes(short))
+
     def counted(self) -> np.ndarray:
         """Distinct 48-bit window hashes, sorted."""
-        return np.unique(self.first & _COUNTED)
+        short, at = self._short()
+        return short[at]
 
     def candidates(self, shared: np.ndarray):
         """Windows that may repeat, ordered by hash and place.
@@ -140,23 +156,28 @@ class Run:
         Returns their start words, document numbers, whether each begins a new hash, the
         distinct hashes (both parts), the least id of each, and whether it is asked for.
         """
-        short = self.first & _COUNTED
-        keys, back, times = np.unique(short, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero((shared | (times > 1))[back])
-        starts = self.starts[keep]
-        first = self.first[keep]
+        short, at = self._short()
+        times = np.diff(np.append(at, len(short)))
+        keep = np.repeat(shared | (times > 1), times)
+        asked = np.repeat(shared, times)[keep]
+        here = self.by[keep]
+        group = np.cumsum(_changes(self.first[here])) - 1
+        places = np.sort(group.astype(np.uint64) << np.uint64(32) | here.astype(np.uint64))
+        here = (places & np.uint64(0xFFFFFFFF)).astype(np.int64)  # places ascend within a hash
+        starts, first = self.starts[here], self.first[here]
         second = (window_hashes(mix(self.words.copy()), starts, self.window, _BASES[2]) >> np.uint64(32)).astype(np.uint32)
-        by = np.lexsort((second, first))  # stable, so places ascend within a hash
-        first, second, starts = first[by], second[by], starts[by]
-        new = np.ones(len(by), bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        new = _changes(first)
+        if (~new[1:] & (second[1:] != second[:-1])).any():  # different windows of one first hash
+            order = np.lexsort((starts, second, first))
+            starts, first, second = starts[order], first[order], second[order]
+            new = _changes(first) | _changes(second)
         at = np.flatnonzero(new)
         doc = np.searchsorted(self.bounds, starts, "right") - 1
-        return starts, doc, new, first[at], second[at], self.numbers[doc[at]], shared[back[keep][by][at]]
+        return starts, doc, new, first[at], second[at], self.numbers[doc[at]], asked[at]
 
-    def removed(self, shared: np.ndarray, smaller: np.ndarray) -> list[list[tuple[int, int]]]:
+    def removed(self, candidates: tuple, smaller: np.ndarray) -> list[list[tuple[int, int]]]:
         """Per document its maximal removed intervals of words; ``smaller`` answers the asked hashes."""
-        starts, doc, new, _, _, least, asked = self.candidates(shared)
+        starts, doc, new, _, _, least, asked = candidates
         elsewhere = np.zeros(len(least), bool)
         elsewhere[asked] = smaller
         group = np.cumsum(new) - 1
@@ -165,8 +186,8 @@ class Run:
         if len(starts):
             again |= elsewhere[group] | (self.numbers[doc] > least[group])
         delta = np.zeros(len(self.words) + 1, np.int32)
-        np.add.at(delta, starts[again], 1)
-        np.add.at(delta, starts[again] + self.window, -1)
+        delta[starts[again]] += 1  # places are distinct
+        delta[starts[again] + self.window] -= 1
         covered = np.cumsum(delta[:-1]) > 0
         out = []
         for a, z in zip(self.bounds.tolist(), self.bounds[1:].tolist()):
@@ -197,14 +218,20 @@ def _tell(asked: pa.Table, kind: int, yes: np.ndarray, ends: np.ndarray) -> pa.T
                      "data": pa.array([pack(np.packbits(yes[s:e])) for s, e in zip(ends, ends[1:])], pa.binary())})
 
 
+@lean
 def _count(asked: pa.Table) -> pa.Table:
     """Which hashes of a key range several runs have."""
     keys = [unpack_sorted(k) for k in asked["keys"].to_pylist()]
     ends = np.cumsum([0] + [len(k) for k in keys])
-    _, back, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    return _tell(asked, 1, (times > 1)[back], ends)
+    every = np.concatenate(keys)
+    by = np.argsort(every)
+    times = np.diff(np.append(np.flatnonzero(_changes(every[by])), len(by)))
+    yes = np.empty(len(by), bool)
+    yes[by] = np.repeat(times > 1, times)
+    return _tell(asked, 1, yes, ends)
 
 
+@lean
 def _least_owner(asked: pa.Table) -> pa.Table:
     """Which hashes of a key range another run has with a smaller id."""
     keys = [unpack_sorted(k) for k in asked["keys"].to_pylist()]
@@ -213,8 +240,7 @@ def _least_owner(asked: pa.Table) -> pa.Table:
     more = np.frombuffer(b"".join(asked["more"].to_pylist()), np.uint32)
     ids = np.concatenate([unpack(i, np.int64) for i in asked["ids"].to_pylist()])
     by = np.lexsort((ids, more, every))
-    new = np.ones(len(by), bool)
-    new[1:] = (every[by][1:] != every[by][:-1]) | (more[by][1:] != more[by][:-1])
+    new = _changes(every[by]) | _changes(more[by])
     yes = np.empty(len(by), bool)
     yes[by] = ids[by][np.flatnonzero(new)][np.cumsum(new) - 1] < ids[by]
     return _tell(asked, 2, yes, ends)
@@ -262,10 +288,17 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     runs = shared_sizes(rows, "_text", run_bytes)
     buckets = max(2, -(-runs // _RUNS_PER_BUCKET))
     dealt = rows.withColumn("run", F.pmod(F.xxhash64("_num", "_text"), F.lit(runs)).cast("int"))
+    tasks = -(-runs // _RUNS_PER_TASK)
+
+    def spread(df: DataFrame, key: str) -> DataFrame:
+        """``df`` dealt by ``key`` to enough tasks, where the session's number of partitions is too small for them."""
+        return df.repartition(tasks, key) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
+    @lean
     def ask_count(table: pa.Table) -> pa.Table:
         return _questions(table["run"][0].as_py(), buckets, Run(table, window).counted())
 
+    @lean
     def ask_owner(table: pa.Table, info: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _questions(0, buckets, np.zeros(0, np.uint64))
@@ -275,26 +308,27 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     spans_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
+    @lean
     def remove(table: pa.Table, info: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"_id": table["_id"], "n_words": pa.array([], pa.int64()), "removed": pa.array([], spans_type),
                              "kept": pa.array([], pa.string())})
         run = Run(table, window)
-        shared = _told(info, 1, run.counted(), buckets)
-        *_, first, _, _, asked = run.candidates(shared)
-        spans = run.removed(shared, _told(info, 2, first[asked], buckets))
+        found = run.candidates(_told(info, 1, run.counted(), buckets))
+        first, asked = found[3], found[6]
+        spans = run.removed(found, _told(info, 2, first[asked], buckets))
         return pa.table({
             "_id": run.ids, "n_words": pa.array(np.diff(run.bounds), pa.int64()),
             "removed": pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], spans_type),
             "kept": pa.array([_kept(t, s) for t, s in zip(run.texts.to_pylist(), spans)], pa.binary()).cast(pa.string())})
 
-    info = materialize(dealt.groupBy("run").applyInArrow(ask_count, _ASK).groupBy("bucket").applyInArrow(_count, _TELL),
-                       "window-counts")
+    dealt = spread(dealt, "run")
+    asked = spread(dealt.groupBy("run").applyInArrow(ask_count, _ASK), "bucket")
+    info = materialize(asked.groupBy("bucket").applyInArrow(_count, _TELL), "window-counts")
     release_shuffles(spark)
-    owners = (dealt.groupBy("run").cogroup(info.groupBy("run")).applyInArrow(ask_owner, _ASK)
-              .groupBy("bucket").applyInArrow(_least_owner, _TELL))
-    info = info.unionByName(materialize(owners, "window-owners"))
+    asked = spread(dealt.groupBy("run").cogroup(spread(info, "run").groupBy("run")).applyInArrow(ask_owner, _ASK), "bucket")
+    info = info.unionByName(materialize(asked.groupBy("bucket").applyInArrow(_least_owner, _TELL), "window-owners"))
     release_shuffles(spark)
-    out = dealt.groupBy("run").cogroup(info.groupBy("run")).applyInArrow(
+    out = dealt.groupBy("run").cogroup(spread(info, "run").groupBy("run")).applyInArrow(
         remove, f"_id {kind}, n_words long, removed array<struct<begin:long,end:long>>, kept string")
     return out.withColumnRenamed("_id", id_col)

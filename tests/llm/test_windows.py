@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strata.llm import windows
 from strata.llm.windows import remove_repeated_windows, window_hashes
 from tests.llm.conftest import EDGE, make, prose
 
@@ -97,3 +99,16 @@ def test_hash_depends_on_the_window_alone():
     words = np.array([5, 9, 9, 5, 7, 5, 9, 9, 5, 7], np.uint64)
     h = window_hashes(words, np.arange(8), 3, 0xD1342543DE82EF95)
     assert (h[:3] == h[5:]).all() and len(set(h.tolist())) == 5
+
+
+def test_windows_that_share_the_first_hash_are_told_apart(monkeypatch):
+    rows = sorted((i, prose(i % 9, 30, vocabulary=3) + " " + prose(i % 4, 25)) for i in range(40))
+    weak = windows.window_hashes
+    monkeypatch.setattr(windows, "window_hashes", lambda words, starts, window, base: weak(words, starts, window, base)
+                        & np.uint64((1 << 64) - 1 if base != windows._BASES[1] else 7 << 60))
+    ids = pa.array([i for i, _ in rows], pa.int64())
+    run = windows.Run(pa.table({"_id": ids, "_num": ids, "_text": [t for _, t in rows]}), 20)
+    found = run.candidates(np.zeros(len(run.counted()), bool))
+    assert len(run.counted()) <= 8
+    spans = run.removed(found, np.zeros(0, bool))
+    assert spans == [s for _, _, s, _ in sorted(brute(rows), key=lambda r: r[0])]
