@@ -44,8 +44,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.llm.common import give_back, materialize, slices, small_batches
+from strata.llm.common import give_back, lean, materialize, slices, small_batches
+from strata.llm.ranks import positions
 from strata.llm.runs import (RUN_BYTES, cut, mix, pack, pack_sorted, release_shuffles, run_of, shared_sizes, unpack,
                              unpack_sorted, word_hashes)
 
@@ -144,6 +146,7 @@ def _ask(words: int, buckets: int, run_bytes: int):
     return run
 
 
+@lean
 def _shared(asked: pa.Table) -> pa.Table:
     """Per run, how many of each document's own keys in this bucket other runs have too."""
     if asked["bucket"][0].as_py() < 0:
@@ -170,6 +173,7 @@ _DOC = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s
                   ("shared", pa.int64())])
 
 
+@lean
 def _documents(table: pa.Table) -> pa.Table:
     """Rows of a run's documents with the sum of its buckets' counts."""
     is_doc = pc.is_valid(table["place"])
@@ -250,6 +254,7 @@ def _short_lists(sets: DataFrame, percent: int, run_bytes: int) -> DataFrame:
     ask = pa.schema([("bucket", pa.int32()), ("run", pa.int32()), ("keys", pa.binary()), ("data", pa.binary())])
     tell = pa.schema([("run", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 
+    @lean
     def question(table: pa.Table) -> pa.Table:
         every = np.concatenate([np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()])
         keys, times = np.unique(every, return_counts=True)
@@ -259,6 +264,7 @@ def _short_lists(sets: DataFrame, percent: int, run_bytes: int) -> DataFrame:
             ask, len(cuts), bucket=[b for b, _, _ in cuts], run=[table["run"][0].as_py()] * len(cuts),
             keys=[pack_sorted(keys[s:e]) for _, s, e in cuts], data=[pack(times[s:e]) for _, s, e in cuts])], schema=ask)
 
+    @lean
     def lengths(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(k) for k in table["keys"].to_pylist()]
         ends = np.cumsum([0] + [len(k) for k in keys])
@@ -269,6 +275,7 @@ def _short_lists(sets: DataFrame, percent: int, run_bytes: int) -> DataFrame:
             tell, len(keys), run=table["run"].to_pylist(), bucket=table["bucket"].to_pylist(),
             data=[pack(total[places[s:e]]) for s, e in zip(ends, ends[1:])])], schema=tell)
 
+    @lean
     def postings(table: pa.Table, info: pa.Table) -> pa.Table:
         sets_ = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
         keys = np.unique(np.concatenate(sets_)) if sets_ else np.zeros(0, np.uint64)
@@ -308,9 +315,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("run").applyInArrow(_documents, "id long, n long, s1 long, s2 long, shared long"), "shingle-counts")
     release_shuffles(spark)
     known = rows.where("n > 0 AND id IS NOT NULL")
-    classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("shared").alias("shared")),
-                          "classes")
-    left = classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100 - 1e-9)).select("n", "s1", "s2", "rep")
+    # a class has a number of its own: two texts of one id are two classes
+    classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.max("shared").alias("shared"))
+                          .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    left = classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100 - 1e-9)).drop("shared")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chain.from_iterable(slices(b, 4, 4 << 20) for b in batches):
@@ -322,8 +330,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["rep", "keys"])
         give_back()
 
-    sets = materialize(narrow.where("id IS NOT NULL").join(left.withColumnRenamed("rep", "id"), "id")
-                       .select("id", "n", "s1", "s2", "text").mapInArrow(sets_of, "rep long, keys binary")
+    sets = materialize(narrow.where("id IS NOT NULL").join(left, "id")
+                       .select("rep", "n", "s1", "s2", "text").mapInArrow(sets_of, "rep long, keys binary")
                        .dropDuplicates(["rep", "keys"]), "sets")
     release_shuffles(spark)
     lists = materialize(_short_lists(sets, percent, run_bytes), "short-lists")
@@ -372,21 +380,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                            ["x", "y"], "left_anti")
     labels, _ = _merge(_verify(pairs, sets, percent), labels, left, None)
 
-    smallest = labels.groupBy("comp").agg(F.min("node").alias("component"))
+    smallest = (labels.join(classes.select(F.col("rep").alias("node"), "id"), "node")
+                .groupBy("comp").agg(F.min("id").alias("component")))
     of_rep = labels.join(smallest, "comp").select(F.col("node").alias("rep"), "component")
-    of_class = classes.join(of_rep, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("c"))
+    of_class = classes.join(of_rep, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "id").alias("c"))
     return (rows.join(of_class, ["n", "s1", "s2"], "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component, all columns kept; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    drop = materialize(found.where(F.col(id_col) != F.col("component_id")).select(
-        F.col(id_col).alias("_drop")).distinct(), "near-copies")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"))
-    return rows.join(drop, F.col("_id") == F.col("_drop"), "left_anti").select("_row.*")
+    """``docs`` with one document (the smallest id) of each component, all columns kept; rows without an id stay.
+
+    A document is an id with a text.  Ids that are repeated, or are no integers, are replaced by
+    the document's place in the order of (id, text digest), so each text is kept or dropped by its own links.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"),
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    number = F.col("_id")
+    integers = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    if not integers or rows.where("_id IS NOT NULL").groupBy("_id").count().where("count > 1").take(1):
+        rows = rows.withColumn("_sha", F.sha2("_text", 256))
+        known = materialize(rows.where("_id IS NOT NULL").select(F.col("_id").alias("_of"), F.col("_sha").alias("_as"))
+                            .distinct(), "documents")
+        placed = positions(known, [], ["_of", "_as"]).drop("size")
+        rows = materialize(rows.join(placed, (F.col("_id") == F.col("_of")) & (F.col("_sha") == F.col("_as")), "left")
+                           .drop("_of", "_as", "_sha"), "numbered")
+        number = F.col("pos")
+    rows = rows.select("_row", number.alias("_num"), "_text")
+    found = near_duplicates(rows, "_num", "_text", **options)
+    drop = materialize(found.where("_num != component_id").select(F.col("_num").alias("_drop")).distinct(), "near-copies")
+    kept = rows.join(drop, F.col("_num") == F.col("_drop"), "left_anti")
+    return kept.select("_row.*")
 
 
 def _merge(links: DataFrame, labels: DataFrame, left: DataFrame | None, steps: int | None):

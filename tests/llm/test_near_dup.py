@@ -3,7 +3,7 @@ import random
 import pytest
 
 from strata.llm.near_dup import contract, keep_one, near_duplicates, shingle_sets
-from tests.llm.conftest import EDGE, make, prose
+from tests.llm.conftest import BASE, EDGE, make, prose
 
 
 def sets_of(text):
@@ -89,13 +89,28 @@ def test_empty_and_tiny(spark, no_docs):
 
 
 def test_keep_one(spark):
-    rows = EDGE
+    rows = [r for r in EDGE if r != (3, BASE)]
     out = keep_one(make(spark, rows))
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(
         [(i, t) for (i, t) in rows if dict((a, c) for a, _, c in brute(rows))[i] == i], key=str)
     assert "component_id" not in out.columns and len(out.columns) == 13
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    a, u, v = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (3, a + " z"), (3, u), (3, v), (4, v + " y"), (0, u + " x"), (3, u), (None, a), (None, u)]
+    assert got(near_duplicates(make(spark, rows).repartition(3))) == brute(rows)
+    left = sorted(((r["doc_id"], r["text"]) for r in keep_one(make(spark, rows)).collect()), key=str)
+    # of (3, v) and (4, v y) the first stays; (3, a z) and both (3, u) have a smaller one
+    assert left == sorted([(1, a), (3, v), (0, u + " x"), (None, a), (None, u)], key=str)
+
+
+def test_keep_one_takes_string_ids(spark):
+    a, u = prose(31, 60), prose(32, 60)
+    docs = spark.createDataFrame([("b", a), ("a9", a + " z"), ("c", u), (None, u)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "-") for r in keep_one(docs).collect()) == ["-", "a9", "c"]
+
+
 def test_contract_random_graphs(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
