@@ -13,8 +13,8 @@ text is cut into chunks of that many characters, wherever the cut falls:
    lattice node i of the ``S`` nodes up to its left boundary to node j of the
    ``S`` nodes up to its right boundary (``S``: longest piece).  Max-plus matrix
    products combine chunks associatively.
-2. Per document a scan over the matrices alone gives the score vector at every
-   boundary.
+2. A parallel scan over the matrices alone gives the score vector at every boundary:
+   blocks of matrices are combined in a tree, and the vectors handed down it.
 3. With its vector every chunk is backtraced on its own: for each exit node, the
    entry node it leads to and the pieces on the way (kept once where the paths
    agree, which is all but the last few pieces).
@@ -22,11 +22,11 @@ text is cut into chunks of that many characters, wherever the cut falls:
    the pieces joined.
 
 Shuffled are the chunks of long documents, their matrices and their pieces; a
-task holds one chunk, or the matrices (2 KB per chunk) or pieces of one document.
+task holds one chunk, one block of matrices, or the pieces of one document.
 
-Scores are exact integers and ties go to the longest last piece, so the result
-does not depend on where chunks are cut.  Scores below -1e6 (a vocabulary's
-"never" marks) count as -1e6.
+Scores are exact integers (a piece's score times 2^20, rounded) and ties go to the
+longest last piece, so the result does not depend on where chunks are cut.  Scores
+below -1e6 (a vocabulary's "never" marks) count as -1e6.
 
 Defined results: null and empty texts have no pieces; repeated rows and rows
 without an id are encoded one by one; an empty table gives an empty result; other
@@ -52,15 +52,19 @@ from strata.llm.runs import mix, powers
 
 MODEL = os.environ.get("STRATA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 CHUNK_CHARS = 65_536
+#: neighbouring matrices (2 KB each) that one task of the scan combines
+SCANNED = 64
 _NEVER = -(1 << 62)
 _LOWEST = -1_000_000.0
+#: scores are kept as whole multiples of 1 / _UNIT
+_UNIT = 1 << 20
 #: a run of blanks and what follows it; no piece has a blank after another character
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _CACHE_WORDS, _CACHE_CHARS, _BATCH_WORDS = 120_000, 48, 20_000
 #: characters whose words are learned together
 _TOGETHER = 1 << 20
 #: below every sum over a cached word
-_FAR = -(1 << 40)
+_FAR = -(1 << 56)
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -133,13 +137,23 @@ class _PieceTable:
         return score, ids
 
 
+def _text_of(bytes_of: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(bytes_of.__getitem__, ids)).decode()[1:]
+
+
+def spelled(vocabulary: list[tuple[str, float, int]]) -> list[bytes]:
+    """The bytes of every piece, by id; all that decoding needs."""
+    return [piece.replace("▁", " ").encode() if kind in (1, 4) else bytes([int(piece[3:5], 16)]) if kind == 6 else b""
+            for piece, _, kind in vocabulary]
+
+
 class Lattice:
     """The vocabulary as exact integer scores, and best paths through one text."""
 
     def __init__(self, vocabulary: list[tuple[str, float, int]]):
         self.score: dict[str, int] = {}
         self.ids: dict[str, int] = {}
-        self.bytes_of: list[bytes] = []
+        self.bytes_of = spelled(vocabulary)
         byte_id = {}
         normal = [s for _, s, kind in vocabulary if kind in (1, 4)]
         lowest = max(_LOWEST, min(normal))
@@ -149,17 +163,13 @@ class Lattice:
                 if text.lstrip(" ").find(" ") >= 0:
                     raise ValueError(f"piece {piece!r} has a blank after another character")
                 self.ids[text] = i
-                self.score[text] = round(max(_LOWEST, score))
-                self.bytes_of.append(text.encode())
+                self.score[text] = round(max(_LOWEST, score) * _UNIT)
             elif kind == 6:
                 byte_id[int(piece[3:5], 16)] = i
-                self.bytes_of.append(bytes([int(piece[3:5], 16)]))
-            else:
-                self.bytes_of.append(b"")
         if len(byte_id) < 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.byte_id = [byte_id[b] for b in range(256)]
-        self.unknown = round(lowest - 10)
+        self.unknown = round((lowest - 10) * _UNIT)
         self.span = max(map(len, self.ids))
         # paths of recent words, and of those before them
         self._words: dict[str, tuple[int, bytes]] = {}
@@ -294,7 +304,7 @@ class Lattice:
         return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
+        return _text_of(self.bytes_of, ids)
 
     # -- chunks: ``text`` is the chunk with ``lead`` characters of its left neighbour in front ----
 
@@ -395,10 +405,23 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total.max(axis=1)
 
 
-def boundary_vectors(matrices: list[np.ndarray], span: int) -> list[np.ndarray]:
-    """Scores of the nodes up to every left boundary, relative to the best of them."""
-    vector = np.full((1, span), _NEVER, np.int64)
-    vector[0, span - 1] = 0  # the node in front of the text
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """The matrix of neighbouring chunks together, combined pairwise as a tree."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[i:i + 2]) if i + 1 < len(matrices) else matrices[i]
+                    for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def boundary_vectors(matrices: list[np.ndarray], span: int, before: np.ndarray | None = None) -> list[np.ndarray]:
+    """Scores of the nodes up to every left boundary, relative to the best of them.
+
+    ``before`` are those of the first boundary (None: the front of the text).
+    """
+    if before is None:
+        before = np.full(span, _NEVER, np.int64)
+        before[span - 1] = 0  # the node in front of the text
+    vector = before.reshape(1, span)
     out = [vector[0]]
     for m in matrices[:-1]:
         vector = combine(vector, m)
@@ -436,14 +459,61 @@ class _Shared:
         return self._b.value
 
 
+def _scan(moved: DataFrame, most: int, span: int) -> DataFrame:
+    """_key, _chunk, _vector: the vectors at every left boundary, from the matrices of the chunks.
+
+    A parallel prefix scan: the matrices of ``SCANNED`` neighbouring chunks are combined into
+    one, and these again, until ``most`` chunks of a text have become a single one; then the
+    vectors are handed down the same tree, each block continuing from that at its own start.
+    """
+    def of(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(m, np.int64).reshape(span, span) for m in pdf.sort_values("_chunk")["_matrix"]]
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_key": pdf["_key"].iloc[:1].to_numpy(), "_chunk": pdf["_block"].iloc[:1].to_numpy(),
+                             "_matrix": [product(of(pdf)).tobytes()]})
+
+    def down(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        before = np.frombuffer(start["_vector"].iloc[0], np.int64) if len(start) else None
+        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "_chunk": np.sort(pdf["_chunk"].to_numpy()),
+                             "_vector": [v.tobytes() for v in boundary_vectors(of(pdf), span, before)]})
+
+    def blocks(df: DataFrame) -> DataFrame:
+        return df.withColumn("_block", F.floor(F.col("_chunk") / SCANNED).cast("int"))
+
+    levels = [moved]
+    while most > SCANNED:
+        levels.append(materialize(blocks(levels[-1]).groupBy("_key", "_block")
+                                  .applyInPandas(up, "_key long, _chunk int, _matrix binary"), "matrices"))
+        most = -(-most // SCANNED)
+    schema = "_key long, _chunk int, _vector binary"
+    top = levels.pop()
+    vectors = top.groupBy("_key").applyInPandas(lambda pdf: down(pdf, pdf.iloc[:0]), schema)
+    for level in reversed(levels):
+        starts = vectors.withColumnRenamed("_chunk", "_block")
+        vectors = (blocks(level).groupBy("_key", "_block").cogroup(starts.groupBy("_key", "_block"))
+                   .applyInPandas(down, schema))
+    return vectors
+
+
+def _again(lattice: Lattice, ids: bytes) -> str:
+    """The text that encoded ids (int32, native order) decode to."""
+    return lattice.decode(np.frombuffer(ids, np.int32).tolist()) if ids else ""
+
+
 def _lists(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0] + [len(p) // 4 for p in parts]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
 def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: str = "doc_id",
-           text_col: str = "text", carry: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """id, the columns in ``carry``, and ``ids`` (array of piece ids) of every whole text."""
+           text_col: str = "text", carry: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS,
+           decoded: str | None = None) -> DataFrame:
+    """id, the columns in ``carry``, and ``ids`` (array of piece ids) of every whole text.
+
+    ``decoded`` names a column for the text that the ids decode to, made by the worker that
+    made them (``decode`` would start a second worker per task).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = _Shared(spark, vocabulary)
@@ -451,8 +521,8 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
     if chunk_chars < span:
         raise ValueError(f"chunk_chars must be at least {span}")
     out_cols = [id_col, *[c for c in carry if c != id_col]]
-    if "ids" in out_cols:
-        raise ValueError("a carried column is named ids")
+    if "ids" in out_cols or decoded in [*out_cols, "ids"]:
+        raise ValueError("a carried column is named like a result")
     # the id and the carried columns travel as one struct, so their names meet no other
     narrow = docs.select(F.struct(*out_cols).alias("_row"),
                          F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -463,8 +533,10 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared)
         for batch in chain.from_iterable(slices(b, len(kept)) for b in batches):
-            ids = _lists(lattice.encode_all(batch.column(len(kept)).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], ids], [*kept, "ids"])
+            out = lattice.encode_all(batch.column(len(kept)).to_pylist())
+            back = [] if decoded is None else [pa.array([_again(lattice, ids) for ids in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], _lists(out), *back],
+                                             [*kept, "ids", "_decoded"][:len(kept) + 1 + len(back)])
         lattice.forget()
         give_back()
 
@@ -480,7 +552,8 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
                          pa.array([text[at - lead:at + chunk_chars]], pa.string())],
                         [*kept, "_key", "_chunk", "_lead", "_part"])
 
-    whole = narrow.where(~is_long).mapInArrow(short, f"{cols}, ids array<int>")
+    made = "ids array<int>" + (", _decoded string" if decoded is not None else "")
+    whole = narrow.where(~is_long).mapInArrow(short, f"{cols}, {made}")
     chunks = materialize(narrow.where(is_long).withColumn("_key", F.monotonically_increasing_id())
                          .mapInArrow(cut, f"{cols}, _key long, _chunk int, _lead int, _part string"), "chunks")
 
@@ -493,15 +566,9 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
         lattice.forget()
         give_back()
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        vectors = boundary_vectors([np.frombuffer(m, np.int64).reshape(span, span) for m in pdf["_matrix"]], span)
-        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "_chunk": pdf["_chunk"].to_numpy(),
-                             "_vector": [v.tobytes() for v in vectors]})
-
-    moved = chunks.select("_key", "_chunk", "_lead", "_part").mapInArrow(
-        matrices, "_key long, _chunk int, _matrix binary")
-    vectors = moved.groupBy("_key").applyInPandas(scan, "_key long, _chunk int, _vector binary")
+    moved = materialize(chunks.select("_key", "_chunk", "_lead", "_part").mapInArrow(
+        matrices, "_key long, _chunk int, _matrix binary"), "matrices")
+    vectors = _scan(moved, (chunks.agg(F.max("_chunk")).first()[0] or 0) + 1, span)
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(shared)
@@ -524,26 +591,28 @@ def encode(docs: DataFrame, vocabulary: list[tuple[str, float, int]], id_col: st
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_chunk")
         ids = join_paths([list(e) for e in pdf["_entries"]], list(pdf["_common"]), [list(t) for t in pdf["_tails"]], span)
-        return pd.DataFrame({"_key": pdf["_key"].iloc[:1].to_numpy(), "ids": [np.frombuffer(ids, np.int32)]})
+        out = pd.DataFrame({"_key": pdf["_key"].iloc[:1].to_numpy(), "ids": [np.frombuffer(ids, np.int32)]})
+        return out if decoded is None else out.assign(_decoded=[_again(_lattice(shared), ids)])
 
-    joined = (traced.groupBy("_key").applyInPandas(assemble, "_key long, ids array<int>")
-              .join(chunks.where("_chunk = 0").select(*kept, F.col("_key")), "_key").select(*kept, "ids"))
-    return whole.unionByName(joined).select("_row.*", "ids")
+    joined = (traced.groupBy("_key").applyInPandas(assemble, f"_key long, {made}")
+              .join(chunks.where("_chunk = 0").select(*kept, F.col("_key")), "_key").drop("_key"))
+    out = whole.unionByName(joined)
+    return out.select("_row.*", "ids", *([] if decoded is None else [F.col("_decoded").alias(decoded)]))
 
 
 def decode(encoded: DataFrame, vocabulary: list[tuple[str, float, int]], ids_col: str = "ids",
            text_col: str = "text") -> DataFrame:
     """All columns of ``encoded`` and the decoded text."""
-    shared = _Shared(encoded.sparkSession, vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(spelled(vocabulary))
     others = encoded.columns
     at = others.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = _lattice(shared)
+        bytes_of = shared.value
         for batch in chain.from_iterable(slices(b, at) for b in batches):
             lists = batch.column(at)
             ends, values = lists.offsets.to_pylist(), lists.values.to_numpy()
-            texts = [lattice.decode(values[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])]
+            texts = [_text_of(bytes_of, values[a:b].tolist()) if b > a else "" for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*others, text_col])
         give_back()
 

@@ -125,13 +125,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op3_sentencepiece")
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strata.llm.pieces import decode, encode, load_vocabulary
+    from strata.llm.pieces import encode, load_vocabulary
 
-    vocabulary = load_vocabulary()
     docs = table(spark, sf_dir, "documents")
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    encoded = encode(docs.withColumn("text_sha256", sha), vocabulary, carry=("text_sha256",))
-    back = decode(encoded, vocabulary, text_col="decoded")
+    back = encode(docs.withColumn("text_sha256", sha), load_vocabulary(), carry=("text_sha256",), decoded="decoded")
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.xxhash64("ids").alias("ids_hash"), "text_sha256",
                        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))

@@ -118,6 +118,36 @@ def test_rows_and_chunks_in_spark(spark, lattice, vocabulary):
     assert back.where("again <> coalesce(text, '')").count() == 0 and back.count() == len(rows)
 
 
+def test_scan_of_many_blocks(spark, lattice, vocabulary, monkeypatch):
+    from strata.llm import pieces
+
+    monkeypatch.setattr(pieces, "SCANNED", 3)
+    rows = [(1, "日本 テスト" * 300), (2, prose(5, 700)), (3, "z" * 400), (4, "short")]
+    out = encode(make(spark, rows), vocabulary, chunk_chars=50, decoded="again").collect()
+    assert sorted((r["doc_id"], r["ids"], r["again"]) for r in out) == [(i, ids(lattice.encode(t)), t) for i, t in rows]
+
+
+def test_fractional_scores_of_a_unigram_model():
+    """Best paths by floating-point scores, where rounding to whole numbers would choose others."""
+    rng = random.Random(3)
+    bytes_ = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    model = [("▁", -0.6, 1), ("a", -1.3, 1), ("b", -1.3, 1), ("▁ab", -3.4, 1)] + bytes_
+    fixed = Lattice(model)
+    assert [model[i][0] for i in ids(fixed.encode("ab"))] == ["▁", "a", "b"]
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(60)} | set("abc"))
+    model = [(w, rng.uniform(-9, -0.1), 1) for w in words] + [("▁" + w, rng.uniform(-9, -0.1), 1) for w in words[::2]]
+    model += [("▁", -0.7, 1)] + bytes_
+    fixed, score = Lattice(model), {p.replace("▁", " "): s for p, s, kind in model if kind == 1}
+    for _ in range(40):
+        text = " " + "".join(rng.choice("aabbc ") for _ in range(rng.randint(1, 60)))
+        best = [0.0]
+        for end in range(1, len(text) + 1):
+            best.append(max(best[s] + score[text[s:end]] for s in range(max(0, end - 6), end) if text[s:end] in score))
+        found = ids(fixed.encode(text[1:]))
+        assert b"".join(fixed.bytes_of[i] for i in found).decode() == text
+        assert sum(model[i][1] for i in found) == pytest.approx(best[-1], abs=1e-3)
+
+
 def test_empty_table_and_arguments(no_docs, vocabulary):
     assert encode(no_docs, vocabulary).count() == 0
     assert decode(encode(no_docs, vocabulary), vocabulary).count() == 0
