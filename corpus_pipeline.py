@@ -14,7 +14,7 @@ from strata.llm.common import materialize, table
 from strata.llm.decontaminate import drop_contaminated
 from strata.llm.exact_dedup import drop_exact_copies
 from strata.llm.near_dup import keep_one
-from strata.llm.pieces import decode, encode, load_vocabulary
+from strata.llm.pieces import encode, load_vocabulary
 from strata.llm.quality import filter_quality, fit_quality
 
 
@@ -43,10 +43,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Input columns named ``ids`` or ``n_tokens`` (in any case) give way to the stage's own.
     """
-    vocabulary = load_vocabulary()
     others = tuple(c for c in docs.columns if c.lower() not in ("doc_id", "text", "ids", "n_tokens"))
-    decoded = decode(encode(docs, vocabulary, carry=others), vocabulary)
-    return decoded.select("doc_id", "text", *others, F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = encode(docs, load_vocabulary(), carry=others, decoded="text")
+    return encoded.select("doc_id", "text", *others, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
