@@ -49,6 +49,18 @@ csv_conversations = _csv_round_trip("conversations", "conv_id, turn, role, text"
 csv_pages = _csv_round_trip("pages", "page_id, url, html")
 
 
+def _csv_blocks(name: str, columns: str):
+    @register(f"csv_blocks_{name}", f"SELECT {columns} FROM {name}")
+    def run(spark, sf):
+        return R.scan_csv(spark, _csv_copy(spark, sf, name), block_bytes=1 << 18)
+    run.__doc__ = f"``{name}`` written as CSV and read back in blocks of 256 KB, whose borders fall anywhere in records."
+    return run
+
+
+csv_blocks_documents = _csv_blocks("documents", "doc_id, text, lang, source, n_chars")
+csv_blocks_pages = _csv_blocks("pages", "page_id, url, html")
+
+
 @register("file_info", """
 SELECT 'lineitem.parquet' AS name, '.parquet' AS extension, bytes > 0 AS has_bytes, rows, CAST(11 AS BIGINT) AS columns,
   ROUND(mem / 1048576.0, 2) AS memory_mb

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.columns import col
+from strata.sources.csv_blocks import read_blocks
 
 # Suffix → reader format.  ".xlsx" is recognised but has no
 # splittable Spark reader.
@@ -28,8 +29,9 @@ TRUE_TOKENS = ("True", "TRUE", "true")
 FALSE_TOKENS = ("False", "FALSE", "false")
 
 ENCODINGS = ("utf-8", "iso-8859-1")
-# Cells may hold quoted newlines, so a file is read by one task (files are the unit of
-# parallelism); write many files, or parquet, where one file is too much for a task.
+# Cells may hold quoted newlines, so Spark's reader gives a file to one task; larger files
+# than ``BLOCK_BYTES`` are read in blocks (``csv_blocks``).
+BLOCK_BYTES = 64 << 20
 CSV_OPTIONS = {"header": "true", "escape": '"', "multiLine": "true", "emptyValue": "", "nullValue": "",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 # What a number looks like in a cell; type suffixes such as "1D" are text.
@@ -127,17 +129,30 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def scan_csv(spark: SparkSession, path: str, encodings=ENCODINGS, infer: bool = True) -> DataFrame:
-    """Header CSV: encoding per file, pandas NA tokens nulled, types inferred, cells as
-    written (blanks and quoted newlines kept).
-
-    A table without columns or rows raises ValueError.
-    """
+def _scan_files(spark: SparkSession, path: str, encodings) -> DataFrame:
+    """The string columns of CSV files, a file per task."""
     reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false")
     parts = [reader.option("encoding", enc).csv(files) for enc, files in file_encodings(spark, path, encodings).items()]
     raw = parts[0]
     for more in parts[1:]:
         raw = raw.unionByName(more, allowMissingColumns=True)
+    return raw
+
+
+def scan_csv(spark: SparkSession, path: str, encodings=ENCODINGS, infer: bool = True,
+             block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Header CSV: encoding per file, pandas NA tokens nulled, types inferred, cells as
+    written (blanks and quoted newlines kept).
+
+    If a file is larger than ``block_bytes``, the files are read in blocks of that size by
+    many tasks and their rows kept as parquet in the shared folder.  A table without
+    columns or rows raises ValueError.
+    """
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    if largest > block_bytes and not _decoder(encodings):
+        raw = read_blocks(spark, path, CSV_OPTIONS, block_bytes, encodings[1].upper() if len(encodings) > 1 else None)
+    else:
+        raw = _scan_files(spark, path, encodings)
     if not raw.columns or raw.isEmpty():
         raise ValueError("Uploaded file contains no data.")
     df = _null_na(raw)
