@@ -111,16 +111,85 @@ def tree_regressor(max_depth: int = MAX_TREE_DEPTH, seed: int = 42, **kw):
         featuresCol=fc, labelCol=lc, maxDepth=min(max_depth, MAX_TREE_DEPTH), seed=seed, **kw), False)
 
 
+#: trees that one Spark forest grows, and forests that grow at the same time
+FOREST_GROUP, FOREST_THREADS = 30, 5
+
+
+class ForestLearner:
+    """A random forest grown as groups of trees, each a Spark ML forest over all rows.
+
+    A pass of Spark over the data serves as many nodes as its memory holds, and the driver
+    books every node of a level, so hundreds of deep trees in one forest wait for each other;
+    groups have the nodes of a few trees each, and several grow side by side.  Group i draws
+    its bootstrap samples with seed ``seed + i``; the trees are those of one forest otherwise.
+    """
+
+    def __init__(self, estimator, probability: bool, num_trees: int, max_depth: int, seed: int, strategy: str,
+                 group: int = FOREST_GROUP, threads: int = FOREST_THREADS, **kw):
+        self.estimator, self.probability, self.num_trees, self.seed = estimator, probability, num_trees, seed
+        self.group, self.threads = group, threads
+        # where a row stands in each tree is kept (and checkpointed), not found again from the root in every pass
+        self.kw = dict(maxDepth=min(max_depth, MAX_TREE_DEPTH), featureSubsetStrategy=strategy, cacheNodeIds=True) | kw
+
+    def fit(self, df: DataFrame, features_col: str = "features", label_col: str = "label"):
+        from concurrent.futures import ThreadPoolExecutor
+
+        from pyspark import StorageLevel, inheritable_thread_target
+        ensure_checkpoint_dir(df.sparkSession)
+        rows = df.select(features_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = [min(self.group, self.num_trees - at) for at in range(0, self.num_trees, self.group)]
+
+        @inheritable_thread_target(df.sparkSession)
+        def grow(i):
+            return self.estimator(featuresCol=features_col, labelCol=label_col, numTrees=sizes[i], seed=self.seed + i,
+                                  **self.kw).fit(rows)
+        try:
+            with ThreadPoolExecutor(min(self.threads, len(sizes))) as pool:
+                return ForestFitted(list(pool.map(grow, range(len(sizes)))))
+        finally:
+            rows.unpersist()
+
+
+class ForestFitted:
+    """Forests that vote as one: class votes are added, predicted numbers averaged by trees."""
+
+    def __init__(self, models):
+        self.models = models
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        out, parts = df, [f"__f{i}" for i in range(len(self.models))]
+        if not hasattr(self.models[0], "numClasses"):
+            for m, part in zip(self.models, parts):
+                out = m.copy({m.predictionCol: part}).transform(out)
+            trees = [m.getNumTrees for m in self.models]
+            total = sum((F.col(c) * n for c, n in zip(parts, trees)), F.lit(0.0))
+            return out.withColumn("prediction", total / float(sum(trees))).drop(*parts)
+        for m, part in zip(self.models, parts):
+            out = m.copy({m.rawPredictionCol: part, m.predictionCol: "", m.probabilityCol: ""}).transform(out)
+            out = out.withColumn(part, vector_to_array(part))
+        raw = F.col(parts[0])
+        for part in parts[1:]:
+            raw = F.zip_with(raw, F.col(part), lambda x, y: x + y)
+        out = out.withColumn("__raw", raw).drop(*parts)
+        all_ = F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
+        best = F.array_position("__raw", F.array_max("__raw")) - 1
+        return (out.withColumn("rawPrediction", array_to_vector("__raw"))
+                .withColumn("probability", array_to_vector(F.transform("__raw", lambda x: x / all_)))
+                .withColumn("prediction", best.cast("double")).drop("__raw"))
+
+    @property
+    def feature_importances(self):
+        total = sum(m.featureImportances.toArray() * m.getNumTrees for m in self.models)
+        return list(total / sum(m.getNumTrees for m in self.models))
+
+
 def forest_classifier(num_trees: int = 300, max_depth: int = MAX_TREE_DEPTH, seed: int = 42, **kw):
-    return SparkLearner(lambda df, fc, lc: C.RandomForestClassifier(
-        featuresCol=fc, labelCol=lc, numTrees=num_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH),
-        featureSubsetStrategy="sqrt", seed=seed, **kw), True)
+    return ForestLearner(C.RandomForestClassifier, True, num_trees, max_depth, seed, "sqrt", **kw)
 
 
 def forest_regressor(num_trees: int = 300, max_depth: int = MAX_TREE_DEPTH, seed: int = 42, **kw):
-    return SparkLearner(lambda df, fc, lc: R.RandomForestRegressor(
-        featuresCol=fc, labelCol=lc, numTrees=num_trees, maxDepth=min(max_depth, MAX_TREE_DEPTH),
-        featureSubsetStrategy="all", seed=seed, **kw), False)
+    return ForestLearner(R.RandomForestRegressor, False, num_trees, max_depth, seed, "all", **kw)
 
 
 def gbt_regressor(max_iter: int = 100, step: float = 0.1, max_depth: int = 3, seed: int = 42, **kw):
@@ -567,6 +636,8 @@ def save_fitted(spark, fitted, path: str) -> None:
         stages = [fitted.model, fitted.platt]
     elif isinstance(fitted, _OvrFitted):
         stages, doc["k"], doc["sharpen"] = [fitted.model], fitted.k, fitted.sharpen
+    elif isinstance(fitted, ForestFitted):
+        stages = fitted.models
     elif isinstance(fitted, (_AdaFitted, _AdaRegFitted)):
         stages, doc["alphas"], doc["k"] = fitted.models, fitted.alphas, getattr(fitted, "k", None)
     elif isinstance(fitted, _KNNFitted):
@@ -589,6 +660,8 @@ def load_fitted(spark, path: str):
     kind = doc["kind"]
     if kind == "SparkFitted":
         return SparkFitted(stages[0])
+    if kind == "ForestFitted":
+        return ForestFitted(stages)
     if kind == "_PlattFitted":
         return _PlattFitted(*stages)
     if kind == "_OvrFitted":
