@@ -299,33 +299,46 @@ def feature_importance(result: TrainingResult) -> DataFrame | None:
 
 def permutation_importance(result: TrainingResult, data: DataFrame, id_col, repeats: int = 10,
                            seed: int = 42) -> DataFrame:
-    """(feature, importance_mean, importance_std): drop of the default score when
-    one input column's values are permuted across rows.  The permutation maps
-    row rank (by id) to row rank (by md5(id, seed)) — two global ranks and an
-    equi-join, no driver-side shuffle."""
+    """(feature, importance_mean, importance_std): drop of the default score when one input
+    column's values are permuted across rows.
+
+    Rows are numbered once by their ids.  In repeat r the row numbered d lends its values to
+    the row at d's place in the permutation keyed by ``seed + r`` (``keyed_permutation``: no
+    sort, no table), so one join serves all repeats.  Each pair then becomes a row per
+    feature, with that feature's value lent, and one job scores all of them with the model
+    and adds the scores up by repeat and feature.
+    """
+    from strata.functions.permute import permuted_places
     from strata.operators.ordered import running_sums
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    base = data.withColumn("__one", F.lit(1))
-    by_id = running_sums(base.withColumn("__o", F.concat_ws(":", *[F.col(c).cast("string") for c in ids])),
-                         ["__o"], ["__one"], rank_col="__pos").drop("__o", "cum___one", "__one").cache()
-
-    def score(df):
-        pred = result.model.transform(_with_label(result.prep.transform(df), result.target, result.labels))
-        return score_expr_df(pred, result.problem).first()[0]
-
-    ref = score(by_id.drop("__pos"))
-    rows = []
-    for r in range(repeats):
-        key = F.md5(F.concat_ws(":", F.col("__pos").cast("string"), F.lit(str(seed + r))))
-        perm = running_sums(by_id.select("__pos").withColumn("__k", key).withColumn("__one", F.lit(1)),
-                            ["__k"], ["__one"], rank_col="__to").select("__pos", "__to")
-        for f in result.features:
-            moved = perm.join(by_id.select(F.col("__pos").alias("__to"), F.col(f).alias("__v")), "__to") \
-                .select("__pos", "__v")
-            shuffled = by_id.drop(f).join(moved, "__pos").withColumnRenamed("__v", f).drop("__pos")
-            rows.append((f, r, float(ref - score(shuffled))))
-    by_id.unpersist()
-    drops = data.sparkSession.createDataFrame(rows, "feature string, repeat int, drop double")
+    columns = [*result.features, result.target]
+    keyed = data.select(F.concat_ws(":", *[F.col(c).cast("string") for c in ids]).alias("__o"),
+                        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)])
+    rows = running_sums(keyed, ["__o"], [], rank_col="__n").withColumn("__at", F.col("__n") - 1).drop("__o", "__n")
+    n = rows.count()
+    lent = [f"__l{i}" for i in range(len(result.features))]
+    lenders = rows.select(
+        F.posexplode(permuted_places(F.col("__at"), n, [seed + r for r in range(repeats)])).alias("__repeat", "__at"),
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(lent)])
+    pairs = rows.join(lenders, "__at").withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(len(lent) - 1))))
+    as_is = rows.select("__at", *[f"__c{i}" for i in range(len(columns))], F.lit(-1).alias("__repeat"),
+                        F.lit(-1).alias("__turn"), *[F.col(f"__c{i}").alias(c) for i, c in enumerate(lent)])
+    every = pairs.select(*as_is.columns).unionByName(as_is)
+    table = every.select("__repeat", "__turn", *[
+        F.when(F.col("__turn") == i, F.col(lent[i])).otherwise(F.col(f"__c{i}")).alias(c) if i < len(lent)
+        else F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+    scored = result.model.transform(_with_label(result.prep.transform(table), result.target, result.labels))
+    if result.problem == "classification":
+        score = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    else:
+        error = F.sum((F.col("label") - F.col("prediction")) ** 2)
+        spread = F.var_pop("label") * F.count("label")
+        score = F.when(spread > 0, 1 - error / spread).when(error == 0, 1.0).otherwise(0.0)
+    found = scored.groupBy("__repeat", "__turn").agg(score.cast("double").alias("score")).collect()  # repeats x features
+    base = next((r["score"] for r in found if r["__turn"] < 0), None)
+    drops = data.sparkSession.createDataFrame(
+        [(result.features[r["__turn"]], None if None in (base, r["score"]) else base - r["score"])
+         for r in found if r["__turn"] >= 0], "feature string, drop double")
     return drops.groupBy("feature").agg(F.avg("drop").alias("importance_mean"),
                                         F.stddev_pop("drop").alias("importance_std")) \
         .orderBy(F.desc("importance_mean"), F.asc("feature"))
