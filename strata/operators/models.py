@@ -641,8 +641,9 @@ def save_fitted(spark, fitted, path: str) -> None:
     elif isinstance(fitted, (_AdaFitted, _AdaRegFitted)):
         stages, doc["alphas"], doc["k"] = fitted.models, fitted.alphas, getattr(fitted, "k", None)
     elif isinstance(fitted, _KNNFitted):
+        from strata.operators.knn import write_cells
         m = fitted.model
-        spark.read.parquet(m.path).write.mode("overwrite").parquet(f"{path}/blocks")
+        write_cells(spark.read.parquet(f"{m.path}/rows"), spark.read.parquet(f"{m.path}/pivots"), f"{path}/blocks")
         doc |= {"k": m.k, "problem": m.problem, "dim": m.dim, "labels": m.labels, "features_col": m.features_col,
                 "label_col": m.label_col, "knn_id": m.id_col, "id_col": fitted.id_col}
     else:
@@ -670,7 +671,6 @@ def load_fitted(spark, path: str):
         return _AdaFitted(stages, doc["alphas"], doc["k"])
     if kind == "_AdaRegFitted":
         return _AdaRegFitted(stages, doc["alphas"])
-    from strata.operators.knn import KNNModel
-    files = sorted(spark.read.parquet(f"{path}/blocks").inputFiles())
+    from strata.operators.knn import KNNModel, open_cells
     return _KNNFitted(KNNModel(f"{path}/blocks", doc["k"], doc["problem"], doc["dim"], doc["labels"],
-                               doc["features_col"], doc["label_col"], doc["knn_id"], files), doc["id_col"])
+                               doc["features_col"], doc["label_col"], doc["knn_id"], open_cells(spark, f"{path}/blocks")), doc["id_col"])
