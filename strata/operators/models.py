@@ -279,6 +279,49 @@ class _PlattFitted:
     feature_importances = None
 
 
+class SVCLearner:
+    """Support vector classifier: radial kernel through landmark features, or linear.
+
+    ``gamma`` is 'scale' or a number; ``landmarks`` bounds the rows that describe the kernel.
+    The linear machine on the kernel features, its margins and their logistic fit are those
+    of ``LinearSVCLearner``."""
+
+    probability = True
+
+    def __init__(self, C_: float = 1.0, kernel: str = "rbf", gamma: float | str = "scale", landmarks: int | None = None,
+                 max_iter: int = 100):
+        if kernel not in ("rbf", "linear"):
+            raise ValueError(f"kernel must be 'rbf' or 'linear', not {kernel!r}")
+        self.linear, self.kernel, self.gamma, self.landmarks = LinearSVCLearner(C_, max_iter), kernel, gamma, landmarks
+
+    def fit(self, df, features_col="features", label_col="label"):
+        if self.kernel == "linear":
+            return self.linear.fit(df, features_col, label_col)
+        from pyspark import StorageLevel
+
+        from strata.operators.kernel import LANDMARKS, fit_kernel_map
+        made = fit_kernel_map(df, features_col, self.gamma, self.landmarks or LANDMARKS)
+        rows = made.transform(df.select(features_col, label_col), features_col, _KERNEL_COL).select(_KERNEL_COL, label_col)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return _KernelFitted(made, self.linear.fit(rows, _KERNEL_COL, label_col), features_col)
+        finally:
+            rows.unpersist()
+
+
+_KERNEL_COL = "__kernel_features"
+
+
+class _KernelFitted:
+    feature_importances = None
+
+    def __init__(self, made, fitted, features_col):
+        self.made, self.fitted, self.features_col = made, fitted, features_col
+
+    def transform(self, df):
+        return self.fitted.transform(self.made.transform(df, self.features_col, _KERNEL_COL)).drop(_KERNEL_COL)
+
+
 def naive_bayes(var_smoothing: float = 1e-9, **kw):
     """Gaussian naive Bayes; Spark adds 1e-9 of the largest feature variance to each variance."""
     if var_smoothing != 1e-9:
@@ -547,7 +590,7 @@ def _registry() -> dict[str, ModelDefinition]:
         D("Gradient Boosting", "classification", "Boosting", GBTClassifierLearner, {"seed": 42}, True, True, True),
         D("AdaBoost", "classification", "Boosting", AdaBoostClassifierLearner, {"seed": 42},
           supports_probability=True),
-        D("Support Vector Machine", "classification", "Kernel", LinearSVCLearner, {},
+        D("Support Vector Machine", "classification", "Kernel", SVCLearner, {},
           supports_probability=True),
         D("K-Nearest Neighbours", "classification", "Distance",
           lambda **kw: KNNLearner(problem="classification", **kw), {"k": 5}, supports_probability=True),
@@ -634,6 +677,9 @@ def save_fitted(spark, fitted, path: str) -> None:
         stages = [fitted.model]
     elif isinstance(fitted, _PlattFitted):
         stages = [fitted.model, fitted.platt]
+    elif isinstance(fitted, _KernelFitted):
+        stages, doc["kernel"] = [fitted.fitted.model, fitted.fitted.platt], fitted.made.document()
+        doc["features_col"] = fitted.features_col
     elif isinstance(fitted, _OvrFitted):
         stages, doc["k"], doc["sharpen"] = [fitted.model], fitted.k, fitted.sharpen
     elif isinstance(fitted, ForestFitted):
@@ -663,6 +709,9 @@ def load_fitted(spark, path: str):
         return SparkFitted(stages[0])
     if kind == "ForestFitted":
         return ForestFitted(stages)
+    if kind == "_KernelFitted":
+        from strata.operators.kernel import KernelMap
+        return _KernelFitted(KernelMap.from_document(doc["kernel"]), _PlattFitted(*stages), doc["features_col"])
     if kind == "_PlattFitted":
         return _PlattFitted(*stages)
     if kind == "_OvrFitted":

@@ -83,6 +83,12 @@ def fit_adaboost(spark, sf):
 
 @register("fit_linear_svc")
 def fit_linear_svc(spark, sf):
+    return _cls(spark, sf, "Support Vector Machine", kernel="linear")
+
+
+@register("fit_svc")
+def fit_svc(spark, sf):
+    """Support vector machine with the radial kernel (the default)."""
     return _cls(spark, sf, "Support Vector Machine")
 
 
