@@ -279,3 +279,41 @@ def evaluate(spark, sf):
         parts.append(ev["feature_importance"].select(F.lit("importance").alias("section"),
                                                      F.to_json(F.struct("*")).alias("value")))
     return reduce(DataFrame.unionByName, parts)
+
+
+_LINEAR_CV = [{"model": "linear"}, {"model": "ridge", "alpha": 50.0}, {"model": "ridge", "alpha": 5000.0}]
+
+
+@register("cross_validate_linear", """
+WITH s AS (
+  SELECT l_orderkey % 5 AS fold, CAST(COUNT(*) AS DOUBLE) AS n, SUM(l_quantity) AS q, SUM(l_discount) AS d, SUM(l_extendedprice) AS y,
+         SUM(l_quantity * l_quantity) AS qq, SUM(l_discount * l_discount) AS dd, SUM(l_quantity * l_discount) AS qd,
+         SUM(l_quantity * l_extendedprice) AS qy, SUM(l_discount * l_extendedprice) AS dy,
+         SUM(l_extendedprice * l_extendedprice) AS yy
+  FROM lineitem GROUP BY 1),
+a AS (SELECT SUM(n) AS n, SUM(q) AS q, SUM(d) AS d, SUM(y) AS y, SUM(qq) AS qq, SUM(dd) AS dd, SUM(qd) AS qd, SUM(qy) AS qy,
+             SUM(dy) AS dy FROM s),
+c AS (SELECT * FROM (VALUES (0, 'linear', 0.0), (1, 'ridge', 50.0), (2, 'ridge', 5000.0)) AS c(candidate, model, alpha)),
+t AS (
+  SELECT s.*, a.n - s.n AS tn, (a.q - s.q) / (a.n - s.n) AS mq, (a.d - s.d) / (a.n - s.n) AS md, (a.y - s.y) / (a.n - s.n) AS my,
+         a.qq - s.qq AS tqq, a.dd - s.dd AS tdd, a.qd - s.qd AS tqd, a.qy - s.qy AS tqy, a.dy - s.dy AS tdy
+  FROM s, a),
+m AS (
+  SELECT t.*, c.*, tqq - tn * mq * mq + alpha AS g11, tdd - tn * md * md + alpha AS g22, tqd - tn * mq * md AS g12,
+         tqy - tn * mq * my AS b1, tdy - tn * md * my AS b2
+  FROM t, c),
+w AS (SELECT *, (b1 * g22 - b2 * g12) / (g11 * g22 - g12 * g12) AS w1, (b2 * g11 - b1 * g12) / (g11 * g22 - g12 * g12) AS w2 FROM m),
+e AS (SELECT *, my - w1 * mq - w2 * md AS w0 FROM w),
+r AS (
+  SELECT *, yy + n * w0 * w0 + w1 * w1 * qq + w2 * w2 * dd - 2 * w0 * y - 2 * w1 * qy - 2 * w2 * dy + 2 * w0 * w1 * q
+            + 2 * w0 * w2 * d + 2 * w1 * w2 * qd AS sse
+  FROM e)
+SELECT CAST(candidate AS INTEGER) AS candidate, model, CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS rows,
+       ROUND(1 - sse / (yy - y * y / n), 6) AS r2, ROUND(SQRT(sse / n), 2) AS rmse
+FROM r""")
+def cross_validate_linear(spark, sf):
+    """Least squares and two ridge penalties on five folds of ``lineitem``, all from one scan."""
+    from strata.operators.gram import cross_validate_linear as run
+    d = table(spark, sf, "lineitem").select("l_orderkey", F.array("l_quantity", "l_discount").alias("x"), "l_extendedprice")
+    out = run(d, "x", "l_extendedprice", F.col("l_orderkey") % 5, _LINEAR_CV)
+    return out.select("candidate", "model", "fold", "rows", F.round("r2", 6).alias("r2"), F.round(F.sqrt("mse"), 2).alias("rmse"))
