@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -193,15 +196,47 @@ def tighten_types(df: DataFrame, float_tolerance: float = 5e-4) -> DataFrame:
 _LONGEST_DATE = 40
 
 
-def _parsed(c: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.when(F.length(c) <= _LONGEST_DATE, c), F.lit(fmt))
+#: what a field of a layout looks like once every digit is a 9, and the bounds of two-digit fields
+_FIELD_SHAPES = {"yyyy": "9999", "MM": "99", "dd": "99", "HH": "99", "mm": "99", "ss": "99", "M": "9+", "d": "9+", "H": "9+",
+                 "MMM": "[^0-9]+", "MMMM": "[^0-9]+", "XXX": "(?:Z|[+-]99:99)", **{"S" * n: f"9{{1,{n}}}" for n in range(1, 10)}}
+_FIELD_BOUNDS = {"MM": ("01", "12"), "dd": ("01", "31"), "HH": ("00", "23"), "mm": ("00", "59"), "ss": ("00", "59")}
+
+
+def _shape(c: Column) -> Column:
+    """The value with every digit as 9 (null beyond the longest date), which layouts are matched with."""
+    return F.when(F.length(c) <= _LONGEST_DATE, F.translate(c, "0123456789", "9999999999"))
+
+
+def _may_parse(c: Column, shape: Column, fmt: str) -> Column:
+    """False only where ``fmt`` cannot parse the value: its shape differs, or a field is out of bounds.
+
+    A failed parse costs far more than this test.  Signs (as of years beyond 9999) and layouts
+    with other fields are not judged."""
+    pattern, bounds, at, fixed, least = "", [], 1, True, 0
+    for literal, field in re.findall(r"'([^']*)'|([A-Za-z]+|[^A-Za-z'])", fmt):
+        text = literal or field
+        known = None if literal or not field[0].isalpha() else _FIELD_SHAPES.get(field)
+        if known is None and not literal and field[0].isalpha():
+            return F.lit(True)
+        plain = known is None or set(known) == {"9"}
+        if known is not None and fixed and field in _FIELD_BOUNDS:
+            bounds.append(F.substring(c, at, len(field)).between(*_FIELD_BOUNDS[field]))
+        pattern += known or re.escape(text)
+        fixed, at = fixed and plain, at + len(text)
+        least += len(text) if plain else 1
+    same = shape == re.sub(r"\\(.)", r"\1", pattern) if fixed else (
+        (F.length(shape) >= least) & shape.rlike(f"^{pattern}$"))
+    return reduce(lambda a, b: a & b, bounds, same) | F.startswith(shape, F.lit("+")) | F.startswith(shape, F.lit("-"))
+
+
+def _parsed(c: Column, fmt: str, shape: Column | None = None) -> Column:
+    return F.try_to_timestamp(F.when(_may_parse(c, _shape(c) if shape is None else shape, fmt), c), F.lit(fmt))
 
 
 def datetime_detection(df: DataFrame, threshold: float = 0.80, formats=DATETIME_FORMATS) -> DataFrame:
     """(column, format, parsed_ratio, unparsed, is_datetime) for string and datetime columns.
 
-    One aggregate over all rows counts, per column and layout, the values that the
-    layout parses.  A column's format is the layout that parses most of them (the
+    Over all rows, the values that a layout parses are counted per column; a layout is tried only on values of its shape.  A column's format is the layout that parses most of them (the
     earlier one on ties); ``parsed_ratio`` is its share of all rows (nulls count as
     failures) and ``unparsed`` the number of values it does not parse.
     """
@@ -209,13 +244,14 @@ def datetime_detection(df: DataFrame, threshold: float = 0.80, formats=DATETIME_
     strings = [f.name for f in df.schema.fields if is_string(f.dataType)]
     rows = [(f.name, None, 1.0, 0, True) for f in df.schema.fields if is_datetime(f.dataType)]
     if strings:
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, c in enumerate(strings):
-            aggs.append(F.count(col(c)).alias(f"v{i}"))
-            aggs += [F.count(_parsed(col(c), fmt)).alias(f"p{i}_{j}") for j, fmt in enumerate(formats)]
-        got = df.agg(*aggs).first()
+        got = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"v{i}") for i, c in enumerate(strings)]).first()
+        # long form, so the layouts are compiled once and not per column; without a digit there is no date
+        values = df.select(F.posexplode(F.array(*[col(c) for c in strings])).alias("i", "v"))
+        shaped = values.select("i", "v", _shape(F.col("v")).alias("s")).where(F.contains(F.col("s"), F.lit("9")))
+        parsed = {r["i"]: r[1:] for r in shaped.groupBy("i").agg(
+            *[F.count(_parsed(F.col("v"), fmt, F.col("s"))) for fmt in formats]).collect()}
         for i, c in enumerate(strings):
-            counts = [got[f"p{i}_{j}"] for j in range(len(formats))]
+            counts = parsed.get(i, [0] * len(formats))
             best = max(range(len(formats)), key=lambda j: (counts[j], -j))
             if counts[best]:
                 ratio = counts[best] / got["n"]

@@ -58,3 +58,25 @@ def test_feature_groups_text_ratio(spark):
 def test_text_columns_mean_length(spark):
     df = spark.createDataFrame([("x" * 30, "a"), ("y" * 30, "a"), (None, "b")], "long string, short string")
     assert [r[0] for r in rows(TY.text_columns(df), "column")] == ["long"]
+
+
+def test_shapes_never_hide_a_value_that_a_layout_parses(spark):
+    """Every layout on every odd value, with and without the test of shapes."""
+    from pyspark.sql import functions as F
+    values = ["2021-03-04", "2021-3-4", "+12021-03-04", "-2021-03-04", "2021-13-04", "2021-02-30", "2021-02-29", "2020-02-29",
+              "03/04/2021", "13/04/2021", "04/13/2021", "31.12.1999", "00.12.1999", "2021/03/04", "2021-03-04 05:06", "0000-01-01",
+              "2021-03-04 24:00:00", "2021-03-04 23:59:60", "2021-03-04 05:06:07", "2021-03-04T05:06:07", "2021-03-04 05:06:07.1",
+              "2021-03-04 05:06:07.123456", "2021-03-04 05:06:07.1234567", "2021-03-04T05:06:07Z", "2021-03-04T05:06:07+02:00",
+              "2021-03-04T05:06:07.12-11:30", "2021-03-04 05:06:07+0200", "2021-03-04 05:06:07Z", "4 Mar 2021", "04 Mar 2021",
+              "004 mar 2021", "4 March 2021", "MARCH 4, 2021", "Mar 4, 2021", "Mar 44, 2021", "4 May 2021", " 2021-03-04", "2021-03-04 ",
+              "٢٠٢١-٠٣-٠٤", "", "x", None, "12/31/2020 10:11:12", "31.01.2020 10:11:12", "2021-03-04 05:06:07.", "20210304"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    hits = 0
+    for fmt in TY.DATETIME_FORMATS:
+        plain = F.try_to_timestamp(F.when(F.length("v") <= 40, F.col("v")), F.lit(fmt))
+        rows_ = df.select("v", F.unix_micros(plain).alias("a"), F.unix_micros(TY._parsed(F.col("v"), fmt)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows_), (fmt, [r for r in rows_ if r["a"] != r["b"]])
+        hits += sum(r["b"] is not None for r in rows_)
+    assert hits > 25
+    other = df.select(TY._parsed(F.col("v"), "yyyyMMdd").alias("b"), "v").where("b IS NOT NULL").collect()
+    assert [r["v"] for r in other] == ["20210304"]
