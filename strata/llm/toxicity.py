@@ -23,12 +23,12 @@ Scoring is a scan over whole texts: every window of every text, no shuffle.
 
 Bounds of the training sample: ``max_toxic`` and ``max_ordinary`` texts, the rows
 with the smallest hash of their id, so it does not depend on partitioning.  No text
-is cut.  The dictionaries are trained (on the driver) on all windows of their rows;
-if the sample has more than ``max_windows``, on a random draw over all of them, with
-one rate for both classes and every position of every text, seeded by the ids.
+is cut.  The dictionaries are trained (on the driver) on all windows of their rows; only
+if a caller names ``max_windows``, on a random draw of about so many over all of them,
+with one rate for both classes and every position of every text, seeded by the ids.
 
 Defined results: null and empty texts are one empty window; repeated rows score
-alike; of several labels of one id the largest counts; rows with null labels are
+alike; of several labels of one id the largest counts, of several texts the least; rows with null labels are
 not learned from; if the sample lacks a class every score is the share of toxic
 rows (0 without labels); an empty table gives an empty result; extra columns are
 ignored.
@@ -37,7 +37,6 @@ ignored.
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -60,7 +59,7 @@ ORDINARY_BYTES, FALLBACK_BYTES = 16_384, 1_024
 #: probability below which a word part's use in toxic texts is no accident; far below one in
 #: the number of parts, since near copies among the texts count it several times
 CHANCE = 1e-12
-MAX_TOXIC, MAX_ORDINARY, MAX_WINDOWS = 2_000, 6_000, 500_000
+MAX_TOXIC, MAX_ORDINARY = 2_000, 6_000
 #: part of the sample (in tenths) that calibrates instead of training dictionaries
 CALIBRATE = 4
 _GRAMS = (4, 5, 6, 7)
@@ -217,7 +216,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """Ordinary and toxic dictionary from the drawn passages of each text."""
     cut = [w for t in ordinary for p in t for w in windows(p)]
-    plain = _trained(random.Random(0).sample(cut, min(len(cut), 60_000)), ORDINARY_BYTES)
+    plain = _trained(cut, ORDINARY_BYTES)
     toxic, ordinary = ([b" ".join(t) for t in texts if t] for texts in (toxic, ordinary))
     return plain, toxic_dictionary(toxic, ordinary)
 
@@ -259,7 +258,7 @@ def _calibrates(key: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id",
                  text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC,
-                 max_ordinary: int = MAX_ORDINARY, max_windows: int = MAX_WINDOWS) -> ToxicityModel:
+                 max_ordinary: int = MAX_ORDINARY, max_windows: int | None = None) -> ToxicityModel:
     """Fit on a bounded sample of the labelled rows for which ``learn`` (on the id) holds."""
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
                           & (F.lit(True) if learn is None else learn))
@@ -273,8 +272,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most max_toxic + max_ordinary rows of three numbers, and their whole texts on shared storage
     sample = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-              .join(F.broadcast(chosen), "_id").select("_h", "_id", "_label", "_text")
-              .dropDuplicates(["_id"]))
+              .join(F.broadcast(chosen), "_id").groupBy("_h", "_id", "_label").agg(F.min("_text").alias("_text")))
     sample = materialize(sample, "toxicity-sample")
     held = _calibrates(F.col("_id"))
     size = F.octet_length("_text")
@@ -283,7 +281,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None
              sample.groupBy(held.alias("held"), "_label").agg(F.sum(count).alias("n")).collect()}  # four rows
     if len(found) < 4:
         return ToxicityModel(b" ", b" ", [], prior)
-    rate = max_windows / (found[False, 0] + found[False, 1])
+    rate = 1.0 if max_windows is None else max_windows / (found[False, 0] + found[False, 1])
     texts = sorted(_drawn(sample.where(~held), rate).collect(), key=lambda r: (r["_h"], r["_id"]))
     plain, extra = train_dictionaries(*([list(map(bytes, r["parts"])) for r in texts if r["_label"] == k] for k in (1, 0)))
     rows = sorted(_featured(sample.where(held), plain, extra).collect(), key=lambda r: (r["_h"], r["_id"]))
