@@ -20,8 +20,7 @@ def both(spark, path, block, **how):
     return (R._scan_files(spark, path, R.ENCODINGS), B.read_blocks(spark, path, R.CSV_OPTIONS, block, **how))
 
 
-@pytest.mark.parametrize("block,piece", [(97, 1 << 20), (256, 1 << 20), (1000, 1 << 20), (97, 20), (300, 0)])
-@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block,piece,end", [(97, 1 << 20, "\n"), (256, 1 << 20, "\r\n"), (97, 20, "\r\n"), (300, 0, "\n")])
 def test_blocks_equal_the_reader_of_whole_files(spark, tmp_path, block, piece, end):
     rng = random.Random(block)
     for k in range(2):
