@@ -35,6 +35,46 @@ def box_stats(spark, sf):
     return CH.box_stats(lineitem_n(spark, sf), "qty_out")
 
 
+@register("box_outliers", f"""
+WITH t AS ({LINEITEM_N_SQL}),
+s AS (SELECT QUANTILE_CONT(qty_out, 0.25) AS q1, QUANTILE_CONT(qty_out, 0.75) AS q3 FROM t)
+SELECT qty_out FROM t, s WHERE qty_out < q1 - 1.5 * (q3 - q1) OR qty_out > q3 + 1.5 * (q3 - q1)""")
+def box_outliers(spark, sf):
+    return CH.box_outliers(lineitem_n(spark, sf), "qty_out")
+
+
+@register("density", """
+WITH s AS (
+  SELECT MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi, COUNT(*) AS n,
+         1.059 * LEAST(STDDEV_SAMP(l_extendedprice),
+                       (QUANTILE_CONT(l_extendedprice, 0.75) - QUANTILE_CONT(l_extendedprice, 0.25)) / 1.349)
+           * POW(COUNT(*), -0.2) AS h FROM lineitem),
+b AS (SELECT LEAST(CAST(FLOOR(512.0 * (l_extendedprice - lo) / (hi - lo)) AS INTEGER), 511) AS bin, COUNT(*) AS c
+      FROM lineitem, s GROUP BY 1),
+g AS (SELECT lo - 2 * h + range * ((hi - lo + 4 * h) / 99) AS x FROM s, range(0, 100))
+SELECT ROUND(x, 4) AS value,
+       ROUND(SUM(c * EXP(-0.5 * POW((x - (lo + (bin + 0.5) * ((hi - lo) / 512))) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI()))
+             * 1000000, 6) AS density
+FROM g, b, s GROUP BY x""")
+def density(spark, sf):
+    """The violin curve of ``l_extendedprice``, as density per million."""
+    from pyspark.sql import functions as F
+    out = CH.density(table(spark, sf, "lineitem"), "l_extendedprice")
+    return out.select(F.round("value", 4).alias("value"), F.round(F.col("density") * 1e6, 6).alias("density"))
+
+
+@register("prediction_plot", """
+WITH p AS (SELECT l_extendedprice AS actual, 1500.0 * l_quantity AS predicted FROM lineitem),
+e AS (SELECT LEAST(MIN(actual), MIN(predicted)) AS lo, GREATEST(MAX(actual), MAX(predicted)) AS hi FROM p)
+SELECT actual, CAST(predicted AS DOUBLE) AS predicted, 'point' AS kind FROM p
+UNION ALL SELECT lo, lo, 'ideal' FROM e UNION ALL SELECT hi, hi, 'ideal' FROM e""")
+def prediction_plot(spark, sf):
+    """Every line's price against a price predicted from its quantity, and the ends of the ideal line."""
+    from strata.operators.evaluate import prediction_plot as plot
+    lines = table(spark, sf, "lineitem").selectExpr("l_extendedprice", "1500.0D * l_quantity AS predicted")
+    return plot(lines, "l_extendedprice", "predicted")
+
+
 @register("value_counts", f"""
 SELECT COALESCE(prio_n, 'Missing') AS Category, COUNT(*) AS Count FROM ({ORDERS_N_SQL}) GROUP BY 1
 ORDER BY Count DESC, Category""")
