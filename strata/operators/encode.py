@@ -42,7 +42,8 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
     from strata.operators.profile import short_key
     if not columns or not (frequency or count):
         return df, []
-    out, created = df, []
+    # equal rows get different parts; whichever part a row is in, it meets the same count
+    out, created = df.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.lit(HOT_PARTS)).cast("int")), []
     dtypes = {f.name: f.dataType for f in df.schema.fields}
 
     def text(c: Column) -> Column:
@@ -67,8 +68,7 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
         of_key = F.col(key) if is_text else text(F.col(key))
         counts = counts.withColumn(salt, F.explode(
             F.when(is_hot(j, of_key), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
-        row_salt = F.when(is_hot(j, text(col(c))), F.pmod(F.hash(*[col(x) for x in df.columns]), F.lit(HOT_PARTS))) \
-            .otherwise(0)
+        row_salt = F.when(is_hot(j, text(col(c))), F.col("__part")).otherwise(0)
         out = out.join(counts, value.eqNullSafe(F.col(key)) & (row_salt == F.col(salt)), "left").drop(key, salt)
         new = []
         if frequency:
@@ -77,7 +77,7 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
             new.append(F.when(col(c).isNotNull(), F.col(n)).cast("long").alias(f"{c}_count"))
         out = out.select(*[F.col(f"`{x}`") for x in out.columns if x != n], *new)
         created += [f"{c}_frequency"] * frequency + [f"{c}_count"] * count
-    return out, created
+    return out.drop("__part"), created
 
 
 def frequency_encode(df: DataFrame, columns):

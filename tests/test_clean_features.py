@@ -138,3 +138,21 @@ def test_count_encoding_of_hot_values_and_long_texts(spark):
         assert sorted(map(str, E.encode_counts(df, ["s", "n"])[0].collect())) == sorted(map(str, got))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_equal_rows_of_a_hot_value_are_spread(spark):
+    from pyspark.sql import functions as F
+    from strata.operators.encode import count_encode
+    df = spark.createDataFrame([("hot",)] * 900 + [("a",)] * 60 + [(None,)] * 40, "c string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out, _ = count_encode(df, ["c"])
+        assert out.columns == ["c", "c_count"]
+        assert {tuple(r) for r in out.collect()} == {("hot", 900), ("a", 60), (None, None)} and out.count() == 1000
+        sizes = out.where("c = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) > 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
