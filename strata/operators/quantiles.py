@@ -7,20 +7,21 @@ p·(n−1) between the order statistics, linearly interpolated.
    error is bounded by n / accuracy).  The sketch brackets every wanted rank between
    two values of the column.
 2. One scan counts the values below each bracket, and one groups the values inside
-   it; the wanted order statistics are read off those counts.
+   it; running counts over them name the wanted order statistics.
 
 A bracket holds about 4 n / accuracy values.  Where that is more than ``INSIDE``
 values, the sketch is repeated inside the bracket first, so every round divides the
-values that are left by about accuracy / 4 and the driver never receives more than
-``INSIDE`` value counts per bracket.  If counting shows that a bracket missed its
-rank, it is widened and counted again.  No column's values meet in one task.
+values that are left by about accuracy / 4 until a bracket holds no more than
+``INSIDE`` of them; these are ordered in the cluster, and the driver receives one
+value per bracket.  If counting shows that a bracket missed its rank, it is widened
+and counted again.  No column's values meet in one task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import as_double
@@ -85,30 +86,34 @@ def _narrow(base: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
 
 
 def _read(base: DataFrame, brackets: list[_Bracket]) -> None:
-    """Counts below and value counts inside each bracket; settles every rank that lies in its bracket."""
-    below = base.agg(*[F.count_if(F.col(f"v{b.column}") < F.lit(b.lo)).alias(f"b{k}")
-                       for k, b in enumerate(brackets)]).first()
-    cells = F.filter(F.array(*[
-        F.when(F.col(f"v{b.column}").between(F.lit(b.lo), F.lit(b.hi)),
-               F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v"))) for k, b in enumerate(brackets)]),
-        lambda x: x.isNotNull())
-    got = base.select(F.explode(cells).alias("c")).groupBy("c.k", "c.v").count().collect()
-    values: dict[int, list] = {}
-    for k, v, n in got:
-        values.setdefault(k, []).append((v, n))
+    """Settles every rank that lies in its bracket; one row per bracket reaches the driver.
+
+    The values of a bracket are counted where they are and ordered in the cluster: at
+    most ``INSIDE`` distinct values share one sort, those of different brackets do not."""
+    counts = []
+    for k, b in enumerate(brackets):
+        v = F.col(f"v{b.column}")
+        counts += [F.count_if(v < F.lit(b.lo)).alias(f"b{k}"),
+                   F.count_if(v.between(F.lit(b.lo), F.lit(b.hi))).alias(f"i{k}")]
+    row = base.agg(*counts).first()
     for k, b in enumerate(brackets):
-        upto = b.below = below[f"b{k}"]
-        found = sorted(values.get(k, []))
-        b.inside = sum(n for _, n in found)
+        b.below, b.inside = row[f"b{k}"], row[f"i{k}"]
+    found = [b for b in brackets if b.covers()]
+    for b in brackets:
         if not b.covers():
             b.widen()
             b.inside = b.n
-            continue
-        for v, n in found:
-            upto += n
-            if b.rank < upto:
-                b.value = v
-                break
+    if not found:
+        return
+    cells = F.filter(F.array(*[
+        F.when(F.col(f"v{b.column}").between(F.lit(b.lo), F.lit(b.hi)),
+               F.struct(F.lit(k).alias("k"), F.col(f"v{b.column}").alias("v"), F.lit(b.rank - b.below).alias("at")))
+        for k, b in enumerate(found)]), lambda x: x.isNotNull())
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v"))
+    values = (base.select(F.inline(cells)).groupBy("k", "at", "v").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))))
+    for r in values.select("k", "v").collect():
+        found[r["k"]].value = r["v"]
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
