@@ -198,44 +198,22 @@ def gbt_regressor(max_iter: int = 100, step: float = 0.1, max_depth: int = 3, se
 
 
 class GBTClassifierLearner:
-    """Gradient-boosted trees; more than two classes via one-vs-rest, with the
-    probability a normalised sigmoid of each class's margin."""
+    """Gradient-boosted trees: Spark's for two classes, one model on the multinomial
+    deviance for more (``boost``)."""
 
     probability = True
 
     def __init__(self, max_iter=100, step=0.1, max_depth=3, seed=42):
-        self.kw = dict(maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed)
+        self.max_iter, self.step, self.max_depth, self.seed = max_iter, step, max_depth, seed
 
     def fit(self, df, features_col="features", label_col="label"):
         k = df.agg(F.max(label_col)).first()[0]
         k = int(k) + 1 if k is not None else 2
-        base = C.GBTClassifier(featuresCol=features_col, labelCol=label_col, **self.kw)
         if k <= 2:
-            return SparkFitted(base.fit(df))
-        ovr = C.OneVsRest(classifier=base, featuresCol=features_col, labelCol=label_col,
-                          parallelism=min(k, OVR_PARALLELISM))
-        return _OvrFitted(ovr.fit(df), k, sharpen=2.0)
-
-
-class _OvrFitted:
-    def __init__(self, model, k, sharpen=1.0):
-        self.model, self.k, self.sharpen = model, k, sharpen
-
-    def transform(self, df):
-        out = self.model.transform(df)
-        raw = vector_to_array(F.col("rawPrediction"))
-        sig = F.transform(raw, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-F.lit(self.sharpen) * m)))
-        total = F.aggregate(sig, F.lit(0.0), lambda a, x: a + x)
-        from pyspark.ml.functions import array_to_vector
-        return out.withColumn("probability", array_to_vector(F.transform(sig, lambda x: x / total)))
-
-    @property
-    def feature_importances(self):
-        imps = [m.featureImportances.toArray() for m in self.model.models if hasattr(m, "featureImportances")]
-        if not imps:
-            return None
-        import numpy as np
-        return list(np.mean(imps, axis=0))
+            return SparkFitted(C.GBTClassifier(featuresCol=features_col, labelCol=label_col, maxIter=self.max_iter,
+                                               stepSize=self.step, maxDepth=self.max_depth, seed=self.seed).fit(df))
+        from strata.operators.boost import SoftmaxBoost
+        return SoftmaxBoost(k, self.max_iter, self.step, self.max_depth, self.seed).fit(df, features_col, label_col)
 
 
 class LinearSVCLearner:
@@ -672,7 +650,8 @@ def read_json(spark, path: str) -> dict:
 
 def save_fitted(spark, fitted, path: str) -> None:
     """Write any fitted learner of the registry."""
-    doc, stages = {"kind": type(fitted).__name__}, []
+    kind = type(fitted).__name__
+    doc, stages = {"kind": kind}, []
     if isinstance(fitted, SparkFitted):
         stages = [fitted.model]
     elif isinstance(fitted, _PlattFitted):
@@ -680,8 +659,8 @@ def save_fitted(spark, fitted, path: str) -> None:
     elif isinstance(fitted, _KernelFitted):
         stages, doc["kernel"] = [fitted.fitted.model, fitted.fitted.platt], fitted.made.document()
         doc["features_col"] = fitted.features_col
-    elif isinstance(fitted, _OvrFitted):
-        stages, doc["k"], doc["sharpen"] = [fitted.model], fitted.k, fitted.sharpen
+    elif kind == "SoftmaxBoosted":
+        doc["boosted"] = fitted.document()
     elif isinstance(fitted, ForestFitted):
         stages = fitted.models
     elif isinstance(fitted, (_AdaFitted, _AdaRegFitted)):
@@ -714,8 +693,9 @@ def load_fitted(spark, path: str):
         return _KernelFitted(KernelMap.from_document(doc["kernel"]), _PlattFitted(*stages), doc["features_col"])
     if kind == "_PlattFitted":
         return _PlattFitted(*stages)
-    if kind == "_OvrFitted":
-        return _OvrFitted(stages[0], doc["k"], doc["sharpen"])
+    if kind == "SoftmaxBoosted":
+        from strata.operators.boost import SoftmaxBoosted
+        return SoftmaxBoosted.from_document(doc["boosted"])
     if kind == "_AdaFitted":
         return _AdaFitted(stages, doc["alphas"], doc["k"])
     if kind == "_AdaRegFitted":

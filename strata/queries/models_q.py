@@ -74,6 +74,15 @@ def fit_gbt(spark, sf):
     return _preds(res, "doc_id")
 
 
+@register("fit_gbt_multiclass")
+def fit_gbt_multiclass(spark, sf):
+    """Twenty rounds of multinomial boosting of the three order states; predictions of the test rows."""
+    res = TR.train_model(table(spark, sf, "orders"), "o_orderstatus", "Gradient Boosting", "classification",
+                         ["o_totalprice", "o_custkey", "o_orderpriority"], "o_orderkey", _NO_CV,
+                         overrides={"max_iter": 20})
+    return _preds(res, "o_orderkey")
+
+
 @register("fit_adaboost")
 def fit_adaboost(spark, sf):
     res = TR.train_model(_docs(spark, sf), "quality", "AdaBoost", "classification",
