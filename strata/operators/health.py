@@ -167,7 +167,7 @@ def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def eda_report(df: DataFrame) -> dict[str, DataFrame]:
-    """The EDA sections as DataFrames over one cached input."""
+    """The EDA sections as DataFrames."""
     return {
         "summary": summarize_dataset(df),
         "health": health_report(df),

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators import health as H
 from strata.operators import types as TY
@@ -14,6 +15,7 @@ from strata.queries.common import (LINEITEM_COLS, LINEITEM_N_EXTRA, LINEITEM_N_S
                                    NATION_DUP_SQL, NUMERIC, ORDERS_COLS, ORDERS_N_EXTRA,
                                    ORDERS_N_SQL, lineitem_n, nation_dup, orders_n, q,
                                    union_all)
+from strata.queries.profile_q import _corr_sql, _describe_sql
 
 COLS = {
     "documents": [("doc_id", "bigint"), ("text", "string"), ("lang", "string"),
@@ -231,8 +233,8 @@ def health_score(spark, sf):
     return _union_tables(lambda n: H.health_score(_load(spark, sf, n)), HEALTH_TABLES)
 
 
-@register("health_report", union_all([
-    f"""(WITH {_prof_sql(n)} SELECT '{n}' AS tbl,
+def _health_report_sql(n):
+    return f"""(WITH {_prof_sql(n)} SELECT '{n}' AS tbl,
   ROUND(GREATEST(100.0 - CASE WHEN missing_cells * 1.0 / GREATEST(nrows * ncols, 1) > 0.2 THEN 20 ELSE 0 END
     - CASE WHEN dups > 0 THEN 10 ELSE 0 END - CASE WHEN consts > 0 THEN 5 ELSE 0 END
     - CASE WHEN hc100 > 0 THEN 5 ELSE 0 END, 0.0), 1) AS score,
@@ -242,7 +244,10 @@ def health_score(spark, sf):
   concat_ws(' | ', CASE WHEN missing_cells * 1.0 / GREATEST(nrows * ncols, 1) > 0.2 THEN '{H.REC_HIGH_MISSING}' END,
     CASE WHEN dups > 0 THEN '{H.REC_DUPLICATES}' END,
     CASE WHEN consts > 0 THEN '{H.REC_CONSTANT}' END, CASE WHEN hc100 > 0 THEN '{H.REC_HIGH_CARD}' END)
-    AS recommendations FROM prof)""" for n in HEALTH_TABLES]))
+    AS recommendations FROM prof)"""
+
+
+@register("health_report", union_all([_health_report_sql(n) for n in HEALTH_TABLES]))
 def health_report(spark, sf):
     return _union_tables(lambda n: H.health_report(_load(spark, sf, n)).select(
         "score", F.array_join("warnings", " | ").alias("warnings"),
@@ -290,8 +295,8 @@ def inspect_dataset(spark, sf):
     return _union_tables(lambda n: H.inspect_dataset(_load(spark, sf, n)), PROFILE_TABLES)
 
 
-@register("summarize_dataset", union_all([
-    f"""(WITH {_prof_sql(n)}, {_colstats_sql(n).split(', cs AS', 1)[0].replace('t AS', 't2 AS', 1)},
+def _summary_sql(n):
+    return f"""(WITH {_prof_sql(n)}, {_colstats_sql(n).split(', cs AS', 1)[0].replace('t AS', 't2 AS', 1)},
   cs AS ({_colstats_sql(n).split('cs AS (', 1)[1][:-1]}), {_group_counts_sql(n, True)}
   SELECT '{n}' AS tbl, CAST(nrows AS BIGINT) AS rows, CAST(ncols AS BIGINT) AS columns,
     CAST(missing_cells AS BIGINT) AS missing_cells,
@@ -302,16 +307,63 @@ def inspect_dataset(spark, sf):
     (SELECT COUNT(*) FROM g WHERE grp = 'boolean') AS boolean_features,
     (SELECT COUNT(*) FROM g WHERE grp = 'datetime') AS datetime_features,
     (SELECT COUNT(*) FROM g WHERE grp = 'text') AS text_features
-  FROM prof)""" for n in PROFILE_TABLES]))
+  FROM prof)"""
+
+
+@register("summarize_dataset", union_all([_summary_sql(n) for n in PROFILE_TABLES]))
 def summarize_dataset(spark, sf):
     return _union_tables(lambda n: H.summarize_dataset(_load(spark, sf, n)), PROFILE_TABLES)
 
 
-@register("eda_report")
+_MOMENTS = ["count", "unique", "freq", "mean", "std", "min", "q25", "q50", "q75", "max"]
+
+
+def _long_sql(section, key, numbers, texts, sql):
+    """A section's values as (section, item, name, number, text) rows."""
+    rows = [f"SELECT '{section}' AS section, {key} AS item, '{c}' AS name, ROUND(CAST({q(c)} AS DOUBLE), 6) AS number, "
+            f"CAST(NULL AS VARCHAR) AS text FROM s" for c in numbers]
+    rows += [f"SELECT '{section}', {key}, '{c}', CAST(NULL AS DOUBLE), {q(c)} FROM s" for c in texts]
+    return f"(WITH s AS ({sql}) {union_all(rows)})"
+
+
+def _eda_sql():
+    n = "orders_n"
+    missing = f"WITH t AS ({SRC[n]}) " + union_all([
+        f"SELECT '{c}' AS \"column\", COUNT(*) - COUNT({q(c)}) AS missing_values, "
+        f"ROUND((COUNT(*) - COUNT({q(c)})) * 100.0 / COUNT(*), 2) AS percentage FROM t" for c, _ in COLS[n]])
+    duplicates = (f"WITH t AS ({SRC[n]}), g AS (SELECT COUNT(*) AS n FROM t GROUP BY {', '.join(q(c) for c, _ in COLS[n])}) "
+                  "SELECT SUM(n) AS rows, SUM(n - 1) AS duplicate_rows, ROUND(100.0 * SUM(n - 1) / SUM(n), 2) AS duplicate_percent FROM g")
+    return union_all([
+        _long_sql("summary", "''", ["rows", "columns", "missing_cells", "duplicate_rows", "constant_columns",
+                                    "high_cardinality_columns", "memory_mb", *[f"{g}_features" for g in (
+                                        "numeric", "categorical", "boolean", "datetime", "text")]], [], _summary_sql(n)),
+        _long_sql("health", "''", ["score"], ["warnings", "recommendations"], _health_report_sql(n)),
+        _long_sql("missing", '"column"', ["missing_values", "percentage"], [], missing),
+        _long_sql("duplicates", "''", ["rows", "duplicate_rows", "duplicate_percent"], [], duplicates),
+        _long_sql("statistics", '"column"', _MOMENTS, ["top"], _describe_sql()),
+        _long_sql("correlation", "x || ' ' || y", ["r"], [], _corr_sql([c for c, t in COLS[n] if t in NUMERIC], SRC[n]))])
+
+
+def _long(section, d: DataFrame) -> DataFrame:
+    """A section's values as (section, item, name, number, text) rows."""
+    keys = [c for c in ("column", "x", "y") if c in d.columns]
+    cells = []
+    for f in d.schema.fields:
+        if f.name in keys:
+            continue
+        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(f.dataType, T.StringType):
+            text = F.col(f.name)
+        elif isinstance(f.dataType, T.ArrayType):
+            text = F.array_join(f.name, " | ")
+        else:
+            number = F.round(F.col(f.name).cast("double"), 6)
+        cells.append(F.struct(F.lit(f.name).alias("name"), number.alias("number"), text.alias("text")))
+    return d.select(F.lit(section).alias("section"), F.concat_ws(" ", *keys).alias("item"), F.inline(F.array(*cells)))
+
+
+@register("eda_report", _eda_sql())
 def eda_report(spark, sf):
-    """All EDA sections of ``orders``, as (section, rows) counts of each part."""
-    df = orders_n(spark, sf).cache()
-    parts = H.eda_report(df)
-    outs = [d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("section"), "rows")
-            for k, d in parts.items()]
-    return reduce(DataFrame.unionByName, outs)
+    """Every value of all EDA sections of ``orders`` in long form."""
+    parts = H.eda_report(orders_n(spark, sf))
+    return reduce(DataFrame.unionByName, [_long(k, d) for k, d in parts.items()])
