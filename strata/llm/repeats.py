@@ -13,9 +13,9 @@ after each pass a group whose suffixes all lie in one document is finished:
 * second digit: the whole window.  Equal groups are exactly the repeated windows.
 
 Only suffixes whose first digit occurs in several documents reach the second
-pass.  A radix bucket is an equal range of the digit; runs of documents (``runs``)
-send each digit once, so a passage that a third of all documents share costs a
-bucket one entry per run.  Later exact copies of a whole text are found by
+pass.  A radix bucket is an equal range of the digit, mixed so that ranges hold alike
+many; runs of documents (``runs``) send each digit once, so a passage that a third
+of all documents share costs a bucket one entry per run.  Later exact copies of a whole text are found by
 ``exact_dedup`` first and need no passes: all their windows repeat.
 
 Three jobs, each over whole texts: first digits, second digits, removal.  A task
@@ -112,7 +112,6 @@ class Run:
             if width > step:
                 h = np.minimum(h[:len(h) - (width - step)], h[width - step:])
             least[s:e] = h[:e - s]
-        least &= _FIRST
         valid = np.ones(n, bool)
         for end in self.ends.tolist():
             valid[end - window + 1:end] = False
@@ -123,7 +122,8 @@ class Run:
         stop = np.append(self.stretch[1:], n)
         last = self.ends[np.searchsorted(self.ends, self.stretch, "right")] - window + 1 if n else stop
         self.stop = np.minimum(stop, last)
-        self.digit = least[self.stretch]
+        # a minimum leans towards small values; mixed again, digits fill equal ranges alike
+        self.digit = mix(least[self.stretch]) & _FIRST
         self.owner = sorted_ids[np.searchsorted(self.ends, self.stretch, "right")] if n else np.zeros(0, np.int64)
         # distinct digits, and whether several ids of this run have them
         by = np.argsort(self.digit)

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from strata.llm.repeats import remove_repeats
+from strata.llm.repeats import Run, remove_repeats
+from strata.llm.runs import cut
 from tests.llm.conftest import EDGE, make, prose
 
 
@@ -82,3 +85,11 @@ def test_copies_of_a_text_with_null_id(spark):
     text = prose(21, 40)
     rows = [(5, text), (None, text), (-7, text), (None, text), (9, "x" * 10 + text)]
     assert got(remove_repeats(make(spark, rows))) == brute(rows)
+
+
+def test_first_digits_fill_the_buckets_alike():
+    docs = pa.table({"id": pa.array(range(40), pa.int64()), "text": [prose(i, 2000) for i in range(40)]})
+    digits = Run(docs, set(), 50).digits
+    sizes = np.diff(cut(digits, 32))
+    assert (digits[1:] > digits[:-1]).all() and len(digits) > 3200
+    assert sizes.max() < 2 * sizes.mean() and sizes.min() > sizes.mean() / 2
