@@ -95,11 +95,16 @@ def count_encode(df: DataFrame, columns):
 # categories: one-hot and ordinal as columns
 # ---------------------------------------------------------------------------
 
-def categories(df: DataFrame, columns, max_categories: int | None = None) -> dict[str, list[str]]:
+#: categories of one column that may be named on the driver, unless the caller says otherwise
+MAX_CATEGORIES = 10_000
+
+
+def categories(df: DataFrame, columns, max_categories: int | None = MAX_CATEGORIES) -> dict[str, list[str]]:
     """Sorted distinct non-null values per column from one grouped job.
 
-    The list is as long as the encoded table has columns; ``max_categories`` raises
-    when a column has more (use frequency encoding for those)."""
+    The values go to the driver and become columns or literals, so they are counted first
+    and a column with more than ``max_categories`` raises ``ValueError`` (use frequency
+    encoding for it); ``None`` lifts the bound."""
     if not columns:
         return {}
     from strata.operators.profile import frequencies
