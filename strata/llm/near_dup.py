@@ -187,6 +187,12 @@ def _documents(table: pa.Table) -> pa.Table:
                                 schema=_DOC)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a sort-merge join.  Rounds join small tables dozens of times; as broadcasts
+    each of them is built in the driver's heap, in pages of up to 64 MB, whatever the rows need."""
+    return df.hint("merge")
+
+
 # -- components -------------------------------------------------------------------------------
 
 def contract(edges: DataFrame, labels: DataFrame, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -204,15 +210,15 @@ def contract(edges: DataFrame, labels: DataFrame, steps: int | None = None) -> t
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         size = labels.groupBy(F.col("comp").alias("a")).agg(F.count(F.lit(1)).alias("size"))
         degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
-        rank = degree.join(size, "a").select(F.col("a").alias("b"), F.struct(
+        rank = degree.join(sorted_side(size), "a").select(F.col("a").alias("b"), F.struct(
             -F.col("size"), -F.col("degree"), F.xxhash64("a", F.lit(turn)), "a").alias("rank"))
         near = both.unionByName(degree.select("a", F.col("a").alias("b")))
-        moved = materialize(near.join(rank, "b").groupBy("a").agg(F.min_by("b", "rank").alias("to")), "moves")
-        labels = materialize(labels.join(moved, labels["comp"] == moved["a"], "left")
+        moved = materialize(near.join(sorted_side(rank), "b").groupBy("a").agg(F.min_by("b", "rank").alias("to")), "moves")
+        labels = materialize(labels.join(sorted_side(moved), labels["comp"] == moved["a"], "left")
                              .select("node", F.coalesce("to", "comp").alias("comp")), "labels")
         to_a = moved.select("a", F.col("to").alias("na"))
         to_b = moved.select(F.col("a").alias("b"), F.col("to").alias("nb"))
-        edges = materialize(edges.join(to_a, "a").join(to_b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        edges = materialize(edges.join(sorted_side(to_a), "a").join(sorted_side(to_b), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
                             .where("a <> b").distinct(), "edges")
     return labels, edges
 
@@ -341,17 +347,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = left = None
     for turn in range(star_rounds):
         size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        placed = (lists.join(labels, lists["rep"] == labels["node"]).join(size, "comp")
+        placed = (lists.join(sorted_side(labels), lists["rep"] == labels["node"]).join(sorted_side(size), "comp")
                   .select("key", "rep", "n", "pos", "comp", "size"))
         leaders = placed.groupBy("key").agg(F.min_by(
             F.struct("rep", "n", "pos", "comp"), F.struct(-F.col("size"), F.xxhash64("rep", F.lit(turn)), "rep")).alias("l"))
-        met = (placed.join(leaders, "key")
+        met = (placed.join(sorted_side(leaders), "key")
                .where((F.col("comp") != F.col("l.comp"))
                       & _possible(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), percent))
                .groupBy(F.col("rep").alias("x"), F.col("l.rep").alias("y")).agg(F.count(F.lit(1)).alias("times")))
         if tested is not None:
-            met = met.join(tested, ["x", "y"], "left_anti")
+            met = met.join(sorted_side(tested), ["x", "y"], "left_anti")
         best = materialize(met.groupBy("x").agg(F.max_by("y", F.struct("times", "y")).alias("y")), "star-pairs")
+        if best.isEmpty():  # rounds only spare the last one work
+            break
         tested = best if tested is None else tested.unionByName(best)
         labels, left = _merge(_verify(best, sets, percent), labels, left, 1)
     if left is not None:
@@ -376,8 +384,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     & (F.element_at(both, 1) == F.col("a.key")) & (F.size(both) + aside >= need))
              .select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")))
     if tested is not None:
-        pairs = pairs.join(tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y"))),
-                           ["x", "y"], "left_anti")
+        either = tested.unionByName(tested.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        pairs = pairs.join(sorted_side(either), ["x", "y"], "left_anti")
     labels, _ = _merge(_verify(pairs, sets, percent), labels, left, None)
 
     smallest = (labels.join(classes.select(F.col("rep").alias("node"), "id"), "node")
@@ -418,5 +426,5 @@ def _merge(links: DataFrame, labels: DataFrame, left: DataFrame | None, steps: i
     """``contract`` over the components of new links and the edges ``left`` over from before."""
     x = labels.select(F.col("node").alias("x"), F.col("comp").alias("a"))
     y = labels.select(F.col("node").alias("y"), F.col("comp").alias("b"))
-    edges = links.join(x, "x").join(y, "y").select("a", "b")
+    edges = links.join(sorted_side(x), "x").join(sorted_side(y), "y").select("a", "b")
     return contract(edges if left is None else edges.unionByName(left), labels, steps)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from strata.llm import near_dup
 from strata.llm.near_dup import contract, keep_one, near_duplicates, shingle_sets
 from tests.llm.conftest import BASE, EDGE, make, prose
 
@@ -139,3 +140,22 @@ def test_shingles_ignore_case_and_kind_of_white_space():
 def test_bad_percent(edge_docs):
     with pytest.raises(ValueError):
         near_duplicates(edge_docs, percent=40)
+
+
+def test_rounds_build_no_broadcasts_in_the_driver(spark, monkeypatch):
+    """Small tables are joined in every round; a broadcast of each would fill the driver."""
+    plans = []
+
+    def seen(df, name):
+        if name in ("star-pairs", "moves", "labels"):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    kept = near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", seen)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join([*words[:40 + i % 3], f"own{i % 5}"])) for i in range(12)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {0}
+    assert {n for n, _ in plans} == {"star-pairs", "moves", "labels"}
+    assert [n for n, p in plans if "BroadcastExchange" in p] == []
