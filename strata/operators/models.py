@@ -128,6 +128,8 @@ class ForestLearner:
                  group: int = FOREST_GROUP, threads: int = FOREST_THREADS, **kw):
         self.estimator, self.probability, self.num_trees, self.seed = estimator, probability, num_trees, seed
         self.group, self.threads = group, threads
+        # many rows of few features: regression trees that see all features grow on the cells of a grid
+        self.on_grid = not probability and strategy == "all" and not kw
         # where a row stands in each tree is kept (and checkpointed), not found again from the root in every pass
         self.kw = dict(maxDepth=min(max_depth, MAX_TREE_DEPTH), featureSubsetStrategy=strategy, cacheNodeIds=True) | kw
 
@@ -135,6 +137,11 @@ class ForestLearner:
         from concurrent.futures import ThreadPoolExecutor
 
         from pyspark import StorageLevel, inheritable_thread_target
+        if self.on_grid:
+            from strata.operators import grid as G
+            grid = G.make_grid(df, features_col, self.seed)
+            if grid is not None:
+                return G.fit_forest(df, grid, features_col, label_col, self.num_trees, self.kw["maxDepth"], self.seed)
         ensure_checkpoint_dir(df.sparkSession)
         rows = df.select(features_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
         sizes = [min(self.group, self.num_trees - at) for at in range(0, self.num_trees, self.group)]
@@ -661,6 +668,11 @@ def save_fitted(spark, fitted, path: str) -> None:
         doc["features_col"] = fitted.features_col
     elif kind == "SoftmaxBoosted":
         doc["boosted"] = fitted.document()
+    elif kind == "GridForest":
+        doc["forest"] = fitted.document()
+    elif kind == "BinnedFitted":
+        doc["ends"], doc["features_col"] = fitted.grid.ends, fitted.features_col
+        save_fitted(spark, fitted.fitted, f"{path}/inner")
     elif isinstance(fitted, ForestFitted):
         stages = fitted.models
     elif isinstance(fitted, (_AdaFitted, _AdaRegFitted)):
@@ -696,6 +708,12 @@ def load_fitted(spark, path: str):
     if kind == "SoftmaxBoosted":
         from strata.operators.boost import SoftmaxBoosted
         return SoftmaxBoosted.from_document(doc["boosted"])
+    if kind == "GridForest":
+        from strata.operators.grid import GridForest
+        return GridForest.from_document(doc["forest"])
+    if kind == "BinnedFitted":
+        from strata.operators.grid import BinnedFitted, Grid
+        return BinnedFitted(Grid(doc["ends"]), load_fitted(spark, f"{path}/inner"), doc["features_col"])
     if kind == "_AdaFitted":
         return _AdaFitted(stages, doc["alphas"], doc["k"])
     if kind == "_AdaRegFitted":
