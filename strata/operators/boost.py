@@ -108,17 +108,20 @@ class SoftmaxBoost:
         self.classes, self.rounds, self.step, self.seed, self.every = classes, max_iter, step, seed, checkpoint_every
         self.tree = dict(maxDepth=max_depth, impurity="variance") | tree
 
-    def fit(self, df: DataFrame, features_col: str = "features", label_col: str = "label") -> SoftmaxBoosted:
+    def fit(self, df: DataFrame, features_col: str = "features", label_col: str = "label",
+            weight_col: str | None = None) -> SoftmaxBoosted:
         ensure_checkpoint_dir(df.sparkSession)
         k, classes = self.classes, range(self.classes)
-        of_class = df.groupBy(F.col(label_col).cast("int").alias("c")).count().collect()  # a row per class
+        weight = F.lit(1.0) if weight_col is None else F.col(weight_col)
+        df = df.withColumn("__w", weight)
+        of_class = df.groupBy(F.col(label_col).cast("int").alias("c")).agg(F.sum("__w").alias("count")).collect()  # a row per class
         n = sum(r["count"] for r in of_class)
         share = {r["c"]: r["count"] / n for r in of_class}
         start = [math.log(min(max(share.get(c, 0.0), LEAST_SHARE), 1 - LEAST_SHARE)) for c in classes]
 
         def moved(margins: Column) -> list[Column]:
             own = F.transform(softmax(margins), lambda p, c: F.when(c == F.col(label_col), 1.0).otherwise(0.0) - p)
-            return [F.col(features_col), F.col(label_col), margins.alias("__f"), own.alias("__g")]
+            return [F.col(features_col), F.col(label_col), F.col("__w"), margins.alias("__f"), own.alias("__g")]
 
         data = df.select(*moved(F.array(*[F.lit(s) for s in start]))).persist(StorageLevel.MEMORY_AND_DISK)
         trees: list[list[dict]] = []
@@ -127,8 +130,9 @@ class SoftmaxBoost:
 
         @inheritable_thread_target(df.sparkSession)
         def grow(c):
+            weighted = {} if weight_col is None else {"weightCol": "__w"}
             return R.DecisionTreeRegressor(featuresCol=features_col, labelCol="__y", seed=self.seed + len(trees),
-                                           **self.tree).fit(data.select(features_col, F.col("__g")[c].alias("__y")))
+                                           **weighted, **self.tree).fit(data.select(features_col, "__w", F.col("__g")[c].alias("__y")))
 
         with ThreadPoolExecutor(min(TREE_THREADS, k)) as pool:
             for at in range(self.rounds):
@@ -139,8 +143,9 @@ class SoftmaxBoost:
                 leaves = F.expr(f"array({', '.join(leaf_sql(doc, '__x') for doc in docs)})")
                 placed = data.withColumn("__x", vector_to_array(features_col)).withColumn("__l", leaves)
                 g = F.abs(F.col("z.g"))
-                sums = placed.select(F.posexplode(F.arrays_zip(F.col("__l").alias("l"), F.col("__g").alias("g"))).alias("c", "z")).groupBy(
-                    "c", F.col("z.l").alias("leaf")).agg(F.sum("z.g").alias("g"), F.sum(g * (1 - g)).alias("h")).collect()
+                sums = placed.select("__w", F.posexplode(F.arrays_zip(F.col("__l").alias("l"), F.col("__g").alias("g"))).alias("c", "z")).groupBy(
+                    "c", F.col("z.l").alias("leaf")).agg(F.sum(F.col("__w") * F.col("z.g")).alias("g"),
+                                                         F.sum(F.col("__w") * g * (1 - g)).alias("h")).collect()
                 for doc in docs:
                     doc["values"] = [0.0] * doc["leaves"]
                 for r in sums:

@@ -219,8 +219,14 @@ class GBTClassifierLearner:
         if k <= 2:
             return SparkFitted(C.GBTClassifier(featuresCol=features_col, labelCol=label_col, maxIter=self.max_iter,
                                                stepSize=self.step, maxDepth=self.max_depth, seed=self.seed).fit(df))
+        from strata.operators import grid as G
         from strata.operators.boost import SoftmaxBoost
-        return SoftmaxBoost(k, self.max_iter, self.step, self.max_depth, self.seed).fit(df, features_col, label_col)
+        boost = SoftmaxBoost(k, self.max_iter, self.step, self.max_depth, self.seed)
+        grid = G.make_grid(df, features_col, self.seed)
+        if grid is None:
+            return boost.fit(df, features_col, label_col)
+        cells = G.cell_rows(df, grid, features_col, label_col, classes=True)
+        return G.BinnedFitted(grid, boost.fit(cells, G.CELL_FEATURES, label_col, G.CELL_WEIGHT), features_col)
 
 
 class LinearSVCLearner:
