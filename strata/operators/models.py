@@ -199,9 +199,30 @@ def forest_regressor(num_trees: int = 300, max_depth: int = MAX_TREE_DEPTH, seed
     return ForestLearner(R.RandomForestRegressor, False, num_trees, max_depth, seed, "all", **kw)
 
 
+class GBTRegressorLearner:
+    """Spark's gradient-boosted trees; many rows of few features are added up by the cells of a grid first."""
+
+    probability = False
+
+    def __init__(self, max_iter: int = 100, step: float = 0.1, max_depth: int = 3, seed: int = 42, **kw):
+        self.seed, self.other = seed, kw
+        self.kw = dict(maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed) | kw
+
+    def fit(self, df, features_col="features", label_col="label"):
+        from strata.operators import grid as G
+        grid = None if self.other else G.make_grid(df, features_col, self.seed)
+        if grid is None:
+            return SparkFitted(R.GBTRegressor(featuresCol=features_col, labelCol=label_col, **self.kw).fit(df))
+        cells = G.cell_rows(df, grid, features_col, label_col, classes=False).persist()
+        try:
+            return G.BinnedFitted(grid, SparkFitted(R.GBTRegressor(
+                featuresCol=G.CELL_FEATURES, labelCol=label_col, weightCol=G.CELL_WEIGHT, **self.kw).fit(cells)), features_col)
+        finally:
+            cells.unpersist()
+
+
 def gbt_regressor(max_iter: int = 100, step: float = 0.1, max_depth: int = 3, seed: int = 42, **kw):
-    return SparkLearner(lambda df, fc, lc: R.GBTRegressor(
-        featuresCol=fc, labelCol=lc, maxIter=max_iter, stepSize=step, maxDepth=max_depth, seed=seed, **kw), False)
+    return GBTRegressorLearner(max_iter, step, max_depth, seed, **kw)
 
 
 class GBTClassifierLearner:
