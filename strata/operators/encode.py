@@ -28,6 +28,8 @@ from strata.functions.columns import as_double, col
 
 #: parts a hot value's rows are dealt to, and the share of rows from which a value is hot
 HOT_PARTS, HOT_SHARE = 64, 1 / 256
+#: values of a column up to which its counts go to every executor, so that no row moves (2 MB of short keys at most)
+FEW_VALUES = 10_000
 
 
 def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool = True) -> tuple[DataFrame, list[str]]:
@@ -35,8 +37,10 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
     column serving both encodings: ``c_frequency`` (double, NULL is a value of
     its own) and ``c_count`` (long, NULL for a NULL value).
 
-    Long strings are grouped and joined by digest.  Spark chooses the join from
-    the size of the count table at run time.  Where it shuffles, rows of a value
+    Long strings are grouped and joined by digest.  The counts of a column with at
+    most ``FEW_VALUES`` values are broadcast (unless the session forbids broadcasts):
+    left to itself, Spark has shuffled the rows before it knows how few values there
+    are.  For others it chooses the join at run time.  Where it shuffles, rows of a value
     that holds more than ``HOT_SHARE`` of the table are dealt to ``HOT_PARTS``
     parts, with the value's count copied to each, so no hot value is one task."""
     from strata.operators.profile import short_key
@@ -52,9 +56,12 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
     total = df.count()
     values = df.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), text(col(c)).alias("v"))
                                           for j, c in enumerate(columns)])))
-    hot: dict[int, list] = {}  # at most 1 / HOT_SHARE values per column
-    for r in values.groupBy("j", "v").count().where(F.col("count") > total * HOT_SHARE).collect():
-        hot.setdefault(r["j"], []).append(r["v"])
+    # per column its number of values, and the hot ones: at most 1 / HOT_SHARE
+    found = values.groupBy("j", "v").count().groupBy("j").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_list(F.when(F.col("count") > total * HOT_SHARE, F.struct("v"))).alias("hot")).collect()
+    may_broadcast = not df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    few = {r["j"] for r in found if may_broadcast and r["n"] <= FEW_VALUES}
+    hot: dict[int, list] = {r["j"]: [h["v"] for h in r["hot"]] for r in found}
 
     def is_hot(j: int, k: Column) -> Column:
         found = F.coalesce(k.isin(*[v for v in hot.get(j, []) if v is not None]), F.lit(False))
@@ -66,10 +73,13 @@ def encode_counts(df: DataFrame, columns, frequency: bool = True, count: bool =
         value = short_key(col(c)) if is_text else col(c)
         counts = df.groupBy(value.alias(key)).agg(F.count(F.lit(1)).alias(n))
         of_key = F.col(key) if is_text else text(F.col(key))
-        counts = counts.withColumn(salt, F.explode(
-            F.when(is_hot(j, of_key), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
-        row_salt = F.when(is_hot(j, text(col(c))), F.col("__part")).otherwise(0)
-        out = out.join(counts, value.eqNullSafe(F.col(key)) & (row_salt == F.col(salt)), "left").drop(key, salt)
+        if j in few:
+            out = out.join(F.broadcast(counts), value.eqNullSafe(F.col(key)), "left").drop(key)
+        else:
+            counts = counts.withColumn(salt, F.explode(
+                F.when(is_hot(j, of_key), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+            row_salt = F.when(is_hot(j, text(col(c))), F.col("__part")).otherwise(0)
+            out = out.join(counts, value.eqNullSafe(F.col(key)) & (row_salt == F.col(salt)), "left").drop(key, salt)
         new = []
         if frequency:
             new.append(F.col(n).cast("double").alias(f"{c}_frequency"))

@@ -156,3 +156,25 @@ def test_equal_rows_of_a_hot_value_are_spread(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_counts_of_few_values_move_no_rows(spark):
+    from strata.operators import encode as E
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 7 < 6 THEN concat('v', id % 7) END AS s", "cast(id AS string) AS t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # every table is too large for Spark's own choice
+    try:
+        out, _ = E.encode_counts(df, ["s"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = {(r["s"], r["s_frequency"], r["s_count"]) for r in out.collect()}
+        assert got == {(f"v{i}", n, n) for i, n in enumerate([572, 572, 572, 571, 571, 571])} | {(None, 571, None)}
+        few, E.FEW_VALUES = E.FEW_VALUES, 3999  # one value too many
+        try:
+            many = E.encode_counts(df, ["t"])[0]
+        finally:
+            E.FEW_VALUES = few
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert many.where("t_count <> 1").isEmpty() and many.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
