@@ -67,16 +67,27 @@ def union_all(parts: list[str]) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+#: rounded columns from which on a projection is kept out of whole-stage code
+ROUND_APART = 12
+
+
 def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
     """Round every double column (results are compared across engines);
-    ``overrides`` maps column names to their own number of digits."""
-    out = []
+    ``overrides`` maps column names to their own number of digits.
+
+    Dozens of roundings in one whole-stage method are too long for the JVM's compiler,
+    which then interprets them for every row.  A projection with a higher-order function
+    is compiled by itself, in short methods; so one of many columns is rounded that way."""
+    out, many = [], 0
     overrides = overrides or {}
     for f in df.schema.fields:
         c = F.col("`" + f.name + "`")
         d = overrides.get(f.name, digits)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and d is not None:
-            out.append(F.round(c.cast("double"), d).alias(f.name))
+            many += 1
+            value = c.cast("double")
+            out.append((F.transform(F.array(value), lambda x: F.round(x, d))[0] if many == ROUND_APART
+                        else F.round(value, d)).alias(f.name))
         else:
             out.append(c)
     return df.select(*out)

@@ -178,3 +178,18 @@ def test_counts_of_few_values_move_no_rows(spark):
         assert many.where("t_count <> 1").isEmpty() and many.count() == 4000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_many_roundings_stay_out_of_whole_stage_code(spark):
+    from pyspark.sql import functions as F
+    from strata.queries.common import round_doubles
+    cols = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame([(0.1234565, None, float("nan"), float("inf"), -0.0)] * 2, "a double, b double, c double, d double, e double") \
+        .select("*", *[(F.col("a") * i).alias(c) for i, c in enumerate(cols)], F.lit("x").alias("s"))
+    out = round_doubles(df, 6, {"c3": 2, "c4": None})
+    steps = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert steps and not any("round(" in s and "*(" in s.split("Project")[0] for s in steps)
+    plain = df.select(*[c if c in ("c4", "s") else F.round(c, 2 if c == "c3" else 6).alias(c) for c in df.columns])
+    assert out.dtypes == plain.dtypes and [str(r) for r in out.collect()] == [str(r) for r in plain.collect()]
+    few = round_doubles(df.select("a", "b", "s"))
+    assert [str(r) for r in few.collect()] == [str(r) for r in plain.select("a", "b", "s").collect()]
