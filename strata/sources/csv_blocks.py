@@ -36,6 +36,8 @@ from strata.session import scratch_path
 PIECE_BYTES = 1 << 20
 #: bytes of lines in an Arrow batch, about
 BATCH_BYTES = 16 << 20
+#: bytes of a file whose blocks one task takes one after the other, about (tasks stay many enough for the cores)
+TASK_BYTES = 32 << 20
 #: what is known of a file: not valid UTF-8, lines end with a carriage return
 _LATIN, _CRLF = 1, 2
 #: what a cell holds up to its closing quote
@@ -263,6 +265,9 @@ def read_blocks(spark: SparkSession, path: str | list[str], options: dict, block
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("line"))
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    # a task per block would cost more to start than its block to read, and leave a file per block
+    lines = lines.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
     with _pinned(spark, block_bytes):
         kept = scratch_path(spark, "csv-blocks")
         lines.mapInArrow(_summarize(piece_bytes), _SUMMARY).write.parquet(kept)

@@ -76,3 +76,14 @@ def test_header_only_file_is_refused(spark, tmp_path):
 def test_state_at_the_end_of_a_line(line, out, inside):
     assert B.ends_inside(line, False) is out
     assert B.ends_inside(line, True) is inside
+
+
+def test_many_blocks_are_read_by_few_tasks(spark, tmp_path):
+    n = 4 * spark.sparkContext.defaultParallelism
+    lines = [f'{i},"text {i:05d}\nof two lines and some more that fills the block"' for i in range(20 * n)]
+    (tmp_path / "p.csv").write_text("\n".join(["id,t", *lines]))
+    whole, blocks = both(spark, str(tmp_path), 300)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("length div 300").first()[0]
+    assert files > 3 * n  # so many blocks, of which each was a task and left a file of rows
+    assert len([f for f in blocks.inputFiles()]) <= n + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows(whole) == rows(blocks) and blocks.count() == 20 * n
