@@ -250,7 +250,7 @@ def remove_outliers(df: DataFrame, columns: list[str] | None = None, method: str
 # ---------------------------------------------------------------------------
 
 def remove_invalid_features(df: DataFrame, protect: tuple | list = (),
-                            batch: int = 30) -> tuple[DataFrame, list[str]]:
+                            batch: int = 20) -> tuple[DataFrame, list[str]]:
     """Drop all-null columns; turn ±inf into NULL; drop columns that are then
     constant (nulls counted as a value).
 
