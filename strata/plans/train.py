@@ -144,12 +144,26 @@ def fold_rows(df: DataFrame, target, problem, id_col, config: TrainConfig) -> Da
     return df.withColumn("fold", SP.hash_fold(id_col, config.cv_folds, config.random_state))
 
 
+#: rows that a task of a fold's jobs takes, at least
+FOLD_ROWS = 200_000
+
+
+def kept_folds(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what is persisted, the same rows in few partitions).
+
+    Every fold is fitted and scored in dozens of jobs, and what a task tells the driver is as
+    large for few rows as for many; so the partitions grow with the rows, not with the shuffle's."""
+    kept = folded.persist()
+    tasks = max(folded.sparkSession.sparkContext.defaultParallelism, -(-kept.count() // FOLD_ROWS))
+    return kept, kept.coalesce(tasks)
+
+
 def cross_validate(df: DataFrame, features, target, learner_factory, problem, id_col,
                    config: TrainConfig, labels=None, folded: DataFrame | None = None) -> DataFrame:
     """(fold, train_score, test_score, fit_time) for k folds; ``folded`` passes rows folded before."""
     own = folded is None
     if own:
-        folded = fold_rows(df, target, problem, id_col, config).persist()
+        kept, folded = kept_folds(fold_rows(df, target, problem, id_col, config))
     rows = []
     for k in range(config.cv_folds):
         tr, te = folded.where(F.col("fold") != k), folded.where(F.col("fold") == k)
@@ -160,7 +174,7 @@ def cross_validate(df: DataFrame, features, target, learner_factory, problem, id
                               config.scoring).first()[0] for part in (tr, te)]
         rows.append((k, *(float(x) if x is not None else None for x in both), fit_time))
     if own:
-        folded.unpersist()
+        kept.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, train_score double, test_score double, fit_time double")
 
 
@@ -186,7 +200,7 @@ def tune(df, features, target, model_name, problem, id_col, grid, config: TrainC
     if not grid:
         return {}, None
     best, best_score, table = {}, None, []
-    folded = fold_rows(df, target, problem, id_col, config).persist()
+    kept, folded = kept_folds(fold_rows(df, target, problem, id_col, config))
     for params in parameter_candidates(grid, config.tuning_method, config.tuning_iterations,
                                        config.random_state):
         cv = cross_validate(df, features, target,
@@ -196,7 +210,7 @@ def tune(df, features, target, model_name, problem, id_col, grid, config: TrainC
         table.append((str(params), float(s) if s is not None else None))
         if s is not None and (best_score is None or s > best_score):
             best, best_score = params, s
-    folded.unpersist()
+    kept.unpersist()
     res = df.sparkSession.createDataFrame(table, "params string, mean_test_score double")
     return best, res
 

@@ -181,3 +181,19 @@ def test_knn_tiles_and_ties(spark, monkeypatch):
     for q in range(300):
         order = np.lexsort((ids, d[q]))[:5]
         assert (best.i[q] == ids[order]).all() and np.allclose(best.d[q], d[q][order]) and (best.y[q] == ys[order]).all()
+
+
+def test_folds_are_kept_in_partitions_that_grow_with_their_rows(spark, monkeypatch):
+    from strata.plans import train as TR
+    df = spark.range(1000).withColumnRenamed("id", "n").repartition(40)
+    kept, folded = TR.kept_folds(df)
+    try:
+        assert folded.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 40
+        assert sorted(r["n"] for r in folded.collect()) == list(range(1000))
+        assert kept.storageLevel.useMemory
+    finally:
+        kept.unpersist()
+    monkeypatch.setattr(TR, "FOLD_ROWS", 50)
+    kept, folded = TR.kept_folds(df)
+    assert folded.rdd.getNumPartitions() == 20
+    kept.unpersist()
