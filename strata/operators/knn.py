@@ -15,7 +15,7 @@ storage, never through the driver.  A query goes through two rounds:
 
 A block without a ring to visit is not read.  With several blocks the queries are sorted
 by cell, so a task needs few of them.  Distances are compared in tiles of ``QUERY_ROWS``
-queries and ``TILE_ROWS`` rows (one 32 MB tile is alive at a time); a tile whose rows are
+queries and ``TILE_ROWS`` rows (a few 8 MB tiles are alive at a time); a tile whose rows are
 all too far from its centroid is skipped too.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strata.session import scratch_path
 
 BLOCK_ROWS = 50_000
-TILE_ROWS, QUERY_ROWS = 8_192, 512
+TILE_ROWS, QUERY_ROWS = 8_192, 128
 #: most pivots, queries that are searched together, and nearest cells that the first round looks at
 PIVOTS, SEARCH_ROWS, NEAREST = 1_024, 2_048, 8
 #: share of the data's extent by which bounds are loosened, so that rounding never skips a tie
@@ -230,14 +230,18 @@ def _load(uri: str, dim: int) -> dict[int, tuple]:
     import pyarrow.parquet as pq
     fs, p = pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + _local_path(uri))
     with fs.open_input_file(p) as f:
-        t = pq.read_table(f, columns=["id", "x", "y", "cell"]).combine_chunks()
-    x = np.asarray(t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False), "float64").reshape(t.num_rows, dim)
-    ids, ys = t["id"].to_numpy().astype(np.int64), t["y"].to_numpy().astype("float64")
-    cell = t["cell"].to_numpy()
-    by = np.argsort(cell, kind="stable")
-    ends = np.flatnonzero(np.diff(cell[by], append=-1)) + 1
+        t = pq.read_table(f, columns=["id", "x", "y", "cell"])
+    by = np.argsort(t["cell"].to_numpy(), kind="stable")
+    cell, ids, ys = t["cell"].to_numpy()[by], t["id"].to_numpy()[by].astype(np.int64), t["y"].to_numpy()[by].astype("float64")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    x, at = np.empty((len(by), dim)), 0
+    for part in t["x"].chunks:  # one copy of the vectors, of which the cells are slices
+        x[place[at:at + len(part)]] = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim)
+        at += len(part)
+    ends = np.flatnonzero(np.diff(cell, append=-1)) + 1
     starts = np.concatenate([[0], ends[:-1]])
-    return {int(cell[by[a]]): (x[by[a:z]], ids[by[a:z]], ys[by[a:z]]) for a, z in zip(starts, ends)}
+    return {int(cell[a]): (x[a:z], ids[a:z], ys[a:z]) for a, z in zip(starts, ends)}
 
 
 def _home_cell(shared, dim: int):
@@ -246,9 +250,12 @@ def _home_cell(shared, dim: int):
         pivots = shared.value.pivots
         if not len(x):
             return pd.DataFrame({"cell": [], "d": []})
-        xq = np.stack(x.to_numpy()).astype("float64").reshape(len(x), dim)
-        d = np.concatenate([_distances(xq[a:a + SEARCH_ROWS], pivots) for a in range(0, len(xq), SEARCH_ROWS)])
-        return pd.DataFrame({"cell": d.argmin(axis=1), "d": d.min(axis=1)})
+        cell, near = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), QUERY_ROWS):  # distances to all pivots are alive for a few rows only
+            some = slice(at, min(at + QUERY_ROWS, len(x)))
+            d = _distances(np.stack(x.iloc[some].to_numpy()).astype("float64").reshape(-1, dim), pivots)
+            cell[some], near[some] = d.argmin(axis=1), d.min(axis=1)
+        return pd.DataFrame({"cell": cell, "d": near})
     return home
 
 

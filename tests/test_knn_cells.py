@@ -62,3 +62,34 @@ def test_embeddings_need_a_part_of_the_work(spark):
     n, work = test.count() * d.where("id % 5 > 0").count(), out.agg(F.sum("compared")).first()[0]
     print("compared", work, "of", n)
     assert work <= n
+
+
+def test_memory_of_the_search_does_not_grow_with_the_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from strata.operators import knn as K
+    rng = np.random.default_rng(1)
+    pivots = rng.normal(size=(K.PIVOTS, 8))
+    x = pd.Series(list(rng.normal(size=(10_000, 8))))  # rows of an Arrow batch
+
+    class Shared:
+        value = K._Cells(pivots, [])
+    home = K._home_cell(Shared, 8)
+    tracemalloc.start()
+    try:
+        got = home(x)
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+    d = np.sqrt(((np.stack(x.to_numpy()[:50])[:, None] - pivots) ** 2).sum(axis=2))
+    assert (got["cell"].to_numpy()[:50] == d.argmin(axis=1)).all() and np.allclose(got["d"][:50], d.min(axis=1))
+    tracemalloc.start()
+    try:
+        best, xt = K._Best(2_000, 5), rng.normal(size=(K.TILE_ROWS, 8))
+        best.add(np.stack(x.to_numpy()[:2_000]), xt, np.arange(len(xt)), np.zeros(len(xt)))
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    finally:
+        tracemalloc.stop()
+    assert np.isfinite(best.d).all()
