@@ -130,6 +130,8 @@ class ForestLearner:
         self.group, self.threads = group, threads
         # many rows of few features: regression trees that see all features grow on the cells of a grid
         self.on_grid = not probability and strategy == "all" and not kw
+        # many rows: classification trees grow where the rows of a node meet, not in a pass over all rows
+        self.in_pieces = probability and strategy == "sqrt" and not kw
         # where a row stands in each tree is kept (and checkpointed), not found again from the root in every pass
         self.kw = dict(maxDepth=min(max_depth, MAX_TREE_DEPTH), featureSubsetStrategy=strategy, cacheNodeIds=True) | kw
 
@@ -143,6 +145,11 @@ class ForestLearner:
             if grid is not None:
                 return G.fit_forest(df, grid, features_col, label_col, self.num_trees, self.kw["maxDepth"], self.seed)
         ensure_checkpoint_dir(df.sparkSession)
+        if self.in_pieces:
+            from strata.operators import forest as P
+            made = P.fit_forest(df, features_col, label_col, self.num_trees, self.kw["maxDepth"], self.seed)
+            if made is not None:
+                return made
         rows = df.select(features_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
         sizes = [min(self.group, self.num_trees - at) for at in range(0, self.num_trees, self.group)]
 
@@ -697,6 +704,9 @@ def save_fitted(spark, fitted, path: str) -> None:
         doc["boosted"] = fitted.document()
     elif kind == "GridForest":
         doc["forest"] = fitted.document()
+    elif kind == "PieceForest":
+        doc["pieces"] = fitted.document()
+        spark.read.parquet(fitted.path).write.mode("overwrite").parquet(f"{path}/pieces")
     elif kind == "BinnedFitted":
         doc["ends"], doc["features_col"] = fitted.grid.ends, fitted.features_col
         save_fitted(spark, fitted.fitted, f"{path}/inner")
@@ -738,6 +748,9 @@ def load_fitted(spark, path: str):
     if kind == "GridForest":
         from strata.operators.grid import GridForest
         return GridForest.from_document(doc["forest"])
+    if kind == "PieceForest":
+        from strata.operators.forest import PieceForest
+        return PieceForest.from_document(spark, doc["pieces"], f"{path}/pieces")
     if kind == "BinnedFitted":
         from strata.operators.grid import BinnedFitted, Grid
         return BinnedFitted(Grid(doc["ends"]), load_fitted(spark, f"{path}/inner"), doc["features_col"])
