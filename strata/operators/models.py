@@ -258,8 +258,8 @@ class GBTClassifierLearner:
 
 
 class LinearSVCLearner:
-    """Linear support vector classifier (one-vs-rest beyond two classes); the
-    probability is a logistic fit on the decision margins (Platt scaling)."""
+    """Linear support vector classifier (one-vs-rest beyond two classes, its machines
+    fitted together: ``hinge``); the probability is a logistic fit on the decision margins (Platt scaling)."""
 
     probability = True
 
@@ -269,11 +269,15 @@ class LinearSVCLearner:
     def fit(self, df, features_col="features", label_col="label"):
         n = _count(df)
         k = int(df.agg(F.max(label_col)).first()[0] or 1) + 1
-        svc = C.LinearSVC(featuresCol=features_col, labelCol=label_col, regParam=1.0 / (self.C_ * max(n, 1)),
+        reg = 1.0 / (self.C_ * max(n, 1))
+        svc = C.LinearSVC(featuresCol=features_col, labelCol=label_col, regParam=reg,
                           maxIter=self.max_iter, standardization=False)
-        model = svc.fit(df) if k <= 2 else C.OneVsRest(classifier=svc, featuresCol=features_col,
-                                                       labelCol=label_col,
-                                                       parallelism=min(k, OVR_PARALLELISM)).fit(df)
+        if k <= 2:
+            model = svc.fit(df)
+        else:
+            from strata.operators.hinge import fit_machines
+            model = fit_machines(df, features_col, label_col, k, reg, self.max_iter) or C.OneVsRest(
+                classifier=svc, featuresCol=features_col, labelCol=label_col, parallelism=min(k, OVR_PARALLELISM)).fit(df)
         from pyspark.ml.functions import array_to_vector
         scored = model.transform(df).withColumn("__m", array_to_vector(vector_to_array("rawPrediction"))) \
             .drop("prediction", "rawPrediction", "probability")
@@ -689,6 +693,20 @@ def read_json(spark, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def _margin_stages(fitted: _PlattFitted) -> tuple[list, dict | None]:
+    """The Spark models of a classifier by margins, and its machines where they are not one of these."""
+    if hasattr(fitted.model, "document"):
+        return [fitted.platt], fitted.model.document()
+    return [fitted.model, fitted.platt], None
+
+
+def _margins_of(stages: list, doc: dict) -> _PlattFitted:
+    if doc.get("machines"):
+        from strata.operators.hinge import Machines
+        stages = [Machines.from_document(doc["machines"]), *stages]
+    return _PlattFitted(*stages)
+
+
 def save_fitted(spark, fitted, path: str) -> None:
     """Write any fitted learner of the registry."""
     kind = type(fitted).__name__
@@ -696,9 +714,9 @@ def save_fitted(spark, fitted, path: str) -> None:
     if isinstance(fitted, SparkFitted):
         stages = [fitted.model]
     elif isinstance(fitted, _PlattFitted):
-        stages = [fitted.model, fitted.platt]
+        stages, doc["machines"] = _margin_stages(fitted)
     elif isinstance(fitted, _KernelFitted):
-        stages, doc["kernel"] = [fitted.fitted.model, fitted.fitted.platt], fitted.made.document()
+        (stages, doc["machines"]), doc["kernel"] = _margin_stages(fitted.fitted), fitted.made.document()
         doc["features_col"] = fitted.features_col
     elif kind == "SoftmaxBoosted":
         doc["boosted"] = fitted.document()
@@ -739,9 +757,9 @@ def load_fitted(spark, path: str):
         return ForestFitted(stages)
     if kind == "_KernelFitted":
         from strata.operators.kernel import KernelMap
-        return _KernelFitted(KernelMap.from_document(doc["kernel"]), _PlattFitted(*stages), doc["features_col"])
+        return _KernelFitted(KernelMap.from_document(doc["kernel"]), _margins_of(stages, doc), doc["features_col"])
     if kind == "_PlattFitted":
-        return _PlattFitted(*stages)
+        return _margins_of(stages, doc)
     if kind == "SoftmaxBoosted":
         from strata.operators.boost import SoftmaxBoosted
         return SoftmaxBoosted.from_document(doc["boosted"])
